@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are a text's distinct words (A-Z lower-cased) and the four-byte beginnings of its longer words. Terms are those
+Features are a text's distinct words (A-Z lower-cased) and the distinct beginnings of its longer words (four to seven
+bytes, so that inflected forms share what they have learnt). Terms are those
 that the labelled sample ties to toxicity (z score of their document frequencies). Severity grades are 0 for a row
 labelled not toxic and, for a toxic one, 1, 2 or 3 by how many of the toxic terms it has (up to 1, up to 3, more). One
 weight a term is shared by all ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k) with t_1 <= t_2 <= t_3. The
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from sitelumen.llm.common import table, text_bytes
 
-SAMPLE, TERMS, LEAST_ROWS, LEAST_Z, BEGINNING, GRADES = 8000, 20_000, 3, 4.0, 4, 3
-RIDGE, ROUNDS, RATE = 1e-3, 400, 0.1
+SAMPLE, TERMS, LEAST_ROWS, LEAST_Z, GRADES = 8000, 20_000, 3, 4.0, 3
+BEGINNINGS = (4, 5, 6, 7)
+RIDGE, ROUNDS, RATE = 1e-4, 500, 0.1
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def terms_of(word: bytes) -> tuple[bytes, ...]:
-    return (word, b"^" + word[:BEGINNING]) if len(word) > BEGINNING else (word,)
+    return (word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) > n))
 
 
 def distinct_words(text: bytes) -> set[bytes]:
@@ -47,33 +49,29 @@ class Model:
     def __init__(self, terms: list[bytes], weights: np.ndarray, thresholds: np.ndarray):
         self.weights = dict(zip(terms, weights.tolist(), strict=True))
         self.thresholds = thresholds
-        self._words: dict[bytes, float] = {}
+        self._words: dict[bytes, tuple[bytes, ...]] = {}
+        self._none: set[bytes] = set()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_words": {}}
+        return self.__dict__ | {"_words": {}, "_none": set()}
 
     def score(self, text: bytes) -> float:
-        known, weights, total = self._words, self.weights, 0.0
-        for w in sorted(distinct_words(text) - self._none()):
-            x = known.get(w)
-            if x is None:
-                x = sum(weights.get(t, 0.0) for t in terms_of(w))
-                if len(known) > 500_000:
-                    known.clear()
-                    self.__dict__["_nothing"] = set()
-                if x == 0.0:
-                    self._none().add(w)
-                    continue
-                known[w] = x
-            total += x
-        return total
-
-    def _none(self) -> set[bytes]:
-        """Words seen that carry no weight."""
-        none = self.__dict__.setdefault("_nothing", set())
-        if len(none) > 1_000_000:
+        """w.x of a text; words seen before are kept with their terms, those without any apart."""
+        known, none, weights = self._words, self._none, self.weights
+        if len(known) + len(none) > 1_000_000:
+            known.clear()
             none.clear()
-        return none
+        found: set[bytes] = set()
+        for w in distinct_words(text) - none:
+            terms = known.get(w)
+            if terms is None:
+                terms = tuple(t for t in terms_of(w) if t in weights)
+                if not terms:
+                    none.add(w)
+                    continue
+                known[w] = terms
+            found.update(terms)
+        return sum(weights[t] for t in sorted(found))
 
     def chances(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ... of each score."""
@@ -154,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 words = distinct_words(text)
                 hits = len(words & toxic)
                 grades.append(shared.value[doc] * (1 if hits <= 1 else 2 if hits <= 3 else 3))
-                cells.append([index[t] for w in words for t in terms_of(w) if t in index])
+                cells.append([*{index[t] for w in words for t in terms_of(w) if t in index}])
             yield pa.record_batch([batch.column(0), pa.array(grades, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["doc_id", "grade", "cells"])
 
     design = sorted((r["doc_id"], r["grade"], sorted(r["cells"])) for r in own.mapInArrow(designed, "doc_id long, grade int, cells array<int>").toLocalIterator())
