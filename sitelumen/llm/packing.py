@@ -14,6 +14,7 @@ truncated; repeated rows are packed each; a null doc_id is kept; extra columns a
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,15 @@ CAPACITY, END_ID, GRID = 4096, 1, 128
 #: Entries of a worker's cache of encoded words, which bounds its memory.
 CACHE_WORDS = 1_000_000
 STOPS = b".,;:!?"
+#: Letters that stay one composed letter each in lower case: A-Z, a-z and those of Latin-1 in UTF-8.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level BPE has for each byte: itself if printable, else the next free one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(printable)]
+    return dict(zip(printable, printable, strict=True)) | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 def default_tokenizer() -> str:
@@ -49,6 +59,14 @@ class WordCache(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.cores: dict[bytes, bytes] = {}
+        self.letters = byte_letters()
+
+    def word(self, low: bytes) -> bytes:
+        """Ids of one lower-case word; a plain one goes to the tokenizer's model as its pre-tokenizer would give it."""
+        if not PLAIN.fullmatch(low):
+            return self.encoded(low)
+        letters = low.decode().lower().encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
 
     def encoded(self, chunk: bytes) -> bytes:
         ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
@@ -60,7 +78,7 @@ class WordCache(dict):
             low = core.lower()
             ids = self.cores.get(low)
             if ids is None:
-                ids = self.cores[low] = self.encoded(low)
+                ids = self.cores[low] = self.word(low)
             if len(core) < len(chunk):
                 ids += self[chunk[len(core) :]]
         else:
