@@ -178,8 +178,8 @@ def lastmod_problem(value: Column | str, now: Column) -> Column:
     """``missing``, ``format``, ``future`` or null for a valid W3C date not over a day ahead of ``now``."""
     value = _col(value)
     shape = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
-    at = F.try_to_timestamp(F.regexp_replace(value, r"([+-]\d{2})(\d{2})$", "$1:$2"))
-    at = F.when(value.rlike(r"[+-]\d{4}$"), at).otherwise(F.try_to_timestamp(value))
+    full = F.regexp_replace(F.regexp_replace(value, r"([T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    at = F.try_to_timestamp(F.when(F.length(value) > 10, full).otherwise(value))
     return (
         F.when(value.isNull() | (value == ""), F.lit("missing"))
         .when(~value.rlike(shape) | at.isNull(), F.lit("format"))

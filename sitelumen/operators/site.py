@@ -50,7 +50,7 @@ def status_by_link(pages: DataFrame, url_status: DataFrame) -> DataFrame:
     """``(site_id, normalized_url, broken_links, redirect_links)`` of pages with such internal links."""
     status = url_status.select("site_id", F.col("url").alias("normalized"), "status", "redirects")
     met = links(pages).where("internal").join(status, ["site_id", "normalized"])
-    counted = met.groupBy("site_id", F.col("page_url").alias("normalized_url")).agg(F.count_if("status >= 400").alias("broken_links"), F.count_if("redirects > 0 AND status < 400").alias("redirect_links"))
+    counted = met.groupBy("site_id", F.col("page_url").alias("normalized_url")).agg(F.count_if(F.expr("status >= 400")).alias("broken_links"), F.count_if(F.expr("redirects > 0 AND status < 400")).alias("redirect_links"))
     return counted.where("broken_links > 0 OR redirect_links > 0")
 
 

@@ -192,7 +192,7 @@ def site_facts(pages: DataFrame, side: SideInputs, caps: Capabilities, single_pa
     if status is not None:
         hosts = pages.select("site_id", F.col("page_host").alias("host")).distinct()
         known = status.withColumn("host", U.host_of("url")).join(hosts.withColumn("own", F.lit(True)), ["site_id", "host"], "left")
-        counted = known.groupBy("site_id").agg(F.count("*").alias("statuses"), F.count_if("own AND status >= 400").alias("status_bad"))
+        counted = known.groupBy("site_id").agg(F.count("*").alias("statuses"), F.count_if(F.expr("own AND status >= 400")).alias("status_bad"))
     facts = _left(facts, counted, {"statuses": "0L", "status_bad": "0L"}, ["site_id"])
 
     maps = None if side.sitemaps is None else side.sitemaps.groupBy("site_id").agg(F.count("*").alias("sitemaps"), F.count_if("ok").alias("sitemaps_ok"))
@@ -230,36 +230,41 @@ def _sql(rule: Rule, min_words: int) -> tuple[str, str]:
     return applies, f"({applies}) AND ({fails})"
 
 
-def rule_rows(facts: DataFrame, rules: list[Rule], min_words: int = 300) -> DataFrame:
-    """The facts with ``results``: one struct a rule (rule_id, applies, fails, measure, page, pages, groups)."""
+def _verdicts(rules: list[Rule], min_words: int, fields: dict[str, str]) -> str:
+    """An array with one struct a rule; ``fields`` names the rule's further expressions and their types."""
     parts = []
     for r in rules:
         applies, fails = _sql(r, min_words)
-        groups = f"CAST({r.groups} AS array<array<string>>)" if r.groups else "CAST(NULL AS array<array<string>>)"
-        parts.append(
-            f"named_struct('rule_id', '{r.id}', 'applies', {applies}, 'fails', {fails}, 'measure', CAST({r.measure} AS double), "
-            f"'page', CAST({r.page} AS string), 'pages', CAST({r.pages} AS array<string>), 'groups', {groups})"
-        )
-    return facts.withColumn("results", F.expr(f"array({', '.join(parts)})"))
+        rest = "".join(f", '{name}', CAST({getattr(r, name) or 'NULL'} AS {kind})" for name, kind in fields.items())
+        parts.append(f"named_struct('rule_id', '{r.id}', 'applies', {applies}, 'fails', {fails}, 'measure', CAST({r.measure} AS double){rest})")
+    empty = ",".join(["rule_id:string", "applies:boolean", "fails:boolean", "measure:double", *(f"{name}:{kind}" for name, kind in fields.items())])
+    return f"array({', '.join(parts)})" if parts else f"CAST(array() AS array<struct<{empty}>>)"
 
 
 def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: int = 300) -> tuple[DataFrame, DataFrame]:
-    """``(findings, applicability)``; each facts row is expanded into one row a rule, once."""
+    """``(findings, applicability)``; every facts row is evaluated once, and kept as an array of verdicts.
+
+    Counting adds up booleans of the array; only failed verdicts become rows.
+    """
     page_rules = [r for r in rules if r.scope == "page"]
     site_rules = [r for r in rules if r.scope == "site"]
-    pages = rule_rows(facts, page_rules, min_words).select("site_id", "seq", "normalized_url", F.inline("results"))
-    whole = rule_rows(sites, site_rules, min_words).select("site_id", F.inline("results"))
-    page_counts = pages.groupBy("site_id", "rule_id").agg(F.count_if("applies").alias("applicable"), F.count_if("fails").alias("failed"))
+    pages = facts.select("site_id", "seq", "normalized_url", F.expr(_verdicts(page_rules, min_words, {})).alias("verdicts")).persist()
+    whole = sites.select("site_id", F.inline(F.expr(_verdicts(site_rules, min_words, {"page": "string", "pages": "array<string>", "groups": "array<array<string>>"})))).persist()
+    counts = pages.groupBy("site_id").agg(
+        *[F.count_if(F.col("verdicts")[i]["applies"]).alias(f"a{i}") for i in range(len(page_rules))], *[F.count_if(F.col("verdicts")[i]["fails"]).alias(f"f{i}") for i in range(len(page_rules))]
+    )
+    each = ", ".join(f"named_struct('rule_id', '{r.id}', 'applicable', a{i}, 'failed', f{i})" for i, r in enumerate(page_rules))
+    each = f"array({each})" if each else "CAST(array() AS array<struct<rule_id:string,applicable:bigint,failed:bigint>>)"
+    page_counts = counts.select("site_id", F.inline(F.expr(each)))
     site_counts = whole.select("site_id", "rule_id", F.col("applies").cast("bigint").alias("applicable"), F.col("fails").cast("bigint").alias("failed"))
-    shape = ["site_id", "rule_id", "scope", "page", "pages", "measure", "seq"]
     none = F.lit(None).cast("array<string>")
-    from_pages = pages.where("fails").select("site_id", "rule_id", F.lit("page").alias("scope"), F.col("normalized_url").alias("page"), none.alias("pages"), "measure", "seq")
+    failed_pages = pages.select("site_id", "seq", "normalized_url", F.inline(F.filter("verdicts", lambda v: v["fails"])))
+    from_pages = failed_pages.select("site_id", "rule_id", F.lit("page").alias("scope"), F.col("normalized_url").alias("page"), none.alias("pages"), "measure", "seq")
     failed = whole.where("fails")
     single = failed.where("groups IS NULL").select("site_id", "rule_id", F.lit("site").alias("scope"), "page", "pages", "measure", F.lit(0).cast("bigint").alias("seq"))
     grouped = failed.where("groups IS NOT NULL").select("site_id", "rule_id", F.posexplode("groups").alias("seq", "pages"))
     grouped = grouped.select("site_id", "rule_id", F.lit("site").alias("scope"), F.lit(None).cast("string").alias("page"), "pages", F.size("pages").cast("double").alias("measure"), F.col("seq").cast("bigint").alias("seq"))
-    findings = from_pages.unionByName(single).unionByName(grouped).select(*shape)
-    return findings, page_counts.unionByName(site_counts)
+    return from_pages.unionByName(single).unionByName(grouped), page_counts.unionByName(site_counts)
 
 
 def rule_dim(spark, rules: list[Rule] = RULES) -> DataFrame:
@@ -358,7 +363,7 @@ def worst_pages(findings: DataFrame, most: int = 10) -> DataFrame:
     """The pages of a site with the most findings, severe ones (critical, error) first."""
     from pyspark.sql import Window
 
-    counts = findings.where("page IS NOT NULL").groupBy("site_id", "page").agg(F.count_if("rank <= 1").alias("severe"), F.count("*").alias("total"))
+    counts = findings.where("page IS NOT NULL").groupBy("site_id", "page").agg(F.count_if(F.expr("rank <= 1")).alias("severe"), F.count("*").alias("total"))
     order = Window.partitionBy("site_id").orderBy(F.desc("severe"), F.desc("total"), "page")
     return counts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
@@ -368,7 +373,7 @@ def audit(raw: DataFrame, side: SideInputs | None = None, caps: Capabilities | N
     side, caps = side or SideInputs(), caps or Capabilities()
     chosen = evaluated(rules or RULES, caps)
     pages = derived(page_models(raw)).persist()
-    facts, sites = page_facts(pages, side), site_facts(pages, side, caps, single_page, now)
+    facts, sites = page_facts(pages, side), site_facts(pages, side, caps, single_page, now).persist()
     found, applicable = evaluate(facts, sites, chosen, min_words)
     found = with_metadata(found, sites, partial)
     scores = category_scores(applicable, found)
