@@ -30,3 +30,14 @@ def ship_package(spark: SparkSession) -> None:
         for path in sorted((ROOT / "sitelumen").rglob("*.py")):
             out.write(path, path.relative_to(ROOT))
     context.addPyFile(str(target))
+
+
+def cut(df):
+    """The rows of df in the shared checkpoint folder; one of our own only where none is named, on one machine."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitelumen-checkpoint-"))
+    return df.checkpoint(eager=True)
