@@ -177,7 +177,7 @@ def bucket_links(rows: DataFrame, apart: int) -> DataFrame:
         for batch in batches:
             keys, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             digests = batch.column(2)
-            verify = np.stack([batch.column(i).to_numpy() for i in range(3, 7)], axis=1)
+            verify = np.stack([batch.column(i).to_numpy() for i in range(3, 7)], axis=1).view(np.uint64)
             n = len(keys)
             if not n:
                 continue
@@ -192,7 +192,7 @@ def bucket_links(rows: DataFrame, apart: int) -> DataFrame:
                 if at != last:
                     last, leaders, names = at, verify[s : s + 1], [digests[s].as_py()]
                     if at[1] >= 0:
-                        out.append((int(at[0]), names[0], None, *verify[s].tolist()))
+                        out.append((int(at[0]), names[0], None, *verify[s].view(np.int64).tolist()))
                     s += 1
                 for i in range(s, e):
                     match = np.flatnonzero(np.bitwise_count(leaders ^ verify[i]).sum(axis=1) <= apart)
@@ -202,7 +202,7 @@ def bucket_links(rows: DataFrame, apart: int) -> DataFrame:
                     else:
                         leaders, names = np.concatenate([leaders, verify[i : i + 1]]), [*names, name]
                         if at[1] >= 0:
-                            out.append((int(at[0]), name, None, *verify[i].tolist()))
+                            out.append((int(at[0]), name, None, *verify[i].view(np.int64).tolist()))
             if out:
                 kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "a", "b", "v0", "v1", "v2", "v3"])
