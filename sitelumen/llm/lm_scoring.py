@@ -131,5 +131,6 @@ def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document against the documents labelled of good quality."""
     docs, tokenizer = table(spark, sf_dir, "documents"), default_tokenizer()
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    marked = docs.join(good, docs["doc_id"] == good["good_id"], "left").select(docs["text"], F.col("good_id").isNotNull().alias("is_target"))
+    # Labels grow with the corpus, so documents are dealt out by id at every size rather than labels broadcast at a small one.
+    marked = docs.hint("merge").join(good, docs["doc_id"] == good["good_id"], "left").select(docs["text"], F.col("good_id").isNotNull().alias("is_target"))
     return score(docs, *fit(marked, tokenizer), tokenizer)
