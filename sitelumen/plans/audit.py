@@ -12,6 +12,7 @@ from sitelumen.functions import url as U
 from sitelumen.operators import near_duplicates as N
 from sitelumen.operators import site as S
 from sitelumen.plans.catalog import BY_ID, CATEGORY_WEIGHT, CONTENT_DEPENDENT, EFFORT_FACTOR, RULES, SEVERITIES, SEVERITY_BOOST, SEVERITY_MULTIPLIER, Rule
+from sitelumen.session import cut
 from sitelumen.sources import html_extract, robots
 from sitelumen.sources.pages import Capabilities
 
@@ -248,8 +249,9 @@ def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: i
     """
     page_rules = [r for r in rules if r.scope == "page"]
     site_rules = [r for r in rules if r.scope == "site"]
-    pages = facts.select("site_id", "seq", "normalized_url", F.expr(_verdicts(page_rules, min_words, {})).alias("verdicts")).persist()
-    whole = sites.select("site_id", F.inline(F.expr(_verdicts(site_rules, min_words, {"page": "string", "pages": "array<string>", "groups": "array<array<string>>"})))).persist()
+    pages = facts.select("site_id", "seq", "normalized_url", F.expr(_verdicts(page_rules, min_words, {})).alias("verdicts"))
+    whole = sites.select("site_id", F.inline(F.expr(_verdicts(site_rules, min_words, {"page": "string", "pages": "array<string>", "groups": "array<array<string>>"}))))
+    pages, whole = cut(pages), cut(whole)
     counts = pages.groupBy("site_id").agg(
         *[F.count_if(F.col("verdicts")[i]["applies"]).alias(f"a{i}") for i in range(len(page_rules))], *[F.count_if(F.col("verdicts")[i]["fails"]).alias(f"f{i}") for i in range(len(page_rules))]
     )
@@ -369,11 +371,15 @@ def worst_pages(findings: DataFrame, most: int = 10) -> DataFrame:
 
 
 def audit(raw: DataFrame, side: SideInputs | None = None, caps: Capabilities | None = None, min_words: int = 300, single_page: bool = False, now=None, partial: DataFrame | None = None, rules: list[Rule] | None = None) -> Audit:
-    """The whole audit. The parsed pages are used by several frames, so callers with more than one use persist ``pages``."""
+    """The whole audit.
+
+    Pages, site facts and verdicts are read by several frames, so each is written once to the shared checkpoint folder;
+    that also keeps the plans behind them short, and lost executors cost no second parse.
+    """
     side, caps = side or SideInputs(), caps or Capabilities()
     chosen = evaluated(rules or RULES, caps)
-    pages = derived(page_models(raw)).persist()
-    facts, sites = page_facts(pages, side), site_facts(pages, side, caps, single_page, now).persist()
+    pages = cut(derived(page_models(raw)))
+    facts, sites = page_facts(pages, side), cut(site_facts(pages, side, caps, single_page, now))
     found, applicable = evaluate(facts, sites, chosen, min_words)
     found = with_metadata(found, sites, partial)
     scores = category_scores(applicable, found)

@@ -12,6 +12,7 @@ from sitelumen.functions import url as U
 from sitelumen.operators import near_duplicates as N
 from sitelumen.operators import site as S
 from sitelumen.plans import audit as A
+from sitelumen.session import cut
 from sitelumen.sources import pages as P
 from sitelumen.sources import robots as R
 from sitelumen.sources import sitemap as M
@@ -39,8 +40,8 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _site(spark: SparkSession, d: str) -> DataFrame:
-    """The parsed and derived page frame."""
-    return A.derived(A.page_models(_pages(spark, d)))
+    """The parsed and derived page frame, written once."""
+    return cut(A.derived(A.page_models(_pages(spark, d))))
 
 
 # --- text ------------------------------------------------------------------------------------------------------------
