@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from sitelumen.llm.common import cut, shuffle_partitions, table, text_bytes
 
 CAPACITY, END_ID, GRID = 4096, 1, 128
-#: Entries of a worker's cache of encoded words, which bounds its memory.
-CACHE_WORDS = 1_000_000
+#: Entries of each of the two generations of a worker's cache of encoded words, which bounds its memory.
+CACHE_WORDS = 250_000
 STOPS = b".,;:!?"
 #: Letters that stay one composed letter each in lower case: A-Z, a-z and those of Latin-1 in UTF-8.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -58,7 +58,7 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.letters = byte_letters()
 
     def word(self, low: bytes) -> bytes:
@@ -73,24 +73,24 @@ class WordCache(dict):
         return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
-        core = chunk.rstrip(STOPS)
-        if b"<" not in chunk and core and chr(core[-1]).isascii() and chr(core[-1]).isalpha():
+        ids = self.old.get(chunk)
+        if ids is None:
+            core = chunk.rstrip(STOPS)
             low = core.lower()
-            ids = self.cores.get(low)
-            if ids is None:
-                ids = self.cores[low] = self.word(low)
-            if len(core) < len(chunk):
-                ids += self[chunk[len(core) :]]
-        else:
-            ids = self.encoded(chunk)
+            if b"<" in chunk or not core or core[-1] >= 128 or not chr(core[-1]).isalpha():
+                ids = self.encoded(chunk)
+            elif low == chunk:
+                ids = self.word(low)
+            else:
+                ids = self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
         self[chunk] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
         out = b"".join(map(self.__getitem__, text.split()))
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS:  # what is used again comes back from the old generation
+            self.old = dict(self)
             self.clear()
-            self.cores.clear()
         return out
 
 

@@ -27,6 +27,8 @@ from sitelumen.llm.common import table, text_bytes
 
 SAMPLE, TERMS, LEAST_ROWS, LEAST_Z, GRADES = 8000, 20_000, 3, 4.0, 3
 BEGINNINGS = (4, 5, 6, 7)
+#: Words whose terms a worker remembers.
+CACHE_WORDS = 300_000
 RIDGE, ROUNDS, RATE = 1e-4, 500, 0.1
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -58,7 +60,7 @@ class Model:
     def score(self, text: bytes) -> float:
         """w.x of a text; words seen before are kept with their terms, those without any apart."""
         known, none, weights = self._words, self._none, self.weights
-        if len(known) + len(none) > 1_000_000:
+        if len(known) + len(none) > CACHE_WORDS:
             known.clear()
             none.clear()
         found: set[bytes] = set()
