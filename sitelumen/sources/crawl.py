@@ -6,6 +6,7 @@ import re
 import time
 import urllib.error
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sitelumen.functions import url as U
 from sitelumen.session import cut
-from sitelumen.sources import html_extract, robots
+from sitelumen.sources import html_extract, robots, sitemap
 
 # --- fixed values ---
 CHALLENGE_MARKERS = (
@@ -51,6 +52,16 @@ def classify_error(error: BaseException) -> str:
     return "network"
 
 
+def gunzip(body: bytes) -> bytes:
+    """The body, unpacked if it is gzip; a cut-off or broken one as far as it can be read."""
+    if body[:2] != b"\x1f\x8b":
+        return body
+    try:
+        return zlib.decompressobj(31).decompress(body)
+    except zlib.error:
+        return body
+
+
 class _NoRedirect(urllib.request.HTTPRedirectHandler):
     def redirect_request(self, *args, **kwargs):
         return None
@@ -70,7 +81,7 @@ def http_fetch(url: str, config: CrawlConfig, method: str = "GET") -> dict:
         headers = {k.lower(): v for k, v in answer.headers.items()}
         to = U.parse(headers.get("location"), at) if answer.status in (301, 302, 303, 307, 308) and headers.get("location") else None
         if not to:
-            body = answer.read(config.max_bytes) if method == "GET" else b""
+            body = gunzip(answer.read(config.max_bytes)) if method == "GET" else b""
             return {"url": url, "status": answer.status, "html": body.decode("utf-8", "replace"), "headers": headers, "redirect_chain": chain, "final_url": at, "ttfb_ms": int((time.time() - began) * 1000), "error": None, "transfer_bytes": len(body)}
         target = U.serialised(to)
         chain.append({"url": at, "status": answer.status, "to": target})
@@ -109,7 +120,9 @@ def fetched(urls: DataFrame, fetch: Callable[[str], dict], delay_ms: int) -> Dat
 
 
 def crawl(spark: SparkSession, start: str, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None) -> dict[str, DataFrame | str]:
-    """``raw`` pages, ``url_status``, ``robots`` and the crawl's ``status`` (ok, partial, blocked, failed).
+    """``raw`` pages, ``url_status``, ``robots``, ``sitemaps``, ``sitemap_entries``, ``llms_txt`` and the crawl's ``status``.
+
+    Status is ok, partial, blocked or failed.
 
     Each depth is one fetch of a distinct frontier without the URLs seen before; the frontier is a table and never
     leaves the cluster. Three challenge pages or more at a depth with no other page end the crawl as blocked.
@@ -150,7 +163,33 @@ def crawl(spark: SparkSession, start: str, config: CrawlConfig = CrawlConfig(),
         status = "partial"
     raw = every.where("status > 0").withColumns({"site_id": F.lit(site), "source": F.lit("live"), "ingest_seq": F.col("depth") * (1 << 40) + F.pmod(F.xxhash64("url"), F.lit(1 << 40))})
     statuses = every.select(F.lit(site).alias("site_id"), U.normalize_url("url").alias("url"), "status", F.size("redirect_chain").alias("redirects"), "error")
-    return {"raw": raw, "url_status": statuses, "robots": rules, "status": status}
+    named = robots.robots_lines(rules).where("field = 'sitemap'").select("site_id", F.col("value").alias("sitemap_url")).distinct()
+    if named.isEmpty():
+        named = spark.createDataFrame([(site, origin + "/sitemap.xml")], "site_id string, sitemap_url string")
+
+    def sitemap_bodies(urls: DataFrame) -> DataFrame:
+        got = fetched(urls.select(F.col("sitemap_url").alias("url")), fetch, config.delay_ms)
+        return cut(got.select(F.lit(site).alias("site_id"), F.col("url").alias("sitemap_url"), F.when(F.col("status").between(200, 299), F.col("html")).alias("xml")))
+
+    maps = cut(sitemap.collected(named, sitemap_bodies))
+    llms = fetched(spark.createDataFrame([(origin + "/llms.txt",)], "url string"), fetch, 0)
+    llms = cut(llms.where(F.col("status").between(200, 299)).select(F.lit(site).alias("site_id"), F.coalesce("html", F.lit("")).alias("text")))
+    return {
+        "raw": raw, "url_status": statuses, "robots": rules.where("raw IS NOT NULL"), "status": status, "llms_txt": llms,
+        "sitemaps": maps.select("site_id", F.col("sitemap_url").alias("url"), "ok"), "sitemap_entries": sitemap.entries(maps.where("ok")).drop("sitemap_url"),
+    }
+
+
+def probe(pages: DataFrame, url_status: DataFrame, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None) -> DataFrame:
+    """``url_status`` with the URLs that pages refer to; asked by HEAD, and by GET where a server does not know it."""
+
+    def head(url: str) -> dict:
+        answer = http_fetch(url, config, "HEAD")
+        return http_fetch(url, config) if answer["status"] in (405, 501) else answer
+
+    got = cut(fetched(probe_targets(pages, url_status, config), fetch or head, config.delay_ms))
+    site = F.lit(pages.select("site_id").first()[0])
+    return url_status.unionByName(got.select(site.alias("site_id"), "url", "status", F.size("redirect_chain").alias("redirects"), "error"))
 
 
 def probe_targets(pages: DataFrame, url_status: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:

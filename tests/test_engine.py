@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import random
 
@@ -149,7 +150,10 @@ def test_pairs(spark):
 
 
 PAGES = {
-    "https://c.test/robots.txt": (200, "User-agent: *\nDisallow: /private"),
+    "https://c.test/robots.txt": (200, "User-agent: *\nDisallow: /private\nSitemap: https://c.test/index.xml"),
+    "https://c.test/index.xml": (200, "<sitemapindex><sitemap><loc>https://c.test/map.xml</loc></sitemap><sitemap><loc>https://c.test/none.xml</loc></sitemap></sitemapindex>"),
+    "https://c.test/map.xml": (200, "<urlset><url><loc>https://c.test/a</loc></url></urlset>"),
+    "https://c.test/llms.txt": (200, "hello"),
     "https://c.test/": (200, '<a href="/a">a</a><a href="/private/x">p</a><a href="/f.pdf">f</a><a href="https://o.test/">o</a>'),
     "https://c.test/a": (200, '<a href="/">home</a><a href="/lost">l</a>'),
     "https://c.test/lost": (404, "gone"),
@@ -168,7 +172,13 @@ def challenge(url: str) -> dict:
 def test_crawl(spark):
     got = C.crawl(spark, "https://c.test/", C.CrawlConfig(delay_ms=0), fake)
     assert {(r["url"], r["status"]) for r in got["url_status"].collect()} == {("https://c.test/", 200), ("https://c.test/a", 200), ("https://c.test/lost", 404)}
-    assert got["status"] == "ok"
+    assert got["status"] == "ok" and got["llms_txt"].first()["text"] == "hello"
+    assert {(r["url"], r["ok"]) for r in got["sitemaps"].collect()} == {("https://c.test/index.xml", True), ("https://c.test/map.xml", True), ("https://c.test/none.xml", False)}
+    assert [r["loc"] for r in got["sitemap_entries"].collect()] == ["https://c.test/a"]
+    pages = A.derived(A.page_models(P.raw_pages(got["raw"])))
+    known = C.probe(pages, got["url_status"], C.CrawlConfig(delay_ms=0), fake)
+    assert {r["url"] for r in known.collect()} - {r["url"] for r in got["url_status"].collect()} == {"https://c.test/private/x", "https://c.test/f.pdf"}
+    assert C.gunzip(gzip.compress(b"x")) == b"x" and C.gunzip(b"y") == b"y"
     assert C.crawl(spark, "https://nowhere.test/", C.CrawlConfig(delay_ms=0), fake)["status"] == "failed"
     row = spark.createDataFrame([(403, {"a": "b"}, "Just a moment..."), (200, {"a": "b"}, "Just a moment..."), (200, {"cf-mitigated": "challenge"}, "")], "s int, h map<string,string>, b string")
     assert [r["x"] for r in row.select(C.is_challenge(F.col("s"), F.col("h"), F.col("b")).alias("x")).collect()] == [True, False, True]
