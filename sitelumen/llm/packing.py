@@ -27,7 +27,7 @@ from sitelumen.llm.common import cut, shuffle_partitions, table, text_bytes
 
 CAPACITY, END_ID, GRID = 4096, 1, 128
 #: Entries of each of the two generations of a worker's cache of encoded words, which bounds its memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 STOPS = b".,;:!?"
 #: Letters that stay one composed letter each in lower case: A-Z, a-z and those of Latin-1 in UTF-8.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
