@@ -3,8 +3,9 @@
 Two users of one idea. ``components_by_fingerprint`` links 64-bit fingerprints that differ in at most two bits: of four
 16-bit blocks two at least are untouched, so each fingerprint is filed under its six pairs of blocks and only
 fingerprints of one bucket are compared. ``near_duplicate_groups`` works at a similarity (0.8 of five-word shingles
-unless told otherwise), where some forty of 256 bits may differ; there the blocks are taken from a second, 1024-bit
-fingerprint of the text's word set, on which edited copies differ far less, and the 256-bit shingle fingerprint verifies.
+unless told otherwise), where some forty of 256 bits may differ and blocks short enough to stay untouched would be shared
+by chance; there texts meet by keys of least shingle hashes, which depend on the similarity alone and not on where the
+texts differ, 256 shingle bits spare comparisons, and the exact Jaccard similarity of the shingle sets decides.
 
 Defined results: null and empty texts have no words and fingerprint zero; texts of fewer words than a shingle are one
 shingle; rows with equal texts share one fingerprint and are collapsed before any join; a null doc_id takes part and
@@ -28,8 +29,8 @@ from sitelumen.llm.components import connected_components
 SEED = 42
 #: Buckets with more fingerprints are not compared pair by pair.
 BUCKET_PAIRS = 1024
-#: Rows of a bucket in one task before it is dealt out again.
-HOT_BUCKET = 20_000
+#: Texts compared in one task before they are dealt out again.
+HOT_BUCKET = 2000
 #: Rows of hashes handled at once, which bounds memory for very long texts.
 CHUNK = 1 << 17
 
@@ -110,13 +111,20 @@ def components_by_fingerprint(docs: DataFrame, size: int = 3) -> DataFrame:
 
 # --- at a similarity -------------------------------------------------------------------------------------------------
 
-VERIFY_BITS, BLOCKS = 256, 32
+VERIFY_BITS = 256
+#: Keys of a text, and least shingle hashes that make up one: at Jaccard s two texts share a key with 1 - (1 - s^6)^24, 0.999 at 0.8.
+BANDS, ROWS = 24, 6
+#: Deviations of slack of the bits, which only save exact comparisons: 3 in 100,000 pairs at the similarity lie beyond.
+SLACK = 4.0
+_RANDOM = np.random.default_rng(SEED)
+MULTIPLIERS, ADDENDS = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
+MULTIPLIERS |= np.uint64(1)
 
 
 def most_bits_apart(similarity: float, bits: int = VERIFY_BITS) -> int:
-    """Differing bits up to which shingle sets of this Jaccard similarity are accepted (1.5 deviations of slack)."""
+    """Differing bits up to which shingle sets are compared exactly at this Jaccard similarity."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
 def mixed(hashes: np.ndarray, columns: int) -> np.ndarray:
@@ -135,94 +143,123 @@ def wide_majority(hashes: np.ndarray, columns: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def wide_fingerprint(text: bytes, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Digest of the normalised text, its 256 verifying bits (4 words) and 32 block values of 32 bits."""
-    words = text.lower().split()
-    digest = xxhash.xxh3_128_digest(b" ".join(words))
-    if not words:
-        return digest, np.zeros(VERIFY_BITS // 64, np.int64), np.zeros(BLOCKS, np.int64)
-    verify = wide_majority(np.unique(shingle_hashes(text, size)), VERIFY_BITS // 64).view(np.int64)
-    h = xxhash.xxh64_intdigest
-    own = np.array([h(w, SEED) for w in {*words}], np.uint64)
-    own.sort()
-    blocks = wide_majority(own, BLOCKS // 2).view(np.uint32).astype(np.int64)
-    return digest, verify, blocks
-
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a shingle set, each a hash of ROWS minima and the band's number."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(shingles), CHUNK // len(least)):
+        np.minimum(least, (shingles[i : i + CHUNK // len(least), None] * MULTIPLIERS + ADDENDS).min(axis=0), out=least)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
 
-def text_groups(docs: DataFrame, size: int) -> DataFrame:
-    """``(digest, v0..v3, blocks)`` of every row of docs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [wide_fingerprint(x, size) for x in text_bytes(batch.column(0))]
-            verify = np.array([r[1] for r in rows], np.int64).reshape(len(rows), VERIFY_BITS // 64)
-            blocks = np.array([r[2] for r in rows], np.int64).reshape(len(rows), BLOCKS)
-            offsets = pa.array(np.arange(0, len(rows) * BLOCKS + 1, BLOCKS, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array((blocks + (np.arange(BLOCKS, dtype=np.int64) << 32)).ravel()))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), *[pa.array(verify[:, i]) for i in range(4)], lists], ["digest", "v0", "v1", "v2", "v3", "blocks"])
+def text_digest(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
 
-    return docs.select("text").mapInArrow(run, "digest binary, v0 long, v1 long, v2 long, v3 long, blocks array<long>")
 
+def text_keys(docs: DataFrame, size: int) -> DataFrame:
+    """``(digest, keys)`` of every row of docs; a text without words has no keys."""
 
-def bucket_links(rows: DataFrame, apart: int) -> DataFrame:
-    """Stream sorted buckets: every row is verified against the bucket's leaders so far (rows that matched none before).
-
-    Returns ``(a, b)`` links to each leader that matches, and each leader of a salted bucket again with its key, to be
-    compared across salts. Only leaders are held, never a bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, keys = [], []
+            for text in text_bytes(batch.column(0)):
+                shingles = np.unique(shingle_hashes(text, size))
+                digests.append(text_digest(text))
+                keys.append(band_keys(shingles) if len(shingles) else np.empty(0, np.int64))
+            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["digest", "keys"])
+
+    return docs.select("text").mapInArrow(run, "digest binary, keys array<long>")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, without repeats) have this Jaccard similarity or more."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    common = len(a) + len(b) - len(np.union1d(a, b))
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+class Unit:
+    """Texts compared with one another: ``add`` gives a text's links to groups that it joins, by exact Jaccard similarity."""
+
+    def __init__(self, size: int, similarity: float):
+        self.size, self.similarity, self.apart = size, similarity, most_bits_apart(similarity)
+        self.names: list[bytes] = []
+        self.sets: list[np.ndarray] = []
+        self.bits, self.groups = np.empty((64, VERIFY_BITS // 64), np.uint64), np.empty(64, np.int64)
+
+    def add(self, name: bytes, text: bytes) -> list[bytes]:
+        n = len(self.names)
+        own = np.unique(shingle_hashes(text, self.size))
+        if n == len(self.bits):
+            self.bits, self.groups = np.concatenate([self.bits, self.bits]), np.concatenate([self.groups, self.groups])
+        self.bits[n], self.groups[n] = wide_majority(own, VERIFY_BITS // 64), n
+        self.names.append(name)
+        self.sets.append(own)
+        far = np.bitwise_count(self.bits[:n] ^ self.bits[n]).sum(axis=1)
+        near = np.flatnonzero(far <= self.apart)
+        near, found = near[np.argsort(far[near], kind="stable")], []
+        while len(near):
+            at = int(near[0])
+            if alike(self.sets[at], own, self.similarity):
+                found.append(self.names[at])
+                known = self.groups[: n + 1]
+                known[known == known[at]] = n
+                near = near[self.groups[near] != n]  # one link ties the whole group
+            else:
+                near = near[1:]
+        return found
+
+
+def unit_links(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links that tie the near-duplicates of each unit of ``(unit, salt, digest, text)`` together.
+
+    ``(unit, a)`` without b: the first text of each group of a salted unit, to be compared across salts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders, names, again = None, None, [], []
-
+        last, own = None, None
         for batch in batches:
-            keys, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            digests = batch.column(2)
-            verify = np.stack([batch.column(i).to_numpy() for i in range(3, 7)], axis=1).view(np.uint64)
-            n = len(keys)
-            if not n:
-                continue
-            new = np.empty(n, bool)
-            new[0] = True
-            new[1:] = (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], n)
             out: list[tuple] = []
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                at = (keys[s], salts[s])
-                if at != last:
-                    last, leaders, names = at, verify[s : s + 1], [digests[s].as_py()]
-                    if at[1] >= 0:
-                        out.append((int(at[0]), names[0], None, *verify[s].view(np.int64).tolist()))
-                    s += 1
-                for i in range(s, e):
-                    match = np.flatnonzero(np.bitwise_count(leaders ^ verify[i]).sum(axis=1) <= apart)
-                    name = digests[i].as_py()
-                    if len(match):
-                        out += [(None, names[k], name, None, None, None, None) for k in match.tolist() if names[k] != name]
-                    else:
-                        leaders, names = np.concatenate([leaders, verify[i : i + 1]]), [*names, name]
-                        if at[1] >= 0:
-                            out.append((int(at[0]), name, None, *verify[i].view(np.int64).tolist()))
-            if out:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "a", "b", "v0", "v1", "v2", "v3"])
-
-    return rows.select("key", "salt", "digest", "v0", "v1", "v2", "v3").mapInArrow(run, "key long, a binary, b binary, v0 long, v1 long, v2 long, v3 long")
+            for unit, salt, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3)), strict=True):
+                if (unit, salt) != last:
+                    last, own = (unit, salt), Unit(size, similarity)
+                found = own.add(name, text)
+                out += [(None, other, name) for other in found]
+                if salt >= 0 and not found:
+                    out.append((unit, name, None))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["unit", "a", "b"])
+
+    dealt = rows.select("unit", "salt", "digest", "text").repartition("unit", "salt").sortWithinPartitions("unit", "salt", "digest")
+    return dealt.mapInArrow(run, "unit long, a binary, b binary")
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(digest, component)``: for each distinct normalised text with a near-duplicate, the smallest digest of its group."""
-    apart = most_bits_apart(similarity)
-    texts = cut(text_groups(docs, size).dropDuplicates(["digest"]))
-    keyed = texts.select(F.explode("blocks").alias("key"), "digest", "v0", "v1", "v2", "v3")
-    # A key's block number is its upper half, so equal words of different blocks never meet.
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "key")
-    salt = F.when(F.col("n") > HOT_BUCKET, F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / HOT_BUCKET))).otherwise(F.lit(-1))
-    keyed = keyed.withColumn("salt", salt.cast("long"))
-    first = cut(bucket_links(keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "digest"), apart))
-    heads = first.where("b IS NULL").select("key", F.lit(-1).cast("long").alias("salt"), F.col("a").alias("digest"), "v0", "v1", "v2", "v3")
-    second = bucket_links(heads.repartition("key").sortWithinPartitions("key", "digest"), apart)
+    """``(digest, component)``: for each distinct normalised text with a near-duplicate, the smallest digest of its group.
+
+    Texts that share a key, directly or by others, are one unit, in which every pair is compared, so each text is sent
+    once. A unit over HOT_BUCKET is compared key by key instead, and a key over HOT_BUCKET is dealt out by salt, of
+    which only the first text of each group is compared across salts.
+    """
+    keyed = cut(text_keys(docs, size).dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "digest"))
+    heads = keyed.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = cut(keyed.join(heads, "key"))
+    members = connected_components(shared.select(F.col("head").alias("a"), F.col("digest").alias("b"))).withColumnRenamed("node", "digest")
+    members = cut(members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component"))
+    whole = members.where(F.col("size") <= HOT_BUCKET).select("digest", F.xxhash64("component").alias("unit"), F.lit(-1).cast("long").alias("salt"))
+    salt = F.when(F.col("n") > HOT_BUCKET, F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / HOT_BUCKET))).otherwise(F.lit(-1)).cast("long")
+    dealt = shared.join(members.where(F.col("size") > HOT_BUCKET).select("digest"), "digest").select("digest", F.col("key").alias("unit"), salt.alias("salt"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([text_digest(x) for x in text_bytes(batch.column(0))], pa.binary()), batch.column(0)], ["digest", "text"])
+
+    texts = docs.select("text").mapInArrow(digests, "digest binary, text string").join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    texts = cut(texts)
+    first = cut(unit_links(whole.union(dealt).join(texts, "digest"), size, similarity))
+    again = first.where("b IS NULL").select(F.col("a").alias("digest"), "unit", F.lit(-1).cast("long").alias("salt"))
+    second = unit_links(again.join(texts, "digest"), size, similarity)
     links = first.where("b IS NOT NULL").select("a", "b").union(second.where("b IS NOT NULL").select("a", "b"))
     return connected_components(links).select(F.col("node").alias("digest"), "component")
 
@@ -236,7 +273,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in text_bytes(batch.column(1))]
+            made = [text_digest(x) for x in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "row_key", "digest"])
 
     key = F.xxhash64("doc_id", "text")

@@ -273,6 +273,29 @@ def test_near_duplicates_go_and_clean_texts_stay(spark, monkeypatch, hot):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30)) and kept.columns == docs_of(spark, []).columns
 
 
+def shingle_likeness(a: str, b: str, size: int = 5) -> float:
+    x, y = ({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def edited(kind: str, i: int, likeness: float) -> tuple[str, str]:
+    """A text and a copy of it that differs in one part, of this likeness or a little more."""
+    base, other = prose(20_000 + i, 200).split(), prose(40_000 + i, 200).split()
+    made = {"added": lambda k: [*base, *other[:k]], "cut": lambda k: base[: len(base) - k], "replaced": lambda k: [*base[: len(base) - k], *other[:k]]}[kind]
+    k = max(k for k in range(1, 80) if shingle_likeness(" ".join(base), " ".join(made(k))) >= likeness)
+    return " ".join(base), " ".join(made(k))
+
+
+def test_near_duplicates_with_one_part_changed_are_found(spark):
+    rows = []
+    for n, (kind, likeness) in enumerate((k, s) for k in ("added", "cut", "replaced") for s in (0.8, 0.85, 0.9)):
+        for i in range(20):
+            a, b = edited(kind, 100 * n + i, likeness)
+            rows += [(2 * (100 * n + i), a), (2 * (100 * n + i) + 1, b)]
+    kept = {r["doc_id"] for r in H.drop_near_duplicates(docs_of(spark, rows)).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept and sum(i % 2 for i in kept) <= 2  # of 180
+
+
 def test_near_duplicates_edges(edges):
     kept = [r["doc_id"] for r in H.drop_near_duplicates(edges).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 3, 6, 7, 8] and kept.count(None) == 1
