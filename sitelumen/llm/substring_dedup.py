@@ -1,7 +1,9 @@
 """Substring dedup by hashing units of lines.
 
 A unit is a line, cut further after ``.``, ``!`` or ``?`` and before a capitalised word, so that a passage pasted into
-the middle of a line still gives the same units. Units are normalised (A-Z lower-cased, white space collapsed) and
+the middle of a line still gives the same units. Neighbouring units that are too short to be hashed are joined, also over
+line ends, to one that ends where the hash of its last part says so, so that lists, menus and Title Case give the same
+units wherever they stand. Units are normalised (A-Z lower-cased, white space collapsed) and
 hashed to 128 bits. The earliest occurrence stays: the document with the smallest doc_id, and its first place there.
 A later occurrence goes if it stands in an unbroken run of repeated units of ``run_words`` words or more; so whole
 passages go and a stray "All rights reserved." stays. Spans are code-point offsets into the original text.
@@ -26,8 +28,10 @@ from sitelumen.llm.common import table, text_bytes
 
 #: Words of a run of repeated units from which it is removed.
 RUN_WORDS = 20
-#: Shorter units are not hashed by themselves; inside a run they go with it.
+#: Shorter units are not hashed by themselves but joined; what is left of them goes with the run that it stands in.
 UNIT_WORDS = 3
+#: A joined unit ends at one in so many of its parts, and with so many words at the latest.
+JOIN_ENDS, JOIN_WORDS = 4, 16
 LAST = (1 << 63) - 1
 #: A capital in UTF-8 (basic Latin, Latin-1, Greek, Cyrillic) that a lower-case letter follows.
 CAPITAL = rb"(?=[A-Z][a-z\xc3]|\xc3[\x80-\x9e][a-z\xc3]|\xce[\x91-\xa9][\xce\xcf]|\xd0[\x90-\xaf][\xd0\xd1])"
@@ -43,6 +47,31 @@ def units(text: bytes) -> list[tuple[int, int, bytes]]:
         start = cut.end()
     if words := text[start:].lower().split():
         out.append((start, len(text), b" ".join(words)))
+    return joined(out)
+
+
+def joined(found: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """The units with neighbouring ones of fewer than UNIT_WORDS words joined."""
+    out, parts, n = [], [], 0
+
+    def close() -> None:
+        nonlocal n
+        if parts:
+            out.append((parts[0][0], parts[-1][1], b" ".join([x for _, _, x in parts])))
+        parts.clear()
+        n = 0
+
+    for unit in found:
+        words = unit[2].count(b" ") + 1
+        if words >= UNIT_WORDS:
+            close()
+            out.append(unit)
+            continue
+        parts.append(unit)
+        n += words
+        if n >= JOIN_WORDS or (n >= UNIT_WORDS and xxhash.xxh3_64_intdigest(unit[2]) % JOIN_ENDS == 0):
+            close()
+    close()
     return out
 
 

@@ -89,6 +89,18 @@ def test_substring_dedup_against_brute_force(spark):
         assert got[i] == [(len(text.encode()[:s].decode()), len(text.encode()[:e].decode())) for s, e in B.removed_spans(text.encode(), places)[0]]
 
 
+def test_substring_dedup_finds_passages_of_short_units(spark):
+    rng = random.Random(8)
+    words = [rng.choice(WORDS) + rng.choice(("", "n", "st")) for _ in range(80)]
+    shapes = ["\n".join(words), " ".join(w.capitalize() for w in words), " ".join(w + "!!" for w in words), "\n".join(f"{a} {b}" for a, b in zip(words[::2], words[1::2], strict=True))]
+    for passage in shapes:
+        after = "Xy Ab Cd " + passage + "\n" + prose(71, 40)
+        rows = [(1, passage), (2, passage), (3, after), (4, prose(72, 40) + "\n" + passage)]
+        got = {r["doc_id"]: r["text"] for r in B.dedup(docs_of(spark, rows)).collect()}
+        assert got[1] == passage and got[2] == ""
+        assert all(len(set(re.findall(r"\w+", got[i].lower())) & set(words) - set(re.findall(r"\w+", prose(70 + n, 40).lower()))) < 24 for i, n in ((3, 1), (4, 2)))
+
+
 def test_substring_dedup_edges(edges, nothing):
     rows = B.dedup_documents(edges).collect()
     assert len(rows) == len(EDGES) and {r["text"] for r in rows if r["doc_id"] == 3} == {None}
