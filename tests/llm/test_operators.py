@@ -308,6 +308,27 @@ def test_near_duplicates_with_one_part_changed_are_found(spark):
     assert {i for i, _ in rows if i % 2 == 0} <= kept and sum(i % 2 for i in kept) <= 2  # of 180
 
 
+@pytest.mark.parametrize("hot", [2000, 15])
+def test_near_duplicates_are_those_of_exact_jaccard(spark, monkeypatch, hot):
+    monkeypatch.setattr(H, "HOT_BUCKET", hot)
+    rng, rows = random.Random(9), []
+    for i in range(12):  # copies with one to nine words changed: similarities of about 0.6 to 1
+        base = prose(80_000 + i, 150).split()
+        for k in range(9):
+            words = list(base)
+            for at in rng.sample(range(150), k % 9):
+                words[at] = f"other{rng.random()}"
+            rows.append((100 * i + k, " ".join(words)))
+    group = {i: i for i, _ in rows}
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and a // 100 == b // 100 and shingle_likeness(x, y) >= 0.8 and group[a] != group[b]:
+                one, two = sorted((group[a], group[b]))
+                group = {i: one if g == two else g for i, g in group.items()}
+    kept = sorted(r["doc_id"] for r in H.drop_near_duplicates(docs_of(spark, rows)).collect())
+    assert kept == sorted(set(group.values())) and len(kept) > 15
+
+
 def test_near_duplicates_edges(edges):
     kept = [r["doc_id"] for r in H.drop_near_duplicates(edges).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 3, 6, 7, 8] and kept.count(None) == 1
