@@ -226,36 +226,45 @@ def remove_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs without the hit spans; a row of which more than max_coverage is hit goes as a whole.
 
-    Texts without a hit come back unchanged, and so do null texts. ``n_chars`` is renewed if there is one. Blocks of
-    the benchmark are applied one after the other.
+    Texts without a hit come back unchanged, and so do null texts. ``n_chars`` is renewed if there is one. Each block of
+    the benchmark adds its spans of the original text; the last one's pass judges and removes them all.
     """
     names, at = docs.columns, docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs
-    for automaton in blocks_of(benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    out, blocks = docs, blocks_of(benchmark, window, block_words)
+    automaton, first = next(blocks), True
+    while automaton is not None:
+        shared, automaton = docs.sparkSession.sparkContext.broadcast(automaton), next(blocks, None)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=automaton is None) -> Iterator[pa.RecordBatch]:
             own: Automaton = shared.value
             for batch in batches:
-                texts, keep = batch.column(at).to_pylist(), []
-                for i, raw in enumerate(texts):
+                texts, keep, found = batch.column(at).to_pylist(), [], []
+                known = [()] * len(texts) if first else batch.column(len(names)).to_pylist()
+                for i, (raw, before) in enumerate(zip(texts, known, strict=True)):
                     if raw is None:
                         keep.append(i)
+                        found.append([])
                         continue
                     text = raw.encode()
                     words = words_of(text)
-                    spans, _ = own.scan(words)
-                    if spans and sum(e - s for s, e in spans) > max_coverage * len(words):
+                    spans = merged_spans([*[(h["start"], h["end"]) for h in before], *own.scan(words)[0]])
+                    found.append([{"start": s, "end": e} for s, e in spans])
+                    if last and spans and sum(e - s for s, e in spans) > max_coverage * len(words):
                         continue
                     keep.append(i)
-                    if spans:
+                    if last and spans:
                         texts[i] = remove_words(text, spans).decode()
                 columns = [batch.column(i) for i in range(len(names))]
-                columns[at] = pa.array(texts, batch.column(at).type)
-                yield pa.record_batch(columns, names).take(pa.array(keep, pa.int64()))
-
-        out = out.mapInArrow(run, schema)
+                if last:
+                    columns[at] = pa.array(texts, batch.column(at).type)
+                    yield pa.record_batch(columns, names).take(pa.array(keep, pa.int64()))
+                else:
+                    yield pa.record_batch([*columns, pa.array(found, span)], [*names, "__hits"])
+
+        out = out.mapInArrow(run, schema if automaton is None else f"{schema}, __hits array<struct<start:int,end:int>>")
+        first = False
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -459,6 +459,16 @@ def test_decontamination_removes_spans(spark, edges, nothing):
     assert D.decontaminate(nothing, bench).count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    one, two = prose(810, 41), prose(811, 41)
+    across = one.split()[20:] + two.split()[:20]  # overlaps both items where they stand side by side
+    bench = spark.createDataFrame([(1, one), (2, two), (3, " ".join(across))], "item_id bigint, text string")
+    rows = [(1, f"{one} {prose(812, 18)} {two}"), (2, f"{prose(813, 90)} {one} {two} {prose(814, 90)}"), (3, prose(815, 50)), (4, None)]
+    for block in (200_000, 45, 15):
+        got = {r["doc_id"]: r["text"] for r in D.decontaminate(docs_of(spark, rows), bench, block_words=block).collect()}
+        assert got == {2: f"{prose(813, 90)} {prose(814, 90)}", 3: rows[2][1], 4: None}
+
+
 # --- 10 ---
 
 
