@@ -6,7 +6,8 @@ line ends, to one that ends where the hash of its last part says so, so that lis
 units wherever they stand. Units are normalised (A-Z lower-cased, white space collapsed) and
 hashed to 128 bits. The earliest occurrence stays: the document with the smallest doc_id, and its first place there.
 A later occurrence goes if it stands in an unbroken run of repeated units of ``run_words`` words or more; so whole
-passages go and a stray "All rights reserved." stays. Spans are code-point offsets into the original text.
+passages go and a stray "All rights reserved." stays. With ``lines`` (the
+registered query) every later occurrence of a whole line, and so of a paragraph, goes too. Spans are code-point offsets into the original text.
 
 Defined results: null and empty texts have no units and come back as they were; a null doc_id ranks after all others;
 rows of one doc_id rank alike, so none of them is removed in favour of another; repeated units inside a text go as any
@@ -16,6 +17,7 @@ other; extra columns are kept by ``dedup_documents``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelumen.llm.common import table, text_bytes
+from sitelumen.llm.decontaminate import merged_spans
 
 #: Words of a run of repeated units from which it is removed.
 RUN_WORDS = 20
@@ -75,8 +78,18 @@ def joined(found: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def hashed_units(docs: DataFrame) -> DataFrame:
-    """``(d1, d2, doc, row_key, pos, again)``: units of UNIT_WORDS words or more, once per text; ``again`` has later places."""
+def lines_of(text: bytes) -> list[tuple[int, int, bytes]]:
+    """``(start, end, normalised)`` of each line with a word in it, as byte offsets."""
+    out, start = [], 0
+    for line in text.split(b"\n"):
+        if words := line.lower().split():
+            out.append((start, start + len(line), b" ".join(words)))
+        start += len(line) + 1
+    return out
+
+
+def hashed_units(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """``(d1, d2, doc, row_key, pos)``: units of UNIT_WORDS words or more, once per text, and whole lines at -1, -2, ... if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -88,6 +101,8 @@ def hashed_units(docs: DataFrame) -> DataFrame:
                 for pos, (_, _, unit) in enumerate(units(text)):
                     if unit.count(b" ") + 1 >= UNIT_WORDS:
                         seen.setdefault(unit, pos)
+                for pos, (_, _, line) in enumerate(lines_of(text) if lines else ()):
+                    seen.setdefault(b"\n" + line, -1 - pos)
                 made += map(digest, seen)
                 places += seen.values()
                 counts.append(len(seen))
@@ -98,21 +113,21 @@ def hashed_units(docs: DataFrame) -> DataFrame:
     return docs.select(doc, F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(run, "d1 long, d2 long, doc long, row_key long, pos int")
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
+def repeated_units(docs: DataFrame, lines: bool = False) -> DataFrame:
     """``(row_key, places)``: the units of a text that an earlier document has too.
 
     The first document of each digest comes from a partially aggregated group-by; units are then joined to the digests
     of two documents or more. A line in a third of all documents is one aggregated row, and on the side of the units a
     skewed join that Spark splits.
     """
-    made = hashed_units(docs)
+    made = hashed_units(docs, lines)
     first = made.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     later = made.join(first, ["d1", "d2"]).where("doc > first")
     return later.groupBy("row_key").agg(F.collect_set("pos").alias("places"))
 
 
-def removed_spans(text: bytes, places: set[int], run_words: int = RUN_WORDS) -> tuple[list[tuple[int, int]], int]:
-    """Byte spans of the runs to remove, and the number of units in them."""
+def removed_spans(text: bytes, places: set[int], run_words: int = RUN_WORDS, lines: bool = False) -> tuple[list[tuple[int, int]], int]:
+    """Byte spans of the runs (and repeated whole lines if asked) to remove, and the number of units in them."""
     found, spans, count = units(text), [], 0
     seen: set[bytes] = set()
     run: list[tuple[int, int]] = []  # of (unit, words)
@@ -126,7 +141,7 @@ def removed_spans(text: bytes, places: set[int], run_words: int = RUN_WORDS) ->
         run.clear()
         pending.clear()
 
-    repeated_text = {found[p][2] for p in places if p < len(found)}
+    repeated_text = {found[p][2] for p in places if 0 <= p < len(found)}
     for pos, (_, _, unit) in enumerate(found):
         words = unit.count(b" ") + 1
         if words < UNIT_WORDS:
@@ -140,6 +155,16 @@ def removed_spans(text: bytes, places: set[int], run_words: int = RUN_WORDS) ->
             close()
         seen.add(unit)
     close()
+    if lines:
+        own, met = lines_of(text), set()
+        repeated = {own[-1 - p][2] for p in places if -len(own) <= p < 0}
+        for s, e, line in own:
+            if line in repeated or line in met:
+                spans.append((s, e))
+            met.add(line)
+        spans = merged_spans(spans)
+        starts, ends = [s for s, _, _ in found], [e for _, e, _ in found]
+        count = sum(bisect_left(starts, e) - bisect_right(ends, s) for s, e in spans)
     return spans, count
 
 
@@ -156,10 +181,10 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, run_words: int = RUN_WORDS, lines: bool = False) -> DataFrame:
     """All columns of docs (``text`` without repeated passages, ``n_chars`` renewed if there is one) and ``__spans``, ``__units``."""
     names, at = docs.columns, docs.columns.index("text")
-    places = repeated_units(docs).withColumnRenamed("row_key", "__row_key").withColumnRenamed("places", "__places")
+    places = repeated_units(docs, lines).withColumnRenamed("row_key", "__row_key").withColumnRenamed("places", "__places")
     whole = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id", "text").alias("__row_key")).join(places, "__row_key", "left")
     whole = whole.select(*[F.col(f"`{c}`") for c in names], "__places")
 
@@ -168,7 +193,7 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
             texts, known = batch.column(at), batch.column(len(names)).to_pylist()
             out, all_spans, counts = [], [], []
             for raw, text, places in zip(texts, text_bytes(texts), known, strict=True):
-                spans, n = removed_spans(text, set(places or ()), run_words)
+                spans, n = removed_spans(text, set(places or ()), run_words, lines)
                 out.append((None if not raw.is_valid else without(text, spans).decode() if spans else raw.as_py()))
                 points = lambda b: len(text[:b].decode())  # noqa: E731, B023
                 all_spans.append([{"start": points(s), "end": points(e)} for s, e in spans])
@@ -189,7 +214,7 @@ def dedup_documents(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document's text after dedup, with the removed spans as ``start-end`` in the original text."""
-    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's text after dedup of whole lines and of runs of units, with the removed spans as ``start-end`` in the original text."""
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), lines=True)
     spans = F.array_join(F.transform("__spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return found.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.col("__units").alias("removed_units"), spans.alias("removed_spans"))

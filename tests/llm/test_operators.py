@@ -101,6 +101,17 @@ def test_substring_dedup_finds_passages_of_short_units(spark):
         assert all(len(set(re.findall(r"\w+", got[i].lower())) & set(words) - set(re.findall(r"\w+", prose(70 + n, 40).lower()))) < 24 for i, n in ((3, 1), (4, 2)))
 
 
+def test_substring_dedup_query_removes_every_repeated_line(spark, tmp_path):
+    line, licence = "All rights reserved here.", "See LICENSE"
+    rows = [(1, f"{prose(61, 30)}\n{line}\n{licence}"), (2, f"{line}\n{prose(62, 30)}\n{licence}\n{prose(63, 30)}"), (3, f"{prose(64, 30)} {line}\nx\n{prose(65, 30)}\nx"), (4, None)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in B.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[4]["text"] is None
+    assert got[2]["text"] == f"{prose(62, 30)}\n{prose(63, 30)}"
+    assert got[3]["text"].rstrip("\n") == rows[2][1][:-2]  # a repeat inside a line is no whole line
+    assert got[2]["removed_spans"].startswith(f"0-{len(line)},") and got[1]["removed_units"] == 0
+
+
 def test_substring_dedup_edges(edges, nothing):
     rows = B.dedup_documents(edges).collect()
     assert len(rows) == len(EDGES) and {r["text"] for r in rows if r["doc_id"] == 3} == {None}
