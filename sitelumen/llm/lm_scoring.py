@@ -1,9 +1,9 @@
 """Document scoring by cross-entropy difference of two n-gram models.
 
 Target and background are interpolated bigram models over one vocabulary (the ids of a public tokenizer), with the same
-order, smoothing and table size. Counts cover every document: each partition counts its tokens and bigrams into
-numbered cells and emits those that it has seen, and the cells are summed by a group-by, so what is gathered grows with
-the corpus while a model stays the size of its tables: bigrams are hashed to CELLS cells, which bounds the broadcast.
+order and smoothing. Counts cover every document: each partition counts its tokens and bigrams exactly and emits those
+that it has seen, and a group-by sums them. The table of counts is sorted by bigram and grows with the distinct bigrams of
+the corpus (16 bytes each in the broadcast); no two bigrams share a count.
 A document's score is its loss a token under the target model minus that under the background model, so lower means
 closer to the target. The target here is the documents labelled of good quality; all documents are the background.
 
@@ -23,18 +23,22 @@ from pyspark.sql import functions as F
 from sitelumen.llm.common import table, text_bytes
 from sitelumen.llm.packing import cache_of, default_tokenizer
 
-VOCABULARY, CELLS = 49_408, 1 << 22
+VOCABULARY = 49_408
 #: Id that opens and closes a document.
 EDGE = VOCABULARY
 #: Weight of the bigram estimate, and what is added to each unigram count.
 BIGRAM, ADDED = 0.7, 0.5
 #: Tokens handled at once.
 CHUNK = 1 << 20
+#: Codes from here on are single tokens.
+TOKENS = (VOCABULARY + 1) ** 2
+#: Distinct codes that a partition holds before it emits them.
+HELD = 1 << 22
 
 
-def cells_of(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    code = before.astype(np.uint64) * np.uint64(VOCABULARY + 1) + after.astype(np.uint64)
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+def codes_of(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A number of each bigram, and of no other."""
+    return before * (VOCABULARY + 1) + after
 
 
 def token_pairs(texts: list[bytes], tokenizer: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -62,48 +66,75 @@ def token_pairs(texts: list[bytes], tokenizer: str) -> Iterator[tuple[np.ndarray
 
 
 def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``(cell, background, target)`` of docs with ``text`` and ``is_target``; cells below CELLS are bigrams, then tokens."""
+    """``(code, background, target)`` of docs with ``text`` and ``is_target``; codes below TOKENS are bigrams, then tokens."""
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return codes, *(np.bincount(at, np.concatenate([x[k] for x in held]), len(codes)).astype(np.int64) for k in (1, 2))
+
+    def rows(held: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(held[0]), 100_000):
+            yield pa.record_batch([pa.array(x[i : i + 100_000]) for x in held], ["code", "background", "target"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, CELLS + VOCABULARY + 1), np.int32)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting = 0
         for batch in batches:
             texts, own = text_bytes(batch.column(0)), batch.column(1).to_pylist()
-            for k, part in enumerate(([x for x, t in zip(texts, own, strict=True) if not t], [x for x, t in zip(texts, own, strict=True) if t])):
-                for before, after, _ in token_pairs(part, tokenizer):
-                    cells, n = np.unique(cells_of(before, after), return_counts=True)
-                    totals[k, cells] += n.astype(np.int32)
-                    totals[k, CELLS:] += np.bincount(after, minlength=VOCABULARY + 1).astype(np.int32)
-        seen = np.flatnonzero(totals.any(axis=0))
-        for at in range(0, len(seen), 100_000):
-            cells = seen[at : at + 100_000]
-            yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(totals[:, cells].sum(axis=0, dtype=np.int64)), pa.array(totals[1, cells].astype(np.int64))], ["cell", "background", "target"])
-
-    parts = docs.select("text", "is_target").mapInArrow(run, "cell int, background long, target long")
-    return parts.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+            for k in (False, True):
+                for before, after, _ in token_pairs([x for x, t in zip(texts, own, strict=True) if t == k], tokenizer):
+                    for codes in (codes_of(before, after), after + TOKENS):
+                        codes, n = np.unique(codes, return_counts=True)
+                        held.append((codes, n, n * k))
+                        waiting += len(codes)
+            if waiting > HELD:
+                held = [summed(held)]
+                waiting = len(held[0][0])
+                if waiting > HELD // 2:
+                    yield from rows(held[0])
+                    held, waiting = [], 0
+        if held:
+            yield from rows(summed(held))
+
+    parts = docs.select("text", "is_target").mapInArrow(run, "code long, background long, target long")
+    return parts.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 class Model:
-    """Bigram model over hashed cells: CELLS + VOCABULARY numbers, whatever the corpus."""
+    """Bigram model over the counts of sorted codes."""
 
-    def __init__(self, counts: np.ndarray):
-        self.pairs = counts[:CELLS].astype(np.float32)
-        tokens = counts[CELLS:].astype(np.float64)
+    def __init__(self, codes: np.ndarray, pairs: np.ndarray, tokens: np.ndarray):
+        self.codes, self.pairs = codes, np.append(pairs, 0).astype(np.float32)  # the last is that of unseen bigrams
+        tokens = tokens.astype(np.float64)
         self.context = np.maximum(tokens, 1).astype(np.float32)  # each token is followed by one; EDGE opens as it closes
         self.single = ((tokens + ADDED) / (tokens.sum() + ADDED * len(tokens))).astype(np.float32)
 
-    def losses(self, before: np.ndarray, after: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        seen = np.minimum(self.pairs[cells] / self.context[before], 1)
+    def places(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Where each bigram's count stands in ``pairs``."""
+        own = codes_of(before, after)
+        if not len(self.codes):
+            return np.zeros(len(own), np.int64)
+        at = np.searchsorted(self.codes, own)
+        return np.where(self.codes[np.minimum(at, len(self.codes) - 1)] == own, at, len(self.codes))
+
+    def losses(self, before: np.ndarray, after: np.ndarray, places: np.ndarray) -> np.ndarray:
+        seen = np.minimum(self.pairs[places] / self.context[before], 1)
         return -np.log(BIGRAM * seen + (1 - BIGRAM) * self.single[after])
 
 
 def fit(docs: DataFrame, tokenizer: str) -> tuple[Model, Model]:
-    """Target and background models of docs with ``text`` and ``is_target``."""
-    totals = np.zeros((2, CELLS + VOCABULARY + 1), np.int64)
+    """Target and background models, over the same codes, of docs with ``text`` and ``is_target``."""
     found = counted(docs, tokenizer).toArrow()
-    cells = found.column("cell").to_numpy()
-    totals[0, cells], totals[1, cells] = found.column("background").to_numpy(), found.column("target").to_numpy()
-    background = Model(totals[0])
-    return (Model(totals[1]) if totals[1].any() else background), background
+    codes = found.column("code").to_numpy()
+    order = np.argsort(codes)
+    codes = codes[order]
+    bigrams = np.searchsorted(codes, TOKENS)
+    made = []
+    for name in ("target", "background"):
+        counts, tokens = found.column(name).to_numpy()[order], np.zeros(VOCABULARY + 1, np.int64)
+        tokens[codes[bigrams:] - TOKENS] = counts[bigrams:]
+        made.append(Model(codes[:bigrams], counts[:bigrams], tokens) if counts.any() or name == "background" else None)
+    return made[0] or made[1], made[1]
 
 
 def score(docs: DataFrame, target: Model, background: Model, tokenizer: str) -> DataFrame:
@@ -115,10 +146,10 @@ def score(docs: DataFrame, target: Model, background: Model, tokenizer: str) ->
         for batch in batches:
             counts, sums = [np.empty(0, np.int64)], [[np.empty(0)], [np.empty(0)]]
             for before, after, starts in token_pairs(text_bytes(batch.column(1)), tokenizer):
-                cells = cells_of(before, after)
+                places = models[1].places(before, after)
                 counts.append(np.diff(np.append(starts, len(after))))
                 for own, model in zip(sums, models, strict=True):
-                    own.append(np.add.reduceat(model.losses(before, after, cells).astype(np.float64), starts))
+                    own.append(np.add.reduceat(model.losses(before, after, places).astype(np.float64), starts))
             n = np.concatenate(counts)
             t, b = (np.concatenate(x) / np.maximum(n, 1) for x in sums)
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(t), pa.array(b), pa.array(t - b)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])

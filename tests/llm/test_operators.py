@@ -391,6 +391,17 @@ def test_lm_scores_prefer_the_target(spark, edges, nothing):
     assert L.score(nothing, *L.fit(nothing.select("text", F.lit(False).alias("is_target")), tokenizer), tokenizer).count() == 0
 
 
+def test_lm_counts_are_those_of_each_bigram():
+    rng = np.random.default_rng(0)
+    before, after = rng.integers(0, L.VOCABULARY + 1, (2, 3_000_000))
+    pairs = np.unique(np.stack([before, after]), axis=1)
+    codes = np.unique(L.codes_of(*pairs))
+    assert len(codes) == pairs.shape[1] and codes[-1] < L.TOKENS  # no two share a count
+    model = L.Model(codes[::2], np.ones(len(codes[::2])), np.ones(L.VOCABULARY + 1))
+    known = model.pairs[model.places(codes // (L.VOCABULARY + 1), codes % (L.VOCABULARY + 1))]
+    assert (known[::2] == 1).all() and (known[1::2] == 0).all()
+
+
 def test_lm_losses_by_hand(spark):
     tokenizer = K.default_tokenizer()
     texts = ["a b a", "a b"]
