@@ -205,6 +205,12 @@ def inlinks(spark, d):
     return S.inlinks(_site(spark, d)).where(~F.contains("target", F.lit("%"))).select("site_id", "target", "inlinks")
 
 
+@query()
+def inlinks_all(spark, d):
+    """Inlinks of every target; ``inlinks`` has those whose URLs need no escaping, as its SQL cannot escape."""
+    return S.inlinks(_site(spark, d)).select("site_id", "target", "inlinks")
+
+
 @query(
     f"""WITH {BASE}, l AS (SELECT x.site_id, {_TARGET} unnest(hrefs) AS target FROM x)
     SELECT site_id, nurl AS normalized_url FROM x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.site_id = x.site_id AND l.target = x.nurl) AND depth > 0"""

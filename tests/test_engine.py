@@ -60,6 +60,25 @@ def test_url_parts(spark):
     assert tuple(row) == ("b.co.uk", 2, True, True, "https://www.a.b.co.uk/x%C4%B1/y?q")
 
 
+def test_inlinks_of_all_targets_equal_brute_force(spark, tmp_path):
+    from sitelumen import queries
+
+    hrefs = ["/a", "/şehir", "/bir yol", "/%c4%b1", "/ü?q=ş", "https://other.test/x"]
+    pages = [(i, f"https://www.ornek.test/p{i}", "<html><body>" + "".join(f'<a href="{h}">x</a>' for h in hrefs[: i + 1]) + "</body></html>") for i in range(6)]
+    sample = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    fields = {f.name: f.dataType.simpleString() for f in sample.schema.fields}
+    made = spark.createDataFrame(pages, "page_id long, url string, html string")
+    made.select(*[(F.col(n) if n in made.columns else F.lit(None)).cast(t).alias(n) for n, t in fields.items()]).write.parquet(f"{tmp_path}/pages.parquet")
+    want: dict[str, int] = {}
+    for i, url, _ in pages:
+        for h in hrefs[: i + 1]:
+            target = U.normalize(h, url)
+            if U.same_site(target, url):
+                want[target] = want.get(target, 0) + 1
+    got = {r["target"]: r["inlinks"] for r in queries.QUERIES["inlinks_all"](spark, str(tmp_path)).collect()}
+    assert got == want and sum("%" in t for t in got) == 4
+
+
 def test_tree():
     text = lambda h: tree(h).text().strip()
     assert text("<title>a</title><p>b<p>c</div>d") == "abcd" and text("<script>x</div></script>") == "x</div>" and text("a&amp;b &lt;") == "a&b <"
