@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -32,12 +34,21 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(target))
 
 
-def cut(df):
-    """The rows of df in the shared checkpoint folder; one of our own only where none is named, on one machine."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Take the folder from ``spark.checkpoint.dir``; one of our own, removed at the end, only where none is named, on one machine."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitelumen-checkpoint-"))
+        named = tempfile.mkdtemp(prefix="sitelumen-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared checkpoint folder; survives the loss of executors."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
