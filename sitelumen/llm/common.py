@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelumen.session import cut, ensure_checkpoint_dir
+
+__all__ = ["cut", "ensure_checkpoint_dir", "fresh", "hex64", "shuffle_partitions", "table", "text_bytes"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder from ``spark.checkpoint.dir``; a folder of our own only where it is unset on one machine."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitelumen-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,11 +5,14 @@ Two users of one idea. ``components_by_fingerprint`` links 64-bit fingerprints t
 fingerprints of one bucket are compared. ``near_duplicate_groups`` works at a similarity (0.8 of five-word shingles
 unless told otherwise), where some forty of 256 bits may differ and blocks short enough to stay untouched would be shared
 by chance; there texts meet by keys of least shingle hashes, which depend on the similarity alone and not on where the
-texts differ, 256 shingle bits spare comparisons, and the exact Jaccard similarity of the shingle sets decides.
+texts differ, 256 shingle bits spare comparisons, and the exact Jaccard similarity of the shingle sets decides. A key
+that too many texts share for one task is compared in three steps that together leave no pair of different groups out
+(see ``near_duplicate_groups``).
 
 Defined results: null and empty texts have no words and fingerprint zero; texts of fewer words than a shingle are one
 shingle; rows with equal texts share one fingerprint and are collapsed before any join; a null doc_id takes part and
-ranks last; extra columns are ignored by the fingerprint functions and kept by ``drop_near_duplicates``.
+ranks last; extra columns, whatever their names, are ignored by the fingerprint functions and kept by
+``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, hex64, table, text_bytes
+from sitelumen.llm.common import cut, fresh, hex64, table, text_bytes
 from sitelumen.llm.components import connected_components
 
 SEED = 42
 #: Buckets with more fingerprints are not compared pair by pair.
 BUCKET_PAIRS = 1024
-#: Texts compared in one task before they are dealt out again.
-HOT_BUCKET = 2000
+#: Weight of the texts compared in one task before they are dealt out again: one a text, and one for each so many shingles.
+HOT_BUCKET, WEIGHT_SHINGLES = 2000, 8192
 #: Rows of hashes handled at once, which bounds memory for very long texts.
 CHUNK = 1 << 17
 
@@ -156,19 +159,22 @@ def text_digest(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
 
 
-def text_keys(docs: DataFrame, size: int) -> DataFrame:
-    """``(digest, keys)`` of every row of docs; a text without words has no keys."""
+def signed_texts(docs: DataFrame, size: int) -> DataFrame:
+    """``(digest, weight, bits, keys)`` of every row of docs; a text without words has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, weights, bits, keys = [], [], [], []
             for text in text_bytes(batch.column(0)):
                 shingles = np.unique(shingle_hashes(text, size))
                 digests.append(text_digest(text))
+                weights.append(1 + len(shingles) // WEIGHT_SHINGLES)
+                bits.append(wide_majority(shingles, VERIFY_BITS // 64).tobytes())
                 keys.append(band_keys(shingles) if len(shingles) else np.empty(0, np.int64))
-            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["digest", "keys"])
+            columns = [pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["digest", "weight", "bits", "keys"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, keys array<long>")
+    return docs.select("text").mapInArrow(run, "digest binary, weight long, bits binary, keys array<long>")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -235,33 +241,110 @@ def unit_links(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "unit long, a binary, b binary")
 
 
+def stray_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: a stray and a member of another component whose bits may be near, of ``(key, block, salt, stray, digest, bits, component)``.
+
+    The strays of a (key, block, salt) come first and are held; members stream past them. Of the members of one
+    component all are given, as any of them may hold the link.
+    """
+    apart = most_bits_apart(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, bits, components = None, [], np.empty((0, VERIFY_BITS // 64), np.uint64), np.empty(0, object)
+        held: list[tuple[bytes, bytes, bytes]] = []
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for key, block, salt, member, name, own, component in zip(*columns, strict=True):
+                if (key, block, salt) != last:
+                    last, held, names = (key, block, salt), [], []
+                if not member:
+                    held.append((name, own, component))
+                    continue
+                if not held:
+                    continue
+                if not names:
+                    names = [x[0] for x in held]
+                    bits = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(len(held), -1)
+                    components = np.array([x[2] for x in held], object)
+                far = np.bitwise_count(bits ^ np.frombuffer(own, np.uint64)).sum(axis=1)
+                out += [(names[i], name) for i in np.flatnonzero(far <= apart) if components[i] != component]
+            pairs = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.record_batch([pa.array(pairs[0], pa.binary()), pa.array(pairs[1], pa.binary())], ["a", "b"])
+
+    dealt = rows.repartition("key", "block", "salt").sortWithinPartitions("key", "block", "salt", "member", "digest")
+    return dealt.select("key", "block", "salt", "member", "digest", "bits", "component").mapInArrow(run, "a binary, b binary")
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts have this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True)
+            keep = [alike(np.unique(shingle_hashes(x, size)), np.unique(shingle_hashes(y, size)), similarity) for x, y in both]
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (texts.select(F.col("digest").alias(n), F.col("text").alias(f"{n}_text")) for n in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(digest, component)``: for each distinct normalised text with a near-duplicate, the smallest digest of its group.
 
     Texts that share a key, directly or by others, are one unit, in which every pair is compared, so each text is sent
-    once. A unit over HOT_BUCKET is compared key by key instead, and a key over HOT_BUCKET is dealt out by salt, of
-    which only the first text of each group is compared across salts.
+    once. A unit heavier than HOT_BUCKET is compared key by key instead. A key heavier than that is dealt out by salt:
+    first every pair of a salt is compared, then the first texts of the salts' groups, and then the strays, the texts
+    outside the key's largest component, are compared in blocks with all texts of the key in other components. So a
+    large group of near copies is settled in the first two steps, and no link between two components is left out.
     """
-    keyed = cut(text_keys(docs, size).dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "digest"))
-    heads = keyed.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1")
+    texts = docs.select("text")
+    signed = cut(signed_texts(texts, size).dropDuplicates(["digest"]))
+    keyed = signed.select(F.explode("keys").alias("key"), "digest", "weight")
+    heads = keyed.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n"), F.sum("weight").alias("key_weight")).where("n > 1").drop("n")
     shared = cut(keyed.join(heads, "key"))
     members = connected_components(shared.select(F.col("head").alias("a"), F.col("digest").alias("b"))).withColumnRenamed("node", "digest")
-    members = cut(members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component"))
-    whole = members.where(F.col("size") <= HOT_BUCKET).select("digest", F.xxhash64("component").alias("unit"), F.lit(-1).cast("long").alias("salt"))
-    salt = F.when(F.col("n") > HOT_BUCKET, F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / HOT_BUCKET))).otherwise(F.lit(-1)).cast("long")
-    dealt = shared.join(members.where(F.col("size") > HOT_BUCKET).select("digest"), "digest").select("digest", F.col("key").alias("unit"), salt.alias("salt"))
+    members = members.join(signed.select("digest", "weight"), "digest")
+    members = cut(members.join(members.groupBy("component").agg(F.sum("weight").alias("unit_weight")), "component"))
+    whole = members.where(F.col("unit_weight") <= HOT_BUCKET).select("digest", F.xxhash64("component").alias("unit"), F.lit(-1).cast("long").alias("salt"))
+    salts = F.ceil(F.col("key_weight") / HOT_BUCKET)
+    salt = F.when(F.col("key_weight") > HOT_BUCKET, F.pmod(F.xxhash64("digest"), salts)).otherwise(F.lit(-1)).cast("long")
+    dealt = shared.join(members.where(F.col("unit_weight") > HOT_BUCKET).select("digest"), "digest").select("digest", F.col("key").alias("unit"), salt.alias("salt"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([pa.array([text_digest(x) for x in text_bytes(batch.column(0))], pa.binary()), batch.column(0)], ["digest", "text"])
 
-    texts = docs.select("text").mapInArrow(digests, "digest binary, text string").join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    texts = texts.mapInArrow(digests, "digest binary, text string").join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     texts = cut(texts)
     first = cut(unit_links(whole.union(dealt).join(texts, "digest"), size, similarity))
     again = first.where("b IS NULL").select(F.col("a").alias("digest"), "unit", F.lit(-1).cast("long").alias("salt"))
     second = unit_links(again.join(texts, "digest"), size, similarity)
     links = first.where("b IS NOT NULL").select("a", "b").union(second.where("b IS NOT NULL").select("a", "b"))
-    return connected_components(links).select(F.col("node").alias("digest"), "component")
+    groups = cut(connected_components(links).select(F.col("node").alias("digest"), "component"))
+    hot = shared.where(F.col("key_weight") > HOT_BUCKET).select("key", "digest", salts.alias("salts"))
+    if hot.isEmpty():
+        return groups
+    hot = cut(hot.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    parts = hot.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
+    blocks = F.ceil((F.col("n") - F.col("most.n")) / HOT_BUCKET)
+    open_keys = cut(largest.select("key", F.col("most.component").alias("settled"), blocks.alias("blocks")))
+    if open_keys.isEmpty():
+        return groups
+    left = cut(hot.join(open_keys, "key").join(signed.select("digest", "bits"), "digest"))
+    strays = left.where("component <> settled").withColumns({"block": F.pmod(F.xxhash64("digest"), F.col("blocks")), "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)), "member": F.lit(False)})
+    passing = left.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "salt": F.pmod(F.xxhash64("digest"), F.col("salts")), "member": F.lit(True)})
+    columns = ["key", "block", "salt", "member", "digest", "bits", "component"]
+    pairs = stray_pairs(strays.select(columns).union(passing.select(columns)), similarity)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    late = cut(exact_links(pairs, texts, size, similarity))
+    # What the late links tie are whole components, so only their names have to meet.
+    of = groups.select(F.col("digest").alias("a"), F.col("component").alias("c"))
+    ties = late.join(of, "a", "left").select("b", F.coalesce("c", "a").alias("u")).join(of.select(F.col("a").alias("b"), F.col("c").alias("d")), "b", "left").select("u", F.coalesce("d", "b").alias("v"))
+    tied = connected_components(ties, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    alone = ties.select(F.explode(F.array("u", "v")).alias("digest")).distinct().join(groups, "digest", "left_anti").withColumn("component", F.col("digest"))
+    return groups.union(alone).join(tied, "component", "left").select("digest", F.coalesce("root", "component").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -269,22 +352,22 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     Of repeated rows one stays. All columns are kept, whatever their names.
     """
-    names = docs.columns
+    names, row_key = [F.col(f"`{c}`") for c in docs.columns], fresh(docs, "row_key")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [text_digest(x) for x in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "row_key", "digest"])
 
-    key = F.xxhash64("doc_id", "text")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("row_key")).mapInArrow(digests, "doc_id long, row_key long, digest binary")
+    key = F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64(F.lit(1), "doc_id", "text").alias("y"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("row_key")).mapInArrow(digests, "doc_id long, row_key struct<x:long,y:long>, digest binary")
     ids = cut(ids.distinct())
     groups = near_duplicate_groups(docs, size, similarity)
     grouped = ids.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-    stay = grouped.groupBy("component").agg(F.min(rank).alias("first")).select(F.col("first.row_key").alias("__row_key"))
-    kept = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("__row_key")).join(stay, "__row_key", "left_semi")
-    return kept.dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in names])
+    stay = grouped.groupBy("component").agg(F.min(rank).alias("first")).select(F.col("first.row_key").alias(row_key))
+    kept = docs.select(*names, key.alias(row_key)).join(stay, row_key, "left_semi")
+    return kept.dropDuplicates([row_key]).select(*names)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
