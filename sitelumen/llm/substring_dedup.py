@@ -11,7 +11,7 @@ registered query) every later occurrence of a whole line, and so of a paragraph,
 
 Defined results: null and empty texts have no units and come back as they were; a null doc_id ranks after all others;
 rows of one doc_id rank alike, so none of them is removed in favour of another; repeated units inside a text go as any
-other; extra columns are kept by ``dedup_documents``.
+other; extra columns, whatever their names, are kept by ``dedup`` and ``dedup_documents``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import table, text_bytes
+from sitelumen.llm.common import fresh, table, text_bytes
 from sitelumen.llm.decontaminate import merged_spans
 
 #: Words of a run of repeated units from which it is removed.
@@ -36,9 +36,15 @@ UNIT_WORDS = 3
 #: A joined unit ends at one in so many of its parts, and with so many words at the latest.
 JOIN_ENDS, JOIN_WORDS = 4, 16
 LAST = (1 << 63) - 1
-#: A capital in UTF-8 (basic Latin, Latin-1, Greek, Cyrillic) that a lower-case letter follows.
-CAPITAL = rb"(?=[A-Z][a-z\xc3]|\xc3[\x80-\x9e][a-z\xc3]|\xce[\x91-\xa9][\xce\xcf]|\xd0[\x90-\xaf][\xd0\xd1])"
-CUT = re.compile(rb"\n|(?<=[.!?])[ \t]+|[ \t]+" + CAPITAL)
+def capitals() -> bytes:
+    """A pattern of one capital letter in UTF-8, up to Cyrillic and Armenian."""
+    trails: dict[int, bytes] = {}
+    for lead, trail in (chr(c).encode() for c in range(0xC0, 0x588) if chr(c).isupper()):
+        trails[lead] = trails.get(lead, b"") + b"\\x%02x" % trail
+    return b"|".join([b"[A-Z]", *(b"\\x%02x[%s]" % x for x in trails.items())])
+
+
+CUT = re.compile(rb"\n|(?<=[.!?])[ \t]+|[ \t]+(?=(?:" + capitals() + rb")[a-z\xc3-\xd6])")
 
 
 def units(text: bytes) -> list[tuple[int, int, bytes]]:
@@ -182,29 +188,32 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, lines: bool = False) -> DataFrame:
-    """All columns of docs (``text`` without repeated passages, ``n_chars`` renewed if there is one) and ``__spans``, ``__units``."""
-    names, at = docs.columns, docs.columns.index("text")
-    places = repeated_units(docs, lines).withColumnRenamed("row_key", "__row_key").withColumnRenamed("places", "__places")
-    whole = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64("doc_id", "text").alias("__row_key")).join(places, "__row_key", "left")
-    whole = whole.select(*[F.col(f"`{c}`") for c in names], "__places")
+    """All columns of docs (``text`` without repeated passages, ``n_chars`` renewed if there is one), ``removed_spans`` and ``removed_units``.
+
+    Where docs has columns of the last two names, the new ones get underscores in front.
+    """
+    names, at, spans, count = docs.columns, docs.columns.index("text"), fresh(docs, "removed_spans"), fresh(docs, "removed_units")
+    own, row_key, known = [F.col(f"`{c}`") for c in names], fresh(docs, "row_key"), fresh(docs, "places")
+    places = repeated_units(docs.select("doc_id", "text"), lines).select(F.col("row_key").alias(row_key), F.col("places").alias(known))
+    whole = docs.select(*own, F.xxhash64("doc_id", "text").alias(row_key)).join(places, row_key, "left").select(*own, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, known = batch.column(at), batch.column(len(names)).to_pylist()
+            texts = batch.column(at)
             out, all_spans, counts = [], [], []
-            for raw, text, places in zip(texts, text_bytes(texts), known, strict=True):
-                spans, n = removed_spans(text, set(places or ()), run_words, lines)
-                out.append((None if not raw.is_valid else without(text, spans).decode() if spans else raw.as_py()))
+            for raw, text, places in zip(texts, text_bytes(texts), batch.column(len(names)).to_pylist(), strict=True):
+                found, n = removed_spans(text, set(places or ()), run_words, lines)
+                out.append((None if not raw.is_valid else without(text, found).decode() if found else raw.as_py()))
                 points = lambda b: len(text[:b].decode())  # noqa: E731, B023
-                all_spans.append([{"start": points(s), "end": points(e)} for s, e in spans])
+                all_spans.append([{"start": points(s), "end": points(e)} for s, e in found])
                 counts.append(n)
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(out, texts.type)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.record_batch([*columns, pa.array(all_spans, span), pa.array(counts, pa.int32())], [*names, "__spans", "__units"])
+            yield pa.record_batch([*columns, pa.array(all_spans, span), pa.array(counts, pa.int32())], [*names, spans, count])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    made = whole.mapInArrow(run, f"{schema}, __spans array<struct<start:bigint,end:bigint>>, __units int")
+    made = whole.mapInArrow(run, f"{schema}, `{spans}` array<struct<start:bigint,end:bigint>>, `{count}` int")
     return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else made
 
 
@@ -216,5 +225,5 @@ def dedup_documents(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document's text after dedup of whole lines and of runs of units, with the removed spans as ``start-end`` in the original text."""
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), lines=True)
-    spans = F.array_join(F.transform("__spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return found.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.col("__units").alias("removed_units"), spans.alias("removed_spans"))
+    spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), "removed_units", spans.alias("removed_spans"))
