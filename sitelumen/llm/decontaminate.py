@@ -6,7 +6,7 @@ match of ``window`` words or more marks those words as hit, and the state that h
 the items it occurs in. An item shorter than the window, but not empty, is one window of its own length.
 
 The automaton is the only thing broadcast, and its size is bounded: the benchmark is dealt out into blocks of at most
-BLOCK_WORDS words, and each block makes its own pass over the documents.
+BLOCK_WORDS words. The documents are read once, whatever the number of blocks; each row passes the automata in turn.
 
 Defined results: null texts have no words; empty items match nothing; items with equal texts are all reported; a null
 item_id is skipped in ids but its words still count as hits; repeated document rows each get their row.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import table, text_bytes
+from sitelumen.llm.common import fresh, table, text_bytes
 
 WINDOW = 10
 #: Words of one automaton; about 300 bytes a word on the driver and in each Python worker.
@@ -167,23 +167,17 @@ HITS = "row_key long, doc_id long, n_words long, hits array<struct<start:int,end
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(row_key, doc_id, n_words, hits, items)`` of every row; hits are word spans, items the ids as strings."""
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passes = []
-    for automaton in blocks_of(benchmark, window, block_words):
-        passes.append(rows.mapInArrow(_scanner(spark, automaton), HITS))
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.unionByName(one.where("size(hits) > 0"))
-    # Repeated rows share a row_key; each block found the same in each of them.
-    merged = every.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return passes[0].select("row_key", "doc_id", "n_words").join(merged, "row_key").select("row_key", "doc_id", "n_words", "hits", "items")
-
-
-def _scanner(spark: SparkSession, automaton: Automaton):
+    """``(doc_id, n_words, hits, items)`` of every row; hits are merged word spans, items the ids as strings.
+
+    The documents are read once; each block of the benchmark adds to what the blocks before it have found in a row.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for k, automaton in enumerate(blocks_of(benchmark, window, block_words)):
+        found = found.mapInArrow(_scanner(docs.sparkSession, automaton, first=k == 0), "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, items array<string>")
+    return found.drop("text")
+
+
+def _scanner(spark: SparkSession, automaton: Automaton, first: bool):
     shared = spark.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +185,17 @@ def _scanner(spark: SparkSession, automaton: Automaton):
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             counts, all_spans, all_items = [], [], []
-            for text in text_bytes(batch.column(2)):
+            known = [((), ())] * len(batch) if first else zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            for text, (spans_before, items_before) in zip(text_bytes(batch.column(1)), known, strict=True):
                 words = words_of(text)
                 spans, items = own.scan(words)
+                if spans_before:
+                    spans = merged_spans([*((h["start"], h["end"]) for h in spans_before), *spans])
                 counts.append(len(words))
                 all_spans.append([{"start": s, "end": e} for s, e in spans])
-                all_items.append(sorted({own.names[k] for k in items if own.names[k] is not None}))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, span), pa.array(all_items, pa.list_(pa.string()))], ["row_key", "doc_id", "n_words", "hits", "items"])
+                all_items.append(sorted({own.names[k] for k in items if own.names[k] is not None}.union(items_before)))
+            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, span), pa.array(all_items, pa.list_(pa.string()))]
+            yield pa.record_batch(columns, ["doc_id", "text", "n_words", "hits", "items"])
 
     return run
 
@@ -229,7 +227,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Texts without a hit come back unchanged, and so do null texts. ``n_chars`` is renewed if there is one. Each block of
     the benchmark adds its spans of the original text; the last one's pass judges and removes them all.
     """
-    names, at = docs.columns, docs.columns.index("text")
+    names, at, known_hits = docs.columns, docs.columns.index("text"), fresh(docs, "hits")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     out, blocks = docs, blocks_of(benchmark, window, block_words)
@@ -261,9 +259,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                     columns[at] = pa.array(texts, batch.column(at).type)
                     yield pa.record_batch(columns, names).take(pa.array(keep, pa.int64()))
                 else:
-                    yield pa.record_batch([*columns, pa.array(found, span)], [*names, "__hits"])
+                    yield pa.record_batch([*columns, pa.array(found, span)], [*names, known_hits])
 
-        out = out.mapInArrow(run, schema if automaton is None else f"{schema}, __hits array<struct<start:int,end:int>>")
+        out = out.mapInArrow(run, schema if automaton is None else f"{schema}, `{known_hits}` array<struct<start:int,end:int>>")
         first = False
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
@@ -272,14 +270,7 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Per document the words hit by windows of ten benchmark words, and the items they come from."""
     found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
-    spans = F.array_sort("hits")
-    # Spans of several blocks may overlap: count each word from the furthest end so far.
-    covered = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["end"], x["start"])).cast("long")).alias("n")),
-        lambda acc: acc["n"],
-    )
+    covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]).cast("long"))
     return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
