@@ -9,7 +9,8 @@ What no bit can split is defined: a cell still over the limit at ``bits`` is spl
 a text near the limit), each hash's rows taking numbered pages of as many rows as fit; a row over the limit is alone.
 
 Defined results: null and empty texts weigh ROW_BYTES; repeated rows have one hash and, as long as they fit, one shard;
-null doc_ids are hashed like any value; an empty table has no shards; extra columns are kept by ``assign_shards``.
+null doc_ids are hashed like any value; an empty table has no shards; extra columns, whatever their names, are kept by
+``assign_shards``.
 """
 
 from __future__ import annotations
@@ -52,48 +53,57 @@ def directory(cells: DataFrame, bits: int, limit: int) -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    """All columns of docs and ``__depth``, ``__shard`` (the prefix as a number), ``__page``, ``__bytes``.
+    """``(row, depth, shard, page, bytes)``: all columns of docs as a struct, and each row's shard.
 
-    A shard is one value of (depth, shard, page); page is 0 but in cells that no bit can split.
+    A shard is one value of (depth, shard, page); shard is the prefix as a number, page is 0 but in cells that no bit
+    can split.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*names, row_hash(F.col("doc_id"), F.col("text")).alias("__hash"), row_bytes(F.col("text")).alias("__bytes"))
-    total = rows.agg(F.sum("__bytes")).first()[0] or 0
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(F.col("doc_id"), F.col("text")).alias("hash"), row_bytes(F.col("text")).alias("bytes"))
+    # Hashes and weights are made once and read again for the total, the cells and the pages.
+    weighed = cut(rows.select("hash", "bytes"))
+    total = weighed.agg(F.sum("bytes")).first()[0] or 0
     bits = min(MOST_BITS, max(1, (total // limit).bit_length()) + SPARE_BITS)
-    cell = F.shiftright("__hash", 4 * DIGITS - bits)
-    cells = rows.groupBy(cell.alias("cell")).agg(F.sum("__bytes").alias("bytes"))
-    own = directory(cut(cells), bits, limit)
-    own = own.select(F.col("cell").alias("__cell"), F.col("depth").alias("__depth"), F.col("shard").alias("__shard"), F.col("shard_bytes").alias("__shard_bytes"))
-    placed = rows.withColumn("__cell", cell).join(own, "__cell")
-    fit = placed.where(F.col("__shard_bytes") <= limit).select(*names, "__depth", "__shard", F.lit(0).cast("long").alias("__page"), "__bytes")
-    over = placed.where(F.col("__shard_bytes") > limit)
-    return fit.unionByName(_pages(over, names, limit))
+    cell = F.shiftright("hash", 4 * DIGITS - bits)
+    own = cut(directory(cut(weighed.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"))), bits, limit))
+    placed = rows.withColumn("cell", cell).join(own, "cell")
+    fit = placed.where(F.col("shard_bytes") <= limit).select("row", "depth", "shard", F.lit(0).cast("long").alias("page"), "bytes")
+    if own.where(F.col("shard_bytes") > limit).isEmpty():
+        return fit
+    over = placed.where(F.col("shard_bytes") > limit).select("row", "hash", "bytes")
+    return fit.unionByName(_pages(over, limit))
 
 
-def _pages(over: DataFrame, names: list[Column], limit: int) -> DataFrame:
+#: Rows of a hash that are numbered in one task on average.
+PAGED_ROWS = 100_000
+
+
+def _pages(over: DataFrame, limit: int) -> DataFrame:
     """Rows of cells that no bit splits, by whole hashes and pages of a hash.
 
     Rows of a hash are numbered within salts and the salts' counts are added up, so a row repeated without end is never
-    numbered in one task.
+    numbered in one task. The rows are written once, as the salt of equal rows is drawn at random.
     """
-    over = over.withColumn("__salt", F.spark_partition_id())
-    order = Window.partitionBy("__hash", "__salt").orderBy("__bytes")
-    before = Window.partitionBy("__hash").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = over.groupBy("__hash", "__salt").agg(F.count("*").alias("__n"))
-    counts = counts.select("__hash", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    ranked = over.withColumn("__row", F.row_number().over(order) - 1).join(counts, ["__hash", "__salt"])
-    page = F.floor((F.col("__before") + F.col("__row")) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("__bytes"))))
-    return ranked.select(*names, F.lit(4 * DIGITS).alias("__depth"), F.col("__hash").alias("__shard"), page.cast("long").alias("__page"), "__bytes")
+    counts = over.groupBy("hash").agg(F.count("*").alias("n"))
+    salt = F.floor(F.rand(7) * F.ceil(F.col("n") / PAGED_ROWS)).cast("long")
+    over = cut(over.hint("merge").join(counts, "hash").select("row", "hash", "bytes", salt.alias("salt")))
+    order = Window.partitionBy("hash", "salt").orderBy("bytes")
+    before = Window.partitionBy("hash").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = over.groupBy("hash", "salt").agg(F.count("*").alias("n"))
+    counts = counts.select("hash", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = over.withColumn("place", F.row_number().over(order) - 1).join(counts, ["hash", "salt"])
+    page = F.floor((F.col("before") + F.col("place")) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("bytes"))))
+    return ranked.select("row", F.lit(4 * DIGITS).alias("depth"), F.col("hash").alias("shard"), page.cast("long").alias("page"), "bytes")
 
 
 def op6_extendible_sharding(spark, sf_dir: str) -> DataFrame:
     """The shard of every document under a limit of 16 MiB."""
     placed = assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select("doc_id", F.col("__depth").cast("int").alias("depth"), F.col("__shard").alias("shard"), F.col("__page").alias("page"), F.col("__bytes").alias("row_bytes"))
+    return placed.select("row.doc_id", F.col("depth").cast("int").alias("depth"), "shard", "page", F.col("bytes").alias("row_bytes"))
 
 
-#: Cells of 20 bits: at the sizes DuckDB holds, finer than any shard gets.
-ORACLE = f"""
+def oracle(limit: int) -> str:
+    """SQL of the same; cells of 20 bits are finer than any shard of what DuckDB holds gets, if no row repeats past the limit."""
+    return f"""
 WITH rows AS (
   SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, {DIGITS}))::BIGINT AS h,
          (coalesce(octet_length(encode(text)), 0) + {ROW_BYTES})::BIGINT AS row_bytes
@@ -105,5 +115,8 @@ WITH rows AS (
 SELECT r.doc_id, l.depth, l.shard, 0::BIGINT AS page, r.row_bytes
 FROM rows r JOIN levels l ON l.shard = r.h >> (60 - l.depth)
 LEFT JOIN levels p ON p.depth = l.depth - 1 AND p.shard = l.shard >> 1
-WHERE l.bytes <= {LIMIT_BYTES} AND (p.bytes IS NULL OR p.bytes > {LIMIT_BYTES})
+WHERE l.bytes <= {limit} AND (p.bytes IS NULL OR p.bytes > {limit})
 """
+
+
+ORACLE = oracle(LIMIT_BYTES)

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -24,7 +25,9 @@ from sitelumen.llm import toxicity as T
 from sitelumen.llm import url_filter as U
 from sitelumen.llm.components import connected_components
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, start string, bucket string, part string, cell string, fp string"
+#: Columns that operators could use inside.
+CLASHES = "start bucket part cell fp row_key __row_key digest keys key places __places spans __spans __units hash __hash bytes __bytes __depth __shard __page __cell row ids code own good is_target __hits hits weight bits".split()
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHES)
 WORDS = [f"{a}{b}" for a in "ba ce di fo gu ha je ki lo mu".split() for b in "ra se ti vo nu lm pa qe xi zo".split()]
 
 
@@ -38,7 +41,7 @@ def prose(seed: int, n: int) -> str:
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "x", "x", "x", "x") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *["x"] * len(CLASHES)) for i, t in rows], SCHEMA)
 
 
 LONG = prose(99, 60_000)
@@ -67,8 +70,8 @@ def test_substring_dedup_removes_passages_and_keeps_offsets(spark):
     passage = prose(50, 60).replace(prose(50, 60).split()[0], "Passage", 1) + "."
     a, b, c = prose(10, 50) + " " + passage + " " + prose(11, 50), prose(12, 30) + "\n" + passage + "\n" + prose(13, 30), prose(14, 70)
     rows = {r["doc_id"]: r for r in B.dedup(docs_of(spark, [(3, b), (1, a), (2, c)])).collect()}
-    assert rows[1]["text"] == a and rows[2]["text"] == c and not rows[2]["__spans"]
-    (span,) = rows[3]["__spans"]
+    assert rows[1]["text"] == a and rows[2]["text"] == c and not rows[2]["removed_spans"]
+    (span,) = rows[3]["removed_spans"]
     assert set(passage.split()[10:50]) <= set(b[span["start"] : span["end"]].split()) and passage not in rows[3]["text"]
     assert rows[3]["n_chars"] == len(rows[3]["text"])
 
@@ -77,7 +80,7 @@ def test_substring_dedup_against_brute_force(spark):
     parts = [prose(200 + i, 30).capitalize() + "." for i in range(12)]
     rng = random.Random(5)
     rows = [(i, "\n".join(rng.choice(parts) if rng.random() < 0.5 else prose(1000 + i * 7 + k, 12) for k in range(5))) for i in range(30)]
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["__spans"]] for r in B.dedup(docs_of(spark, rows)).collect()}
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed_spans"]] for r in B.dedup(docs_of(spark, rows)).collect()}
     seen: set[bytes] = set()
     for i, text in rows:
         own, places = set(), set()
@@ -340,6 +343,41 @@ def test_near_duplicates_are_those_of_exact_jaccard(spark, monkeypatch, hot):
     assert kept == sorted(set(group.values())) and len(kept) > 15
 
 
+def test_near_duplicates_of_hot_keys_lose_no_link(spark, monkeypatch):
+    rows = []
+    for c in range(8):  # chains: each text is near the next ones only; two chains of a start share keys, but are not near
+        words = prose(90_000 + c // 2, 150).split()
+        words[: 25 * (c % 2)] = prose(95_000 + c, 25 * (c % 2)).split()
+        for k in range(20):
+            words = list(words)
+            words[40 + (k * 41) % 110] = f"step{c}x{k}"
+            rows.append((1000 * (c // 2) + 20 * (c % 2) + (k * 17) % 20, " ".join(words)))
+    near = [(a, b) for a, x in rows for b, y in rows if a < b and a // 1000 == b // 1000 and shingle_likeness(x, y) >= 0.8]
+    group = {i: i for i, _ in rows}
+    for a, b in near:
+        one, two = sorted((group[a], group[b]))
+        group = {i: one if g == two else g for i, g in group.items()}
+    asked = []
+    plain = H.stray_pairs
+    monkeypatch.setattr(H, "stray_pairs", lambda *x: asked.append(1) or plain(*x))
+    for hot in (2000, 3):
+        monkeypatch.setattr(H, "HOT_BUCKET", hot)
+        assert sorted(r["doc_id"] for r in H.drop_near_duplicates(docs_of(spark, rows)).collect()) == sorted(set(group.values()))
+    assert asked
+
+
+def test_stray_pairs_are_all_near_pairs_of_different_components(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 4, np.uint64)
+    bits = [base ^ np.array([0, 0, 0, (1 << int(rng.integers(0, 60))) - 1], np.uint64) for _ in range(30)]
+    rows = [(1, block, salt, False, bytes([i]), bits[i].tobytes(), bytes([i % 3])) for i in range(10) for block, salt in ((i % 2, s) for s in range(2))]
+    rows += [(1, block, i % 2, True, bytes([i]), bits[i].tobytes(), bytes([i % 3])) for i in range(30) for block in range(2)]
+    frame = spark.createDataFrame(rows, "key long, block long, salt long, member boolean, digest binary, bits binary, component binary").repartition(3)
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in H.stray_pairs(frame, 0.8).collect()}
+    far = lambda i, j: int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+    assert got == {(bytes([i]), bytes([j])) for i in range(10) for j in range(30) if i % 3 != j % 3 and far(i, j) <= H.most_bits_apart(0.8)} and got
+
+
 def test_near_duplicates_edges(edges):
     kept = [r["doc_id"] for r in H.drop_near_duplicates(edges).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 3, 6, 7, 8] and kept.count(None) == 1
@@ -358,12 +396,12 @@ def test_components_of_a_long_chain(spark):
 def test_shards_fit_and_split_only_where_needed(spark, limit):
     rows = [(i, prose(i, i % 20 + 1)) for i in range(300)] + [(7, "same")] * 40
     got = X.assign_shards(docs_of(spark, rows).repartition(5), limit).collect()
-    assert len(got) == len(rows)
+    assert sorted((r["row"]["doc_id"], r["row"]["text"], r["row"]["bytes"]) for r in got) == sorted((i, t, "x") for i, t in rows)
     size: dict[tuple, int] = {}
     for r in got:
-        key = (r["__depth"], r["__shard"], r["__page"])
-        size[key] = size.get(key, 0) + r["__bytes"]
-    rows_of = {k: sum((r["__depth"], r["__shard"], r["__page"]) == k for r in got) for k in size}
+        key = (r["depth"], r["shard"], r["page"])
+        size[key] = size.get(key, 0) + r["bytes"]
+    rows_of = {k: sum((r["depth"], r["shard"], r["page"]) == k for r in got) for k in size}
     assert all(b <= limit or rows_of[k] == 1 for k, b in size.items())
     for depth, shard, page in size:  # what a bucket was split from was over the limit
         if 0 < depth < 60 and page == 0:
@@ -371,8 +409,26 @@ def test_shards_fit_and_split_only_where_needed(spark, limit):
             assert parent > limit
 
 
+def test_pages_of_a_repeated_row_are_full_whatever_the_salts(spark, monkeypatch):
+    monkeypatch.setattr(X, "PAGED_ROWS", 30)
+    got = X.assign_shards(docs_of(spark, [(7, "same")] * 1000).repartition(7), 100 * (4 + X.ROW_BYTES)).groupBy("depth", "shard", "page").count().collect()
+    assert sorted((r["depth"], r["page"], r["count"]) for r in got) == [(60, k, 100) for k in range(10)]
+
+
+def test_shards_equal_sql_at_a_small_limit(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    got = X.assign_shards(spark.read.parquet(f"{folder}/documents.parquet"), 8192).select("row.doc_id", F.col("depth").cast("int"), "shard", "page", "bytes").collect()
+    want = duckdb.sql(X.oracle(8192).replace("FROM documents", f"FROM '{folder}/documents.parquet'")).fetchall()
+    one = {tuple(r) for r in got if r["depth"] <= 20}
+    assert one == set(want) and len({r[:2] for r in ((x[1], x[2]) for x in want)}) > 30 and max(x[1] for x in want) > 4
+    assert all(r["bytes"] > 8192 for r in got if r["depth"] > 20)  # a row over the limit is alone
+
+
 def test_shards_edges(edges, nothing):
     assert X.assign_shards(edges).count() == len(EDGES) and X.assign_shards(nothing).count() == 0
+    assert X.assign_shards(edges).select("row.*").columns == edges.columns
 
 
 # --- 7 ---
@@ -381,42 +437,54 @@ def test_shards_edges(edges, nothing):
 def test_lm_scores_prefer_the_target(spark, edges, nothing):
     tokenizer = K.default_tokenizer()
     good, bad = [(i, prose(i, 60)) for i in range(40)], [(100 + i, "zq xv " * 40 + prose(i, 5)) for i in range(40)]
-    docs = docs_of(spark, good + bad)
-    marked = docs.select("text", (F.col("doc_id") < 20).alias("is_target"))
-    scores = {r["doc_id"]: r["score"] for r in L.score(docs, *L.fit(marked, tokenizer), tokenizer).collect()}
+    tokens = L.tokenised(docs_of(spark, good + bad), tokenizer, spark.createDataFrame([(i, "x") for i in (*range(20), 3, 999, None)], "doc_id long, good string"))
+    scores = {r["doc_id"]: r["score"] for r in L.score(tokens, L.fit(tokens)).collect()}
     assert max(scores[i] for i, _ in good) < min(scores[i] for i, _ in bad)
-    models = L.fit(edges.select("text", F.lit(False).alias("is_target")), tokenizer)
-    rows = L.score(edges, *models, tokenizer).collect()
-    assert len(rows) == len(EDGES) and all(r["score"] == 0 for r in rows)
-    assert L.score(nothing, *L.fit(nothing.select("text", F.lit(False).alias("is_target")), tokenizer), tokenizer).count() == 0
+    for target in (None, edges.limit(0), edges):  # no target, or nothing else but rows without an id
+        tokens = L.tokenised(edges, tokenizer, target)
+        rows = L.score(tokens, L.fit(tokens)).collect()
+        assert len(rows) == len(EDGES) and [r["n_tokens"] for r in rows if r["doc_id"] in (3, 4, 5)] == [1, 1, 1]
+        assert target is edges or all(r["score"] == 0 for r in rows)
+    tokens = L.tokenised(nothing, tokenizer)
+    assert L.score(tokens, L.fit(tokens)).count() == 0
 
 
-def test_lm_counts_are_those_of_each_bigram():
+def test_lm_codes_are_of_one_bigram_each():
     rng = np.random.default_rng(0)
-    before, after = rng.integers(0, L.VOCABULARY + 1, (2, 3_000_000))
-    pairs = np.unique(np.stack([before, after]), axis=1)
+    pairs = np.unique(np.stack(rng.integers(0, L.VOCABULARY + 1, (2, 3_000_000))), axis=1)
     codes = np.unique(L.codes_of(*pairs))
     assert len(codes) == pairs.shape[1] and codes[-1] < L.TOKENS  # no two share a count
-    model = L.Model(codes[::2], np.ones(len(codes[::2])), np.ones(L.VOCABULARY + 1))
-    known = model.pairs[model.places(codes // (L.VOCABULARY + 1), codes % (L.VOCABULARY + 1))]
-    assert (known[::2] == 1).all() and (known[1::2] == 0).all()
 
 
-def test_lm_losses_by_hand(spark):
+@pytest.mark.parametrize("heavy", [1 << 20, 40, 1])
+def test_lm_losses_equal_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(L, "HEAVY", heavy)
     tokenizer = K.default_tokenizer()
-    texts = ["a b a", "a b"]
-    docs = docs_of(spark, list(enumerate(texts)))
-    _, model = L.fit(docs.select("text", F.lit(False).alias("is_target")), tokenizer)
-    ids = [[*np.frombuffer(K.cache_of(tokenizer).ids(t.encode()), "<u4").tolist(), L.EDGE] for t in texts]
-    pairs = [(p, n) for x in ids for p, n in zip([L.EDGE, *x], x, strict=False)]
-    total = sum(map(len, ids))
-    for r in L.score(docs, model, model, tokenizer).collect():
-        own = ids[r["doc_id"]]
-        loss = 0.0
-        for p, n in zip([L.EDGE, *own], own, strict=False):
-            single = (sum(x.count(n) for x in ids) + L.ADDED) / (total + L.ADDED * (L.VOCABULARY + 1))
-            loss -= np.log(L.BIGRAM * pairs.count((p, n)) / sum(x.count(p) for x in ids) + (1 - L.BIGRAM) * single)
-        assert abs(r["target_loss"] - loss / len(own)) < 1e-5
+    rows = [(i, prose(i % 50, 5 + i % 60)) for i in range(80)] + [(7, "a b a"), (None, "a b"), (200, None)]
+    target = {i for i in range(0, 200, 7)}
+    tokens = L.tokenised(docs_of(spark, rows).repartition(3), tokenizer, spark.createDataFrame([(i,) for i in target], "doc_id long"))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], round(r["target_loss"], 6), round(r["background_loss"], 6), round(r["score"], 6)) for r in L.score(tokens, L.fit(tokens)).collect())
+    ids = [[*np.frombuffer(K.cache_of(tokenizer).ids((t or "").encode()), "<u4").tolist(), L.EDGE] for _, t in rows]
+    sides = {k: [x for (i, _), x in zip(rows, ids, strict=True) if (i in target) == k] for k in (True, False)}
+    size = min(sum(map(len, x)) for x in sides.values())
+    chance = {}
+    for k, own in sides.items():
+        scale = size / sum(map(len, own))
+        single, pairs = Counter(w for x in own for w in x), Counter(p for x in own for p in zip([L.EDGE, *x], x, strict=False))
+
+        def of(h, w, scale=scale, single=single, pairs=pairs):
+            alone = (scale * single[w] + L.ADDED) / (size + L.ADDED * (L.VOCABULARY + 1))
+            return (scale * pairs[h, w] + L.MASS * alone) / (scale * single[h] + L.MASS)
+
+        chance[k] = of
+        for h in (L.EDGE, ids[0][0], 17):
+            assert abs(sum(of(h, w) for w in range(L.VOCABULARY + 1)) - 1) < 1e-9
+    want = []
+    for (i, _), x in zip(rows, ids, strict=True):
+        t, b = (-sum(np.log(chance[k](h, w)) for h, w in zip([L.EDGE, *x], x, strict=False)) / len(x) for k in (True, False))
+        want.append((i is None, i or 0, len(x), round(t, 6), round(b, 6), round(t - b, 6)))
+    for one, two in zip(got, sorted(want), strict=True):
+        assert one[:3] == two[:3] and np.allclose(one[3:], two[3:], atol=3e-6)
 
 
 # --- 8 ---
