@@ -361,11 +361,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
 
     key = F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64(F.lit(1), "doc_id", "text").alias("y"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("row_key")).mapInArrow(digests, "doc_id long, row_key struct<x:long,y:long>, digest binary")
-    ids = cut(ids.distinct())
-    groups = near_duplicate_groups(docs, size, similarity)
-    grouped = ids.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    # Copies are reduced to their first row before they meet, so a text repeated without end is no hot key.
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-    stay = grouped.groupBy("component").agg(F.min(rank).alias("first")).select(F.col("first.row_key").alias(row_key))
+    firsts = ids.groupBy("digest").agg(F.min(rank).alias("first"))
+    grouped = firsts.join(near_duplicate_groups(docs, size, similarity), "digest", "left")
+    stay = grouped.groupBy(F.coalesce("component", "digest")).agg(F.min("first").alias("first")).select(F.col("first.row_key").alias(row_key))
     kept = docs.select(*names, key.alias(row_key)).join(stay, row_key, "left_semi")
     return kept.dropDuplicates([row_key]).select(*names)
 
