@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import table, text_bytes
+from sitelumen.llm.common import cut, table, text_bytes
 
 SAMPLE, TERMS, LEAST_ROWS, LEAST_Z, GRADES = 8000, 20_000, 3, 4.0, 3
 BEGINNINGS = (4, 5, 6, 7)
@@ -135,12 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     counts = own.mapInArrow(counted, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     empty = F.col("term") == F.lit(b"")
+    counts = cut(counts.where(empty | (F.col("clean") + F.col("toxic") >= LEAST_ROWS)))  # read twice, counted once
     n0, n1 = counts.where(empty).select("clean", "toxic").first()
     if not n0 or not n1:
         return nothing
     share = (F.col("clean") + F.col("toxic") + 1) / (n0 + n1 + 2)
     z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    tied = counts.where(~empty & (F.col("clean") + F.col("toxic") >= LEAST_ROWS)).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
+    tied = counts.where(~empty).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
     found = tied.orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
     terms = [bytes(r["term"]) for r in found]
     marks = {bytes(r["term"]) for r in found if r["z"] > 0 and not bytes(r["term"]).startswith(b"^") and r["toxic"] * n0 > 10 * r["clean"] * n1}

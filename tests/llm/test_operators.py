@@ -512,6 +512,26 @@ def test_ordinal_gradient_orders_grades():
     assert weights[0] > 0 and (np.diff(thresholds) > 0).all()
 
 
+def test_ordinal_fit_is_the_most_likely(spark):
+    rng = np.random.default_rng(5)
+    n, width = 400, 6
+    x = (rng.random((n, width)) < 0.4).astype(float)
+    grades = np.minimum(3, np.maximum(0, np.round(x @ np.array([1.5, 1, 0.5, 0, -0.5, -1]) + rng.logistic(size=n)))).astype(int)
+    at, columns = np.nonzero(x)
+    weights, thresholds = T.fit_ordinal(at, columns, np.ones(len(at)), grades, width)
+
+    def loss(w, t):  # P(grade = k) = P(grade >= k) - P(grade >= k + 1), written out
+        above = [np.ones(n), *(1 / (1 + np.exp(-(x @ w - c))) for c in t), np.zeros(n)]
+        return -np.mean([np.log(above[g][i] - above[g + 1][i]) for i, g in enumerate(grades)]) + T.RIDGE / 2 * (w @ w)
+
+    best = loss(weights, thresholds)
+    for i in range(width + 3):
+        for step in (-0.05, 0.05):
+            w, t = weights.copy(), thresholds.copy()
+            (w if i < width else t)[i % width if i < width else i - width] += step
+            assert loss(w, t) > best - 1e-6
+
+
 # --- 9 ---
 
 
