@@ -69,7 +69,8 @@ def slugify(text: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    return F.filter(F.split(tr_lower(text), "[^a-zçğıöşü0-9]+"), lambda w: F.length(w) > 1)
+    """Runs of two letters or digits and more, in lower case."""
+    return F.regexp_extract_all(tr_lower(text), F.lit("[a-zçğıöşü0-9]{2,}+"), 0)
 
 
 def word_count(text: Column | str) -> Column:

@@ -249,7 +249,7 @@ def simhash_docs(spark, d):
 )
 def near_dup_docs(spark, d):
     """Number of near-duplicates of each document within its source; copies are counted and not listed."""
-    rows = _docs(spark, d).select("doc_id", F.col("source").alias("site_id"), T.simhash(T.tokens("text")).alias("simhash"))
+    rows = cut(_docs(spark, d).select("doc_id", F.col("source").alias("site_id"), T.simhash(T.tokens("text")).alias("simhash")))
     return rows.join(N.near_counts(rows), ["site_id", "simhash"]).select("doc_id", "near")
 
 

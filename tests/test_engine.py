@@ -103,7 +103,9 @@ def test_simhash_and_px(spark):
     assert row.select(T.tr_equals(F.lit("ISPARTA"), F.lit("ısparta")).alias("x")).first()["x"]
 
 
-def test_banded_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [{2: 1 << 16, 3: 1 << 21, 4: 1 << 26}, {2: 70, 3: 99, 4: 100}, {2: 0, 3: 75, 4: 100}, {2: 0, 3: 0, 4: 1000}, {2: 0, 3: 0, 4: 0}])
+def test_banded_near_duplicates_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(N, "MOST_CODES", most)
     rng = random.Random(4)
     codes = [rng.getrandbits(64) for _ in range(40)]
     codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8))) for c in codes for _ in range(3)]
