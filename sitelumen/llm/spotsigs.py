@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import shuffle_partitions, table, text_bytes
+from sitelumen.llm.common import cut, shuffle_partitions, table, text_bytes
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -116,65 +117,70 @@ def edited(text: str, following: str) -> str:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = [x.strip().split(" ")[0] for x in RESULT.split(",")]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Bytes of text in one range of documents, and code points of a text that rank it where doc_ids are equal.
+RANGE_BYTES, RANK_CHARS = 32 * 1024 * 1024, 32
+
+
+def compared(doc: int | None, text: str, own: np.ndarray, following: str, next_signature: np.ndarray) -> tuple:
+    """A document's result row, given the text that follows it."""
+    other = edited(text, following)
+    data = other.encode()
+    changed = signatures(data)
+    return (doc, len(text), hashlib.sha256(data).hexdigest(), digest(own), digest(changed), likeness(own, changed), likeness(own, next_signature))
+
+
+def arrays(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(KINDS), KINDS, strict=True)]
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's.
 
-    Documents are dealt out once, in ranges of doc_id, and each range is streamed in order; only the first document of
-    each range is sent to the others.
+    Documents are dealt out once, in ranges of doc_id whose number follows the bytes of text, and each range is streamed
+    in order. A range's last document waits for the first one of the next range: each range hands on these two texts,
+    and a join of ranges finishes them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = max(1, shuffle_partitions(spark))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", probabilities or [0.5], 10_000)).first()[0] or [])) if probabilities else []
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("int")
-    # The first row of each range: smallest doc_id, then smallest text.
-    least = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
-    ids = rows.groupBy(part.alias("part")).agg(F.min(least).alias("least"))
-    ids = ids.select("part", F.col("least.doc_id").alias("doc_id"))
-    starts = [r["doc_id"] for r in ids.select("doc_id").distinct().collect()]  # one a range
-    known = F.col("doc_id").isin([x for x in starts if x is not None])
-    heads = rows.where(known | F.col("doc_id").isNull() if None in starts else known).withColumn("part", part)
-    first_of = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")
-    heads = heads.groupBy("part").agg(F.min(first_of).alias("least")).select("part", "least.text").collect()
-    first = spark.sparkContext.broadcast({r["part"]: r["text"] for r in heads})
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, shuffle_partitions(spark), -(-size // RANGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads_of = first.value
-        order = sorted(heads_of)
-        after = {p: heads_of[order[(i + 1) % len(order)]] for i, p in enumerate(order)}
-        waiting = None
-
-        def finished(row: tuple, following: str, next_signature: np.ndarray | None = None) -> tuple:
-            _, doc, text, own = row
-            if next_signature is None:
-                next_signature = signatures(following.encode())
-            other = edited(text, following)
-            data = other.encode()
-            changed = signatures(data)
-            return (doc, len(text), hashlib.sha256(data).hexdigest(), digest(own), digest(changed), likeness(own, changed), likeness(own, next_signature))
-
-        def result(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
+        part, head, waiting = TaskContext.get().partitionId(), None, None
+        names = [*COLUMNS, "part", "head", "tail"]
         for batch in batches:
             out = []
-            for p, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = signatures(text.encode())
-                if waiting is not None:
-                    out.append(finished(waiting, text, own) if waiting[0] == p else finished(waiting, after[waiting[0]]))
-                waiting = (p, doc, text, own)
-            if out:
-                yield result(out)
+                if waiting is None:
+                    head = text
+                else:
+                    out.append(compared(*waiting, text, own))
+                waiting = (doc, text, own)
+            nothing = pa.nulls(len(out), pa.string())
+            yield pa.record_batch([*arrays(out), pa.nulls(len(out), pa.int32()), nothing, nothing], names)
         if waiting is not None:
-            yield result([finished(waiting, after[waiting[0]])])
+            last = [pa.nulls(1, k) for k in KINDS[1:]]
+            yield pa.record_batch([pa.array([waiting[0]], pa.int64()), *last, pa.array([part], pa.int32()), pa.array([head]), pa.array([waiting[1]])], names)
+
+    dealt = rows.repartitionByRange(ranges, "doc_id", F.substring("text", 1, RANK_CHARS)).sortWithinPartitions("doc_id", "text")
+    made = cut(dealt.mapInArrow(run, f"{RESULT}, part int, head string, tail string"))
+    ends = made.where("part IS NOT NULL").select("doc_id", "part", "head", "tail")
+    # Only the numbers of the ranges are put in order by one task.
+    order = ends.select("part", F.lead("part").over(Window.orderBy("part")).alias("following"))
+    order = order.select("part", F.coalesce("following", F.min("part").over(Window.partitionBy())).alias("following"))
+    heads = ends.select(F.col("part").alias("following"), F.col("head").alias("next_text"))
+    open_rows = ends.join(order, "part").join(heads, "following").select("doc_id", "tail", "next_text")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(3)]
+            out = [compared(doc, text, signatures(text.encode()), following, signatures(following.encode())) for doc, text, following in zip(*columns, strict=True)]
+            yield pa.record_batch(arrays(out), COLUMNS)
 
-    dealt = rows.select(part.alias("part"), "doc_id", "text").repartition(ranges, "part").sortWithinPartitions("part", "doc_id", "text")
-    return dealt.mapInArrow(run, RESULT)
+    return made.where("part IS NULL").select(COLUMNS).union(open_rows.mapInArrow(finish, RESULT))
 
 
 def op3_spotsigs_fingerprints(spark, sf_dir: str) -> DataFrame:
