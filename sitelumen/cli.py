@@ -7,7 +7,6 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from sitelumen.plans import audit as A
 from sitelumen.plans import report
@@ -84,7 +83,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.from_audit:
         documents = report.read_documents(spark, a.from_audit)
     else:
-        side, caps, single, partial = A.SideInputs(), P.Capabilities(), False, None
+        side, caps, single, crawl = A.SideInputs(), P.Capabilities(), False, None
         if a.input_dir:
             raw = A.remapped(P.from_directory(spark, a.input_dir, a.base_url))
         elif a.input_file:
@@ -92,17 +91,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.input_table:
             raw = P.from_table(spark, a.input_table)
         else:
-            config = C.CrawlConfig(a.max_pages, a.depth, a.delay, a.timeout, user_agent=a.user_agent, respect_robots=not a.ignore_robots, check_external=a.check_external)
+            config = C.CrawlConfig(a.max_pages, a.depth, a.delay, a.timeout, user_agent=a.user_agent, concurrency=a.concurrency, respect_robots=not a.ignore_robots, check_external=a.check_external)
             found = C.crawl(spark, a.url, config)
             if found["status"] == "failed":
                 return NOTHING
             raw, caps = P.raw_pages(found["raw"]), P.Capabilities(headers=True, net=True)
-            status = C.probe(A.derived(A.page_models(raw)), found["url_status"], config)
+            status = C.probe(A.derived(A.page_models(raw)), found["url_status"], config, robots_txt=found["robots"])
             side = A.SideInputs(status, found["robots"], found["sitemaps"], found["sitemap_entries"], found["llms_txt"])
-            partial = raw.select("site_id").distinct().withColumn("partial", F.lit(found["status"] in ("partial", "blocked")))
+            crawl = found["counters"]
         if raw.isEmpty():
             return NOTHING
-        done = A.audit(raw, side, caps, a.min_words, single, partial=partial)
+        done = A.audit(raw, side, caps, a.min_words, single, crawl=crawl, options={k: v for k, v in vars(a).items() if v is not None})
         if "json" in formats:
             report.write_documents(done, f"{a.out}/json")
             documents = report.read_documents(spark, f"{a.out}/json")

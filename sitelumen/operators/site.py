@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 from sitelumen.functions import text as T
 
 
+#: Pages that a list in a finding shows, in order; counts are of all.
+LISTED = 1000
+
+
 def last_wins(pages: DataFrame, keys: tuple[str, ...] = ("site_id", "normalized_url"), order: str = "ingest_seq") -> DataFrame:
-    """One row a key: the last by ``order``; ``seq`` is the key's first place."""
-    own = Window.partitionBy(*keys)
-    ranked = pages.withColumn("seq", F.min(order).over(own)).withColumn("_rank", F.row_number().over(own.orderBy(F.col(order).desc())))
-    return ranked.where("_rank = 1").drop("_rank")
+    """One row a key: the last by ``order``; ``seq`` is the key's first place.
+
+    Each task keeps its own last row of a key before rows are dealt out, so a key of very many rows is not hot.
+    """
+    ranked = pages.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where("_rank = 1").drop("_rank")
+    return ranked.join(pages.groupBy(*keys).agg(F.min(order).alias("seq")), [*keys])
+
+
+def first_listed(rows: DataFrame, keys: list[str], most: int = LISTED) -> DataFrame:
+    """``(*keys, listed, n)`` of ``rows(*keys, seq, normalized_url)``: the first URLs in order, and how many there are.
+
+    Only ``most`` rows of a key leave a task.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "normalized_url"))
+    first = rows.select(*keys, "seq", "normalized_url").withColumn("_rank", rank).where(F.col("_rank") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_rank", "normalized_url")))["normalized_url"]
+    return first.groupBy(*keys).agg(listed.alias("listed")).join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -28,15 +45,17 @@ def inlinks(pages: DataFrame) -> DataFrame:
 def inlink_lists(pages: DataFrame, most: int = 100) -> DataFrame:
     """``(site_id, target, inlinks, sources)``: up to ``most`` sources each, in page and link order."""
     one = links(pages).where("internal").select("site_id", F.col("normalized").alias("target"), F.struct("seq", "pos", F.col("page_url").alias("from"), "anchor", "area").alias("link"))
-    ranked = one.withColumn("n", F.row_number().over(Window.partitionBy("site_id", "target").orderBy("link")))
-    return ranked.groupBy("site_id", "target").agg(F.count("*").alias("inlinks"), F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.col("link")))).alias("sources"))
+    first = one.withColumn("n", F.row_number().over(Window.partitionBy("site_id", "target").orderBy("link"))).where(F.col("n") <= most)
+    sources = first.groupBy("site_id", "target").agg(F.array_sort(F.collect_list("link")).alias("sources"))
+    return inlinks(pages).join(sources, ["site_id", "target"])
 
 
 def duplicate_groups(pages: DataFrame, column: str) -> DataFrame:
-    """``(site_id, key, pages)``: normalised values that two or more indexable pages have, pages in order."""
+    """``(site_id, key, pages, n, first)``: normalised values that two or more indexable pages have, the first pages in order."""
     keyed = pages.where("idx").select("site_id", T.normalize_key(column).alias("key"), "seq", "normalized_url").where("key <> ''")
-    groups = keyed.groupBy("site_id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "normalized_url"))).alias("rows")).where("size(rows) >= 2")
-    return groups.select("site_id", "key", F.col("rows.normalized_url").alias("pages"), F.col("rows")[0]["seq"].alias("first"))
+    firsts = keyed.groupBy("site_id", "key").agg(F.min("seq").alias("first"), F.count("*").alias("c")).where("c >= 2").drop("c")
+    shared = keyed.join(firsts, ["site_id", "key"])
+    return first_listed(shared, ["site_id", "key", "first"]).select("site_id", "key", F.col("listed").alias("pages"), "n", "first")
 
 
 def orphans(pages: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelumen.functions import text as T
 from sitelumen.functions import url as U
 from sitelumen.operators import near_duplicates as N
 from sitelumen.operators import site as S
-from sitelumen.plans.catalog import BY_ID, CATEGORY_WEIGHT, CONTENT_DEPENDENT, EFFORT_FACTOR, RULES, SEVERITIES, SEVERITY_BOOST, SEVERITY_MULTIPLIER, Rule
+from sitelumen.plans.catalog import CATEGORY_WEIGHT, CONTENT_DEPENDENT, EFFORT_FACTOR, RULES, SAMPLES, SEVERITIES, SEVERITY_BOOST, SEVERITY_MULTIPLIER, Rule
 from sitelumen.session import cut
 from sitelumen.sources import html_extract, robots
 from sitelumen.sources.pages import Capabilities
@@ -50,11 +53,17 @@ class Audit:
     category_scores: DataFrame
     site_scores: DataFrame
     actions: DataFrame
-    rules: list[Rule] = field(default_factory=list)
+    rules: list[Rule]
+    rule_errors: DataFrame
+    unread: DataFrame
+    side: SideInputs
+    caps: Capabilities
+    crawl: DataFrame | None = None
+    options: dict = field(default_factory=dict)
 
     def views(self) -> None:
         """Temporary views ``pages``, ``findings`` and so on, for SQL."""
-        for name in ("pages", "page_facts", "site_facts", "findings", "applicability", "category_scores", "site_scores", "actions"):
+        for name in ("pages", "page_facts", "site_facts", "findings", "applicability", "category_scores", "site_scores", "actions", "rule_errors", "unread"):
             getattr(self, name).createOrReplaceTempView(name)
         S.links(self.pages).createOrReplaceTempView("links")
 
@@ -67,9 +76,13 @@ def _any(text, markers: tuple[str, ...]):
 
 
 def page_models(raw: DataFrame) -> DataFrame:
-    """One row a page (last of a normalised URL), with the parsed record's fields and the facts of the raw html."""
+    """One row a page (last of a normalised URL), with the parsed record's fields and the facts of the raw html.
+
+    Pages that another capture of their URL replaces are left out before anything is parsed.
+    """
     html = F.coalesce("html", F.lit(""))
-    raw = raw.withColumn("html", html).select(
+    named = raw.withColumn("html", html).withColumn("normalized_url", F.coalesce(U.normalize_url("url"), "url"))
+    raw = S.last_wins(named).drop("normalized_url").select(
         "*",
         F.octet_length("html").alias("html_bytes"),
         T.utf16_length("html").alias("html_length"),
@@ -79,8 +92,7 @@ def page_models(raw: DataFrame) -> DataFrame:
         _any(F.lower("html"), SPA_MARKERS).alias("spa_marker"),
     )
     keep = [c for c in raw.columns if c not in ("html", "final_url", "transfer_bytes")]
-    parsed = html_extract.parsed_pages(raw, keep)
-    return S.last_wins(parsed).select(*keep, "normalized_url", "seq", *html_extract.model_columns())
+    return html_extract.parsed_pages(raw, keep).select(*keep, "normalized_url", *html_extract.model_columns())
 
 
 def derived(models: DataFrame) -> DataFrame:
@@ -162,12 +174,17 @@ def page_facts(pages: DataFrame, side: SideInputs) -> DataFrame:
 
 
 def _ordered(rows: DataFrame, name: str) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("seq", "normalized_url")))
-    return rows.groupBy("site_id").agg(listed.alias("r")).select("site_id", F.col("r.normalized_url").alias(name))
+    return S.first_listed(rows, ["site_id"]).select("site_id", F.col("listed").alias(name), F.col("n").alias(f"{name}_count"))
+
 
+def shared_values(pages: DataFrame) -> dict[str, DataFrame]:
+    """Of each column that a rule groups by, the groups of pages with one value."""
+    return {r.groups: S.duplicate_groups(pages, r.groups) for r in RULES if r.groups}
 
-def site_facts(pages: DataFrame, side: SideInputs, caps: Capabilities, single_page: bool = False, now=None) -> DataFrame:
+
+def site_facts(pages: DataFrame, side: SideInputs, caps: Capabilities, single_page: bool = False, now=None, groups: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row a site."""
+    groups = shared_values(pages) if groups is None else groups
     now = now if now is not None else F.current_timestamp()
     home = F.min_by(F.struct("url", "types"), F.struct("path_depth", "seq"))
     facts = pages.groupBy("site_id").agg(
@@ -180,12 +197,10 @@ def site_facts(pages: DataFrame, side: SideInputs, caps: Capabilities, single_pa
         F.bool_or(F.array_contains("types", "Organization")).alias("has_organization"),
         F.bool_or(F.exists("nodes", lambda n: F.array_contains(n["types"], "Organization") & n["same_as"])).alias("has_same_as"),
     )
-    groups = F.array_sort(F.collect_list(F.struct("first", "pages")))
-    for column, name in (("title", "title_groups"), ("meta_description", "description_groups")):
-        found = S.duplicate_groups(pages, column).groupBy("site_id").agg(groups.alias("g")).select("site_id", F.col("g.pages").alias(name))
-        facts = _left(facts, found, {name: "array()"}, ["site_id"])
+    for column, found in groups.items():
+        facts = _left(facts, found.groupBy("site_id").agg(F.count("*").alias(f"{column}_groups")), {f"{column}_groups": "0L"}, ["site_id"])
     facts = _left(facts, N.pair_total(pages).withColumnRenamed("pairs", "near_duplicates"), {"near_duplicates": "0L"}, ["site_id"])
-    facts = _left(facts, _ordered(S.orphans(pages), "orphans"), {"orphans": "array()"}, ["site_id"])
+    facts = _left(facts, _ordered(S.orphans(pages), "orphans"), {"orphans": "array()", "orphans_count": "0L"}, ["site_id"])
     facts = facts.withColumns({"single_page": F.lit(single_page), "net": F.lit(caps.net), "headers": F.lit(caps.headers)})
 
     status = side.url_status
@@ -209,7 +224,7 @@ def site_facts(pages: DataFrame, side: SideInputs, caps: Capabilities, single_pa
         lost = _ordered(S.sitemap_orphans(pages, locs), "sitemap_orphans")
     facts = _left(facts, listed, {"sitemap_entries": "0L", "sitemap_locs": "0L", "lastmod_bad": "0L"}, ["site_id"])
     facts = _left(facts, bad, {"sitemap_bad": "0L"}, ["site_id"])
-    facts = _left(facts, lost, {"sitemap_orphans": "CAST(array() AS array<string>)"}, ["site_id"])
+    facts = _left(facts, lost, {"sitemap_orphans": "CAST(array() AS array<string>)", "sitemap_orphans_count": "0L"}, ["site_id"])
     found = blocked = None
     if side.robots is not None:
         found = side.robots.groupBy("site_id").agg(F.bool_or(F.col("raw").isNotNull()).alias("robots_found"))
@@ -225,32 +240,81 @@ def evaluated(rules: list[Rule], caps: Capabilities) -> list[Rule]:
     return [r for r in rules if not ("headers" in r.needs and not caps.headers) and not ("net" in r.needs and not caps.net)]
 
 
-def _sql(rule: Rule, min_words: int) -> tuple[str, str]:
-    applies = f"coalesce({rule.applies}, false)"
-    fails = f"coalesce({rule.fails.replace('{min_words}', str(min_words))}, false)"
-    return applies, f"({applies}) AND ({fails})"
+def _sql(rule: Rule, min_words: int, n: int = 0) -> dict[str, str]:
+    """The rule's expressions by name; those of a rule in Python read what its check has left in ``_check{n}``."""
+    applies, said = f"coalesce({rule.applies}, false)", f"_check{n}"
+    fails = f"{said}.fails" if rule.check else rule.fails.replace("{min_words}", str(min_words))
+    failing = f"({applies}) AND coalesce({fails}, false)"
+    measure = f"{said}.measure" if rule.check else rule.measure
+    return {
+        "applies": applies, "fails": failing, "measure": f"CAST({measure} AS double)",
+        "sample": f"CASE WHEN {failing} THEN CAST(slice({rule.sample}, 1, {SAMPLES}) AS array<string>) END" if rule.sample != "NULL" else "CAST(NULL AS array<string>)",
+        "error": f"CASE WHEN {applies} THEN {said}.error END" if rule.check else "CAST(NULL AS string)",
+    }
 
 
 def _verdicts(rules: list[Rule], min_words: int, fields: dict[str, str]) -> str:
     """An array with one struct a rule; ``fields`` names the rule's further expressions and their types."""
     parts = []
-    for r in rules:
-        applies, fails = _sql(r, min_words)
+    for n, r in enumerate(rules):
+        own = "".join(f", '{name}', {sql}" for name, sql in _sql(r, min_words, n).items())
         rest = "".join(f", '{name}', CAST({getattr(r, name) or 'NULL'} AS {kind})" for name, kind in fields.items())
-        parts.append(f"named_struct('rule_id', '{r.id}', 'applies', {applies}, 'fails', {fails}, 'measure', CAST({r.measure} AS double){rest})")
-    empty = ",".join(["rule_id:string", "applies:boolean", "fails:boolean", "measure:double", *(f"{name}:{kind}" for name, kind in fields.items())])
+        parts.append(f"named_struct('rule_id', '{r.id}'{own}{rest})")
+    empty = ",".join(["rule_id:string", "applies:boolean", "fails:boolean", "measure:double", "sample:array<string>", "error:string", *(f"{name}:{kind}" for name, kind in fields.items())])
     return f"array({', '.join(parts)})" if parts else f"CAST(array() AS array<struct<{empty}>>)"
 
 
-def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: int = 300) -> tuple[DataFrame, DataFrame]:
-    """``(findings, applicability)``; every facts row is evaluated once, and kept as an array of verdicts.
+def _checks(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` with ``_check{n}`` for each rule in Python: what its check says of the row, or what it raises."""
+
+    def called(check):
+        @F.pandas_udf("fails boolean, measure double, error string")
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                out = []
+                for row in part.to_dict("records"):
+                    try:
+                        said = check(row)
+                        out.append((said is not None and said is not False, None if said is None or isinstance(said, bool) else float(said), None))
+                    except Exception as e:  # an error of a rule is a row, not the end of the audit
+                        out.append((False, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(out, columns=["fails", "measure", "error"])
+
+        return run
+
+    return rows.withColumns({f"_check{n}": called(r.check)(F.struct(*r.reads)) for n, r in enumerate(rules) if r.check})
+
+
+def sound(rows: DataFrame, rules: list[Rule], min_words: int = 300) -> tuple[list[Rule], dict[str, str]]:
+    """The rules whose expressions the columns of ``rows`` can answer, and what is wrong with each of the others."""
+    empty = rows.sparkSession.createDataFrame([], rows.schema)
 
-    Counting adds up booleans of the array; only failed verdicts become rows.
+    def problem(some: list[Rule]) -> str | None:
+        try:
+            columns = [F.expr(sql) for r in some if not r.check for name, sql in _sql(r, min_words).items() if name != "error"]
+            columns += [F.expr(f"CAST({r.pages} AS array<string>)") for r in some] + [F.expr(f"CAST({r.page} AS string)") for r in some]
+            columns += [F.expr(r.applies) for r in some if r.check] + [F.col(c) for r in some for c in r.reads]
+            empty.select(*columns).schema  # noqa: B018
+        except (AnalysisException, ParseException) as e:
+            return str(e).splitlines()[0]
+        return None
+
+    if problem(rules) is None:
+        return rules, {}
+    wrong = {r.id: said for r in rules if (said := problem([r])) is not None}
+    return [r for r in rules if r.id not in wrong], wrong
+
+
+def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: int = 300, groups: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(findings, applicability, errors)``; every facts row is evaluated once, and kept as an array of verdicts.
+
+    Counting adds up booleans of the array; only failed verdicts become rows. A rule that the facts cannot answer is left
+    out and has an error, and so has a row on which a rule in Python raised one.
     """
-    page_rules = [r for r in rules if r.scope == "page"]
-    site_rules = [r for r in rules if r.scope == "site"]
-    pages = facts.select("site_id", "seq", "normalized_url", F.expr(_verdicts(page_rules, min_words, {})).alias("verdicts"))
-    whole = sites.select("site_id", F.inline(F.expr(_verdicts(site_rules, min_words, {"page": "string", "pages": "array<string>", "groups": "array<array<string>>"}))))
+    page_rules, unfit = sound(facts, [r for r in rules if r.scope == "page"], min_words)
+    site_rules, more = sound(sites, [r for r in rules if r.scope == "site"], min_words)
+    pages = _checks(facts, page_rules).select("site_id", "seq", "normalized_url", F.expr(_verdicts(page_rules, min_words, {})).alias("verdicts"))
+    whole = _checks(sites, site_rules).select("site_id", F.inline(F.expr(_verdicts(site_rules, min_words, {"page": "string", "pages": "array<string>"}))))
     pages, whole = cut(pages), cut(whole)
     counts = pages.groupBy("site_id").agg(
         *[F.count_if(F.col("verdicts")[i]["applies"]).alias(f"a{i}") for i in range(len(page_rules))], *[F.count_if(F.col("verdicts")[i]["fails"]).alias(f"f{i}") for i in range(len(page_rules))]
@@ -259,38 +323,56 @@ def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: i
     each = f"array({each})" if each else "CAST(array() AS array<struct<rule_id:string,applicable:bigint,failed:bigint>>)"
     page_counts = counts.select("site_id", F.inline(F.expr(each)))
     site_counts = whole.select("site_id", "rule_id", F.col("applies").cast("bigint").alias("applicable"), F.col("fails").cast("bigint").alias("failed"))
-    none = F.lit(None).cast("array<string>")
+    none, one = F.lit(None).cast("array<string>"), F.lit(1).cast("bigint")
+    columns = ["site_id", "rule_id", "scope", "page", "pages", "affected", "measure", "sample", "seq"]
     failed_pages = pages.select("site_id", "seq", "normalized_url", F.inline(F.filter("verdicts", lambda v: v["fails"])))
-    from_pages = failed_pages.select("site_id", "rule_id", F.lit("page").alias("scope"), F.col("normalized_url").alias("page"), none.alias("pages"), "measure", "seq")
-    failed = whole.where("fails")
-    single = failed.where("groups IS NULL").select("site_id", "rule_id", F.lit("site").alias("scope"), "page", "pages", "measure", F.lit(0).cast("bigint").alias("seq"))
-    grouped = failed.where("groups IS NOT NULL").select("site_id", "rule_id", F.posexplode("groups").alias("seq", "pages"))
-    grouped = grouped.select("site_id", "rule_id", F.lit("site").alias("scope"), F.lit(None).cast("string").alias("page"), "pages", F.size("pages").cast("double").alias("measure"), F.col("seq").cast("bigint").alias("seq"))
-    return from_pages.unionByName(single).unionByName(grouped), page_counts.unionByName(site_counts)
+    found = failed_pages.withColumns({"scope": F.lit("page"), "page": F.col("normalized_url"), "pages": none, "affected": one}).select(columns)
+    failed = whole.where("fails").withColumns({"scope": F.lit("site"), "seq": F.lit(0).cast("bigint")})
+    grouped = [r for r in site_rules if r.groups]
+    single = failed.where(~F.col("rule_id").isin([r.id for r in grouped])) if grouped else failed
+    affected = F.when(F.col("pages").isNull(), one).otherwise(F.coalesce(F.col("measure"), F.size("pages")).cast("bigint"))
+    found = found.unionByName(single.withColumn("affected", affected).select(columns))
+    for r in grouped:
+        own = (groups or {})[r.groups].select("site_id", "pages", F.col("n").alias("affected"), F.col("n").cast("double").alias("measure"), F.array(F.col("key")).alias("sample"), F.col("first").alias("seq"))
+        own = own.join(failed.where(F.col("rule_id") == r.id).select("site_id"), "site_id", "left_semi")
+        found = found.unionByName(own.withColumns({"rule_id": F.lit(r.id), "scope": F.lit("site"), "page": F.lit(None).cast("string")}).select(columns))
+    errors = pages.select("site_id", F.col("normalized_url").alias("page"), F.inline(F.filter("verdicts", lambda v: v["error"].isNotNull()))).select("site_id", "rule_id", "page", "error")
+    errors = errors.unionByName(whole.where("error IS NOT NULL").select("site_id", "rule_id", F.lit(None).cast("string").alias("page"), "error"))
+    if wrong := unfit | more:
+        listed = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.lit(None).cast("string").alias("page"), F.lit(v).alias("error")) for k, v in wrong.items()])
+        errors = errors.unionByName(sites.select("site_id", F.inline(listed)))
+    return found, page_counts.unionByName(site_counts), errors
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def rule_dim(spark, rules: list[Rule] = RULES) -> DataFrame:
     """Scalar metadata of the rules; a table of their number."""
     rows = ", ".join(
         f"('{r.id}', '{r.category}', '{r.severity}', {r.weight}, {r.impact}, '{r.effort}', '{r.scope}', {SEVERITIES.index(r.severity)}, "
-        f"{SEVERITY_MULTIPLIER[r.severity]}D, {SEVERITY_BOOST[r.severity]}D, {EFFORT_FACTOR[r.effort]}D, {str(r.id in CONTENT_DEPENDENT).lower()})"
+        f"{SEVERITY_MULTIPLIER[r.severity]}D, {SEVERITY_BOOST[r.severity]}D, {EFFORT_FACTOR[r.effort]}D, {str(r.id in CONTENT_DEPENDENT).lower()}, {_quoted(r.says)}, {_quoted(r.mend)})"
         for r in rules
     )
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_id, category, severity, weight, impact, effort, scope, rank, multiplier, boost, effort_factor, content_dependent)")
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_id, category, severity, weight, impact, effort, scope, rank, multiplier, boost, effort_factor, content_dependent, says, fix)")
 
 
-def with_metadata(findings: DataFrame, sites: DataFrame, partial: DataFrame | None = None) -> DataFrame:
-    """Findings with the rule's metadata, evidence as JSON and confidence.
+def with_metadata(findings: DataFrame, sites: DataFrame, partial: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
+    """Findings with the rule's metadata, message, fix, evidence as JSON and confidence.
 
     Confidence is low for content-dependent rules on a client-rendered site, else medium where the crawl was partial.
     """
-    dim = F.broadcast(rule_dim(findings.sparkSession).drop("scope", "multiplier", "boost", "effort_factor"))
+    dim = F.broadcast(rule_dim(findings.sparkSession, rules).drop("scope", "multiplier", "boost", "effort_factor"))
     spa = sites.select("site_id", (F.col("spa_share") >= 0.5).alias("spa_site"))
     joined = findings.join(dim, "rule_id").join(spa, "site_id", "left")
     joined = joined.withColumn("partial", F.lit(False)) if partial is None else _left(joined, partial.select("site_id", "partial"), {"partial": "false"}, ["site_id"])
     confidence = F.when(F.col("spa_site") & F.col("content_dependent"), F.lit("low")).when(F.col("partial"), F.lit("medium")).otherwise(F.lit("high"))
-    evidence = F.to_json(F.struct(F.col("measure").alias("value"), F.size("pages").alias("pages")))
-    return joined.withColumns({"confidence": confidence, "evidence": evidence}).drop("spa_site", "content_dependent", "partial")
+    count = F.when(F.col("pages").isNotNull(), F.col("affected"))
+    evidence = F.to_json(F.struct(F.col("measure").alias("value"), count.alias("pages"), "sample"))
+    number = F.when(F.col("measure") == F.floor("measure"), F.col("measure").cast("bigint").cast("string")).otherwise(F.round("measure", 2).cast("string"))
+    message = F.replace(F.replace("says", F.lit("{value}"), F.coalesce(number, F.lit("no"))), F.lit("{pages}"), F.coalesce(count, F.lit(0)).cast("string"))
+    return joined.withColumns({"confidence": confidence, "evidence": evidence, "message": message}).drop("spa_site", "content_dependent", "partial", "says", "sample")
 
 
 def js_round(x, digits: int = 0):
@@ -298,12 +380,12 @@ def js_round(x, digits: int = 0):
     return F.floor(x * 10**digits + 0.5) / 10**digits if digits else F.floor(x + 0.5)
 
 
-def category_scores(applicability: DataFrame, findings: DataFrame) -> DataFrame:
+def category_scores(applicability: DataFrame, findings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Penalty, maximum and score of each category of a site; a null score where nothing could be evaluated."""
     spark = applicability.sparkSession
     damping = F.when(F.col("confidence") == "low", 0.4).when(F.col("confidence") == "medium", 0.7).otherwise(1.0)
     damp = findings.groupBy("site_id", "rule_id").agg(F.min(damping).alias("damping"), F.count("*").alias("found"))
-    rows = applicability.join(F.broadcast(rule_dim(spark)), "rule_id").join(damp, ["site_id", "rule_id"], "left")
+    rows = applicability.join(F.broadcast(rule_dim(spark, rules)), "rule_id").join(damp, ["site_id", "rule_id"], "left")
     counted = F.col("applicable") > 0
     scored = counted & (F.col("severity") != "info")
     full = F.col("weight") * F.col("multiplier")
@@ -343,14 +425,19 @@ def site_scores(scores: DataFrame, findings: DataFrame, sites: DataFrame) -> Dat
     return rows.withColumn("overall", overall).select("site_id", "overall", verdict.alias("verdict"), "security")
 
 
-def actions(findings: DataFrame, applicability: DataFrame) -> DataFrame:
-    """One action a failed rule and site: count, prevalence, priority score and bucket, up to five sample pages."""
-    dim = F.broadcast(rule_dim(findings.sparkSession).select("rule_id", "boost", "effort_factor"))
-    ordered = F.struct("seq", F.coalesce("pages", F.array("page")).alias("p"))
-    own = findings.groupBy("site_id", "rule_id", "category", "severity", "impact", "effort").agg(
-        F.sum(F.when(F.col("pages").isNull(), 1).otherwise(F.size("pages"))).cast("bigint").alias("count"),
-        F.slice(F.flatten(F.slice(F.array_sort(F.collect_list(ordered)), 1, 5)["p"]), 1, 5).alias("samples"),
-    )
+def actions(findings: DataFrame, applicability: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """One action a failed rule and site: what it says first and how to mend it, count, prevalence, priority score and bucket, up to five sample pages.
+
+    Only the first five findings of a rule and site are gathered.
+    """
+    dim = F.broadcast(rule_dim(findings.sparkSession, rules).select("rule_id", "boost", "effort_factor", "fix"))
+    own = findings.groupBy("site_id", "rule_id", "category", "severity", "impact", "effort").agg(F.sum("affected").alias("count"))
+    shown = F.coalesce(F.slice("pages", 1, 5), F.array("page"))
+    first = findings.select("site_id", "rule_id", "seq", shown.alias("p"), "message")
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("site_id", "rule_id").orderBy("seq", "p"))).where("n <= 5")
+    listed = F.array_sort(F.collect_list(F.struct("n", "p")))["p"]
+    first = first.groupBy("site_id", "rule_id").agg(F.slice(F.flatten(listed), 1, 5).alias("samples"), F.min_by("message", "n").alias("message"))
+    own = own.join(first, ["site_id", "rule_id"])
     rows = own.join(applicability, ["site_id", "rule_id"], "left").join(dim, "rule_id")
     prevalence = F.when(F.col("applicable") > 0, F.col("failed") / F.col("applicable")).otherwise(1.0)
     rows = rows.withColumn("p", prevalence)
@@ -358,29 +445,36 @@ def actions(findings: DataFrame, applicability: DataFrame) -> DataFrame:
     rows = rows.withColumn("s", F.when(F.col("severity") == "critical", F.greatest(score, F.lit(5.0))).otherwise(score))
     bucket = F.when(F.col("s") >= 5, "P0").when(F.col("s") >= 3, "P1").when(F.col("s") >= 1.5, "P2").otherwise("P3")
     samples = F.filter("samples", lambda x: x.isNotNull())
-    return rows.select("site_id", "rule_id", "category", "severity", "count", js_round(F.col("p"), 2).alias("prevalence"), js_round(F.col("s"), 2).alias("priority_score"), bucket.alias("priority"), samples.alias("samples"))
+    return rows.select("site_id", "rule_id", "category", "severity", "count", js_round(F.col("p"), 2).alias("prevalence"), js_round(F.col("s"), 2).alias("priority_score"), bucket.alias("priority"), samples.alias("samples"), "message", "fix")
 
 
 def worst_pages(findings: DataFrame, most: int = 10) -> DataFrame:
     """The pages of a site with the most findings, severe ones (critical, error) first."""
-    from pyspark.sql import Window
-
     counts = findings.where("page IS NOT NULL").groupBy("site_id", "page").agg(F.count_if(F.expr("rank <= 1")).alias("severe"), F.count("*").alias("total"))
     order = Window.partitionBy("site_id").orderBy(F.desc("severe"), F.desc("total"), "page")
     return counts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
 
-def audit(raw: DataFrame, side: SideInputs | None = None, caps: Capabilities | None = None, min_words: int = 300, single_page: bool = False, now=None, partial: DataFrame | None = None, rules: list[Rule] | None = None) -> Audit:
+def audit(
+    raw: DataFrame, side: SideInputs | None = None, caps: Capabilities | None = None, min_words: int = 300, single_page: bool = False, now=None, crawl: DataFrame | None = None, rules: list[Rule] | None = None,
+    options: dict | None = None,
+) -> Audit:
     """The whole audit.
 
     Pages, site facts and verdicts are read by several frames, so each is written once to the shared checkpoint folder;
-    that also keeps the plans behind them short, and lost executors cost no second parse.
+    that also keeps the plans behind them short, and lost executors cost no second parse. ``crawl`` has a row a site with
+    the ``status`` of its crawl and its counters; confidence is lower where it is not ok. Pages that cannot be parsed are
+    judged by no rule and listed in ``unread``.
     """
     side, caps = side or SideInputs(), caps or Capabilities()
-    chosen = evaluated(rules or RULES, caps)
-    pages = cut(derived(page_models(raw)))
-    facts, sites = page_facts(pages, side), cut(site_facts(pages, side, caps, single_page, now))
-    found, applicable = evaluate(facts, sites, chosen, min_words)
-    found = with_metadata(found, sites, partial)
-    scores = category_scores(applicable, found)
-    return Audit(pages, facts, sites, found, applicable, scores, site_scores(scores, found, sites), actions(found, applicable), [BY_ID.get(r.id, r) for r in chosen])
+    every_rule = rules or RULES
+    chosen = evaluated(every_rule, caps)
+    every = cut(derived(page_models(raw)))
+    pages, unread = every.where("parse_error IS NULL"), every.where("parse_error IS NOT NULL").select("site_id", F.col("normalized_url").alias("page"), F.col("parse_error").alias("error"))
+    groups = shared_values(pages)
+    facts, sites = page_facts(pages, side), cut(site_facts(pages, side, caps, single_page, now, groups))
+    found, applicable, errors = evaluate(facts, sites, chosen, min_words, groups)
+    partial = None if crawl is None else crawl.select("site_id", (F.col("status") != "ok").alias("partial"))
+    found = with_metadata(found, sites, partial, every_rule)
+    scores = category_scores(applicable, found, every_rule)
+    return Audit(pages, facts, sites, found, applicable, scores, site_scores(scores, found, sites), actions(found, applicable, every_rule), chosen, errors, unread, side, caps, crawl, options or {})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelumen.plans.audit import Audit, worst_pages
-from sitelumen.plans.catalog import BY_ID, RULES, SEVERITIES, catalog_digest
+from sitelumen.plans.catalog import BY_ID, CATEGORY_WEIGHT, RULES, SEVERITIES, catalog_digest
 
 LABELS = {"P0": "Now", "P1": "Next", "P2": "Soon", "P3": "Later"}
 
@@ -34,10 +34,31 @@ def page_rows(audit: Audit) -> DataFrame:
     )
 
 
+def site_rows(audit: Audit) -> DataFrame:
+    """``(site_id, run_status, counters, errors, site)``: what a document says of a site and its run."""
+    facts, side = audit.site_facts, audit.side
+    client = F.when(F.col("spa_share") >= 0.5, F.lit("client")).otherwise(F.lit("server"))
+    robots = F.struct(F.col("robots_found").alias("found"), F.col("ai_blocked").alias("blocked_ai_agents"))
+    rows = facts.select("site_id", F.col("pages").alias("page_count"), F.array_sort("hosts").alias("hosts"), F.array_sort("locales").alias("locales"), client.alias("rendering"), robots.alias("robots"), F.col("llms_found").alias("llms_txt"))
+    maps = F.array_sort(F.collect_list(F.struct("url", "ok")))
+    if side.sitemaps is None:
+        rows = rows.withColumn("sitemaps", F.expr("CAST(array() AS array<struct<url:string,ok:boolean>>)"))
+    else:
+        rows = rows.join(side.sitemaps.groupBy("site_id").agg(maps.alias("sitemaps")), "site_id", "left")
+    if audit.crawl is None:
+        rows = rows.withColumns({"status": F.lit("ok"), "counters": F.lit(None).cast("struct<requested:bigint>"), "errors": F.expr("CAST(array() AS array<struct<url:string,kind:string>>)")})
+    else:
+        counters = F.struct("requested", "fetched", "failed", "skipped_by_robots").alias("counters")
+        rows = rows.join(audit.crawl.select("site_id", "status", counters, "errors"), "site_id", "left")
+    site = F.struct("site_id", "status", "page_count", "hosts", "locales", "rendering", "robots", "sitemaps", "llms_txt")
+    return rows.select("site_id", "counters", "errors", site.alias("site"))
+
+
 def documents(audit: Audit) -> DataFrame:
     """``(site_id, document)``: the audit of each site as one JSON text, in a fixed order of keys and entries.
 
-    The lists of a document are those of one site; sites are built in parallel.
+    The lists of a document are those of one site, and sites are built in parallel. A site of more pages than one text
+    should hold is better served by ``write_tables``, which has the same rows.
     """
     rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(SEVERITIES)])
 
@@ -50,25 +71,31 @@ def documents(audit: Audit) -> DataFrame:
     found = audit.findings.withColumn("k", rank)
     lists = [
         listed(audit.category_scores, "categories", ["category"], ["category", "score", "penalty", "max_penalty", "evaluated_rules", "findings"]),
-        listed(audit.actions, "actions", [(-F.col("priority_score")).alias("o"), "rule_id"], ["rule_id", "category", "severity", "count", "prevalence", "priority_score", "priority", "samples"]),
+        listed(audit.actions, "actions", [(-F.col("priority_score")).alias("o"), "rule_id"], ["rule_id", "category", "severity", "count", "prevalence", "priority_score", "priority", "message", "fix", "samples"]),
         listed(pages, "pages", ["url"], [c for c in pages.columns if c != "site_id"]),
-        listed(found, "findings", ["k", "rule_id", F.coalesce("page", F.lit("null")).alias("o"), "seq"], ["rule_id", "category", "severity", "weight", "scope", "page", "pages", "evidence", "confidence"]),
+        listed(found, "findings", ["k", "rule_id", F.collate(F.coalesce("page", F.lit("null")), "UNICODE").alias("o"), "seq"], ["rule_id", "category", "severity", "weight", "scope", "page", "pages", "confidence", "message", "fix", "evidence"]),
         listed(audit.applicability, "applicability", ["rule_id"], ["rule_id", "applicable", "failed"]),
+        listed(audit.rule_errors, "rule_errors", ["rule_id", F.coalesce("page", F.lit("")).alias("o")], ["rule_id", "page", "error"]),
+        listed(audit.unread, "unread_pages", ["page"], ["page", "error"]),
     ]
-    counts = found.groupBy("site_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
-    counts = counts.select("site_id", F.struct(F.col("n").alias("findings"), *SEVERITIES).alias("summary"))
-    out = audit.site_scores.join(audit.site_facts.select("site_id", F.col("pages").alias("page_count")), "site_id").join(counts, "site_id", "left")
+    counts = found.groupBy("site_id").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.struct(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORY_WEIGHT]).alias("by_category")
+    )
+    counts = counts.select("site_id", F.struct(F.col("n").alias("findings"), *SEVERITIES, "by_category").alias("summary"))
+    out = audit.site_scores.join(site_rows(audit), "site_id").join(counts, "site_id", "left")
     for rows in lists:
         out = out.join(rows, "site_id", "left")
-    run = F.struct(F.lit("sitelumen").alias("tool"), F.lit(len(RULES)).alias("rules"), F.lit(catalog_digest()).alias("catalog"))
+    known = F.struct(F.lit(audit.caps.headers).alias("headers"), F.lit(audit.caps.net).alias("net"))
+    options = F.lit(json.dumps(audit.options, sort_keys=True, default=str)).alias("options")
+    run = F.struct(F.lit("sitelumen").alias("tool"), F.lit(len(RULES)).alias("rules"), F.lit(len(audit.rules)).alias("evaluated_rules"), F.lit(catalog_digest()).alias("catalog"), F.col("site.status").alias("status"), known.alias("capabilities"), options, "counters", "errors", "rule_errors", "unread_pages")
     scores = F.struct("overall", "verdict", "security", "categories").alias("scores")
-    whole = F.struct(run.alias("run"), F.struct("site_id", "page_count").alias("site"), scores, "summary", "actions", "pages", "findings", "applicability")
+    whole = F.struct(run.alias("run"), "site", scores, "summary", "actions", "pages", "findings", "applicability")
     return out.select("site_id", F.to_json(whole).alias("document"))
 
 
 def write_tables(audit: Audit, folder: str) -> None:
     """Every frame as Parquet, partitioned by nothing but its rows."""
-    for name in ("findings", "applicability", "category_scores", "site_scores", "actions"):
+    for name in ("findings", "applicability", "category_scores", "site_scores", "actions", "rule_errors", "unread"):
         getattr(audit, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
@@ -91,6 +118,10 @@ def warnings(document: dict) -> list[str]:
         out.append("Part of the pages could not be fetched.")
     if any(a["rule_id"] == "client-side-rendering" and a["failed"] for a in document.get("applicability") or []):
         out.append("Most pages are rendered in the browser; findings about content have low confidence.")
+    if document["run"].get("rule_errors"):
+        out.append("Some rules could not be evaluated everywhere; the document lists their errors.")
+    if document["run"].get("unread_pages"):
+        out.append("Some pages could not be parsed and were judged by no rule.")
     if not any(BY_ID[a["rule_id"]].needs and not BY_ID[a["rule_id"]].offline for a in document.get("applicability") or [] if a["rule_id"] in BY_ID):
         out.append("Offline run: rules that need response headers or network data were left out.")
     return out
@@ -106,6 +137,29 @@ def _worst(document: dict, most: int = 10) -> list[tuple[str, int, int]]:
     return [(u, s, t) for u, (s, t) in sorted(counts.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))[:most]]
 
 
+def _facts(document: dict) -> list[tuple[str, object]]:
+    """What a report says of the site's files and of the run."""
+    site, run = document["site"], document["run"]
+    maps, counters, robots = site.get("sitemaps") or [], run.get("counters") or {}, site.get("robots") or {}
+    offline = not (run.get("capabilities") or {}).get("net")
+    return [
+        ("robots.txt", "not looked for" if offline else f"found, {robots.get('blocked_ai_agents', 0)} AI agents barred" if robots.get("found") else "missing"),
+        ("sitemaps", "not looked for" if offline else f"{sum(bool(m['ok']) for m in maps)} of {len(maps)} readable"),
+        ("llms.txt", "not looked for" if offline else "found" if site.get("llms_txt") else "missing"),
+        ("rendering", site.get("rendering")),
+        ("hosts", ", ".join(site.get("hosts") or [])),
+        ("languages", ", ".join(site.get("locales") or []) or "none declared"),
+        ("crawl", f"{site.get('status')}" + (f"; {counters['requested']} asked, {counters['fetched']} read, {counters['failed']} failed, {counters['skipped_by_robots']} barred by robots.txt" if counters else "")),
+        ("rules", f"{run.get('evaluated_rules', run['rules'])} of {run['rules']} evaluated, catalogue {run['catalog']}, {len(run.get('rule_errors') or [])} errors of rules, {len(run.get('unread_pages') or [])} pages unread"),
+    ]
+
+
+METHOD = (
+    "Each rule is counted on the pages that it applies to. A failed rule costs its weight times its severity, more the more pages fail; a category's score is what is left of 100. "
+    "Categories without an evaluated rule have no score, and the overall score weighs the others. Security is scored apart."
+)
+
+
 def markdown(document: dict) -> str:
     """A site's report in Markdown; every value from a page is escaped."""
     s = document["scores"]
@@ -118,24 +172,31 @@ def markdown(document: dict) -> str:
         if own:
             lines += ["", f"## {bucket}: {label}", ""]
             for a in own:
-                lines.append(f"- {md_safe(a['rule_id'])} ({a['severity']}, {a['count']} found, score {a['priority_score']})")
+                lines.append(f"- {md_safe(a.get('message') or a['rule_id'])} ({md_safe(a['rule_id'])}, {a['severity']}, {a['count']} found, score {a['priority_score']})")
+                lines += [f"  - To do: {md_safe(a['fix'])}"] if a.get("fix") else []
                 lines += [f"  - {md_safe(u)}" for u in a.get("samples") or []]
     lines += ["", "## Pages with most findings", ""] + [f"- {md_safe(u)}: {n} severe, {t} in all" for u, n, t in _worst(document)]
-    lines += ["", f"Rules: {document['run']['rules']}, catalogue {document['run']['catalog']}."]
+    lines += ["", "## Site and run", ""] + [f"- {k}: {md_safe(v)}" for k, v in _facts(document)]
+    lines += ["", "## Method", "", METHOD]
     return "\n".join(lines) + "\n"
 
 
 def html_report(document: dict) -> str:
     """A self-contained page; every value from a page is escaped."""
     s = document["scores"]
-    rows = "".join(f"<tr><td>{esc(c['category'])}</td><td>{esc(c.get('score', 'n/a'))}</td><td>{esc(c['findings'])}</td></tr>" for c in s.get("categories") or [])
-    acts = "".join(f"<li><b>{esc(a['priority'])}</b> {esc(a['rule_id'])} ({esc(a['severity'])}, {esc(a['count'])})<ul>{''.join(f'<li>{esc(u)}</li>' for u in a.get('samples') or [])}</ul></li>" for a in document.get("actions") or [])
+    rows = "".join(f"<tr><td>{esc(c['category'])}</td><td>{esc(c.get('score', 'n/a'))}</td><td>{esc(c['evaluated_rules'])}</td><td>{esc(c['findings'])}</td></tr>" for c in s.get("categories") or [])
+    acts = "".join(
+        f"<li><b>{esc(a['priority'])}</b> {esc(a.get('message') or a['rule_id'])} <small>{esc(a['rule_id'])}, {esc(a['severity'])}, {esc(a['count'])} found</small><p>{esc(a.get('fix'))}</p><ul>{''.join(f'<li>{esc(u)}</li>' for u in a.get('samples') or [])}</ul></li>"
+        for a in document.get("actions") or []
+    )
     notes = "".join(f"<p class=note>{esc(w)}</p>" for w in warnings(document))
     worst = "".join(f"<li>{esc(u)}: {n} severe, {t} in all</li>" for u, n, t in _worst(document))
+    facts = "".join(f"<tr><th>{esc(k)}</th><td>{esc(v)}</td></tr>" for k, v in _facts(document))
     title = f"Audit of {esc(document['site']['site_id'])}"
     return (
-        f"<!doctype html><html lang=en><head><meta charset=utf-8><title>{title}</title><style>body{{font:16px sans-serif;max-width:60em;margin:auto}}td{{padding:.2em 1em}}.note{{background:#fec}}</style></head>"
-        f"<body><h1>{title}</h1><p>Overall {esc(s.get('overall', 'n/a'))} ({esc(s.get('verdict'))})</p>{notes}<table>{rows}</table><h2>Actions</h2><ol>{acts}</ol><h2>Pages with most findings</h2><ul>{worst}</ul></body></html>"
+        f"<!doctype html><html lang=en><head><meta charset=utf-8><title>{title}</title><style>body{{font:16px sans-serif;max-width:60em;margin:auto}}td,th{{padding:.2em 1em;text-align:left}}.note{{background:#fec}}</style></head>"
+        f"<body><h1>{title}</h1><p>Overall {esc(s.get('overall', 'n/a'))} ({esc(s.get('verdict'))})</p>{notes}<table><tr><th>category<th>score<th>rules evaluated<th>findings</tr>{rows}</table>"
+        f"<h2>Actions</h2><ol>{acts}</ol><h2>Pages with most findings</h2><ul>{worst}</ul><h2>Site and run</h2><table>{facts}</table><h2>Method</h2><p>{esc(METHOD)}</p></body></html>"
     )
 
 

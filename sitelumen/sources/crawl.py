@@ -7,8 +7,10 @@ import time
 import urllib.error
 import urllib.request
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,10 @@ CHALLENGE_STATUS = (403, 429, 503)
 # --- end of fixed values ---
 
 AGENT = "AuditBot/0.1"
-RESPONSE = "url string, status int, html string, headers map<string,string>, redirect_chain array<struct<url:string,status:int,to:string>>, final_url string, ttfb_ms bigint, error string, transfer_bytes bigint"
+RESPONSE = "url string, status int, html string, headers map<string,string>, redirect_chain array<struct<url:string,status:int,to:string>>, final_url string, ttfb_ms bigint, error string, transfer_bytes bigint, challenge boolean, streak int"
+FIELDS = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", RESPONSE)]
+#: Challenge pages in a row that end a crawl.
+STREAK = 3
 
 
 @dataclass(frozen=True)
@@ -41,6 +46,9 @@ class CrawlConfig:
     respect_robots: bool = True
     check_external: bool = False
     probes: int = 500
+    concurrency: int = 4
+    sitemaps_a_level: int = sitemap.MOST_A_LEVEL
+    sitemap_levels: int = sitemap.MOST_LEVELS
 
 
 def classify_error(error: BaseException) -> str:
@@ -52,14 +60,15 @@ def classify_error(error: BaseException) -> str:
     return "network"
 
 
-def gunzip(body: bytes) -> bytes:
-    """The body, unpacked if it is gzip; a cut-off or broken one as far as it can be read."""
-    if body[:2] != b"\x1f\x8b":
-        return body
-    try:
-        return zlib.decompressobj(31).decompress(body)
-    except zlib.error:
-        return body
+def unpacked(body: bytes, most: int, encoding: str = "") -> bytes:
+    """At most ``most`` bytes of the body, unpacked if it is gzip or is said to be deflate; a cut-off one as far as it can be read."""
+    ways = [31] if body[:2] == b"\x1f\x8b" else [15, -15] if encoding.strip().lower() == "deflate" else []
+    for way in ways:
+        try:
+            return zlib.decompressobj(way).decompress(body, most)
+        except zlib.error:
+            continue
+    return body[:most]
 
 
 class _NoRedirect(urllib.request.HTTPRedirectHandler):
@@ -68,12 +77,13 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
 
 
 def http_fetch(url: str, config: CrawlConfig, method: str = "GET") -> dict:
-    """One request with its redirects followed by hand, so that the chain is known; the body is capped."""
+    """One request with its redirects followed by hand, so that the chain is known; the body is capped, as sent and as unpacked."""
     opener, chain, at, began = urllib.request.build_opener(_NoRedirect()), [], url, time.time()
     seen = {url}
+    asked = {"User-Agent": config.user_agent, "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": "tr,en;q=0.8", "Accept-Encoding": "gzip, deflate"}
     while True:
         try:
-            answer = opener.open(urllib.request.Request(at, method=method, headers={"User-Agent": config.user_agent}), timeout=config.timeout_ms / 1000)
+            answer = opener.open(urllib.request.Request(at, method=method, headers=asked), timeout=config.timeout_ms / 1000)
         except urllib.error.HTTPError as e:
             answer = e
         except Exception as e:  # any failure of the network is a row, not an end
@@ -81,8 +91,9 @@ def http_fetch(url: str, config: CrawlConfig, method: str = "GET") -> dict:
         headers = {k.lower(): v for k, v in answer.headers.items()}
         to = U.parse(headers.get("location"), at) if answer.status in (301, 302, 303, 307, 308) and headers.get("location") else None
         if not to:
-            body = gunzip(answer.read(config.max_bytes)) if method == "GET" else b""
-            return {"url": url, "status": answer.status, "html": body.decode("utf-8", "replace"), "headers": headers, "redirect_chain": chain, "final_url": at, "ttfb_ms": int((time.time() - began) * 1000), "error": None, "transfer_bytes": len(body)}
+            sent = answer.read(config.max_bytes) if method == "GET" else b""
+            body = unpacked(sent, config.max_bytes, headers.get("content-encoding", ""))
+            return {"url": url, "status": answer.status, "html": body.decode("utf-8", "replace"), "headers": headers, "redirect_chain": chain, "final_url": at, "ttfb_ms": int((time.time() - began) * 1000), "error": None, "transfer_bytes": len(sent)}
         target = U.serialised(to)
         chain.append({"url": at, "status": answer.status, "to": target})
         if target in seen or len(chain) > config.max_redirects:
@@ -91,110 +102,175 @@ def http_fetch(url: str, config: CrawlConfig, method: str = "GET") -> dict:
         at = target
 
 
-def is_challenge(status: F.Column, headers: F.Column, body: F.Column) -> F.Column:
+def challenged(answer: dict) -> bool:
     """Whether a response is a bot-protection page."""
-    start = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 4000))
-    marked = F.lit(False)
-    for m in CHALLENGE_MARKERS:
-        marked = marked | F.contains(start, F.lit(m))
-    return F.coalesce(headers["cf-mitigated"], F.lit("")).__ne__("") | (status.isin(*CHALLENGE_STATUS) & marked)
+    start = (answer["html"] or "")[:4000].lower()
+    return bool((answer["headers"] or {}).get("cf-mitigated")) or (answer["status"] in CHALLENGE_STATUS and any(m in start for m in CHALLENGE_MARKERS))
+
 
+def fetched(urls: DataFrame, fetch: Callable[[str], dict], config: CrawlConfig, streak: int = 0, order: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Responses of ``urls(url)``; a host's URLs share a task, which asks for them in order.
 
-def fetched(urls: DataFrame, fetch: Callable[[str], dict], delay_ms: int) -> DataFrame:
-    """Responses of ``urls(url)``; a host's URLs share a task, which waits between requests."""
+    Up to ``concurrency`` requests of a host are under way at once, each begun ``delay_ms`` after the one before. After
+    STREAK challenge pages in a row (``streak`` of them before) the host is asked for nothing more.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str | None, float] = {}
-        for part in batches:
-            out = []
-            for u in part["url"]:
-                name = U.host(u)
-                wait = last.get(name, 0) + delay_ms / 1000 - time.time()
-                if wait > 0:
-                    time.sleep(wait)
-                last[name] = time.time()
-                out.append(fetch(u))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in re.split(r", (?=\w+ )", RESPONSE)])
+        streaks: dict[str | None, int] = {}
+
+        with ThreadPoolExecutor(max(1, config.concurrency)) as pool:
+            for part in batches:
+                out, waiting = [], deque()
+
+                def finish(out=out, waiting=waiting) -> None:
+                    name, answer = waiting.popleft()
+                    answer = dict(answer.result())
+                    answer["challenge"] = challenged(answer)
+                    answer["streak"] = streaks[name] = streaks.get(name, streak) + 1 if answer["challenge"] else 0
+                    out.append(answer)
+
+                for u in part["url"]:
+                    name = U.host(u)
+                    while len(waiting) >= max(1, config.concurrency):
+                        finish()
+                    if streaks.get(name, streak) >= STREAK:
+                        continue
+                    wait = last.get(name, 0) + config.delay_ms / 1000 - time.time()
+                    if wait > 0:
+                        time.sleep(wait)
+                    last[name] = time.time()
+                    waiting.append((name, pool.submit(fetch, u)))
+                while waiting:
+                    finish()
+                yield pd.DataFrame(out, columns=FIELDS)
+
+    host = U.host_of("url")
+    return urls.repartition(host).sortWithinPartitions(*order).select("url").mapInPandas(run, RESPONSE)
+
+
+def robots_access(spark: SparkSession, rules: DataFrame, config: CrawlConfig) -> Callable[[DataFrame], DataFrame]:
+    """A filter of ``url`` rows by the robots rules (site_id, raw) of their sites."""
+    agents, lines = robots.robots_rules(rules)
+    groups = robots.chosen_group(agents, spark.createDataFrame([(config.user_agent.split("/")[0],)], "token string"))
 
-    return urls.repartition(U.host_of("url")).mapInPandas(run, RESPONSE)
+    def allowed(urls: DataFrame) -> DataFrame:
+        if not config.respect_robots:
+            return urls
+        of = urls.select("url", U.registrable_domain("url").alias("site_id"), U.path_of("url").alias("path"))
+        barred = robots.access(lines, groups, of.select("site_id", "path").distinct()).where("NOT allowed").select("site_id", "path")
+        return urls.join(of.join(barred, ["site_id", "path"]).select("url").distinct(), "url", "left_anti")
 
+    return allowed
 
-def crawl(spark: SparkSession, start: str, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None) -> dict[str, DataFrame | str]:
-    """``raw`` pages, ``url_status``, ``robots``, ``sitemaps``, ``sitemap_entries``, ``llms_txt`` and the crawl's ``status``.
 
-    Status is ok, partial, blocked or failed.
+def crawl(spark: SparkSession, start: str, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None) -> dict[str, DataFrame | str]:
+    """``raw`` pages, ``url_status``, ``robots``, ``sitemaps``, ``sitemap_entries``, ``llms_txt``, the crawl's ``status`` and its ``counters``.
 
-    Each depth is one fetch of a distinct frontier without the URLs seen before; the frontier is a table and never
-    leaves the cluster. Three challenge pages or more at a depth with no other page end the crawl as blocked.
+    Status is ok, partial, blocked or failed. The frontier is the start, then what the sitemaps list and pages link to. Each
+    depth is one fetch of a distinct frontier without the URLs seen before; the frontier is a table and never leaves the
+    cluster. STREAK challenge pages in a row end the crawl as blocked.
     """
     fetch = fetch or (lambda u: http_fetch(u, config))
     site, origin = U.site_of(start), "/".join(start.split("/")[:3])
-    text = spark.createDataFrame([(origin + "/robots.txt",)], "url string")
-    rules = fetched(text, fetch, 0).select(F.lit(site).alias("site_id"), F.when(F.col("status").between(200, 299), F.col("html")).alias("raw"))
-    rules = cut(rules)
-    agents, lines = robots.robots_rules(rules)
-    groups = robots.chosen_group(agents, spark.createDataFrame([(config.user_agent.split("/")[0],)], "token string"))
-    frontier = spark.createDataFrame([(U.normalize(start) or start,)], "url string")
-    seen, every, count, status = None, None, 0, "ok"
+    at_once = replace(config, delay_ms=0)
+
+    def asked(urls: list[str], how: CrawlConfig = config) -> DataFrame:
+        return fetched(spark.createDataFrame([(u,) for u in urls], "url string"), fetch, how)
+
+    answered_ok, body = F.col("status").between(200, 299), F.coalesce("html", F.lit(""))
+    is_text = answered_ok & ~body.rlike(r"(?i)^\s*<(!doctype|html)")  # a page served in place of robots.txt is none
+    rules = cut(asked([origin + "/robots.txt"], at_once).select(F.lit(site).alias("site_id"), F.when(is_text, F.col("html")).alias("raw")))
+    allowed = robots_access(spark, rules, config)
+    llms = cut(asked([origin + "/llms.txt"], at_once).where(answered_ok).select(F.lit(site).alias("site_id"), body.alias("text")))
+
+    def sitemap_bodies(urls: DataFrame) -> DataFrame:
+        got = fetched(urls.select(F.col("sitemap_url").alias("url")), fetch, config)
+        return cut(got.select(F.lit(site).alias("site_id"), F.col("url").alias("sitemap_url"), F.when(answered_ok, F.col("html")).alias("xml")))
+
+    named = robots.robots_lines(rules).where("field = 'sitemap'").select("site_id", F.col("value").alias("sitemap_url")).distinct()
+    if named.isEmpty():
+        named = spark.createDataFrame([(site, origin + x) for x in ("/sitemap.xml", "/sitemap_index.xml")], "site_id string, sitemap_url string")
+    maps = cut(sitemap.collected(named, sitemap_bodies, config.sitemaps_a_level, config.sitemap_levels))
+    entries = cut(sitemap.entries(maps.where("ok")).drop("sitemap_url"))
+    listed = entries.select(U.normalize_url("loc").alias("url")).where(U.registrable_domain("url") == site).distinct()
+
+    frontier = spark.createDataFrame([(U.normalize(start) or start, 0)], "url string, late int")
+    seen, every, count, status, streak, skipped = None, None, 0, "ok", 0, 0
     for depth in range(config.max_depth + 1):
-        if config.respect_robots:
-            paths = frontier.select(F.lit(site).alias("site_id"), U.path_of("url").alias("path")).distinct()
-            barred = robots.access(lines, groups, paths).where("NOT allowed").select("path")
-            frontier = frontier.join(barred, U.path_of("url") == F.col("path"), "left_anti")
-        got = cut(fetched(frontier.orderBy("url").limit(config.max_pages - count), fetch, config.delay_ms).withColumn("depth", F.lit(depth)))
-        got_pages = got.where("status > 0").count()
-        challenged = got.where(is_challenge(F.col("status"), F.col("headers"), F.col("html"))).count()
+        wanted = frontier.where(~U.looks_non_html("url"))
+        frontier = cut(allowed(wanted))
+        skipped += wanted.count() - frontier.count()
+        seen = wanted.select("url") if seen is None else cut(seen.union(wanted.select("url")))
+        got = fetched(frontier.orderBy("late", "url").limit(config.max_pages - count), fetch, config, streak, ("late", "url"))
+        got = cut(got.withColumn("depth", F.lit(depth)))
         every = got if every is None else every.unionByName(got)
-        count += got_pages
-        if challenged >= 3 and challenged == got_pages:
+        models = got.where(_is_page())
+        facts = got.agg(F.count("*").alias("asked"), F.count_if(_is_page()).alias("pages"), F.count_if("challenge").alias("challenged"), F.max("streak").alias("streak")).first()
+        count += facts["pages"]
+        if (facts["streak"] or 0) >= STREAK:
             status = "blocked"
             break
-        if count >= config.max_pages or not got_pages:
+        streak = streak + facts["challenged"] if facts["challenged"] == facts["asked"] else 0
+        if count >= config.max_pages or depth == config.max_depth:
+            break
+        links = html_extract.parsed_pages(models, ["url"]).select(F.explode("model.links").alias("l")).where("l.internal").select(F.col("l.normalized").alias("url"), F.lit(1).alias("late"))
+        if depth == 0:
+            links = listed.withColumn("late", F.lit(0)).union(links)
+        frontier = cut(links.where("url IS NOT NULL").groupBy("url").agg(F.min("late").alias("late")).join(seen, "url", "left_anti"))
+        if frontier.isEmpty():
             break
-        seen = frontier if seen is None else seen.union(frontier)
-        is_html = F.coalesce(F.col("headers")["content-type"], F.lit("text/html")).rlike("(?i)text/html|application/xhtml")
-        models = html_extract.parsed_pages(got.where(is_html & F.col("status").between(200, 299)), ["url"])
-        links = models.select(F.explode("model.links").alias("l")).where("l.internal").select(F.col("l.normalized").alias("url")).where(~U.looks_non_html("url")).distinct()
-        frontier = cut(links.join(seen, "url", "left_anti"))
-    answered, asked = every.where("status > 0").count(), every.count()
-    if not answered:
+    every = every.withColumn("site_id", F.lit(site))
+    total = every.agg(F.count("*").alias("asked"), F.count_if(F.expr("status > 0")).alias("answered")).first()
+    if not total["answered"]:
         status = "failed"
-    elif status == "ok" and (asked - answered) / asked > 0.2:
+    elif status == "ok" and (total["asked"] - total["answered"]) / total["asked"] > 0.2:
         status = "partial"
-    raw = every.where("status > 0").withColumns({"site_id": F.lit(site), "source": F.lit("live"), "ingest_seq": F.col("depth") * (1 << 40) + F.pmod(F.xxhash64("url"), F.lit(1 << 40))})
-    statuses = every.select(F.lit(site).alias("site_id"), U.normalize_url("url").alias("url"), "status", F.size("redirect_chain").alias("redirects"), "error")
-    named = robots.robots_lines(rules).where("field = 'sitemap'").select("site_id", F.col("value").alias("sitemap_url")).distinct()
-    if named.isEmpty():
-        named = spark.createDataFrame([(site, origin + "/sitemap.xml")], "site_id string, sitemap_url string")
-
-    def sitemap_bodies(urls: DataFrame) -> DataFrame:
-        got = fetched(urls.select(F.col("sitemap_url").alias("url")), fetch, config.delay_ms)
-        return cut(got.select(F.lit(site).alias("site_id"), F.col("url").alias("sitemap_url"), F.when(F.col("status").between(200, 299), F.col("html")).alias("xml")))
-
-    maps = cut(sitemap.collected(named, sitemap_bodies))
-    llms = fetched(spark.createDataFrame([(origin + "/llms.txt",)], "url string"), fetch, 0)
-    llms = cut(llms.where(F.col("status").between(200, 299)).select(F.lit(site).alias("site_id"), F.coalesce("html", F.lit("")).alias("text")))
+    raw = every.where(_is_page()).withColumns({"source": F.lit("live"), "ingest_seq": F.col("depth") * (1 << 40) + F.pmod(F.xxhash64("url"), F.lit(1 << 40))}).drop("challenge", "streak")
+    statuses = every.select("site_id", U.normalize_url("url").alias("url"), "status", F.size("redirect_chain").alias("redirects"), "error")
+    failures = F.collect_list(F.when(F.col("error").isNotNull(), F.struct("url", F.col("error").alias("kind"))))
+    counters = every.groupBy("site_id").agg(
+        F.lit(status).alias("status"),
+        F.count("*").alias("requested"),
+        F.count_if(_is_page()).alias("fetched"),
+        F.count_if(~answered_ok | F.col("challenge")).alias("failed"),
+        F.lit(skipped).cast("bigint").alias("skipped_by_robots"),
+        F.slice(failures, 1, 100).alias("errors"),  # a crawl asks for max_pages URLs at most
+    )
     return {
-        "raw": raw, "url_status": statuses, "robots": rules.where("raw IS NOT NULL"), "status": status, "llms_txt": llms,
-        "sitemaps": maps.select("site_id", F.col("sitemap_url").alias("url"), "ok"), "sitemap_entries": sitemap.entries(maps.where("ok")).drop("sitemap_url"),
+        "raw": raw, "url_status": statuses, "robots": rules.where("raw IS NOT NULL"), "status": status, "llms_txt": llms, "counters": cut(counters),
+        "sitemaps": maps.select("site_id", F.col("sitemap_url").alias("url"), "ok"), "sitemap_entries": entries,
     }
 
 
-def probe(pages: DataFrame, url_status: DataFrame, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None) -> DataFrame:
-    """``url_status`` with the URLs that pages refer to; asked by HEAD, and by GET where a server does not know it."""
+def _is_page() -> F.Column:
+    """Whether a response is a page to audit: it succeeded, has a body, is HTML and no challenge."""
+    html = F.coalesce(F.col("headers")["content-type"], F.lit("")).rlike("(?i)text/html|application/xhtml")
+    return F.col("status").between(200, 299) & (F.coalesce("html", F.lit("")) != "") & html & ~F.col("challenge")
+
+
+def probe(pages: DataFrame, url_status: DataFrame, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None, robots_txt: DataFrame | None = None) -> DataFrame:
+    """``url_status`` with the URLs that pages refer to; asked by HEAD, and by GET where a server does not know it.
+
+    ``robots_txt`` (site_id, raw) keeps the probes off what it bars.
+    """
 
     def head(url: str) -> dict:
         answer = http_fetch(url, config, "HEAD")
         return http_fetch(url, config) if answer["status"] in (405, 501) else answer
 
-    got = cut(fetched(probe_targets(pages, url_status, config), fetch or head, config.delay_ms))
-    site = F.lit(pages.select("site_id").first()[0])
-    return url_status.unionByName(got.select(site.alias("site_id"), "url", "status", F.size("redirect_chain").alias("redirects"), "error"))
+    targets = probe_targets(pages, url_status, config)
+    if robots_txt is not None:
+        targets = robots_access(pages.sparkSession, robots_txt, config)(targets)
+    targets = cut(targets.orderBy("url").limit(config.probes))
+    got = cut(fetched(targets.select("url").distinct(), fetch or head, config))
+    asked = got.select(F.col("url").alias("target"), "status", F.size("redirect_chain").alias("redirects"), "error")
+    return url_status.unionByName(targets.join(asked, targets["url"] == asked["target"]).select("site_id", "url", "status", "redirects", "error"))
 
 
 def probe_targets(pages: DataFrame, url_status: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
-    """Distinct URLs that pages refer to and whose status is unknown: canonicals, alternates, internal links."""
-    wanted = pages.select(F.col("canonical_norm").alias("url")).union(pages.select(F.explode("hreflang.normalized")))
+    """``(site_id, url)``: distinct URLs that a site's pages refer to and whose status is unknown: canonicals, alternates, internal links."""
+    wanted = pages.select("site_id", F.col("canonical_norm").alias("url")).union(pages.select("site_id", F.explode("hreflang.normalized")))
     kept = (lambda x: x["internal"]) if not config.check_external else (lambda x: F.lit(True))
-    wanted = wanted.union(pages.select(F.explode(F.transform(F.filter("links", kept), lambda x: x["normalized"]))))
-    return wanted.where("url IS NOT NULL").distinct().join(url_status.select("url"), "url", "left_anti").orderBy("url").limit(config.probes)
+    wanted = wanted.union(pages.select("site_id", F.explode(F.transform(F.filter("links", kept), lambda x: x["normalized"]))))
+    return wanted.where("url IS NOT NULL").distinct().join(url_status.select("site_id", "url"), ["site_id", "url"], "left_anti")

@@ -284,9 +284,6 @@ def parsed_pages(raw: DataFrame, keep: list[str]) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in raw.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + f", normalized_url string, model {ddl}"
     rows = raw.select(*keep, *[c for c in ("url", "html", "headers") if c not in keep])
-    cores = raw.sparkSession.sparkContext.defaultParallelism
-    if not raw.isStreaming and rows.rdd.getNumPartitions() < cores:  # parsing is what costs; a file of one row group is one task
-        rows = rows.repartition(cores)
     return rows.mapInArrow(run, schema)
 
 

@@ -34,6 +34,10 @@ TAG = re.compile(r"<(?:(!--)|(!|\?)|(/?)([a-zA-Z][^\s/>]*))")
 ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 
 
+#: Formatting elements with the same attributes, and formatting elements in all, that go on after an implied end tag.
+EQUAL_FORMATTING, MOST_FORMATTING = 3, 64
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -103,8 +107,11 @@ class Builder:
 
     def _reopen(self) -> None:
         """Formatting elements that an implied end tag has closed go on in the new place."""
+        if not self.formatting:
+            return
+        still_open = set(map(id, self.open))
         for k, node in enumerate(self.formatting):
-            if node not in self.open:
+            if id(node) not in still_open:
                 new = self._append(self.open[-1], node.tag, dict(node.attrs))
                 self.open.append(new)
                 self.formatting[k] = new
@@ -166,7 +173,11 @@ class Builder:
         if tag not in VOID and not foreign:
             self.open.append(node)
             if tag in FORMATTING:
+                alike = [n for n in self.formatting if n.tag == tag and n.attrs == attrs]
+                if len(alike) >= EQUAL_FORMATTING:
+                    self.formatting.remove(alike[0])
                 self.formatting.append(node)
+                del self.formatting[:-MOST_FORMATTING]
         return node
 
     def end(self, tag: str) -> None:

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Sitemaps that are read on a level of a site, and levels below the first, unless told otherwise.
 MOST_A_LEVEL, MOST_LEVELS = 50, 2
+#: Bytes of an unpacked sitemap.
+MOST_BYTES = 50 * 1024 * 1024
 
 
 @F.pandas_udf(StringType())
@@ -22,7 +25,7 @@ def sitemap_text(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
             return None
         if body[:2] == b"\x1f\x8b":
             try:
-                body = zlib.decompressobj(31).decompress(body)
+                body = zlib.decompressobj(31).decompress(body, MOST_BYTES)
             except zlib.error:
                 return None
         return body.decode("utf-8", "replace")
@@ -69,15 +72,15 @@ def entries(sitemaps: DataFrame) -> DataFrame:
     return parsed(sitemaps).select("site_id", "sitemap_url", F.inline("entries"))
 
 
-def collected(start: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Sitemaps reached from ``start(site_id, sitemap_url)``: two levels below it, 50 a level and site.
+def collected(start: DataFrame, fetch: Callable[[DataFrame], DataFrame], most: int = MOST_A_LEVEL, levels: int = MOST_LEVELS) -> DataFrame:
+    """Sitemaps reached from ``start(site_id, sitemap_url)``: ``levels`` below it, ``most`` a level and site.
 
     ``fetch`` adds ``xml`` (null if it failed) to such a frame; the result has ``ok`` too.
     """
     level, every = start, None
-    for depth in range(MOST_LEVELS + 1):
+    for depth in range(levels + 1):
         rank = F.row_number().over(Window.partitionBy("site_id").orderBy("sitemap_url"))
-        got = fetch(level.distinct().withColumn("rank", rank).where(F.col("rank") <= MOST_A_LEVEL).drop("rank")).withColumn("level", F.lit(depth))
+        got = fetch(level.distinct().withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")).withColumn("level", F.lit(depth))
         every = got if every is None else every.unionByName(got)
         level = parsed(got.where("xml IS NOT NULL")).select("site_id", F.explode("children").alias("sitemap_url"))
     return every.withColumn("ok", F.col("xml").isNotNull())

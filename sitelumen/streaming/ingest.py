@@ -22,7 +22,7 @@ def page_findings(batch: DataFrame, caps: Capabilities | None = None, seq: str =
     facts = A.derived(A.page_models(raw_pages(batch, seq)))
     facts = facts.withColumns({"nurl": F.col("normalized_url"), "site_pages": F.lit(0), "has_status": F.lit(False)})
     sites = facts.select("site_id").limit(0).withColumn("pages", F.lit(0))
-    findings, _ = A.evaluate(facts, sites, alone)
+    findings, _, _ = A.evaluate(facts, sites, alone)
     return findings.select("site_id", "rule_id", "page", "measure")
 
 

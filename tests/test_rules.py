@@ -99,7 +99,7 @@ CASES = [
     ("img-missing-dimensions", page('<img src="a.png">'), page('<img src="a.png" style="aspect-ratio: 1">'), H),
     ("img-legacy-format", page('<img src="a.JPG">'), page('<picture><source type="image/webp" srcset="a.webp"><img src="a.jpg"></picture>'), H),
     ("img-lazy-missing", page('<img src="a.png">' * 4), page('<img src="a.png">' * 2 + '<img src="a.png" loading="lazy">' * 2), H),
-    ("img-filename-quality", page('<img src="/x/IMG_2043.jpg">'), page('<img src="/x/studyo.jpg">'), H),
+    ("img-filename-quality", page('<img src="/x/IMG_7.jpg">'), page('<img src="/x/studyo.jpg">'), H),
     ("video-missing-schema", page('<iframe src="https://www.youtube.com/embed/x" title="x"></iframe>'), page("<video></video>" + ld(**{"@context": "https://schema.org", "@type": "VideoObject"})), H),
     ("audio-missing-transcript", page("<audio></audio>"), page("<audio></audio>" + words(90) + ld(**{"@context": "https://schema.org", "@type": "AudioObject"})), H),
     ("iframe-missing-title", page('<iframe src="/x"></iframe>'), page('<iframe src="/x" title="harita"></iframe>'), H),
