@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelumen.session import cut, ensure_checkpoint_dir
 
-__all__ = ["cut", "ensure_checkpoint_dir", "fresh", "hex64", "shuffle_partitions", "table", "text_bytes"]
+__all__ = ["cut", "ensure_checkpoint_dir", "fresh", "hex64", "pieces_of", "shuffle_partitions", "stored", "table", "text_bytes"]
+
+#: Bytes of text that a Python worker takes apart at once, unless one text alone is longer.
+PIECE_BYTES = 2 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +35,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a Parquet table in the shared checkpoint folder: smaller than ``cut`` leaves them, and read by column."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], at: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts (column ``at``) have at most so many bytes, or are one row; this bounds a worker's memory."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+        if not len(ends):
+            yield batch
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import fresh, table, text_bytes
+from sitelumen.llm.common import fresh, pieces_of, stored, table, text_bytes
 from sitelumen.llm.decontaminate import merged_spans
 
 #: Words of a run of repeated units from which it is removed.
@@ -44,19 +44,34 @@ def capitals() -> bytes:
     return b"|".join([b"[A-Z]", *(b"\\x%02x[%s]" % x for x in trails.items())])
 
 
-CUT = re.compile(rb"\n|(?<=[.!?])[ \t]+|[ \t]+(?=(?:" + capitals() + rb")[a-z\xc3-\xd6])")
+CUT = re.compile(rb"(?<=[.!?])[ \t]+|[ \t]+(?=(?:" + capitals() + rb")[a-z\xc3-\xd6])")
+
+
+def cut_lines(text: bytes) -> list[tuple[int, int, list[tuple[int, int, bytes]]]]:
+    """``(start, end, units)`` of each line with a word in it; a unit is ``(start, end, normalised)``. Offsets are of bytes."""
+    lines, start = [], 0
+    for line in text.split(b"\n"):
+        found, at = [], start
+        for cut in CUT.finditer(line):
+            if words := line[at - start : cut.start()].lower().split():
+                found.append((at, start + cut.start(), b" ".join(words)))
+            at = start + cut.end()
+        if words := line[at - start :].lower().split():
+            found.append((at, start + len(line), b" ".join(words)))
+        if found:
+            lines.append((start, start + len(line), found))
+        start += len(line) + 1
+    return lines
 
 
 def units(text: bytes) -> list[tuple[int, int, bytes]]:
     """``(start, end, normalised)`` of each unit with a word in it, as byte offsets."""
-    out, start = [], 0
-    for cut in CUT.finditer(text):
-        if words := text[start : cut.start()].lower().split():
-            out.append((start, cut.start(), b" ".join(words)))
-        start = cut.end()
-    if words := text[start:].lower().split():
-        out.append((start, len(text), b" ".join(words)))
-    return joined(out)
+    return joined([unit for _, _, found in cut_lines(text) for unit in found])
+
+
+def whole_lines(lines: list[tuple[int, int, list[tuple[int, int, bytes]]]]) -> list[tuple[int, int, bytes]]:
+    """``(start, end, normalised)`` of each line."""
+    return [(s, e, b" ".join([unit for _, _, unit in found])) for s, e, found in lines]
 
 
 def joined(found: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
@@ -84,30 +99,21 @@ def joined(found: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def lines_of(text: bytes) -> list[tuple[int, int, bytes]]:
-    """``(start, end, normalised)`` of each line with a word in it, as byte offsets."""
-    out, start = [], 0
-    for line in text.split(b"\n"):
-        if words := line.lower().split():
-            out.append((start, start + len(line), b" ".join(words)))
-        start += len(line) + 1
-    return out
-
-
 def hashed_units(docs: DataFrame, lines: bool = False) -> DataFrame:
     """``(d1, d2, doc, row_key, pos)``: units of UNIT_WORDS words or more, once per text, and whole lines at -1, -2, ... if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in pieces_of(batches, 2):
             ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2))
             made, counts, places = [], [], []
             for text in texts:
                 seen: dict[bytes, int] = {}
-                for pos, (_, _, unit) in enumerate(units(text)):
+                own = cut_lines(text)
+                for pos, (_, _, unit) in enumerate(joined([unit for _, _, found in own for unit in found])):
                     if unit.count(b" ") + 1 >= UNIT_WORDS:
                         seen.setdefault(unit, pos)
-                for pos, (_, _, line) in enumerate(lines_of(text) if lines else ()):
+                for pos, (_, _, line) in enumerate(whole_lines(own) if lines else ()):
                     seen.setdefault(b"\n" + line, -1 - pos)
                 made += map(digest, seen)
                 places += seen.values()
@@ -122,11 +128,11 @@ def hashed_units(docs: DataFrame, lines: bool = False) -> DataFrame:
 def repeated_units(docs: DataFrame, lines: bool = False) -> DataFrame:
     """``(row_key, places)``: the units of a text that an earlier document has too.
 
-    The first document of each digest comes from a partially aggregated group-by; units are then joined to the digests
-    of two documents or more. A line in a third of all documents is one aggregated row, and on the side of the units a
-    skewed join that Spark splits.
+    Units are hashed once and written. The first document of each digest comes from a partially aggregated group-by; units
+    are then joined to the digests of two documents or more. A line in a third of all documents is one aggregated row,
+    and on the side of the units a skewed join that Spark splits.
     """
-    made = hashed_units(docs, lines)
+    made = stored(hashed_units(docs, lines))
     first = made.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     later = made.join(first, ["d1", "d2"]).where("doc > first")
     return later.groupBy("row_key").agg(F.collect_set("pos").alias("places"))
@@ -134,7 +140,8 @@ def repeated_units(docs: DataFrame, lines: bool = False) -> DataFrame:
 
 def removed_spans(text: bytes, places: set[int], run_words: int = RUN_WORDS, lines: bool = False) -> tuple[list[tuple[int, int]], int]:
     """Byte spans of the runs (and repeated whole lines if asked) to remove, and the number of units in them."""
-    found, spans, count = units(text), [], 0
+    own_lines = cut_lines(text)
+    found, spans, count = joined([unit for _, _, own in own_lines for unit in own]), [], 0
     seen: set[bytes] = set()
     run: list[tuple[int, int]] = []  # of (unit, words)
     pending: list[tuple[int, int]] = []  # short units that go only if the run goes on
@@ -162,7 +169,7 @@ def removed_spans(text: bytes, places: set[int], run_words: int = RUN_WORDS, lin
         seen.add(unit)
     close()
     if lines:
-        own, met = lines_of(text), set()
+        own, met = whole_lines(own_lines), set()
         repeated = {own[-1 - p][2] for p in places if -len(own) <= p < 0}
         for s, e, line in own:
             if line in repeated or line in met:
@@ -198,7 +205,7 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, lines: bool = False) -> D
     whole = docs.select(*own, F.xxhash64("doc_id", "text").alias(row_key)).join(places, row_key, "left").select(*own, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, at):
             texts = batch.column(at)
             out, all_spans, counts = [], [], []
             for raw, text, places in zip(texts, text_bytes(texts), batch.column(len(names)).to_pylist(), strict=True):

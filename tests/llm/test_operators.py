@@ -76,20 +76,42 @@ def test_substring_dedup_removes_passages_and_keeps_offsets(spark):
     assert rows[3]["n_chars"] == len(rows[3]["text"])
 
 
-def test_substring_dedup_against_brute_force(spark):
-    parts = [prose(200 + i, 30).capitalize() + "." for i in range(12)]
+@pytest.mark.parametrize("lines", [False, True])
+def test_substring_dedup_against_brute_force(spark, lines):
+    """The rule written anew on str: units are lines cut after a stop and before a capital, here all of three words or more."""
+    parts = [prose(200 + i, 30).capitalize() + "." for i in range(12)] + ["All rights reserved here.", "Visit our pages again today"]
     rng = random.Random(5)
     rows = [(i, "\n".join(rng.choice(parts) if rng.random() < 0.5 else prose(1000 + i * 7 + k, 12) for k in range(5))) for i in range(30)]
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed_spans"]] for r in B.dedup(docs_of(spark, rows)).collect()}
-    seen: set[bytes] = set()
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed_spans"]] for r in B.dedup(docs_of(spark, rows), lines=lines).collect()}
+    known: set[str] = set()
+    known_lines: set[str] = set()
     for i, text in rows:
-        own, places = set(), set()
-        for pos, (_, _, unit) in enumerate(B.units(text.encode())):
-            if unit.count(b" ") + 1 >= B.UNIT_WORDS and unit in seen:
-                places.add(pos)
-            own.add(unit)
-        seen |= own
-        assert got[i] == [(len(text.encode()[:s].decode()), len(text.encode()[:e].decode())) for s, e in B.removed_spans(text.encode(), places)[0]]
+        gone, units, at = [False] * len(text), [], 0
+        for line in text.split("\n"):
+            starts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?]) +| +(?=[A-Z][a-z])", line)), len(line) + 1]
+            units += [(at + s, at + s + len(line[s : e - 1].rstrip())) for s, e in zip(starts, starts[1:], strict=False) if line[s : e - 1].strip()]
+            at += len(line) + 1
+        words = [text[s:e].lower().split() for s, e in units]
+        assert all(len(w) >= 3 for w in words)
+        repeated = [" ".join(w) in known or w in words[:k] for k, w in enumerate(words)]
+        k = 0
+        while k < len(units):
+            end = k
+            while end < len(units) and repeated[end]:
+                end += 1
+            if sum(map(len, words[k:end])) >= 20:
+                gone[units[k][0] : units[end - 1][1]] = [True] * (units[end - 1][1] - units[k][0])
+            k = max(end, k + 1)
+        own_lines, at = [" ".join(x.lower().split()) for x in text.split("\n")], 0
+        for n, line in enumerate(text.split("\n")):
+            if lines and (own_lines[n] in known_lines or own_lines[n] in own_lines[:n]):
+                gone[at : at + len(line)] = [True] * len(line)
+            at += len(line) + 1
+        known |= {" ".join(w) for w in words}
+        known_lines |= set(own_lines)
+        want = [m.span() for m in re.finditer("x+", "".join("x" if g else "." for g in gone))]
+        assert got[i] == want, i
+    assert any(got.values())
 
 
 def test_substring_dedup_finds_passages_of_short_units(spark):
