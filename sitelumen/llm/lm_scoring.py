@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, table, text_bytes
+from sitelumen.llm.common import cut, pieces_of, table, text_bytes
 from sitelumen.llm.packing import cache_of, default_tokenizer
 
 VOCABULARY = 49_408
@@ -59,7 +59,7 @@ def tokenised(docs: DataFrame, tokenizer: str, target: DataFrame | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_of(tokenizer)
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             ids = [np.frombuffer(cache.ids(x), "<u4").astype("<u2").tobytes() + edge for x in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

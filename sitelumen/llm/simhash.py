@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, fresh, hex64, table, text_bytes
+from sitelumen.llm.common import cut, fresh, hex64, pieces_of, table, text_bytes
 from sitelumen.llm.components import connected_components
 
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``(doc_id, fp)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             fps = [fingerprint(x, size) for x in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -163,7 +163,7 @@ def signed_texts(docs: DataFrame, size: int) -> DataFrame:
     """``(digest, weight, bits, keys)`` of every row of docs; a text without words has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 0):
             digests, weights, bits, keys = [], [], [], []
             for text in text_bytes(batch.column(0)):
                 shingles = np.unique(shingle_hashes(text, size))
@@ -225,7 +225,7 @@ def unit_links(rows: DataFrame, size: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for batch in batches:
+        for batch in pieces_of(batches, 3):
             out: list[tuple] = []
             for unit, salt, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3)), strict=True):
                 if (unit, salt) != last:
@@ -312,7 +312,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     dealt = shared.join(members.where(F.col("unit_weight") > HOT_BUCKET).select("digest"), "digest").select("digest", F.col("key").alias("unit"), salt.alias("salt"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 0):
             yield pa.record_batch([pa.array([text_digest(x) for x in text_bytes(batch.column(0))], pa.binary()), batch.column(0)], ["digest", "text"])
 
     texts = texts.mapInArrow(digests, "digest binary, text string").join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
@@ -355,7 +355,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     names, row_key = [F.col(f"`{c}`") for c in docs.columns], fresh(docs, "row_key")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             made = [text_digest(x) for x in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "row_key", "digest"])
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, shuffle_partitions, table, text_bytes
+from sitelumen.llm.common import cut, pieces_of, shuffle_partitions, table, text_bytes
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -150,7 +150,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, head, waiting = TaskContext.get().partitionId(), None, None
         names = [*COLUMNS, "part", "head", "tail"]
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = signatures(text.encode())
