@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitelumen import variants
 from sitelumen.functions import text as T
 from sitelumen.functions import url as U
 from sitelumen.operators import near_duplicates as N
@@ -186,7 +187,11 @@ def utf8_bytes(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.utf8_bytes("html").alias("html_bytes"))
 
 
-@query(f"WITH {BASE} SELECT nurl AS normalized_url, len(hrefs)::INTEGER AS links, len(hrefs)::INTEGER AS nav_links, 0 AS main_links FROM x")
+_IN = "len(list_filter(regexp_extract_all({0}, '<a href=\"([^\"]*)\"', 1), lambda h: h <> '' AND NOT starts_with(h, '#')))::INTEGER"
+_NAV = "regexp_extract(clean, '(?s)<nav>(.*?)</nav>', 1)"
+
+
+@query(f"WITH {BASE} SELECT nurl AS normalized_url, len(hrefs)::INTEGER AS links, {_IN.format(_NAV)} AS nav_links, {_IN.format("regexp_replace(clean, '(?s)<(nav|footer)>.*?</(nav|footer)>', '', 'g')")} AS main_links FROM x")
 def link_area_counts(spark, d):
     links = lambda area: F.size(F.filter("links", lambda x: x["area"] == area))
     return _site(spark, d).select("normalized_url", F.size("links").alias("links"), links("nav").alias("nav_links"), links("main").alias("main_links"))
@@ -200,14 +205,12 @@ def link_extract(spark, d):
     return S.links(_site(spark, d)).groupBy("page_url").agg(F.count("*").alias("links"), F.count_distinct("normalized").alias("targets"))
 
 
-@query(f"WITH {BASE}, l AS (SELECT x.site_id, {_TARGET} unnest(hrefs) AS target FROM x) SELECT site_id, target, count(*) AS inlinks FROM l WHERE regexp_matches(target, '^[\\x00-\\x7F]*$') GROUP BY ALL")
-def inlinks(spark, d):
-    return S.inlinks(_site(spark, d)).where(~F.contains("target", F.lit("%"))).select("site_id", "target", "inlinks")
+#: Characters outside ASCII are escaped as UTF-8.
+_ESCAPED = "list_aggregate(list_transform(string_split(target, ''), lambda c: CASE WHEN c > '~' THEN url_encode(c) ELSE c END), 'string_agg', '')"
 
 
-@query()
-def inlinks_all(spark, d):
-    """Inlinks of every target; ``inlinks`` has those whose URLs need no escaping, as its SQL cannot escape."""
+@query(f"WITH {BASE}, l AS (SELECT x.site_id, {_TARGET} unnest(hrefs) AS target FROM x) SELECT site_id, {_ESCAPED} AS target, count(*) AS inlinks FROM l GROUP BY ALL")
+def inlinks(spark, d):
     return S.inlinks(_site(spark, d)).select("site_id", "target", "inlinks")
 
 
@@ -408,6 +411,15 @@ def header_rules(spark, d):
     return done.findings.select("page", "rule_id")
 
 
+@query(variants.oracle())
+def rule_variants(spark, d):
+    """Where 72 rules fail, and by how much, on pages made for them from the numbers of the pages table."""
+    rules = [r for r in A.RULES if r.id in variants.VARIANTS]
+    found = A.audit(variants.variant_pages(spark.read.parquet(f"{d}/pages.parquet")), caps=P.Capabilities(headers=True), rules=rules).findings
+    measured = [k for k, v in variants.VARIANTS.items() if v.measure != "NULL"]
+    return found.where("rule_id = site_id").select(F.col("seq").alias("page_id"), "rule_id", F.when(F.col("rule_id").isin(measured), F.col("measure")).alias("measure"))
+
+
 # --- the audit -------------------------------------------------------------------------------------------------------
 
 _FACTS = BASE.rstrip() + f""", f AS (

@@ -78,7 +78,7 @@ def test_inlinks_of_all_targets_equal_brute_force(spark, tmp_path):
             target = U.normalize(h, url)
             if U.same_site(target, url):
                 want[target] = want.get(target, 0) + 1
-    got = {r["target"]: r["inlinks"] for r in queries.QUERIES["inlinks_all"](spark, str(tmp_path)).collect()}
+    got = {r["target"]: r["inlinks"] for r in queries.QUERIES["inlinks"](spark, str(tmp_path)).collect()}
     assert got == want and sum("%" in t for t in got) == 4
 
 
