@@ -14,6 +14,7 @@ from sitelumen.operators import near_duplicates as N
 from sitelumen.operators import site as S
 from sitelumen.plans import audit as A
 from sitelumen.session import cut
+from sitelumen.sources import html_extract
 from sitelumen.sources import pages as P
 from sitelumen.sources import robots as R
 from sitelumen.sources import sitemap as M
@@ -519,15 +520,98 @@ def findings_rollup(spark, d):
     return _audited(spark, d).findings.groupingSets([[F.col("severity")], [F.col("category")], []], F.col("severity"), F.col("category")).agg(F.count("*").alias("findings")).select("severity", "category", "findings")
 
 
-@query(None)
+# --- the audit under all rules that html alone can answer ---
+
+_PARAGRAPH = "list_filter(list_transform(string_split(clean, '<p>')[2:], lambda x: " + _TEXT.format("regexp_extract(x, '(?s)^(.*?)(</p>|</article>|<footer>|$)', 1)") + "), lambda t: length(t) > 40)[1]"
+_HEADS = "regexp_extract_all(clean, '<h[2-6][^>]*>[^<]*', 0)"
+#: The further page rules that apply on the pages table, as (applies, fails); all others never do.
+FULL_RULES = AUDIT_RULES | {
+    "anchor-text-generic": ("len(hrefs) > 0", f"len(list_filter(regexp_extract_all(clean, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda t: {LOWER.format('t')} IN ({', '.join(repr(x) for x in html_extract.GENERIC_ANCHORS)}))) > 0"),
+    "answerable-summary-missing": ("mw >= 300", "para IS NULL OR length(para) NOT BETWEEN 80 AND 400"),
+    "charset-declaration-late": ("true", "instr(html, 'charset') > 1024 OR NOT contains(html, 'charset')"),
+    "content-freshness-missing": ("mw >= 500", r"NOT regexp_matches(substr(main, 1, 1200), '(^|[^A-Za-z0-9_])20[0-9][0-9]($|[^A-Za-z0-9_])') AND NOT regexp_matches(main, '(?i)(g[üÜ]ncelleme|g[üÜ]ncellendi|yayınlanma)')"),
+    "content-server-rendered": ("true", "mw < 200 AND (regexp_matches(lower(html), '__next_data__|data-reactroot|ng-version|data-vue-meta|id=.(root|__next|app).') OR length(list_aggregate(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), 'string_agg', '')) / length(html) > 0.5)"),
+    "dom-node-count": ("true", "len(regexp_extract_all(clean, '<[a-z]')) + 5 > 1500"),
+    "heading-empty": ("true", "regexp_matches(clean, '<h[1-6]>\\s*</h[1-6]>')"),
+    "heading-hierarchy-skip": ("true", f"len({_HEADS}) > 0 AND NOT regexp_matches({_HEADS}[1], '^<h2')"),
+    "heading-question-form": ("mw >= 800", f"len(list_filter({_HEADS}, lambda h: contains(h, '?'))) < floor(mw / 800)"),
+    "html-size-excessive": ("true", "floor(octet_length(encode(html)) / 1024 + 0.5) > 250"),
+    "inline-style-bloat": ("true", "len(regexp_extract_all(html, '(?s)<style>.*?</style>')) > 50"),
+    "jsonld-breadcrumb-missing": ("depth >= 2", "NOT contains(html, 'BreadcrumbList')"),
+    "lang-region-format": ("lang <> ''", "NOT regexp_matches(lang, '^[a-z]{2,3}(-[A-Z]{2})?$')"),
+    "link-to-http": ("starts_with(url, 'https://')", "len(list_filter(hrefs, lambda h: starts_with(h, 'http://'))) > 0"),
+    "meta-robots-nofollow": ("true", "contains(html, 'nofollow')"),
+    "mixed-content": ("starts_with(url, 'https://')", "regexp_matches(clean, 'src=.http://')"),
+    "render-blocking-css": ("true", "len(regexp_extract_all(clean, 'rel=.stylesheet')) > 1"),
+    "render-blocking-js": ("true", "regexp_matches(html, '<script[^>]*src=')"),
+    "soft-404": ("true", "wc < 120 AND regexp_matches(lower(text), 'page not found|404 error|bulunamadı')"),
+    "third-party-script-count": ("true", "len(regexp_extract_all(html, '<script[^>]*src=')) > 8"),
+    "turkish-mojibake": ("true", "(" + _COUNTS.replace("(t", "(html") + ") >= 4 OR (" + _KINDS.replace("(t", "(html") + ") >= 2"),
+    "twitter-card-missing": ("true", "NOT contains(html, 'twitter:card')"),
+    "url-turkish-charset": ("true", "regexp_matches(url_decode(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)), '[ıİşŞğĞüÜöÖçÇ]')"),
+}
+#: What the failing rules measure.
+_MEASURES = {"answerable-summary-missing": "length(para)", "h1-count": "len(regexp_extract_all(clean, '<h1>'))", "internal-links-few": "0", "thin-content": "mw", "title-pixel-width": "px", "title-too-short": "length(title)", "url-excessive-depth": "depth", "excessive-links": "len(hrefs)"}
+_SITE_RULES = "client-side-rendering duplicate-content-cluster hreflang-missing-multilocale jsonld-organization-missing meta-description-duplicate orphan-page title-duplicate".split()
+_ADVICE = "adv(rule_id, category, severity, weight, impact, effort, multiplier, boost, message, fix) AS (VALUES " + ", ".join(
+    "('{}', '{}', '{}', {}, {}, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, '{}', '{}')".format(r.id, r.category, r.severity, r.weight, r.impact, A.EFFORT_FACTOR[r.effort], A.SEVERITY_MULTIPLIER[r.severity], A.SEVERITY_BOOST[r.severity], r.says.replace("'", "''"), r.mend.replace("'", "''"))
+    for r in A.RULES if r.id in FULL_RULES or r.id in _SITE_RULES
+) + ")"
+_FULL = f"""WITH {_FACTS}, g AS (SELECT *, {_PARAGRAPH} AS para FROM f), {_ADVICE},
+e AS (SELECT site_id, nurl, seq, unnest([{", ".join(f"{{rule_id: '{k}', applies: coalesce({a}, false), fails: coalesce(({a}) AND ({b}), false), measure: ({_MEASURES.get(k, 'NULL')})::DOUBLE}}" for k, (a, b) in FULL_RULES.items())}], recursive := true) FROM g),
+sp AS (SELECT site_id, count(*) AS pages, count(DISTINCT nullif(lang, '')) AS langs, arg_min(url, (depth, seq)) AS home FROM g GROUP BY site_id),
+dt AS (SELECT site_id, title_key, min(seq) AS first, count(*) AS n, list(nurl ORDER BY seq)[1:5] AS p FROM g WHERE title IS NOT NULL AND title_key <> '' GROUP BY ALL HAVING count(*) >= 2),
+l AS (SELECT site_id, {_TARGET.replace("x.url", "url")} unnest(hrefs) AS target FROM g),
+orph AS (SELECT site_id, count(*) AS n, list(nurl ORDER BY seq)[1:5] AS p FROM g WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.site_id = g.site_id AND l.target = g.nurl) GROUP BY site_id),
+t AS (SELECT site_id, nurl, unnest({TOKENS.format("CASE WHEN main <> '' THEN main ELSE text END")}) AS w FROM g WHERE mw > 100),
+v AS (SELECT w, {_FNV.replace("{1}", str(T.SEEDS[0]))} AS h0, {_FNV.replace("{1}", str(T.SEEDS[1]))} AS h1 FROM (SELECT DISTINCT w FROM t)),
+codes AS (SELECT site_id, nurl, {_BITS} AS code FROM t JOIN v USING (w) GROUP BY ALL),
+nd AS (SELECT a.site_id, count(*) AS n FROM codes a JOIN codes b ON a.site_id = b.site_id AND a.nurl < b.nurl AND bit_count(xor(a.code, b.code)) <= {N.NEAR_BITS} GROUP BY a.site_id),
+fd AS (  -- findings of sites: rule, order, affected, measure, first pages
+  SELECT site_id, 'title-duplicate' AS rule_id, first AS seq, n AS affected, n::DOUBLE AS measure, p FROM dt
+  UNION ALL SELECT site_id, 'orphan-page', 0, n, n, p FROM orph JOIN sp USING (site_id) WHERE pages > 2
+  UNION ALL SELECT site_id, 'duplicate-content-cluster', 0, 1, n, NULL FROM nd
+  UNION ALL SELECT site_id, 'hreflang-missing-multilocale', 0, 1, NULL, NULL FROM sp WHERE langs >= 2
+  UNION ALL SELECT site_id, 'jsonld-organization-missing', 0, 1, NULL, [home] FROM sp
+  UNION ALL SELECT site_id, rule_id, seq, 1, measure, [nurl] FROM e WHERE fails
+),
+ap AS (
+  SELECT site_id, rule_id, count(*) FILTER (applies) AS applicable, count(*) FILTER (fails) AS failed FROM e GROUP BY ALL
+  UNION ALL SELECT site_id, r.rule_id, CASE r.rule_id WHEN 'orphan-page' THEN pages > 2 WHEN 'hreflang-missing-multilocale' THEN langs >= 2 WHEN 'jsonld-organization-missing' THEN true WHEN 'client-side-rendering' THEN true ELSE pages > 1 END::BIGINT,
+         (EXISTS (SELECT 1 FROM fd WHERE fd.site_id = sp.site_id AND fd.rule_id = r.rule_id))::BIGINT
+  FROM sp, (VALUES {", ".join(f"('{r}')" for r in _SITE_RULES)}) r(rule_id)
+)"""
+
+
+@query(
+    f"""{_FULL}, c AS (SELECT site_id, category,
+      sum(CASE WHEN applicable > 0 AND failed > 0 AND severity <> 'info' THEN weight * multiplier * (0.30::DOUBLE + 0.70::DOUBLE * failed / applicable) ELSE 0 END) AS penalty,
+      sum(CASE WHEN applicable > 0 AND severity <> 'info' THEN weight * multiplier ELSE 0 END) AS max_penalty, count(*) FILTER (applicable > 0)::INTEGER AS evaluated_rules FROM ap JOIN adv USING (rule_id) GROUP BY ALL),
+    k AS (SELECT site_id, category, count(*) AS findings FROM fd JOIN adv USING (rule_id) GROUP BY ALL),
+    every AS (SELECT site_id, category FROM sp, (VALUES {", ".join(f"('{c}')" for c in sorted({r.category for r in A.evaluated(A.RULES, P.Capabilities())}))}) x(category))
+    SELECT site_id, category, CASE WHEN max_penalty > 0 THEN greatest(0, floor(100 * (1 - penalty / max_penalty) + 0.5))::INTEGER END AS score, round(coalesce(penalty, 0), 6) AS penalty, round(coalesce(max_penalty, 0), 6) AS max_penalty,
+           coalesce(evaluated_rules, 0)::INTEGER AS evaluated_rules, coalesce(findings, 0) AS findings
+    FROM every LEFT JOIN c USING (site_id, category) LEFT JOIN k USING (site_id, category)"""
+)
 def full_audit(spark, d):
     """Category scores of every site under all rules that html alone can answer."""
-    return _audited(spark, d, only=False).category_scores.select("site_id", "category", "score", "penalty", "max_penalty", "evaluated_rules", "findings")
+    sums = [F.round(x, 6).alias(x) for x in ("penalty", "max_penalty")]
+    return _audited(spark, d, only=False).category_scores.select("site_id", "category", "score", *sums, "evaluated_rules", "findings")
 
 
-@query(None)
+@query(
+    f"""{_FULL}, pr AS (SELECT site_id, rule_id, sum(affected)::BIGINT AS count, list(p ORDER BY seq, p)[1:5] AS shown, arg_min(measure, (seq, p)) AS value, arg_min(affected, (seq, p)) AS n_pages FROM fd GROUP BY ALL),
+    ps AS (SELECT *, failed / applicable AS pv, impact * effort * (0.5 + 0.5 * (failed / applicable)) * boost AS raw FROM pr JOIN ap USING (site_id, rule_id) JOIN adv USING (rule_id)),
+    sc AS (SELECT *, CASE WHEN severity = 'critical' THEN greatest(raw, 5) ELSE raw END AS s FROM ps),
+    o AS (SELECT *, floor(s * 100 + 0.5) / 100 AS priority_score FROM sc)
+    SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY priority_score DESC, rule_id)::INTEGER AS n, rule_id, count, floor(pv * 100 + 0.5) / 100 AS prevalence, priority_score,
+           CASE WHEN s >= 5 THEN 'P0' WHEN s >= 3 THEN 'P1' WHEN s >= 1.5 THEN 'P2' ELSE 'P3' END AS priority, array_to_string(list_filter(flatten(shown), lambda x: x IS NOT NULL)[1:5], ' ') AS samples,
+           replace(replace(message, '{{value}}', coalesce(value::BIGINT::VARCHAR, 'no')), '{{pages}}', n_pages::VARCHAR) AS message, fix
+    FROM o"""
+)
 def full_actions(spark, d):
-    """Ranked actions of every site under all rules that html alone can answer."""
+    """Ranked actions of every site under all rules that html alone can answer, with what they say."""
     done = _audited(spark, d, only=False).actions
     order = Window.partitionBy("site_id").orderBy(F.desc("priority_score"), "rule_id")
-    return done.withColumn("n", F.row_number().over(order)).select("site_id", "n", "rule_id", "count", "prevalence", "priority_score", "priority", F.array_join("samples", " ").alias("samples"))
+    ranked = done.withColumn("n", F.row_number().over(order))
+    return ranked.select("site_id", "n", "rule_id", "count", "prevalence", "priority_score", "priority", F.array_join("samples", " ").alias("samples"), "message", "fix")
