@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelumen.session import cut, ensure_checkpoint_dir
 
-__all__ = ["cut", "ensure_checkpoint_dir", "fresh", "hex64", "pieces_of", "shuffle_partitions", "stored", "table", "text_bytes"]
+__all__ = ["cut", "ensure_checkpoint_dir", "fresh", "hex64", "pieces_of", "remove", "shuffle_partitions", "stored", "table", "text_bytes"]
 
 #: Bytes of text that a Python worker takes apart at once, unless one text alone is longer.
 PIECE_BYTES = 2 * 1024 * 1024
@@ -44,6 +44,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` or the pipeline has written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], at: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts (column ``at``) have at most so many bytes, or are one row; this bounds a worker's memory."""
     for batch in batches:

@@ -102,10 +102,11 @@ class Model:
             part = counts[at : at + BLOCK]
             cosine = self.latent(self.weighted(part)) @ self.vectors.T
             k = min(NEIGHBOURS, cosine.shape[1])
-            near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** SHARPNESS
-            total = weight.sum(axis=1)
-            vote = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
+            last = np.partition(cosine, -k, axis=1)[:, -k]
+            rows, near = np.nonzero(cosine >= last[:, None])  # all that tie with the last neighbour vote
+            weight = np.maximum(cosine[rows, near], 0).astype(np.float64) ** SHARPNESS
+            total = np.bincount(rows, weight, len(part))
+            vote = np.bincount(rows, weight * self.labels[near], len(part)) / np.maximum(total, 1e-12)
             empty = (part.sum(axis=1) == 0) | (total <= 1e-12)
             out[at : at + BLOCK] = np.clip(np.where(empty, self.prior, vote), 0, 1)
         return out

@@ -10,7 +10,7 @@ expected severity of a text is the sum of the three; it is rejected where P(grad
 The labelled sample is bounded by SAMPLE rows a class (smallest hash of doc_id) and the model by TERMS terms.
 
 Defined results: null and empty texts have no features, and so the base severity; texts are used whole; without labels
-of both classes nothing is toxic; rows are scored one by one, so repeats and ties do not matter; ``drop_toxic`` keeps
+of both classes, or where no term tells them apart, nothing is toxic; rows are scored one by one, so repeats and ties do not matter; ``drop_toxic`` keeps
 all columns of the rows that stay.
 """
 
@@ -143,6 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
     tied = counts.where(~empty).withColumn("z", z).where(F.abs("z") >= LEAST_Z)
     found = tied.orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()
+    if not found:
+        return nothing
     terms = [bytes(r["term"]) for r in found]
     marks = {bytes(r["term"]) for r in found if r["z"] > 0 and not bytes(r["term"]).startswith(b"^") and r["toxic"] * n0 > 10 * r["clean"] * n1}
     place = docs.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, marks))

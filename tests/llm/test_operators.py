@@ -257,7 +257,7 @@ def test_quality_votes_are_exact():
     z = model.latent(model.weighted(counts))
     for i in range(10):
         cosine = z[i] @ model.vectors.T
-        near = np.argsort(-cosine)[: Q.NEIGHBOURS]
+        near = np.flatnonzero(cosine >= np.sort(cosine)[-Q.NEIGHBOURS])
         weight = np.maximum(cosine[near], 0) ** Q.SHARPNESS
         assert abs(model.scores(counts[i : i + 1])[0] - (weight * model.labels[near]).sum() / weight.sum()) < 1e-4
 
@@ -620,6 +620,38 @@ def test_url_filter_by_hand(spark):
     assert {r["verdict"] for r in U.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_thousands_of_rules_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in WORDS for b in ("", "x", "7")]
+    kinds = (lambda w: f"||{w[0]}.test/", lambda w: f"||{w[0]}.test/{w[1]}*{w[2]}", lambda w: f"^{w[0]}^{w[1]}^", lambda w: f"/{w[0]}-{w[1]}.", lambda w: f"{w[0]}*/{w[1]}^", lambda w: f"||{w[0]}.{w[1]}.test^", lambda w: f"*{w[0]}_{w[1]}")
+    patterns = sorted({rng.choice(kinds)(rng.choices(words, k=3)) for _ in range(4000)})
+    rules = spark.createDataFrame([(p, "block" if zlib.crc32(p.encode()) % 3 else "allow", False) for p in patterns], "pattern string, action string, own boolean")
+    urls = []
+    for i in range(1500):
+        a, b, c, d = rng.choices(words, k=4)
+        urls.append(rng.choice([f"http://{a}.test/{b}/{c}-{d}.html", f"https://{a}.{b}.test/{c}_{d}", f"http://www.{a}.test/{b}q{c}", f"https://{a}.test:80/{b}/{c}/{d}?x={a}", f"http://q.org/{a}/{b}/{a}-{c}.x/{d}_{b}"]))
+    for p in rng.sample(patterns, 400):  # addresses made to fit
+        tail = p.replace("||", "").replace("*", "m/").replace("^", "/")
+        urls.append("http://" + tail if p.startswith("||") else f"http://q.org/z/{tail}")
+
+    def plain(p: str) -> re.Pattern:
+        anchored, body = p.startswith("||"), p.removeprefix("||")
+        text = "".join(".*" if c == "*" else "(?:[^A-Za-z0-9]|$|^)" if c == "^" else re.escape(c) for c in body)
+        return re.compile(("^(?:[^/]*\\.)?" if anchored else "") + text, re.S)
+
+    made = [(p, plain(p)) for p in patterns]
+    want = []
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        address = host + re.match(r"[^?#]*", rest[len(host) :])[0]
+        best = max(((len(p), p) for p, x in made if x.search(address)), default=None)
+        want.append((i, best and best[1].removeprefix("||"), "allow" if best is None or not zlib.crc32(best[1].encode()) % 3 else "block"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in U.filter_urls(pages, rules).collect())
+    assert got == want and sum(r is not None for _, r, _ in want) > 400
+
+
 def test_rules_are_filed_under_their_rarest_whole_token(spark):
     rules = U.rules_frame(spark, (("||example.org/en/1", "block"), ("ads*", "block"), ("||com/", "allow")), False)
     tokens = spark.createDataFrame([("example",)] * 3 + [("org",)] * 2 + [("en",)] * 5 + [("",)], "token string")
