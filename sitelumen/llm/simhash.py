@@ -315,8 +315,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
         for batch in pieces_of(batches, 0):
             yield pa.record_batch([pa.array([text_digest(x) for x in text_bytes(batch.column(0))], pa.binary()), batch.column(0)], ["digest", "text"])
 
-    texts = texts.mapInArrow(digests, "digest binary, text string").join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    texts = cut(texts)
+    # Copies are dropped where they are read, before anything is dealt out by digest.
+    texts = cut(texts.mapInArrow(digests, "digest binary, text string").dropDuplicates(["digest"]).join(members.select("digest"), "digest", "left_semi"))
     first = cut(unit_links(whole.union(dealt).join(texts, "digest"), size, similarity))
     again = first.where("b IS NULL").select(F.col("a").alias("digest"), "unit", F.lit(-1).cast("long").alias("salt"))
     second = unit_links(again.join(texts, "digest"), size, similarity)
