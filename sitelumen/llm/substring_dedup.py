@@ -36,6 +36,8 @@ UNIT_WORDS = 3
 #: A joined unit ends at one in so many of its parts, and with so many words at the latest.
 JOIN_ENDS, JOIN_WORDS = 4, 16
 LAST = (1 << 63) - 1
+
+
 def capitals() -> bytes:
     """A pattern of one capital letter in UTF-8, up to Cyrillic and Armenian."""
     trails: dict[int, bytes] = {}
@@ -194,6 +196,16 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def code_points(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans, in order and apart, as spans of code points; the text is decoded once."""
+    out, at, n = [], 0, 0
+    for s, e in spans:
+        start = n + len(text[at:s].decode())
+        at, n = e, start + len(text[s:e].decode())
+        out.append((start, n))
+    return out
+
+
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, lines: bool = False) -> DataFrame:
     """All columns of docs (``text`` without repeated passages, ``n_chars`` renewed if there is one), ``removed_spans`` and ``removed_units``.
 
@@ -211,8 +223,7 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, lines: bool = False) -> D
             for raw, text, places in zip(texts, text_bytes(texts), batch.column(len(names)).to_pylist(), strict=True):
                 found, n = removed_spans(text, set(places or ()), run_words, lines)
                 out.append((None if not raw.is_valid else without(text, found).decode() if found else raw.as_py()))
-                points = lambda b: len(text[:b].decode())  # noqa: E731, B023
-                all_spans.append([{"start": points(s), "end": points(e)} for s, e in found])
+                all_spans.append([{"start": s, "end": e} for s, e in code_points(text, found)])
                 counts.append(n)
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(out, texts.type)

@@ -137,6 +137,15 @@ def test_substring_dedup_query_removes_every_repeated_line(spark, tmp_path):
     assert got[2]["removed_spans"].startswith(f"0-{len(line)},") and got[1]["removed_units"] == 0
 
 
+def test_substring_dedup_offsets_of_a_long_text_with_many_spans():
+    text = "çığ ok. \U0001f600 ".encode() * 200_000
+    step = len(text) // 200_000
+    spans = [(k * step, k * step + 7) for k in range(200_000)]
+    got = B.code_points(text, spans)
+    assert got[:2] == [(0, 4), (10, 14)] and got[-1] == (1_999_990, 1_999_994) and len(text.decode()) == 2_000_000
+    assert B.code_points(text, []) == []
+
+
 def test_substring_dedup_edges(edges, nothing):
     rows = B.dedup_documents(edges).collect()
     assert len(rows) == len(EDGES) and {r["text"] for r in rows if r["doc_id"] == 3} == {None}
