@@ -1,7 +1,10 @@
 """SpotSigs document fingerprints.
 
 Wherever a common word (an anchor) stands, the next two content words after it, each SPOT_DISTANCE content words apart,
-form a chain: anchor, word, word. The chains of a text are its signatures, a set of 64-bit hashes; texts without one
+form a chain: anchor, word, word. The beginning of a text is an anchor too, and so is a content word with DESERT other
+content words before it since the last anchor, so that lists, menus and texts in languages without anchors have chains
+as well, and the same ones wherever an edit leaves the words around them alone. The chains of a text are its
+signatures, a set of 64-bit hashes; texts of too few content words for one
 get their whole word sequence as the only signature, so that no text is without. Likeness is the Jaccard similarity of
 two sets, skipped where their lengths alone rule it out.
 
@@ -33,26 +36,28 @@ ANCHORS = frozenset(
 )
 ANCHOR_BYTES = frozenset(w.encode() for w in ANCHORS)
 CHAIN, SPOT_DISTANCE = 2, 1
+#: Content words without an anchor among them after which content words are anchors themselves.
+DESERT = 6
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def signatures(text: bytes, chain: int = CHAIN, distance: int = SPOT_DISTANCE) -> np.ndarray:
     """Sorted distinct hashes of the text's chains."""
-    words = text.translate(TABLE).split()
+    words = [b"", *text.translate(TABLE).split()]  # the beginning is an anchor
     anchors = ANCHOR_BYTES
-    is_anchor = [w in anchors for w in words]
-    content = [w for w, a in zip(words, is_anchor, strict=True) if not a]
+    common = np.fromiter((not w or w in anchors for w in words), bool, len(words))
+    content = [w for w, a in zip(words, common.tolist(), strict=True) if not a]
     # Content words after place i begin at content[after[i]].
-    after = (np.arange(1, len(words) + 1) - np.cumsum(is_anchor)).tolist() if words else []
+    after = np.cumsum(~common)
+    since = after - np.maximum.accumulate(np.where(common, after, 0))
+    places = np.flatnonzero(common | (since > DESERT)).tolist()
     reach = chain * distance
     most = len(content) - reach + 1
-    hashed, join = xxhash.xxh64_intdigest, b" ".join
-    if distance == 1:
-        made = {hashed(join((w, *content[k : k + reach]))) for w, a, k in zip(words, is_anchor, after, strict=True) if a and k < most}
-    else:
-        made = {hashed(join((w, *content[k + distance - 1 : k + reach : distance]))) for w, a, k in zip(words, is_anchor, after, strict=True) if a and k < most}
+    hashed, join, after = xxhash.xxh64_intdigest, b" ".join, after.tolist()
+    first = distance - 1
+    made = {hashed(join((words[i], *content[after[i] + first : after[i] + reach : distance]))) for i in places if after[i] < most}
     if not made:
-        made = {hashed(b"\x00" + join(words))}
+        made = {hashed(b"\x00" + join(words[1:]))}
     return np.sort(np.fromiter(made, np.uint64, len(made)))
 
 

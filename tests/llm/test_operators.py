@@ -234,6 +234,42 @@ def test_spotsigs_likeness():
     assert S.likeness(a, b) == len(shared) / len(set(a.tolist()) | set(b.tolist())) and S.likeness(a, a) == 1 and S.likeness(a, a[:1], 0.8) == 0
 
 
+def chains_plainly(text: str, chain: int, distance: int) -> set[tuple[str, ...]]:
+    """The rule of chains, word by word."""
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    content, found, since = [w for w in words if w not in S.ANCHORS], set(), 0
+    for at, word in [(-1, ""), *enumerate(words)]:
+        if word and word not in S.ANCHORS:
+            since += 1
+        else:
+            since = 0
+        if at < 0 or word in S.ANCHORS or since > S.DESERT:
+            later = [w for w in words[at + 1 :] if w not in S.ANCHORS][distance - 1 :: distance][:chain]
+            if len(later) == chain:
+                found.add((word, *later))
+    return found or {("\0", *words)}
+
+
+@pytest.mark.parametrize(("chain", "distance"), [(2, 1), (1, 1), (2, 2), (3, 2)])
+def test_spotsigs_signatures_are_the_chains(chain, distance):
+    rng = random.Random(31)
+    vocabulary = [*sorted(S.ANCHORS)[:12], *WORDS, "Éa", "x9", "DAS"]
+    texts = ["", "the", "one two", "a b " * 3, "word | " * 20, *(" ".join(rng.choices(vocabulary, k=rng.randrange(1, 40))) for _ in range(60)), *(", ".join(f"w{rng.randrange(30)}" for _ in range(30)) for _ in range(10))]
+    for text in texts:
+        got = S.signatures(text.encode(), chain, distance)
+        want = {xxhash.xxh64_intdigest(" ".join(x).encode() if x[0] != "\0" else b"\0" + " ".join(x[1:]).encode()) for x in chains_plainly(text, chain, distance)}
+        assert set(got.tolist()) == want and len(got) == len(want) and (np.sort(got) == got).all(), text
+
+
+def test_spotsigs_of_texts_without_anchors_survive_an_edit():
+    menu = " | ".join(f"entry{i}" for i in range(60))
+    changed = S.edited(menu, "the next document has the words of a text and is no menu " * 9)
+    own = S.signatures(menu.encode())
+    assert len(own) > 50 and S.likeness(own, S.signatures(changed.encode())) > 0.5
+    short = S.signatures("Only seven words stand here, none common".encode())
+    assert S.likeness(short, S.signatures(b"Only seven words stand here, yes yes")) > 0.3
+
+
 def test_spotsigs_pairs_equal_brute_force(spark):
     base = " the ".join(prose(300, 80).split())
     rows = [(i, base if i < 3 else base.replace(base.split()[i * 3], "zzz", 1) if i < 9 else " the ".join(prose(300 + i, 60).split())) for i in range(16)]
