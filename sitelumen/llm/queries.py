@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelumen.llm import decontaminate, lm_scoring, packing, quality, sharding, simhash, spotsigs, substring_dedup, toxicity, url_filter
+from sitelumen.llm import centroids, decontaminate, lm_scoring, packing, quality, sharding, simhash, spotsigs, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_centroid_clustering": centroids.op11_centroid_clustering,
 }
 
 ORACLE_SQL = {
     "op6_extendible_sharding": sharding.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
 }
