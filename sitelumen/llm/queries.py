@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelumen.llm import centroids, decontaminate, divergence, lm_scoring, packing, quality, sharding, simhash, spotsigs, substring_dedup, toxicity, url_filter
+from sitelumen.llm import centroids, decontaminate, divergence, lm_scoring, ngram_join, packing, quality, sharding, simhash, spotsigs, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_ngram_jaccard_join": ngram_join.op12_ngram_jaccard_join,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
     "op11_centroid_clustering": centroids.ORACLE,
+    "op12_ngram_jaccard_join": ngram_join.ORACLE,
     "op13_source_divergence": divergence.ORACLE,
 }
