@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -21,23 +23,26 @@ def block_ranges(k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _choices(k: int) -> Column:
-    """``(blocks, upto, mask)`` of each choice of k blocks: a bit for each chosen one, for each up to the last, and their bits of a code."""
+@lru_cache
+def _choices(k: int) -> str:
+    """SQL of ``(blocks, upto, mask)`` of each choice of k blocks: a bit for each chosen one, for each up to the last, and their bits of a code.
+
+    One text a k, made once: hundreds of expressions built call by call cost seconds before anything runs.
+    """
     ranges, out = block_ranges(k), []
     for chosen in combinations(range(NEAR_BITS + k), k):
         mask = sum(((1 << bits) - 1) << shift for shift, bits in (ranges[i] for i in chosen))
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        out.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("blocks"), F.lit((2 << chosen[-1]) - 1).alias("upto"), F.lit(signed).cast("long").alias("mask")))
-    return F.array(*out)
+        out.append(f"named_struct('blocks', {sum(1 << i for i in chosen)}, 'upto', {(2 << chosen[-1]) - 1}, 'mask', {mask - (1 << 64) if mask >> 63 else mask}L)")
+    return f"array({', '.join(out)})"
+
+
+def _shared(k: int) -> str:
+    """SQL of a bit for each block that the codes of x and y share."""
+    return " | ".join(f"if((shiftrightunsigned(x.code ^ y.code, {shift}) & {(1 << bits) - 1}L) = 0, {1 << i}, 0)" for i, (shift, bits) in enumerate(block_ranges(k)))
 
 
-def _shared(apart: Column, k: int) -> Column:
-    """A bit for each block that two codes share."""
-    same = F.lit(0)
-    for i, (shift, bits) in enumerate(block_ranges(k)):
-        block = F.shiftrightunsigned(apart, shift).bitwiseAND(F.lit((1 << bits) - 1))
-        same = same.bitwiseOR(F.when(block == 0, F.lit(1 << i)).otherwise(F.lit(0)))
-    return same
+def _by_k(sql: Callable[[int], str], k: str) -> Column:
+    return F.expr(f"CASE {' '.join(f'WHEN {k} = {own} THEN {sql(own)}' for own in KEY_BLOCKS)} END")
 
 
 def near_classes(rows: DataFrame, site: str = "site_id", code: str = "simhash") -> DataFrame:
@@ -54,16 +59,12 @@ def near_classes(rows: DataFrame, site: str = "site_id", code: str = "simhash")
     k = F.lit(KEY_BLOCKS[-1])
     for own in reversed(KEY_BLOCKS[:-1]):
         k = F.when(F.col("n") <= MOST_CODES[own], F.lit(own)).otherwise(k)
-    chosen, shared = F.lit(None), F.lit(None)
-    for own in KEY_BLOCKS:
-        chosen = F.when(F.col("k") == own, _choices(own)).otherwise(chosen)
-        shared = F.when(F.col("x.k") == own, _shared(F.col("x.code").bitwiseXOR(F.col("y.code")), own)).otherwise(shared)
-    key = F.transform(chosen, lambda c: F.struct(c["blocks"], c["upto"], F.col("code").bitwiseAND(c["mask"]).alias("value")))
-    filed = codes.join(sizes.select("site", k.alias("k")), "site").select("site", "k", "code", F.inline(key))
+    key = F.transform("choices", lambda c: F.struct(c["blocks"], c["upto"], F.col("code").bitwiseAND(c["mask"]).alias("value")))
+    filed = codes.join(sizes.select("site", k.alias("k")), "site").select("site", "k", "code", _by_k(_choices, "k").alias("choices")).select("site", "k", "code", F.inline(key))
     x, y = filed.alias("x"), filed.alias("y")
     same = (F.col("x.site") == F.col("y.site")) & (F.col("x.blocks") == F.col("y.blocks")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.code") < F.col("y.code"))
     near = F.bit_count(F.col("x.code").bitwiseXOR(F.col("y.code"))) <= NEAR_BITS
-    first = shared.bitwiseAND(F.col("x.upto")) == F.col("x.blocks")
+    first = _by_k(_shared, "x.k").bitwiseAND(F.col("x.upto")) == F.col("x.blocks")
     return x.join(y, same & near & first).select(F.col("x.site").alias(site), F.col("x.code").alias("a"), F.col("y.code").alias("b"))
 
 

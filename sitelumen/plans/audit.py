@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,7 +44,7 @@ class SideInputs:
 
 @dataclass
 class Audit:
-    """The frames of one audit; all lazy."""
+    """The frames of one audit; ``pages`` and ``site_facts`` are written already, the others lazy."""
 
     pages: DataFrame
     page_facts: DataFrame
@@ -75,14 +76,18 @@ def _any(text, markers: tuple[str, ...]):
     return found
 
 
-def page_models(raw: DataFrame) -> DataFrame:
+def page_models(raw: DataFrame, dedupe: bool = True) -> DataFrame:
     """One row a page (last of a normalised URL), with the parsed record's fields and the facts of the raw html.
 
-    Pages that another capture of their URL replaces are left out before anything is parsed.
+    Pages that another capture of their URL replaces are left out before anything is parsed. Without ``dedupe`` every
+    capture has a row; that works on a stream too.
     """
-    html = F.coalesce("html", F.lit(""))
-    named = raw.withColumn("html", html).withColumn("normalized_url", F.coalesce(U.normalize_url("url"), "url"))
-    raw = S.last_wins(named).drop("normalized_url").select(
+    raw = raw.withColumn("html", F.coalesce("html", F.lit("")))
+    if dedupe:
+        raw = S.last_wins(raw.withColumn("normalized_url", F.coalesce(U.normalize_url("url"), "url"))).drop("normalized_url")
+    else:
+        raw = raw.withColumn("seq", F.col("ingest_seq"))
+    raw = raw.select(
         "*",
         F.octet_length("html").alias("html_bytes"),
         T.utf16_length("html").alias("html_length"),
@@ -153,18 +158,36 @@ def _left(df: DataFrame, other: DataFrame | None, fills: dict[str, str], keys: l
     return joined.withColumns({c: F.coalesce(F.col(c), F.expr(e)) for c, e in fills.items()})
 
 
-def page_facts(pages: DataFrame, side: SideInputs) -> DataFrame:
-    """The page frame with what other pages and the side inputs say about each page."""
-    keys = ["site_id", "normalized_url"]
+def named(rules: list[Rule], scope: str) -> set[str]:
+    """The names in the expressions of the rules of a scope: columns that have to be there are among them."""
+    texts = [t for r in rules if r.scope == scope for t in (r.applies, r.fails, r.measure, r.sample, r.pages, r.page, *r.reads)]
+    return set(re.findall(r"[A-Za-z_]\w*", " ".join(texts)))
+
+
+def page_facts(pages: DataFrame, side: SideInputs, wanted: set[str] | None = None) -> DataFrame:
+    """The page frame with what other pages and the side inputs say about each page.
+
+    Of the facts that take a join only those in ``wanted`` are made; without it all are.
+    """
+    keys, status = ["site_id", "normalized_url"], side.url_status
+    asked = lambda *names: wanted is None or not wanted.isdisjoint(names)
     facts = pages.withColumn("nurl", F.col("normalized_url"))
-    facts = facts.join(pages.groupBy("site_id").agg(F.count("*").alias("site_pages")), "site_id")
-    facts = _left(facts, S.inlinks(pages).withColumnRenamed("target", "normalized_url"), {"inlinks": "0L"}, keys)
-    facts = _left(facts, S.missing_return(pages), {"no_return": "0L"}, keys)
-    status = side.url_status
-    facts = _left(facts, None if status is None else status.select("site_id").distinct().withColumn("has_status", F.lit(True)), {"has_status": "false"}, ["site_id"])
-    facts = _left(facts, None if status is None else S.canonical_status(pages, status), {"canonical_bad": "false"}, keys)
-    facts = _left(facts, None if status is None else S.bad_alternates(pages, status), {"hreflang_bad": "0L"}, keys)
-    facts = _left(facts, None if status is None else S.status_by_link(pages, status), {"broken_links": "0L", "redirect_links": "0L"}, keys)
+    if asked("site_pages"):
+        facts = facts.join(pages.groupBy("site_id").agg(F.count("*").alias("site_pages")), "site_id")
+    if asked("inlinks"):
+        facts = _left(facts, S.inlinks(pages).withColumnRenamed("target", "normalized_url"), {"inlinks": "0L"}, keys)
+    if asked("no_return"):
+        facts = _left(facts, S.missing_return(pages), {"no_return": "0L"}, keys)
+    if asked("has_status"):
+        facts = _left(facts, None if status is None else status.select("site_id").distinct().withColumn("has_status", F.lit(True)), {"has_status": "false"}, ["site_id"])
+    if asked("canonical_bad"):
+        facts = _left(facts, None if status is None else S.canonical_status(pages, status), {"canonical_bad": "false"}, keys)
+    if asked("hreflang_bad"):
+        facts = _left(facts, None if status is None else S.bad_alternates(pages, status), {"hreflang_bad": "0L"}, keys)
+    if asked("broken_links", "redirect_links"):
+        facts = _left(facts, None if status is None else S.status_by_link(pages, status), {"broken_links": "0L", "redirect_links": "0L"}, keys)
+    if not asked("in_sitemap"):
+        return facts
     if side.sitemap_entries is None:
         return facts.withColumn("in_sitemap", F.lit(False))
     locs = side.sitemap_entries.select("site_id", "loc").distinct().withColumn("listed", F.lit(True))
@@ -177,62 +200,87 @@ def _ordered(rows: DataFrame, name: str) -> DataFrame:
     return S.first_listed(rows, ["site_id"]).select("site_id", F.col("listed").alias(name), F.col("n").alias(f"{name}_count"))
 
 
-def shared_values(pages: DataFrame) -> dict[str, DataFrame]:
+def shared_values(pages: DataFrame, rules: list[Rule] = RULES) -> dict[str, DataFrame]:
     """Of each column that a rule groups by, the groups of pages with one value."""
-    return {r.groups: S.duplicate_groups(pages, r.groups) for r in RULES if r.groups}
+    return {r.groups: S.duplicate_groups(pages, r.groups) for r in rules if r.groups}
 
 
-def site_facts(pages: DataFrame, side: SideInputs, caps: Capabilities, single_page: bool = False, now=None, groups: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One row a site."""
+def _gathered(sites: DataFrame, parts: list[tuple[DataFrame | None, dict[str, str]]]) -> DataFrame:
+    """``sites`` with the columns of ``parts``, each a frame of at most one row a site and the values where it has none.
+
+    The parts are stacked and reduced to one row a site in one step, and that is joined once.
+    """
+    fills = {c: e for _, own in parts for c, e in own.items()}
+    known = [df.select("site_id", *own) for df, own in parts if df is not None]
+    if not known:
+        return sites.withColumns({c: F.expr(e) for c, e in fills.items()})
+    stacked = known[0]
+    for df in known[1:]:
+        stacked = stacked.unionByName(df, allowMissingColumns=True)
+    columns = [c for c in stacked.columns if c != "site_id"]
+    met = sites.join(stacked.groupBy("site_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in columns]), "site_id", "left")
+    return met.withColumns({c: F.coalesce(F.col(c), F.expr(e)) if c in columns else F.expr(e) for c, e in fills.items()})
+
+
+def site_facts(
+    pages: DataFrame, side: SideInputs, caps: Capabilities, single_page: bool = False, now=None, groups: dict[str, DataFrame] | None = None, wanted: set[str] | None = None
+) -> DataFrame:
+    """One row a site. Of the facts that take more than one pass over the pages only those in ``wanted`` are made; without it all are."""
     groups = shared_values(pages) if groups is None else groups
     now = now if now is not None else F.current_timestamp()
+    asked = lambda *names: wanted is None or not wanted.isdisjoint(names)
     home = F.min_by(F.struct("url", "types"), F.struct("path_depth", "seq"))
     facts = pages.groupBy("site_id").agg(
         F.count("*").alias("pages"),
         home.alias("home"),
         F.avg(F.col("spa").cast("int")).alias("spa_share"),
-        F.array_distinct(F.flatten(F.collect_set("hreflang.lang"))).alias("hreflang_langs"),
         F.collect_set(F.when(F.coalesce("lang", F.lit("")) != "", F.col("lang"))).alias("locales"),
         F.collect_set("page_host").alias("hosts"),
         F.bool_or(F.array_contains("types", "Organization")).alias("has_organization"),
         F.bool_or(F.exists("nodes", lambda n: F.array_contains(n["types"], "Organization") & n["same_as"])).alias("has_same_as"),
     )
-    for column, found in groups.items():
-        facts = _left(facts, found.groupBy("site_id").agg(F.count("*").alias(f"{column}_groups")), {f"{column}_groups": "0L"}, ["site_id"])
-    facts = _left(facts, N.pair_total(pages).withColumnRenamed("pairs", "near_duplicates"), {"near_duplicates": "0L"}, ["site_id"])
-    facts = _left(facts, _ordered(S.orphans(pages), "orphans"), {"orphans": "array()", "orphans_count": "0L"}, ["site_id"])
     facts = facts.withColumns({"single_page": F.lit(single_page), "net": F.lit(caps.net), "headers": F.lit(caps.headers)})
+    parts: list[tuple[DataFrame | None, dict[str, str]]] = []
+    if asked("hreflang_langs"):
+        langs = pages.select("site_id", F.explode("hreflang.lang").alias("lang")).distinct().groupBy("site_id").agg(F.collect_set("lang").alias("hreflang_langs"))
+        parts.append((langs, {"hreflang_langs": "CAST(array() AS array<string>)"}))
+    for column, found in groups.items():
+        parts.append((found.groupBy("site_id").agg(F.count("*").alias(f"{column}_groups")), {f"{column}_groups": "0L"}))
+    if asked("near_duplicates"):
+        parts.append((N.pair_total(pages).withColumnRenamed("pairs", "near_duplicates"), {"near_duplicates": "0L"}))
+    if asked("orphans", "orphans_count"):
+        parts.append((_ordered(S.orphans(pages), "orphans"), {"orphans": "CAST(array() AS array<string>)", "orphans_count": "0L"}))
 
     status = side.url_status
     counted = None
-    if status is not None:
+    if status is not None and asked("statuses", "status_bad"):
         hosts = pages.select("site_id", F.col("page_host").alias("host")).distinct()
         known = status.withColumn("host", U.host_of("url")).join(hosts.withColumn("own", F.lit(True)), ["site_id", "host"], "left")
         counted = known.groupBy("site_id").agg(F.count("*").alias("statuses"), F.count_if(F.expr("own AND status >= 400")).alias("status_bad"))
-    facts = _left(facts, counted, {"statuses": "0L", "status_bad": "0L"}, ["site_id"])
+    parts.append((counted, {"statuses": "0L", "status_bad": "0L"}))
 
     maps = None if side.sitemaps is None else side.sitemaps.groupBy("site_id").agg(F.count("*").alias("sitemaps"), F.count_if("ok").alias("sitemaps_ok"))
-    facts = _left(facts, maps, {"sitemaps": "0L", "sitemaps_ok": "0L"}, ["site_id"])
+    parts.append((maps, {"sitemaps": "0L", "sitemaps_ok": "0L"}))
     entries = side.sitemap_entries
     listed = bad = lost = None
     if entries is not None:
         problem = T.lastmod_problem("lastmod", now)
         listed = entries.groupBy("site_id").agg(F.count("*").alias("sitemap_entries"), F.count_distinct("loc").alias("sitemap_locs"), F.count_if(problem.isNotNull()).alias("lastmod_bad"))
         locs = entries.select("site_id", "loc").distinct()
-        if status is not None:
+        if status is not None and asked("sitemap_bad"):
             bad = S.sitemap_problems(locs, status, pages).groupBy("site_id").agg(F.count("*").alias("sitemap_bad"))
-        lost = _ordered(S.sitemap_orphans(pages, locs), "sitemap_orphans")
-    facts = _left(facts, listed, {"sitemap_entries": "0L", "sitemap_locs": "0L", "lastmod_bad": "0L"}, ["site_id"])
-    facts = _left(facts, bad, {"sitemap_bad": "0L"}, ["site_id"])
-    facts = _left(facts, lost, {"sitemap_orphans": "CAST(array() AS array<string>)", "sitemap_orphans_count": "0L"}, ["site_id"])
+        if asked("sitemap_orphans", "sitemap_orphans_count"):
+            lost = _ordered(S.sitemap_orphans(pages, locs), "sitemap_orphans")
+    parts.append((listed, {"sitemap_entries": "0L", "sitemap_locs": "0L", "lastmod_bad": "0L"}))
+    parts.append((bad, {"sitemap_bad": "0L"}))
+    parts.append((lost, {"sitemap_orphans": "CAST(array() AS array<string>)", "sitemap_orphans_count": "0L"}))
     found = blocked = None
     if side.robots is not None:
         found = side.robots.groupBy("site_id").agg(F.bool_or(F.col("raw").isNotNull()).alias("robots_found"))
         blocked = robots.blocked_ai_agents(side.robots).groupBy("site_id").agg(F.count("*").alias("ai_blocked"))
-    facts = _left(facts, found, {"robots_found": "false"}, ["site_id"])
-    facts = _left(facts, blocked, {"ai_blocked": "0L"}, ["site_id"])
+    parts += [(found, {"robots_found": "false"}), (blocked, {"ai_blocked": "0L"})]
     llms = None if side.llms_txt is None else side.llms_txt.groupBy("site_id").agg(F.bool_or(F.trim("text") != "").alias("llms_found"))
-    return _left(facts, llms, {"llms_found": "false"}, ["site_id"])
+    return _gathered(facts, [*parts, (llms, {"llms_found": "false"})])
 
 
 def evaluated(rules: list[Rule], caps: Capabilities) -> list[Rule]:
@@ -315,7 +363,9 @@ def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: i
     site_rules, more = sound(sites, [r for r in rules if r.scope == "site"], min_words)
     pages = _checks(facts, page_rules).select("site_id", "seq", "normalized_url", F.expr(_verdicts(page_rules, min_words, {})).alias("verdicts"))
     whole = _checks(sites, site_rules).select("site_id", F.inline(F.expr(_verdicts(site_rules, min_words, {"page": "string", "pages": "array<string>"}))))
-    pages, whole = cut(pages), cut(whole)
+    pages = cut(pages)
+    if any(r.check for r in site_rules):  # a check in Python is called once a site
+        whole = cut(whole)
     counts = pages.groupBy("site_id").agg(
         *[F.count_if(F.col("verdicts")[i]["applies"]).alias(f"a{i}") for i in range(len(page_rules))], *[F.count_if(F.col("verdicts")[i]["fails"]).alias(f"f{i}") for i in range(len(page_rules))]
     )
@@ -461,8 +511,9 @@ def audit(
 ) -> Audit:
     """The whole audit.
 
-    Pages, site facts and verdicts are read by several frames, so each is written once to the shared checkpoint folder;
-    that also keeps the plans behind them short, and lost executors cost no second parse. ``crawl`` has a row a site with
+    Pages, site facts and verdicts are read by several frames, so each is written once to the shared checkpoint folder
+    before this returns; that also keeps the plans behind them short, and lost executors cost no second parse. Facts that
+    no chosen rule names are not made. ``crawl`` has a row a site with
     the ``status`` of its crawl and its counters; confidence is lower where it is not ok. Pages that cannot be parsed are
     judged by no rule and listed in ``unread``.
     """
@@ -471,8 +522,9 @@ def audit(
     chosen = evaluated(every_rule, caps)
     every = cut(derived(page_models(raw)))
     pages, unread = every.where("parse_error IS NULL"), every.where("parse_error IS NOT NULL").select("site_id", F.col("normalized_url").alias("page"), F.col("parse_error").alias("error"))
-    groups = shared_values(pages)
-    facts, sites = page_facts(pages, side), cut(site_facts(pages, side, caps, single_page, now, groups))
+    of_page, of_site = named(chosen, "page"), named(chosen, "site")
+    groups = shared_values(pages, [*chosen, *(r for r in RULES if f"{r.groups}_groups" in of_site)])
+    facts, sites = page_facts(pages, side, of_page), cut(site_facts(pages, side, caps, single_page, now, groups, of_site))
     found, applicable, errors = evaluate(facts, sites, chosen, min_words, groups)
     partial = None if crawl is None else crawl.select("site_id", (F.col("status") != "ok").alias("partial"))
     found = with_metadata(found, sites, partial, every_rule)

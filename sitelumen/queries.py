@@ -70,14 +70,13 @@ def tr_stopword_ratio_docs(spark, d):
     return _docs(spark, d).select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("words"), T.stop_word_hits(F.col("w")).alias("hits"))
 
 
-_MOJIBAKE_ROWS = "(1, 'HoÅŸ geldiniz, gÃ¼zel ÅŸehir'), (2, 'bir tane Ã¼ var'), (3, 'Ã¼Ã¼Ã¼Ã¼'), (4, 'temiz metin'), (5, NULL), (6, 'Ã¶ ve Ä±')"
 _COUNTS = " + ".join(f"((length(t) - length(replace(t, '{s}', ''))) / {len(s)})::INTEGER" for s in T.MOJIBAKE)
 _KINDS = " + ".join(f"(contains(t, '{s}'))::INTEGER" for s in T.MOJIBAKE)
 
 
-@query(f"WITH v(id, t) AS (VALUES {_MOJIBAKE_ROWS}) SELECT id, coalesce(({_COUNTS}) >= 4 OR ({_KINDS}) >= 2, false) AS broken FROM v")
+@query(f"SELECT page_id, coalesce(({_COUNTS.replace('(t', '(html')}) >= 4 OR ({_KINDS.replace('(t', '(html')}) >= 2, false) AS broken FROM pages")
 def mojibake_values(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {_MOJIBAKE_ROWS} AS v(id, t)").select("id", T.is_mojibake("t").alias("broken"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.is_mojibake("html").alias("broken"))
 
 
 @query(f"SELECT doc_id, ({_COUNTS.replace('(t', '(text')})::INTEGER AS sequences FROM documents")
@@ -85,18 +84,6 @@ def mojibake_docs(spark, d):
     return _docs(spark, d).select("doc_id", F.aggregate(T.mojibake_counts("text"), F.lit(0), lambda a, n: a + n).alias("sequences"))
 
 
-_CASE_ROWS = "(1, 'İSTANBUL'), (2, 'IŞIK'), (3, 'çiçek ısı'), (4, 'Ğ Ü Ş İ Ö Ç'), (5, '  Çok   Boşluk  ')"
-
-
-@query(
-    f"""WITH v(id, t) AS (VALUES {_CASE_ROWS}) SELECT id, {LOWER.format('t')} AS low,
-    upper(translate(t, 'iışğüöç', 'İIŞĞÜÖÇ')) AS up, trim(regexp_replace({LOWER.format('t')}, '\\s+', ' ', 'g')) AS key,
-    regexp_replace(regexp_replace({LOWER.format("translate(t, 'ıİşŞğĞüÜöÖçÇ', 'iIsSgGuUoOcC')")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM v"""
-)
-def case_and_keys(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {_CASE_ROWS} AS v(id, t)").select("id", T.tr_lower("t").alias("low"), T.tr_upper("t").alias("up"), T.normalize_key("t").alias("key"), T.slugify("t").alias("slug"))
-
-
 _WIDTHS = {**{g: w for gs, w in T.LETTER_WIDTHS for g in gs}, **T.PUNCTUATION_WIDTHS}
 _WIDTH_MAP = "MAP {" + ", ".join(f"'{g.replace(chr(39), chr(39) * 2)}': {w}" for g, w in _WIDTHS.items()) + "}"
 
@@ -148,21 +135,20 @@ def url_flags(spark, d):
     return rows.select("page_id", U.host_of("url").alias("host"), U.path_of("url").alias("path"), U.path_depth("url").alias("depth"), U.has_uppercase_or_underscore("url").alias("upper_or_underscore"), U.looks_non_html("url").alias("non_html"))
 
 
-_URL_ROWS = (
-    ("https://ORNEK.com.tr:443/a?b=2&utm_source=x&a=1#z", "https://ornek.com.tr/a?a=1&b=2"),
-    ("http://ornek.test:80/%c4%b1", "http://ornek.test/%C4%B1"),
-    ("https://ornek.test/a/", "https://ornek.test/a/"),
-    ("https://ornek.test/a/../b/./c", "https://ornek.test/b/c"),
-    ("https://ornek.test?q=a%20b", "https://ornek.test/?q=a+b"),
-    ("mailto:a@b.c", None),
-    ("not a url", None),
-)
-_URL_SQL = ", ".join(f"({i}, '{a}', {repr(b) if b else 'NULL'})" for i, (a, b) in enumerate(_URL_ROWS))
+#: Other spellings of each page's URL, by its number: host in capitals with its usual port, tracking and fragment, dots in the path, and no web address.
+_SPELLINGS = """CASE page_id % 5
+    WHEN 0 THEN concat(upper(regexp_extract(url, '^(https?://[^/?#]+)', 1)), CASE WHEN url LIKE 'https:%' THEN ':443' ELSE ':80' END, regexp_extract(url, '^https?://[^/?#]+(.*)$', 1))
+    WHEN 1 THEN concat(regexp_extract(url, '^([^#]*)', 1), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_source=x&fbclid=1#z')
+    WHEN 2 THEN concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/.', regexp_extract(url, '^https?://[^/?#]+(.*)$', 1))
+    WHEN 3 THEN concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/x/..', regexp_extract(url, '^https?://[^/?#]+(.*)$', 1))
+    ELSE concat('mailto:', url) END"""
 
 
-@query(f"WITH v(id, url, expected) AS (VALUES {_URL_SQL}) SELECT id, expected AS normalized_url FROM v")
+@query(f"WITH {BASE} SELECT page_id, CASE WHEN page_id % 5 < 4 THEN nurl END AS normalized_url FROM u")
 def url_normalize_values(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {_URL_SQL} AS v(id, url, expected)").select("id", U.normalize_url("url").alias("normalized_url"))
+    """Whatever the spelling, the page's normalised URL comes out; what is no web address has none."""
+    spelt = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.expr(_SPELLINGS).alias("url"))
+    return spelt.select("page_id", U.normalize_url("url").alias("normalized_url"))
 
 
 @query(f"WITH {BASE} SELECT site_id, nurl AS normalized_url, page_id AS last_id, seq FROM p")
@@ -178,6 +164,15 @@ def page_extract(spark, d):
     )
 
 
+@query(
+    f"""WITH {BASE} SELECT nurl AS normalized_url, {LOWER.format('title')} AS low, upper(replace(translate(title, 'iışğüöç', 'İIŞĞÜÖÇ'), 'ß', 'SS')) AS up, trim(regexp_replace({LOWER.format('title')}, '\\s+', ' ', 'g')) AS key,
+    regexp_replace(regexp_replace(strip_accents({LOWER.format("translate(title, 'ıİşŞğĞüÜöÖçÇ', 'iIsSgGuUoOcC')")}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM x WHERE title IS NOT NULL"""
+)
+def case_and_keys(spark, d):
+    titles = _site(spark, d).where("title IS NOT NULL")
+    return titles.select("normalized_url", T.tr_lower("title").alias("low"), T.tr_upper("title").alias("up"), T.normalize_key("title").alias("key"), T.slugify("title").alias("slug"))
+
+
 @query(f"WITH {BASE} SELECT nurl AS normalized_url, floor((list_sum(list_transform(string_split(title, ''), lambda c: coalesce({_WIDTH_MAP}[c], {T.OTHER_WIDTH}))) + 5) / 10)::INTEGER AS px FROM x WHERE title IS NOT NULL")
 def text_px_titles(spark, d):
     return _site(spark, d).where("title IS NOT NULL").select("normalized_url", F.col("title_px").alias("px"))
@@ -280,63 +275,81 @@ def broken_links(spark, d):
     return S.status_by_link(pages, _statuses(pages)).select("normalized_url", "broken_links", "redirect_links")
 
 
-_ALT = "('s', 'a', 'b'), ('s', 'b', 'a'), ('s', 'a', 'c'), ('s', 'c', 'c'), ('s', 'b', 'x'), ('s', 'd', 'a'), ('t', 'a', 'b')"
-_ALT_PAGES = "('s', 'a'), ('s', 'b'), ('s', 'c'), ('s', 'd'), ('t', 'a'), ('t', 'b')"
+#: Alternates of a page by its number: itself, and pages a few numbers away on its site, which may or may not name it too.
+_ALTERNATES = {0: "page_id % 2 = 0", 3: "page_id % 3 <> 0", -3: "page_id % 4 <> 0", 9: "page_id % 5 = 0"}
+_EDGES = "e AS (" + " UNION ALL ".join(f"SELECT a.site_id, a.nurl AS s, b.nurl AS t FROM p a JOIN p b ON b.site_id = a.site_id AND b.page_id = a.page_id + {k} WHERE a.{rule}" for k, rule in _ALTERNATES.items()) + ")"
 
 
-def _alternates(spark: SparkSession) -> DataFrame:
-    edges = spark.sql(f"SELECT * FROM VALUES {_ALT} AS e(site_id, normalized_url, t)").groupBy("site_id", "normalized_url").agg(F.collect_list(F.struct(F.lit("tr").alias("lang"), F.col("t").alias("normalized"))).alias("hreflang"))
-    pages = spark.sql(f"SELECT * FROM VALUES {_ALT_PAGES} AS p(site_id, normalized_url)")
-    return pages.join(edges, ["site_id", "normalized_url"], "left").withColumn("hreflang", F.coalesce("hreflang", F.expr("array()")))
+def _alternates(spark: SparkSession, d: str) -> DataFrame:
+    """The deduplicated pages with alternates derived from their numbers."""
+    pages = S.last_wins(_pages(spark, d).select("site_id", "ingest_seq", U.normalize_url("url").alias("normalized_url"))).withColumnRenamed("ingest_seq", "page_id")
+    other = pages.select("site_id", F.col("page_id").alias("to"), F.col("normalized_url").alias("normalized"))
+    edges = [pages.where(rule).withColumn("to", F.col("page_id") + k).join(other, ["site_id", "to"]) for k, rule in _ALTERNATES.items()]
+    every = edges[0].unionByName(edges[1]).unionByName(edges[2]).unionByName(edges[3])
+    listed = every.groupBy("site_id", "normalized_url").agg(F.collect_list(F.struct(F.lit("tr").alias("lang"), "normalized")).alias("hreflang"))  # four at most
+    return pages.join(listed, ["site_id", "normalized_url"], "left").withColumn("hreflang", F.coalesce("hreflang", F.expr("array()")))
 
 
 @query(
-    f"""WITH e(site_id, s, t) AS (VALUES {_ALT}), p(site_id, u) AS (VALUES {_ALT_PAGES})
-    SELECT e.site_id, e.s AS normalized_url, count(*) AS no_return FROM e JOIN p ON p.site_id = e.site_id AND p.u = e.t
-    WHERE e.s <> e.t AND NOT EXISTS (SELECT 1 FROM e b WHERE b.site_id = e.site_id AND b.s = e.t AND b.t = e.s) GROUP BY ALL"""
+    f"""WITH {BASE}, {_EDGES} SELECT site_id, s AS normalized_url, count(DISTINCT t) AS no_return FROM e
+    WHERE s <> t AND NOT EXISTS (SELECT 1 FROM e b WHERE b.site_id = e.site_id AND b.s = e.t AND b.t = e.s) GROUP BY ALL"""
 )
 def hreflang_return(spark, d):
-    return S.missing_return(_alternates(spark))
+    return S.missing_return(cut(_alternates(spark, d)))
 
 
-@query(f"WITH e(site_id, s, t) AS (VALUES {_ALT}), p(site_id, u) AS (VALUES {_ALT_PAGES}) SELECT site_id, u AS normalized_url, EXISTS (SELECT 1 FROM e WHERE e.site_id = p.site_id AND e.s = p.u AND e.t = p.u) AS self FROM p")
+@query(f"WITH {BASE}, {_EDGES} SELECT site_id, nurl AS normalized_url, EXISTS (SELECT 1 FROM e WHERE e.site_id = p.site_id AND e.s = p.nurl AND e.t = p.nurl) AS self FROM p")
 def hreflang_self(spark, d):
-    return _alternates(spark).select("site_id", "normalized_url", F.exists("hreflang", lambda h: h["normalized"] == F.col("normalized_url")).alias("self"))
+    return _alternates(spark, d).select("site_id", "normalized_url", F.exists("hreflang", lambda h: h["normalized"] == F.col("normalized_url")).alias("self"))
+
 
+#: What the sitemaps of a site list, and what a crawl knows of it, by the numbers of its pages.
+_LISTED, _GONE, _MOVED, _KNOWN, _OK, _HIDDEN = "page_id % 3 <> 0", "page_id % 7 = 0", "page_id % 11 = 0", "page_id % 2 = 0", "page_id % 13 <> 0", "page_id % 6 = 5"
+_MAPS = f"""m AS (SELECT site_id, nurl AS loc FROM p WHERE {_LISTED} UNION SELECT site_id, nurl || '-none' FROM p WHERE page_id % 5 = 0),
+st AS (SELECT site_id, nurl AS loc, CASE WHEN {_GONE} THEN 404 ELSE 200 END AS status, CASE WHEN {_MOVED} THEN 1 ELSE 0 END AS redirects FROM p WHERE {_KNOWN}
+       UNION ALL SELECT site_id, nurl || '-none', 410, 0 FROM p WHERE page_id % 10 = 0)"""
 
-_MAP_ROWS = "('s', 'u1'), ('s', 'u2'), ('s', 'u3'), ('s', 'u4')"
-_MAP_STATUS = "('s', 'u1', 404, 0), ('s', 'u2', 200, 1), ('s', 'u3', 200, 0)"
-_MAP_PAGES = "('s', 'u3', 'u3', true, false, false, 1), ('s', 'u4', 'u4', true, true, true, 2), ('s', 'u5?x', 'u5', true, true, true, 3)"
+
+def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sitemap entries, statuses and pages, derived from the numbers of the deduplicated pages."""
+    pages = S.last_wins(_pages(spark, d).select("site_id", "url", "ingest_seq", U.normalize_url("url").alias("normalized_url"))).withColumnRenamed("ingest_seq", "page_id")
+    pages = pages.withColumns({"ok": F.expr(_OK), "robots_index": ~F.expr(_HIDDEN), "idx": F.expr(_OK) & ~F.expr(_HIDDEN)})
+    none = F.concat("normalized_url", F.lit("-none"))
+    locs = pages.where(_LISTED).select("site_id", F.col("normalized_url").alias("loc")).union(pages.where("page_id % 5 = 0").select("site_id", none)).distinct()
+    status = pages.where(_KNOWN).select("site_id", F.col("normalized_url").alias("url"), F.expr(f"CASE WHEN {_GONE} THEN 404 ELSE 200 END").alias("status"), F.expr(f"CASE WHEN {_MOVED} THEN 1 ELSE 0 END").alias("redirects"))
+    status = status.union(pages.where("page_id % 10 = 0").select("site_id", none, F.lit(410), F.lit(0)))
+    return locs, status, pages
 
 
 @query(
-    f"""WITH m(site_id, loc) AS (VALUES {_MAP_ROWS}), st(site_id, loc, status, redirects) AS (VALUES {_MAP_STATUS}), p(site_id, url, nurl, ok, robots_index, idx, seq) AS (VALUES {_MAP_PAGES})
-    SELECT m.site_id, m.loc, CASE WHEN status >= 400 THEN 'status' WHEN redirects > 0 THEN 'redirect' ELSE 'noindex' END AS problem
-    FROM m LEFT JOIN st USING (site_id, loc) LEFT JOIN p ON p.site_id = m.site_id AND p.nurl = m.loc AND p.ok AND NOT p.robots_index
+    f"""WITH {BASE}, {_MAPS} SELECT m.site_id, m.loc, CASE WHEN status >= 400 THEN 'status' WHEN redirects > 0 THEN 'redirect' ELSE 'noindex' END AS problem
+    FROM m LEFT JOIN st USING (site_id, loc) LEFT JOIN p ON p.site_id = m.site_id AND p.nurl = m.loc AND {_OK} AND {_HIDDEN}
     WHERE status >= 400 OR redirects > 0 OR p.nurl IS NOT NULL"""
 )
 def sitemap_non_indexable(spark, d):
-    locs = spark.sql(f"SELECT * FROM VALUES {_MAP_ROWS} AS m(site_id, loc)")
-    status = spark.sql(f"SELECT * FROM VALUES {_MAP_STATUS} AS m(site_id, url, status, redirects)")
-    return S.sitemap_problems(locs, status, spark.sql(f"SELECT * FROM VALUES {_MAP_PAGES} AS p(site_id, url, normalized_url, ok, robots_index, idx, seq)"))
+    return S.sitemap_problems(*_mapped(spark, d))
 
 
-@query(f"WITH m(site_id, loc) AS (VALUES {_MAP_ROWS}), p(site_id, url, nurl, ok, robots_index, idx, seq) AS (VALUES {_MAP_PAGES}) SELECT site_id, nurl AS normalized_url FROM p WHERE idx AND url NOT IN (SELECT loc FROM m) AND nurl NOT IN (SELECT loc FROM m)")
+@query(f"WITH {BASE}, {_MAPS} SELECT site_id, nurl AS normalized_url FROM p WHERE {_OK} AND NOT ({_HIDDEN}) AND NOT EXISTS (SELECT 1 FROM m WHERE m.site_id = p.site_id AND (m.loc = p.url OR m.loc = p.nurl)) AND EXISTS (SELECT 1 FROM m WHERE m.site_id = p.site_id)")
 def sitemap_orphans(spark, d):
-    locs = spark.sql(f"SELECT * FROM VALUES {_MAP_ROWS} AS m(site_id, loc)")
-    return S.sitemap_orphans(spark.sql(f"SELECT * FROM VALUES {_MAP_PAGES} AS p(site_id, url, normalized_url, ok, robots_index, idx, seq)"), locs).select("site_id", "normalized_url")
+    locs, _, pages = _mapped(spark, d)
+    return S.sitemap_orphans(pages, locs).select("site_id", "normalized_url")
 
 
-_LASTMOD = "(1, '2024-05-01'), (2, '2024-05-01T10:00:00Z'), (3, '01.05.2024'), (4, NULL), (5, '2999-01-01'), (6, '2024-13-01'), (7, '2024-05-01T10:00+03:00'), (8, '2024-05-01 10:00:00+0300')"
+#: A date for each page, written in ways that are valid or not.
+_LASTMOD = """CASE page_id % 8 WHEN 0 THEN day WHEN 1 THEN concat(day, 'T10:00:00Z') WHEN 2 THEN concat(substring(day, 9, 2), '.', substring(day, 6, 2), '.', substring(day, 1, 4)) WHEN 3 THEN NULL
+    WHEN 4 THEN concat('2999', substring(day, 5, 6)) WHEN 5 THEN concat(substring(day, 1, 5), '13-01') WHEN 6 THEN concat(day, 'T10:00+03:00') ELSE concat(day, ' 10:00:00+0300') END"""
 
 
 @query(
-    f"""WITH v(id, lastmod) AS (VALUES {_LASTMOD}) SELECT id, CASE WHEN lastmod IS NULL OR lastmod = '' THEN 'missing'
+    f"""WITH v AS (SELECT page_id, {_LASTMOD} AS lastmod FROM (SELECT page_id, CAST(DATE '2023-01-01' + CAST(page_id % 2500 AS INTEGER) AS VARCHAR) AS day FROM pages))
+    SELECT page_id, CASE WHEN lastmod IS NULL OR lastmod = '' THEN 'missing'
     WHEN NOT regexp_full_match(lastmod, '\\d{{4}}-\\d{{2}}-\\d{{2}}([T ]\\d{{2}}:\\d{{2}}(:\\d{{2}})?(\\.\\d+)?(Z|[+-]\\d{{2}}:?\\d{{2}})?)?') OR try_cast(substr(lastmod, 1, 10) AS DATE) IS NULL THEN 'format'
     WHEN try_cast(substr(lastmod, 1, 10) AS DATE) > DATE '2030-01-02' THEN 'future' END AS problem FROM v"""
 )
 def lastmod_check(spark, d):
-    return spark.sql(f"SELECT * FROM VALUES {_LASTMOD} AS v(id, lastmod)").select("id", T.lastmod_problem("lastmod", F.to_timestamp(F.lit("2030-01-01"))).alias("problem"))
+    days = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.expr("CAST(date_add(DATE '2023-01-01', CAST(page_id % 2500 AS INT)) AS STRING)").alias("day"))
+    return days.select("page_id", T.lastmod_problem(F.expr(_LASTMOD), F.to_timestamp(F.lit("2030-01-01"))).alias("problem"))
 
 
 _ROBOTS = r"User-agent: *\nDisallow: /de/\nAllow: /de/1\nDisallow: /*.html$\n\n# comment\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\nUser-agent: ClaudeBot\nDisallow:\nSitemap: https://s.test/sitemap.xml"
@@ -358,21 +371,55 @@ def robots_allow(spark, d):
     return R.access(rules, groups, paths).select("site_id", "path", "allowed")
 
 
-@query("SELECT s.site_id, a.agent FROM (VALUES ('example.com'), ('example.net'), ('example.org')) s(site_id), (VALUES ('GPTBot'), ('CCBot')) a(agent)")
+#: A robots.txt for each page, as if it were a site of its own.
+_OWN_ROBOTS = """CASE page_id % 7 WHEN 0 THEN 'User-agent: *\\nDisallow: /' WHEN 1 THEN 'User-agent: GPTBot\\nUser-agent: CCBot\\nDisallow: /' WHEN 2 THEN 'user-agent: claudebot\\r\\ndisallow: /\\nallow: /$'
+    WHEN 3 THEN 'User-agent: PerplexityBot\\nDisallow:' WHEN 4 THEN '# all\\nUser-agent: Bytespider # one\\nDisallow: /*' WHEN 5 THEN concat('User-agent: Google-Extended\\nDisallow: ', {path}) ELSE NULL END"""
+
+
+@query(
+    r"""SELECT 's' || page_id AS site_id, unnest(CASE page_id % 7 WHEN 1 THEN ['GPTBot', 'CCBot'] WHEN 4 THEN ['Bytespider'] ELSE CASE WHEN regexp_matches(url, '^https?://[^/]+/?([?#].*)?$') THEN ['Google-Extended'] ELSE [] END END) AS agent
+    FROM pages WHERE page_id % 7 IN (1, 4, 5)"""
+)
 def ai_blocked(spark, d):
-    return R.blocked_ai_agents(_robots(spark))
+    sites = _pages(spark, d).select(F.concat(F.lit("s"), F.col("ingest_seq").cast("string")).alias("site_id"), F.expr(_OWN_ROBOTS.format(path="'@'").replace("page_id", "ingest_seq")).alias("raw"), U.path_of("url").alias("path"))
+    return R.blocked_ai_agents(sites.select("site_id", F.replace("raw", F.lit("@"), "path").alias("raw")))
+
+
+#: A rule from each page's path: as it is, its first half as a prefix or before an end, its last part anywhere, and all of it as the end.
+_RULE_PATH = """CASE page_id % 5 WHEN 0 THEN path WHEN 1 THEN concat(left(path, CAST(floor(length(path) / 2) + 1 AS INT)), '*') WHEN 2 THEN concat('/*', right(path, 3)) WHEN 3 THEN concat(path, '$') ELSE concat(left(path, 2), '*', right(path, 2), '$') END"""
 
 
-_SITEMAP_XML = (
-    '<?xml version="1.0"?><urlset xmlns:xhtml="http://www.w3.org/1999/xhtml"><url><loc> https://s.test/a?x=1&amp;y=2 </loc><lastmod>2024-01-01</lastmod>'
-    '<xhtml:link rel="alternate" hreflang="tr" href="https://s.test/tr"/></url><url><loc></loc></url><url><loc>https://s.test/b</loc></url></urlset>'
+@query(
+    f"""WITH a AS (SELECT page_id, 'g' || (page_id // 50) AS site_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+    r AS (SELECT site_id, page_id % 3 = 1 AS allow, {_RULE_PATH} AS rule FROM a),
+    q AS (SELECT *, '^' || replace(regexp_replace(CASE WHEN rule LIKE '%$' THEN left(rule, length(rule) - 1) ELSE rule END, '([.+?^${{}}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '*', '.*') || CASE WHEN rule LIKE '%$' THEN '$' ELSE '' END AS pattern FROM r),
+    asked AS (SELECT DISTINCT site_id, path FROM a),
+    met AS (SELECT asked.*, max({{'n': length(rule), 'allow': allow}}) AS best FROM asked JOIN q USING (site_id) WHERE regexp_matches(path, pattern) GROUP BY ALL)
+    SELECT site_id, path, coalesce(met.best.allow, true) AS allowed FROM asked LEFT JOIN met USING (site_id, path)"""
 )
+def robots_paths(spark, d):
+    """Every fifty pages as a site whose robots.txt has a rule of each page's path, asked for the paths of them all."""
+    pages = _pages(spark, d).select(F.col("ingest_seq").alias("page_id"), F.concat(F.lit("g"), F.expr("CAST(ingest_seq DIV 50 AS STRING)")).alias("site_id"), U.path_of("url").alias("path"))
+    rules = pages.select("site_id", F.lit(1).alias("group_no"), F.col("page_id").alias("seq"), F.expr("if(page_id % 3 = 1, 'allow', 'disallow')").alias("type"), F.expr(_RULE_PATH).alias("path"))
+    groups = pages.select("site_id", F.lit("AuditBot").alias("token"), F.lit(1).alias("group_no")).distinct()
+    return R.access(rules, groups, pages.select("site_id", "path").distinct()).select("site_id", "path", "allowed")
+
+
+#: A sitemap for each page: plain, with prefixes and an alternate, as CDATA in a commented document, and cut off within its second entry.
+_OWN_SITEMAP = """concat('<?xml version="1.0"?>', CASE page_id % 4
+    WHEN 0 THEN concat('<urlset><url><loc> ', loc, ' </loc><lastmod>2024-01-01</lastmod></url><url><loc></loc></url></urlset>')
+    WHEN 1 THEN concat('<s:urlset xmlns:s="x"><s:url><s:lastmod/><s:loc>', loc, '</s:loc><xhtml:link rel="alternate" hreflang="tr" href="', loc, '"/></s:url></s:urlset>')
+    WHEN 2 THEN concat('<!-- <url><loc>no</loc></url> --><urlset><url><loc><![CDATA[', url, ']]></loc><priority>1</priority></url></urlset>')
+    ELSE concat('<urlset><url><loc>', loc, '</loc></url><url><loc>', loc, '&amp;part=2', CASE WHEN page_id % 8 = 3 THEN '' ELSE '</lo' END) END)"""
 
 
-@query("SELECT * FROM (VALUES ('https://s.test/a?x=1&y=2', '2024-01-01', 1), ('https://s.test/b', NULL, 0)) AS v(loc, lastmod, alternates)")
+@query(
+    """SELECT page_id::VARCHAR AS sitemap_url, unnest(CASE WHEN page_id % 4 = 3 THEN [url, url || '&part=2'] ELSE [url] END) AS loc, CASE WHEN page_id % 4 = 0 THEN '2024-01-01' END AS lastmod, CASE WHEN page_id % 4 = 1 THEN url END AS alternate FROM pages"""
+)
 def sitemap_entries(spark, d):
-    maps = spark.range(1).select(F.lit("s.test").alias("site_id"), F.lit("m").alias("sitemap_url"), F.lit(_SITEMAP_XML).alias("xml"))
-    return M.entries(maps).select("loc", "lastmod", F.size("alternates").alias("alternates"))
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("loc", F.replace("url", F.lit("&"), F.lit("&amp;")))
+    maps = pages.select(F.lit("s").alias("site_id"), F.col("page_id").cast("string").alias("sitemap_url"), F.expr(_OWN_SITEMAP).alias("xml"))
+    return M.entries(maps).select("sitemap_url", "loc", "lastmod", F.expr("try_element_at(alternates, 1).href").alias("alternate"))
 
 
 # --- rules that need headers -----------------------------------------------------------------------------------------
@@ -381,44 +428,60 @@ _GOOD = {
     "content-type": "text/html; charset=utf-8", "strict-transport-security": "max-age=31536000", "content-security-policy": "default-src 'self'; frame-ancestors 'none'",
     "x-content-type-options": "nosniff", "referrer-policy": "no-referrer", "permissions-policy": "camera=()", "content-encoding": "br",
 }
-_HEADER_ROWS = [
-    ("https://h.test/good", _GOOD, 100),
-    ("https://h.test/none", {"content-type": "text/html"}, 900),
-    ("http://h.test/plain", {**_GOOD, "server": "nginx/1.18", "set-cookie": "a=1; Secure"}, 100),
-    ("https://h.test/weak", {**_GOOD, "strict-transport-security": "max-age=600", "content-security-policy": "script-src 'unsafe-inline' *"}, 801),
-    ("https://h.test/cookie", {**_GOOD, "set-cookie": "a=1; Secure; HttpOnly; SameSite=Lax"}, 100),
+#: Headers of a page by its number, some of them sent twice in different spellings, with what then fails.
+_HEADER_CASES: list[tuple[list[tuple[str, str]], list[str]]] = [
+    ([*_GOOD.items()], []),
+    ([("Content-Type", "text/html")], ["csp-missing", "x-content-type-options-missing", "clickjacking-protection-missing", "referrer-policy-missing", "permissions-policy-missing"]),
+    ([*_GOOD.items(), ("Server", "nginx"), ("server", "nginx/1.18"), ("Set-Cookie", "a=1; Secure")], ["server-version-disclosure", "cookie-flags-weak"]),
+    ([*_GOOD.items(), ("Strict-Transport-Security", "max-age=600"), ("Content-Security-Policy", "script-src 'unsafe-inline' *")], ["hsts-weak", "csp-unsafe", "clickjacking-protection-missing"]),
+    ([("SERVER", "nginx/1.18"), *_GOOD.items(), ("server", "nginx"), ("SET-COOKIE", "a=1; Secure; HttpOnly; SameSite=Lax")], []),
 ]
 
 
-def _map_sql(headers: dict[str, str]) -> str:
-    return "map(" + ", ".join("'{}', '{}'".format(k, v.replace("'", "\\'")) for k, v in headers.items()) + ")"
+def _entries_sql(headers: list[tuple[str, str]]) -> str:
+    return "map_from_entries(array(" + ", ".join("struct('{}', '{}')".format(k, v.replace("'", "\\'")) for k, v in headers) + "))"
 
 
-def header_pages(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({i}, '{u}', {_map_sql(h)}, {t}L)" for i, (u, h, t) in enumerate(_HEADER_ROWS))
-    body = "<html lang=\"tr\"><head><title>x</title></head><body>" + "k " * 1500 + "</body></html>"
-    return P.raw_pages(spark.sql(f"SELECT *, '{body}' AS html FROM VALUES {rows} AS v(n, url, headers, ttfb_ms)"), "n")
+def header_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages with headers and a time to the first byte that their numbers give them."""
+    rows = spark.read.parquet(f"{d}/pages.parquet")
+    cases = " ".join(f"WHEN {i} THEN {_entries_sql(h)}" for i, (h, _) in enumerate(_HEADER_CASES))
+    headers = F.expr(f"CASE page_id % {len(_HEADER_CASES)} {cases} END")
+    return P.raw_pages(rows.withColumns({"headers": headers, "ttfb_ms": F.expr("CAST(700 + page_id % 4 * 50 AS BIGINT)")}), "page_id")
 
 
 @query(
-    """SELECT * FROM (VALUES ('https://h.test/none', 'hsts-missing'), ('https://h.test/none', 'csp-missing'), ('https://h.test/none', 'x-content-type-options-missing'),
-    ('https://h.test/none', 'clickjacking-protection-missing'), ('https://h.test/none', 'referrer-policy-missing'), ('https://h.test/none', 'permissions-policy-missing'),
-    ('https://h.test/none', 'no-compression'), ('https://h.test/none', 'ttfb-slow'), ('http://h.test/plain', 'server-version-disclosure'), ('http://h.test/plain', 'cookie-flags-weak'),
-    ('https://h.test/weak', 'hsts-weak'), ('https://h.test/weak', 'csp-unsafe'), ('https://h.test/weak', 'clickjacking-protection-missing'), ('https://h.test/weak', 'ttfb-slow')) AS v(page, rule_id)"""
+    f"""WITH {BASE}, h AS (SELECT nurl AS page, unnest(list_concat(CASE page_id % {len(_HEADER_CASES)} {" ".join(f"WHEN {i} THEN {ids}" for i, (_, ids) in enumerate(_HEADER_CASES) if ids)} ELSE [] END,
+      list_concat(CASE WHEN page_id % 4 = 3 THEN ['ttfb-slow'] ELSE [] END,
+      CASE WHEN page_id % {len(_HEADER_CASES)} = 1 THEN list_concat(CASE WHEN url LIKE 'https:%' THEN ['hsts-missing'] ELSE [] END, CASE WHEN octet_length(encode(html)) >= 2048 THEN ['no-compression'] ELSE [] END) ELSE [] END))) AS rule_id FROM p)
+    SELECT page, rule_id FROM h"""
 )
 def header_rules(spark, d):
-    chosen = [r for r in A.RULES if "headers" in r.needs]
-    done = A.audit(header_pages(spark), caps=P.Capabilities(headers=True), rules=chosen)
+    chosen = [r for r in A.RULES if "headers" in r.needs and r.id != "redirect-chain"]
+    done = A.audit(header_pages(spark, d), caps=P.Capabilities(headers=True), rules=chosen)
     return done.findings.select("page", "rule_id")
 
 
 @query(variants.oracle())
 def rule_variants(spark, d):
-    """Where 72 rules fail, and by how much, on pages made for them from the numbers of the pages table."""
+    """Where each of the rules that a single page can fail does, and by how much, on pages made for them from the numbers of the pages table."""
     rules = [r for r in A.RULES if r.id in variants.VARIANTS]
     found = A.audit(variants.variant_pages(spark.read.parquet(f"{d}/pages.parquet")), caps=P.Capabilities(headers=True), rules=rules).findings
     measured = [k for k, v in variants.VARIANTS.items() if v.measure != "NULL"]
-    return found.where("rule_id = site_id").select(F.col("seq").alias("page_id"), "rule_id", F.when(F.col("rule_id").isin(measured), F.col("measure")).alias("measure"))
+    own = found.where("rule_id = site_id")
+    return own.select(F.expr("seq DIV 2").alias("page_id"), F.expr("CAST(seq % 2 AS INT)").alias("half"), "rule_id", F.when(F.col("rule_id").isin(measured), F.col("measure")).alias("measure"))
+
+
+@query(variants.network_oracle())
+def network_variants(spark, d):
+    """Where each of the rules that take several pages, statuses, robots, sitemaps or redirects does, on sites made from the numbers of the pages table."""
+    rules = [r for r in A.RULES if r.id in variants.NETWORK]
+    raw, side = variants.network_sites(spark.read.parquet(f"{d}/pages.parquet"))
+    done = A.audit(raw, A.SideInputs(**side), P.Capabilities(True, True), rules=rules, now=F.to_timestamp(F.lit("2030-01-01")))
+    order = F.array(*[F.lit(r) for r in variants.NETWORK])
+    own = done.findings.withColumn("page_id", F.col("site_id").cast("bigint")).where(F.col("rule_id") == F.get(order, F.pmod("page_id", F.lit(len(variants.NETWORK))).cast("int")))
+    measured = [k for k, v in variants.NETWORK.items() if v.measure != "NULL"]
+    return own.select("page_id", "rule_id", F.when(F.col("rule_id").isin(measured), F.col("measure")).alias("measure"))
 
 
 # --- the audit -------------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelumen.functions import url as U
@@ -26,6 +26,13 @@ class Capabilities:
     net: bool = False
 
 
+def header_map(headers: Column) -> Column:
+    """Headers by lower-case name; of names that are then equal the last one's value stays, and null gives none."""
+    entries = F.transform(F.map_entries(F.coalesce(headers.cast("map<string,string>"), F.expr("map()").cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"].alias("value"))))
+
+
 def raw_pages(df: DataFrame, seq: str | None = None) -> DataFrame:
     """Any frame with ``url`` and ``html`` as raw pages: missing columns get their defaults.
 
@@ -40,8 +47,7 @@ def raw_pages(df: DataFrame, seq: str | None = None) -> DataFrame:
         if name not in df.columns:
             df = df.withColumn(name, F.expr(default))
     kinds = dict(part.strip().split(" ", 1) for part in _split(RAW_SCHEMA))
-    lowered = F.transform_keys(F.coalesce("headers", F.expr("map()").cast("map<string,string>")), lambda k, _: F.lower(k))
-    return df.withColumn("headers", lowered).select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+    return df.withColumn("headers", header_map(F.col("headers"))).select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
 
 
 def _split(schema: str) -> list[str]:

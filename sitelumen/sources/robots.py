@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values ---
 AI_AGENTS = "GPTBot ChatGPT-User OAI-SearchBot ClaudeBot Claude-User PerplexityBot Google-Extended CCBot Applebot-Extended Bytespider".split()
 # --- end of fixed values ---
 
+#: Paths of a site that are matched in one task, and sets of trie nodes that a worker remembers.
+PATHS, MOST_STATES = 100_000, 50_000
+
 
 def robots_lines(robots: DataFrame) -> DataFrame:
     """``(site_id, line, field, value)`` of ``robots(site_id, raw)``; comments and lines without a colon are left out."""
@@ -43,24 +49,110 @@ def chosen_group(agents: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.groupBy("site_id", "token").agg(best.alias("best")).select("site_id", "token", "best.group_no", (~F.col("best.general")).alias("specific"))
 
 
-def path_regex(pattern: Column) -> Column:
-    """A rule's path as a regular expression anchored at the start; ``*`` is a wildcard and a last ``$`` the end."""
-    anchored = pattern.endswith("$")
-    body = F.when(anchored, F.expr("left(path, length(path) - 1)")).otherwise(pattern)
-    quoted = F.regexp_replace(body, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(anchored, F.lit("$")).otherwise(F.lit("")))
+class Patterns:
+    """The rule paths of one group as a trie with wildcard states, scanned once for each path.
+
+    ``*`` is any run of characters and a last ``$`` the end; a path matches from its start. The sets of trie nodes that a
+    scan can be in are numbered as they are met, so a character costs one look-up whatever the number of rules.
+    """
+
+    def __init__(self, rules: list[tuple[str, bool]]):
+        self.next: list[dict[str, int]] = [{}]
+        self.star, self.loops = [-1], [False]
+        self.best: list[tuple[int, bool] | None] = [None]
+        self.best_at_end: list[tuple[int, bool] | None] = [None]
+        for path, allow in rules:
+            self._add(path, allow)
+        self._forget()
+
+    def _node(self, loops: bool = False) -> int:
+        for column, value in ((self.next, {}), (self.star, -1), (self.loops, loops), (self.best, None), (self.best_at_end, None)):
+            column.append(value)
+        return len(self.next) - 1
+
+    def _add(self, path: str, allow: bool) -> None:
+        at, anchored = 0, path.endswith("$")
+        for c in path[:-1] if anchored else path:
+            if c != "*":
+                at = self.next[at].get(c) or self.next[at].setdefault(c, self._node())
+                continue
+            if self.star[at] < 0:
+                self.star[at] = self._node(loops=True)
+            at = self.star[at]
+        column = self.best_at_end if anchored else self.best
+        column[at] = max(column[at] or (0, False), (len(path), allow))
+
+    def _forget(self) -> None:
+        self._numbers: dict[frozenset[int], int] = {}
+        self._states: list[tuple[frozenset[int], dict[str, int], tuple[int, bool], tuple[int, bool]]] = []
+        self._start = self._state({0})
+
+    def _state(self, nodes: set[int]) -> int:
+        """The number of a set of nodes, with all that a wildcard of no characters reaches."""
+        waiting = list(nodes)
+        while waiting:
+            star = self.star[waiting.pop()]
+            if star >= 0 and star not in nodes:
+                nodes.add(star)
+                waiting.append(star)
+        key = frozenset(nodes)
+        if key not in self._numbers:
+            none = (-1, True)
+            self._numbers[key] = len(self._states)
+            self._states.append((key, {}, max((self.best[n] or none for n in key), default=none), max((self.best_at_end[n] or none for n in key), default=none)))
+        return self._numbers[key]
+
+    def allowed(self, path: str) -> bool:
+        """Whether the longest rule that matches allows the path; allow on a tie, and where none matches."""
+        if len(self._states) > MOST_STATES:
+            self._forget()
+        states, at = self._states, self._start
+        best = states[at][2]
+        for c in path:
+            nodes, known, _, _ = states[at]
+            to = known.get(c)
+            if to is None:
+                after = {self.next[n][c] for n in nodes if c in self.next[n]} | {n for n in nodes if self.loops[n]}
+                to = known[c] = self._state(after)
+            at = to
+            if not states[at][0]:
+                return best[1]
+            best = max(best, states[at][2])
+        return max(best, states[at][3])[1]
 
 
 def access(rules: DataFrame, groups: DataFrame, paths: DataFrame) -> DataFrame:
     """``(site_id, token, path, allowed)``: the longest matching rule wins, allow on a tie, no match is allowed.
 
-    Only rules of the same site and group meet a path, so the join is an equi-join with a residual match.
+    The rules of a group travel once to each task that has paths of its site, where they become one trie; the paths of a
+    large site are dealt out to several. No row stands for a pair of a path and a rule.
     """
-    own = groups.join(rules, ["site_id", "group_no"]).where("path <> ''").select("site_id", "token", "type", F.col("path").alias("rule"), path_regex(F.col("path")).alias("regex"))
-    asked = paths.join(groups.select("site_id", "token"), "site_id")
-    met = asked.join(own, ["site_id", "token"]).where(F.expr("path rlike regex"))
-    best = met.groupBy("site_id", "token", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("type") == "allow").alias("allow"))).alias("best"))
-    return asked.join(best, ["site_id", "token", "path"], "left").select("site_id", "token", "path", F.coalesce("best.allow", F.lit(True)).alias("allowed"))
+    keys = ["site_id", "token"]
+    rule = F.struct("path", (F.col("type") == "allow").alias("allow"))
+    own = groups.join(rules, ["site_id", "group_no"]).where("path <> ''").groupBy(*keys).agg(F.array_sort(F.collect_list(rule)).alias("rules"))  # as long as one robots.txt at most
+    asked = paths.select("site_id", "path").join(groups.select(*keys), "site_id")
+    salts = asked.groupBy(*keys).agg(F.ceil(F.count("*") / PATHS).alias("salts"))
+    dealt = asked.join(salts, keys).select(*keys, F.pmod(F.xxhash64("path"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), "path", F.lit(None).cast("array<struct<path:string,allow:boolean>>").alias("rules"))
+    sent = own.join(salts, keys).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("path"), "rules")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, patterns = None, Patterns([])
+        for batch in batches:
+            keep, said = [], []
+            for i, (site, token, kind, path) in enumerate(zip(*[batch.column(c).to_pylist() for c in (0, 1, 3, 4)], strict=True)):
+                if kind == 0:
+                    last, patterns = (site, token), Patterns([(r["path"], r["allow"]) for r in batch.column(5)[i].as_py()])
+                    continue
+                if (site, token) != last:  # a group without rules
+                    last, patterns = (site, token), Patterns([])
+                keep.append(i)
+                said.append(path is None or patterns.allowed(path))
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.record_batch([rows.column(0), rows.column(1), rows.column(4), pa.array(said, pa.bool_())], ["site_id", "token", "path", "allowed"])
+
+    order = [*keys, "salt", "kind"]
+    met = sent.unionByName(dealt).repartition(*keys, "salt").sortWithinPartitions(*order).select(*keys, "salt", "kind", "path", "rules")
+    return met.mapInArrow(run, "site_id string, token string, path string, allowed boolean")
 
 
 def blocked_ai_agents(robots: DataFrame) -> DataFrame:

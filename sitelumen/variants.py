@@ -1,7 +1,9 @@
-"""Pages derived from the rows of ``pages`` on which each rule fails or holds by a number of its own.
+"""Pages and sites derived from the rows of ``pages`` on which each rule fails or holds by a number of its own.
 
-Page number ``page_id`` is made for rule ``page_id % R`` of VARIANTS with ``n = page_id // R % 6``, so every rule meets
-every n once the table is large enough, and SQL can say from n alone where the rule fails and what it measures.
+Of page number ``page_id`` two pages are made for rule ``page_id % R`` of VARIANTS, with ``n = page_id // R % 3`` and that
+plus three, so every rule meets every n on 3 R pages, and SQL can say from n alone where the rule fails and what it
+measures. For the rules of NETWORK, which take more than one page, each row gives a site of its own, with what a crawl
+knows of it, and ``n = page_id // R % 6``.
 """
 
 from __future__ import annotations
@@ -139,25 +141,107 @@ def _literal(value: str) -> str:
 
 
 def variant_pages(pages: DataFrame) -> DataFrame:
-    """Raw pages, one of each row of ``pages(page_id)``; the site is the rule that the page is made for."""
+    """Raw pages, two of each row of ``pages(page_id)``, numbered ``2 * page_id`` and up; the site is the rule that they are made for."""
     made = []
     for rule, v in VARIANTS.items():
         for n in range(STEPS):
             headers = ", ".join(f"{_literal(k)}, {_literal(x)}" for k, x in v.headers(n).items())
             made.append(f"({len(made)}, '{rule}', {_literal(v.path(n))}, {_literal(v.html(n))}, CAST(map({headers}) AS map<string,string>))")
     table = pages.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(made)} AS v(k, rule, path, html, headers)")
-    k = F.pmod("page_id", F.lit(len(VARIANTS))) * STEPS + F.pmod(F.floor(F.col("page_id") / len(VARIANTS)), F.lit(STEPS))
-    rows = pages.select("page_id", k.alias("k")).join(F.broadcast(table), "k")
+    rows = pages.select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    n = F.pmod(F.floor(F.col("page_id") / len(VARIANTS)), F.lit(STEPS // 2)) + F.col("half") * (STEPS // 2)
+    rows = rows.select((2 * F.col("page_id") + F.col("half")).alias("page_id"), (F.pmod("page_id", F.lit(len(VARIANTS))) * STEPS + n).alias("k")).join(F.broadcast(table), "k")
     url = F.concat(F.lit("https://x"), F.col("page_id").cast("string"), F.lit(".v.test"), "path")
     return raw_pages(rows.select("page_id", F.col("rule").alias("site_id"), url.alias("url"), "html", "headers"), "page_id")
 
 
-def oracle() -> str:
-    """SQL of (page_id, rule_id) where the page's rule fails, with the measure where VARIANTS gives one."""
-    rules = ", ".join(f"({i}, '{rule}')" for i, rule in enumerate(VARIANTS))
-    fails = " ".join(f"WHEN {i} THEN {v.fails}" for i, v in enumerate(VARIANTS.values()))
-    measures = " ".join(f"WHEN {i} THEN {v.measure}" for i, v in enumerate(VARIANTS.values()) if v.measure != "NULL")
+def _oracle(variants: dict, n: str, source: str, columns: str) -> str:
+    rules = ", ".join(f"({i}, '{rule}')" for i, rule in enumerate(variants))
+    fails = " ".join(f"WHEN {i} THEN {v.fails}" for i, v in enumerate(variants.values()))
+    measures = " ".join(f"WHEN {i} THEN {v.measure}" for i, v in enumerate(variants.values()) if v.measure != "NULL")
     return (
-        f"WITH r(i, rule_id) AS (VALUES {rules}), p AS (SELECT page_id, page_id % {len(VARIANTS)} AS i, page_id // {len(VARIANTS)} % {STEPS} AS n FROM pages) "
-        f"SELECT page_id, rule_id, (CASE i {measures} END)::DOUBLE AS measure FROM p JOIN r USING (i) WHERE CASE i {fails} END"
+        f"WITH r(i, rule_id) AS (VALUES {rules}), p AS (SELECT {columns}, page_id % {len(variants)} AS i, {n} AS n FROM {source}) "
+        f"SELECT {columns}, rule_id, (CASE i {measures} END)::DOUBLE AS measure FROM p JOIN r USING (i) WHERE CASE i {fails} END"
     )
+
+
+def oracle() -> str:
+    """SQL of (page_id, half, rule_id) where the page's rule fails, with the measure where VARIANTS gives one."""
+    return _oracle(VARIANTS, f"page_id // {len(VARIANTS)} % {STEPS // 2} + half * {STEPS // 2}", "pages, (VALUES (0), (1)) h(half)", "page_id, half")
+
+
+# --- rules that take a whole site ---
+
+
+class Site:
+    """One rule's sites: ``pages(n)`` gives (path, head, body) of each page, ``known(n)`` what a crawl knows; ``@`` is the origin."""
+
+    def __init__(self, fails: str, pages: Callable[[int], list[tuple[str, str, str]]] = lambda n: [("@/a", "", "")], known: Callable[[int], dict] = lambda n: {}, measure: str = "NULL"):
+        self.fails, self.pages, self.known, self.measure = fails, pages, known, measure
+
+
+def _alternate(lang: str, href: str) -> str:
+    return f'<link rel="alternate" hreflang="{lang}" href="{href}">'
+
+
+def _one(head: str = "", body: str = "", path: str = "@/a") -> list[tuple[str, str, str]]:
+    return [(path, head, body)]
+
+
+#: Keys of ``known``: status (url, status, redirects), robots, maps (url, ok), entries (loc, lastmod), llms, hops (of the first page).
+NETWORK: dict[str, Site] = {
+    "redirect-chain": Site("n >= 2", known=lambda n: {"hops": n}, measure="n"),
+    "canonical-non-200": Site("n IN (1, 3, 4, 5)", lambda n: _one(_canonical("/c")), lambda n: {"status": [("@/c", (200, 404, 0, 301, 200, 503)[n], int(n == 4))]}),
+    "robots-noindex-conflict": Site("n IN (1, 3)", lambda n: _one('<meta name="robots" content="noindex">' * (n % 2), '<a href="/a">x</a>' * (n == 3)), lambda n: {"entries": [("@/a", "2024-01-01")] * (n in (1, 2))}),
+    "robots-txt-missing": Site("n % 2 = 0", known=lambda n: {"robots": "User-agent: *"} if n % 2 else {}),
+    "sitemap-missing": Site("n < 2", known=lambda n: {"maps": [("@/m", n > 1)] * min(n, 1)}),
+    "sitemap-invalid-xml": Site("n % 3 > 0", known=lambda n: {"maps": [("@/m", True), ("@/k", False), ("@/l", False)][: 1 + n % 3]}, measure="n % 3"),
+    "sitemap-url-non-indexable": Site("n IN (1, 2, 3)", lambda n: _one('<meta name="robots" content="noindex">' * (n == 3)), lambda n: {"entries": [("@/a", None), ("@/b", None)], "status": [("@/b", 404 if n == 1 else 200, int(n == 2))]}, "1"),
+    "sitemap-orphan-pages": Site("n % 2 = 0", lambda n: [("@/a", "", ""), ("@/b", "", "")], lambda n: {"entries": [("@/a", None), ("@/b", None)][: 1 + n % 2]}, "1"),
+    "sitemap-lastmod-invalid": Site("n IN (1, 2, 3, 5)", known=lambda n: {"entries": [("@/a", ("2024-01-01", None, "x", "2999-01-01", "2024-01-01T10:00:00Z", "01.02.2024")[n])]}, measure="1"),
+    "http-status-error": Site("n IN (1, 4)", known=lambda n: {"status": [("@/a", 200, 0), ("https://other.test/z" if n == 2 else "@/z", (200, 404, 404, 0, 500, 301)[n], 0)]}, measure="1"),
+    "www-https-canonicalization": Site("n % 2 = 1", lambda n: [("@/a", "", ""), ("https://www.#/a" if n % 2 else "@/b", "", "")]),
+    "jsonld-service-missing": Site("n IN (0, 3, 5)", lambda n: _one("", ("", "", _schema("Service"), "<h1>Fiyat listesi</h1>", _schema("Product"), _schema("Thing"))[n], "@" + ("/hizmet", "/a", "/hizmet", "/b", "/pricing", "/paket")[n])),
+    "jsonld-sameas-missing": Site("n % 3 = 1", lambda n: _one("", ("", _schema("Organization", name="x"), _schema("Organization", sameAs=["https://o.test"]))[n % 3])),
+    "hreflang-return-tag": Site("n % 2 = 0", lambda n: [("@/a", _alternate("tr", "/a") + _alternate("en", "/b"), ""), ("@/b", _alternate("tr", "/a") * (n % 2), "")], measure="1"),
+    "hreflang-non-200": Site("n % 3 > 0", lambda n: _one(_alternate("en", "/en")), lambda n: {"status": [("@/en", (200, 404, 200)[n % 3], int(n % 3 == 2))]}, "1"),
+    "hreflang-canonical-conflict": Site("n % 2 = 1", lambda n: _one(_alternate("tr", "/a") + _canonical("/b" if n % 2 else "/a"))),
+    "hreflang-x-default-missing": Site("n % 3 = 1", lambda n: _one("".join(_alternate(x, f"/{x}") for x in (("en",), ("en", "de"), ("en", "de", "x-default"))[n % 3]))),
+    "ai-crawler-blocked": Site("n % 3 = 1", known=lambda n: {"robots": ("User-agent: *\nDisallow: /", "User-agent: GPTBot\nDisallow: /", "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\nAllow: /")[n % 3]}, measure="1"),
+    "llms-txt-missing": Site("n NOT IN (3, 5)", known=lambda n: {"llms": " " if n == 1 else "# x"} if n % 2 else {}),
+    "faq-block-missing": Site("n IN (0, 4)", lambda n: _one("", ("", "<h2>Neden?</h2><h2>Ne zaman?</h2>", _schema("FAQPage"), "", "<h2>Kaça?</h2>", "")[n] + words(100 if n == 5 else 260), "@/a" if n == 3 else "@/hizmet")),
+    "broken-internal-link": Site("n IN (1, 2)", lambda n: _one("", '<a href="/b">b</a>' * n), lambda n: {"status": [("@/b", 404 if n in (1, 2) else 200, 0)]}, "n"),
+    "internal-redirect-link": Site("n >= 3", lambda n: _one("", '<a href="/b">b</a>' * n), lambda n: {"status": [("@/b", 200, int(n >= 3))]}, "n"),
+}
+_KNOWN = "pages array<struct<url:string,html:string>>, status array<struct<url:string,status:int,redirects:int>>, robots string, maps array<struct<url:string,ok:boolean>>, entries array<struct<loc:string,lastmod:string>>, llms string, hops int"
+
+
+def network_sites(pages: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Raw pages of a site for each row of ``pages(page_id)``, called by its number, and the tables of what a crawl knows of them."""
+    made = []
+    for rule, v in NETWORK.items():
+        for n in range(STEPS):
+            own = [(url, f'<!doctype html><html lang="tr"><head><meta charset="utf-8">{head}</head><body>{body}</body></html>') for url, head, body in v.pages(n)]
+            known = v.known(n)
+            made.append((len(made), own, known.get("status", []), known.get("robots"), known.get("maps", []), known.get("entries", []), known.get("llms"), known.get("hops", 0)))
+    table = pages.sparkSession.createDataFrame(made, "k int, " + _KNOWN)  # as many rows as there are rules and steps
+    k = F.pmod("page_id", F.lit(len(NETWORK))) * STEPS + F.pmod(F.floor(F.col("page_id") / len(NETWORK)), F.lit(STEPS))
+    sites = pages.select("page_id", F.col("page_id").cast("string").alias("site_id"), F.concat(F.lit("x"), F.col("page_id").cast("string"), F.lit(".n.test")).alias("host"), k.cast("int").alias("k")).join(F.broadcast(table), "k")
+    origin = lambda c: F.replace(F.replace(F.col(c), F.lit("@"), F.concat(F.lit("https://"), "host")), F.lit("#"), F.col("host")).alias(c)
+    hop = F.struct(origin("url"), F.lit(301).alias("status"), origin("url").alias("to"))
+    rows = sites.select("page_id", "site_id", "host", "hops", F.posexplode("pages").alias("at", "page")).select("page_id", "site_id", "host", "hops", "at", "page.*")
+    chain = F.when(F.col("at") == 0, F.array_repeat(hop, F.col("hops"))).otherwise(F.array_repeat(hop, F.lit(0)))
+    raw = raw_pages(rows.select((4 * F.col("page_id") + F.col("at")).alias("n"), "site_id", origin("url"), "html", chain.alias("redirect_chain"), F.expr("map('content-type', 'text/html')").alias("headers")), "n")
+    side = {
+        "url_status": sites.select("site_id", "host", F.inline("status")).select("site_id", origin("url"), "status", "redirects"),
+        "robots": sites.where("robots IS NOT NULL").select("site_id", F.col("robots").alias("raw")),
+        "sitemaps": sites.select("site_id", "host", F.inline("maps")).select("site_id", origin("url"), "ok"),
+        "sitemap_entries": sites.select("site_id", "host", F.inline("entries")).select("site_id", origin("loc"), "lastmod"),
+        "llms_txt": sites.where("llms IS NOT NULL").select("site_id", F.col("llms").alias("text")),
+    }
+    return raw, side
+
+
+def network_oracle() -> str:
+    """SQL of (page_id, rule_id) where the site's rule fails, with the measure where NETWORK gives one."""
+    return _oracle(NETWORK, f"page_id // {len(NETWORK)} % {STEPS}", "pages", "page_id")
