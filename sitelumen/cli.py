@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sitelumen.plans import audit as A
 from sitelumen.plans import report
 from sitelumen.plans.catalog import SEVERITIES
-from sitelumen.session import ship_package
+from sitelumen.session import cut, ship_package
 from sitelumen.sources import crawl as C
 from sitelumen.sources import pages as P
 
@@ -46,17 +46,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def render(documents: list[dict], out: str, formats: list[str]) -> None:
-    folder = Path(out)
-    folder.mkdir(parents=True, exist_ok=True)
-    for d in documents:
-        name = d["site"]["site_id"]
-        if "md" in formats:
-            (folder / f"{name}.md").write_text(report.markdown(d), encoding="utf-8")
-        if "html" in formats:
-            (folder / f"{name}.html").write_text(report.html_report(d), encoding="utf-8")
-
-
 def outcome(documents: list[dict], fail_on: str | None, min_score: int | None) -> int:
     """2 where a finding is as severe as ``fail_on`` or a score is below ``min_score``."""
     severe = SEVERITIES[: SEVERITIES.index(fail_on) + 1] if fail_on else ()
@@ -81,7 +70,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     ship_package(spark)
     formats = a.format.split(",")
     if a.from_audit:
-        documents = report.read_documents(spark, a.from_audit)
+        shown = report.stored_documents(spark, a.from_audit)
     else:
         side, caps, single, crawl = A.SideInputs(), P.Capabilities(), False, None
         if a.input_dir:
@@ -104,12 +93,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         done = A.audit(raw, side, caps, a.min_words, single, crawl=crawl, options={k: v for k, v in vars(a).items() if v is not None})
         if "json" in formats:
             report.write_documents(done, f"{a.out}/json")
-            documents = report.read_documents(spark, f"{a.out}/json")
-        else:
-            import json
-
-            documents = [json.loads(r["document"]) for r in report.documents(done).toLocalIterator()]
-    render(documents, a.out, formats)
+        shown = report.summaries(done)
+    shown = cut(shown)
+    report.write_reports(shown, a.out, formats)
+    brief = shown.select("site_id", *[F.from_json("document", "scores struct<overall:int,verdict:string>, summary map<string,string>").alias("d")])
+    documents = [{"site": {"site_id": r["site_id"]}, "scores": r["d"]["scores"].asDict(), "summary": {k: int(v) for k, v in (r["d"]["summary"] or {}).items() if k != "by_category"}} for r in brief.toLocalIterator()]  # a line a site
     if not a.quiet:
         for d in documents:
             print(f"{d['site']['site_id']}: {d['scores'].get('overall')} ({d['scores'].get('verdict')}), {(d.get('summary') or {}).get('findings', 0)} findings")

@@ -1,15 +1,18 @@
-"""Sinks: one JSON document a site, Markdown and HTML reports, and reading a JSON document back."""
+"""Sinks: one JSON document a site, Markdown and HTML reports, all written on the executors, and reading a JSON document back."""
 
 from __future__ import annotations
 
 import html
 import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelumen.plans.audit import Audit, worst_pages
+from sitelumen.plans.files import write_files
 from sitelumen.plans.catalog import BY_ID, CATEGORY_WEIGHT, RULES, SEVERITIES, catalog_digest
 
 LABELS = {"P0": "Now", "P1": "Next", "P2": "Soon", "P3": "Later"}
@@ -54,45 +57,100 @@ def site_rows(audit: Audit) -> DataFrame:
     return rows.select("site_id", "counters", "errors", site.alias("site"))
 
 
-def documents(audit: Audit) -> DataFrame:
-    """``(site_id, document)``: the audit of each site as one JSON text, in a fixed order of keys and entries.
+def _rank() -> F.Column:
+    return F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(SEVERITIES)])
 
-    The lists of a document are those of one site, and sites are built in parallel. A site of more pages than one text
-    should hold is better served by ``write_tables``, which has the same rows.
-    """
-    rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(SEVERITIES)])
 
-    def listed(rows: DataFrame, name: str, order: list, columns: list[str]) -> DataFrame:
-        one = F.struct(*order, F.struct(*columns).alias("x"))
-        sorted_rows = rows.groupBy("site_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
-        return sorted_rows.select("site_id", F.transform("r", lambda r: r["x"]).alias(name))
+#: The columns of the entries of a document's lists.
+CATEGORY = ["category", "score", "penalty", "max_penalty", "evaluated_rules", "findings"]
+ACTION = ["rule_id", "category", "severity", "count", "prevalence", "priority_score", "priority", "message", "fix", "samples"]
+FINDING = ["rule_id", "category", "severity", "weight", "scope", "page", "pages", "confidence", "message", "fix", "evidence"]
+APPLICABLE = ["rule_id", "applicable", "failed"]
 
-    pages = page_rows(audit).drop("seq")
-    found = audit.findings.withColumn("k", rank)
-    lists = [
-        listed(audit.category_scores, "categories", ["category"], ["category", "score", "penalty", "max_penalty", "evaluated_rules", "findings"]),
-        listed(audit.actions, "actions", [(-F.col("priority_score")).alias("o"), "rule_id"], ["rule_id", "category", "severity", "count", "prevalence", "priority_score", "priority", "message", "fix", "samples"]),
-        listed(pages, "pages", ["url"], [c for c in pages.columns if c != "site_id"]),
-        listed(found, "findings", ["k", "rule_id", F.collate(F.coalesce("page", F.lit("null")), "UNICODE").alias("o"), "seq"], ["rule_id", "category", "severity", "weight", "scope", "page", "pages", "confidence", "message", "fix", "evidence"]),
-        listed(audit.applicability, "applicability", ["rule_id"], ["rule_id", "applicable", "failed"]),
-        listed(audit.rule_errors, "rule_errors", ["rule_id", F.coalesce("page", F.lit("")).alias("o")], ["rule_id", "page", "error"]),
-        listed(audit.unread, "unread_pages", ["page"], ["page", "error"]),
-    ]
-    counts = found.groupBy("site_id").agg(
+
+def _listed(rows: DataFrame, name: str, order: list, columns: list[str]) -> DataFrame:
+    one = F.struct(*order, F.struct(*columns).alias("x"))
+    sorted_rows = rows.groupBy("site_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    return sorted_rows.select("site_id", F.transform("r", lambda r: r["x"]).alias(name))
+
+
+def _site_frame(audit: Audit) -> DataFrame:
+    """``(site_id, overall, verdict, security, counters, errors, site, summary, categories, actions, applicability)``: what a document says besides its pages and findings; as long as there are rules."""
+    counts = audit.findings.groupBy("site_id").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.struct(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORY_WEIGHT]).alias("by_category")
     )
     counts = counts.select("site_id", F.struct(F.col("n").alias("findings"), *SEVERITIES, "by_category").alias("summary"))
     out = audit.site_scores.join(site_rows(audit), "site_id").join(counts, "site_id", "left")
-    for rows in lists:
-        out = out.join(rows, "site_id", "left")
+    out = out.join(_listed(audit.category_scores, "categories", ["category"], CATEGORY), "site_id", "left")
+    out = out.join(_listed(audit.actions, "actions", [(-F.col("priority_score")).alias("o"), "rule_id"], ACTION), "site_id", "left")
+    return out.join(_listed(audit.applicability, "applicability", ["rule_id"], APPLICABLE), "site_id", "left")
+
+
+def _run(audit: Audit, more: list[str]) -> F.Column:
     known = F.struct(F.lit(audit.caps.headers).alias("headers"), F.lit(audit.caps.net).alias("net"))
     options = F.lit(json.dumps(audit.options, sort_keys=True, default=str)).alias("options")
-    run = F.struct(F.lit("sitelumen").alias("tool"), F.lit(len(RULES)).alias("rules"), F.lit(len(audit.rules)).alias("evaluated_rules"), F.lit(catalog_digest()).alias("catalog"), F.col("site.status").alias("status"), known.alias("capabilities"), options, "counters", "errors", "rule_errors", "unread_pages")
-    scores = F.struct("overall", "verdict", "security", "categories").alias("scores")
-    whole = F.struct(run.alias("run"), "site", scores, "summary", "actions", "pages", "findings", "applicability")
+    return F.struct(F.lit("sitelumen").alias("tool"), F.lit(len(RULES)).alias("rules"), F.lit(len(audit.rules)).alias("evaluated_rules"), F.lit(catalog_digest()).alias("catalog"), F.col("site.status").alias("status"), known.alias("capabilities"), options, "counters", "errors", *more)
+
+
+_SCORES = ("overall", "verdict", "security", "categories")
+
+
+def _finding_order() -> list:
+    return [_rank().alias("k"), "rule_id", F.collate(F.coalesce("page", F.lit("null")), "UNICODE").alias("o"), "seq"]
+
+
+def documents(audit: Audit) -> DataFrame:
+    """``(site_id, document)``: the audit of each site as one JSON text, in a fixed order of keys and entries.
+
+    The lists of a document are those of one site, and sites are built in parallel. For a site of more pages than one text
+    should hold there is ``write_documents``, which writes the same document as a stream of rows.
+    """
+    pages = page_rows(audit).drop("seq")
+    lists = [
+        _listed(pages, "pages", ["url"], [c for c in pages.columns if c != "site_id"]),
+        _listed(audit.findings, "findings", _finding_order(), FINDING),
+        _listed(audit.rule_errors, "rule_errors", ["rule_id", F.coalesce("page", F.lit("")).alias("o")], ["rule_id", "page", "error"]),
+        _listed(audit.unread, "unread_pages", ["page"], ["page", "error"]),
+    ]
+    out = _site_frame(audit)
+    for rows in lists:
+        out = out.join(rows, "site_id", "left")
+    whole = F.struct(_run(audit, ["rule_errors", "unread_pages"]).alias("run"), "site", F.struct(*_SCORES).alias("scores"), "summary", "actions", "pages", "findings", "applicability")
     return out.select("site_id", F.to_json(whole).alias("document"))
 
 
+def summaries(audit: Audit) -> DataFrame:
+    """``(site_id, document)``: of each document what reports show; the pages with most findings stand for its pages and findings, and errors and unread pages are counted."""
+    worst = worst_pages(audit.findings)
+    count = lambda rows, name: rows.groupBy("site_id").agg(F.count("*").alias(name))
+    out = _site_frame(audit).join(_listed(worst, "worst", ["n"], ["page", "severe", "total"]), "site_id", "left")
+    out = out.join(count(audit.rule_errors, "rule_error_count"), "site_id", "left").join(count(audit.unread, "unread_count"), "site_id", "left").fillna(0, ["rule_error_count", "unread_count"])
+    whole = F.struct(_run(audit, ["rule_error_count", "unread_count"]).alias("run"), "site", F.struct(*_SCORES).alias("scores"), "summary", "actions", "worst", "applicability")
+    return out.select("site_id", F.to_json(whole).alias("document"))
+
+
+def document_rows(audit: Audit) -> DataFrame:
+    """The documents as rows ``(file, part, text, item, o1, o2, o3)`` in the order in which they make up the text; no row holds more than one page or finding, or what there is once a rule."""
+    name = F.concat(F.regexp_replace("site_id", "[/\\\\]", "_"), F.lit(".json")).alias("file")
+    base = _site_frame(audit).select("site_id", F.to_json(_run(audit, [])).alias("run"), *[F.to_json(c).alias(c) for c in ("site", "summary", "actions", "applicability")], F.to_json(F.struct(*_SCORES)).alias("scores"))
+    key = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.lit(f',"{k}":'), F.col(k))).otherwise(F.lit(""))
+    head = F.concat(F.lit('{"run":'), F.expr("left(run, length(run) - 1)"), F.lit(',"rule_errors":['))
+    fixed = [(0, head), (2, F.lit('],"unread_pages":[')), (4, F.concat(F.lit("]}"), *[key(k) for k in ("site", "scores", "summary", "actions")], F.lit(',"pages":['))), (6, F.lit('],"findings":[')), (8, F.concat(F.lit("]"), key("applicability"), F.lit("}\n")))]
+    none = [F.lit(None).cast("string").alias(f"o{i}") for i in (1, 2, 3)]
+    rows = base.select(name, F.explode(F.array(*[F.struct(F.lit(i).alias("part"), t.alias("text")) for i, t in fixed])).alias("x"), F.lit(False).alias("item"), *none).select("file", "x.part", "x.text", "item", "o1", "o2", "o3")
+    pages = page_rows(audit).drop("seq")
+    listed = [
+        (1, audit.rule_errors, ["rule_id", F.coalesce("page", F.lit("")), F.lit("")], ["rule_id", "page", "error"]),
+        (3, audit.unread, ["page", F.lit(""), F.lit("")], ["page", "error"]),
+        (5, pages, ["url", F.lit(""), F.lit("")], [c for c in pages.columns if c != "site_id"]),
+        (7, audit.findings, [F.concat(_rank().cast("string"), F.col("rule_id")), F.coalesce("page", F.lit("null")), F.lpad(F.col("seq").cast("string"), 20, "0")], FINDING),
+    ]
+    for part, frame, order, columns in listed:
+        keys = [(F.col(k) if isinstance(k, str) else k).cast("string").alias(f"o{i}") for i, k in enumerate(order, 1)]
+        rows = rows.unionByName(frame.select(name, F.lit(part).alias("part"), F.to_json(F.struct(*columns)).alias("text"), F.lit(True).alias("item"), *keys))
+    return rows
+
+
 def write_tables(audit: Audit, folder: str) -> None:
     """Every frame as Parquet, partitioned by nothing but its rows."""
     for name in ("findings", "applicability", "category_scores", "site_scores", "actions", "rule_errors", "unread"):
@@ -100,13 +158,38 @@ def write_tables(audit: Audit, folder: str) -> None:
 
 
 def write_documents(audit: Audit, folder: str) -> None:
-    """One JSON line a site."""
-    documents(audit).select("document").write.mode("overwrite").text(folder)
+    """A JSON file a site, of one line; rows stream into it on the executors, so a site may have any number of pages."""
+    ordered = document_rows(audit).withColumn("o2", F.collate("o2", "UNICODE"))
+    write_files(ordered, folder, ["o1", "o2", "o3"])
+
+
+def write_reports(documents: DataFrame, folder: str, formats: list[str]) -> None:
+    """A Markdown or HTML file for each of ``documents(site_id, document)``, rendered and written on the executors."""
+    makers = {k: f for k, f in (("md", markdown), ("html", html_report)) if k in formats}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = [(f"{re.sub(r'[/\\\\]', '_', site)}.{kind}", make(json.loads(text))) for site, text in zip(part["site_id"], part["document"], strict=True) for kind, make in makers.items()]
+            yield pd.DataFrame(rows, columns=["file", "text"])
+
+    made = documents.mapInPandas(run, "file string, text string").withColumns({"part": F.lit(0), "item": F.lit(False)})
+    if makers:
+        write_files(made, folder, [])
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(site_id, document)`` of the documents of one report run, for rendering again; rules are not run again."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.get_json_object("value", "$.site.site_id").alias("site_id"), F.col("value").alias("document"))
 
 
 def read_documents(spark: SparkSession, path: str) -> list[dict]:
-    """Documents of one report run, for rendering again; rules are not run again."""
-    return [json.loads(r["value"]) for r in spark.read.text(path).toLocalIterator() if r["value"].strip()]
+    """The documents of ``stored_documents`` in memory; for a few sites."""
+    return [json.loads(r["document"]) for r in stored_documents(spark, path).toLocalIterator()]
+
+
+def _count(run: dict, counted: str, listed: str) -> int:
+    return run[counted] if counted in run else len(run.get(listed) or [])
 
 
 def warnings(document: dict) -> list[str]:
@@ -118,9 +201,9 @@ def warnings(document: dict) -> list[str]:
         out.append("Part of the pages could not be fetched.")
     if any(a["rule_id"] == "client-side-rendering" and a["failed"] for a in document.get("applicability") or []):
         out.append("Most pages are rendered in the browser; findings about content have low confidence.")
-    if document["run"].get("rule_errors"):
+    if _count(document["run"], "rule_error_count", "rule_errors"):
         out.append("Some rules could not be evaluated everywhere; the document lists their errors.")
-    if document["run"].get("unread_pages"):
+    if _count(document["run"], "unread_count", "unread_pages"):
         out.append("Some pages could not be parsed and were judged by no rule.")
     if not any(BY_ID[a["rule_id"]].needs and not BY_ID[a["rule_id"]].offline for a in document.get("applicability") or [] if a["rule_id"] in BY_ID):
         out.append("Offline run: rules that need response headers or network data were left out.")
@@ -128,6 +211,8 @@ def warnings(document: dict) -> list[str]:
 
 
 def _worst(document: dict, most: int = 10) -> list[tuple[str, int, int]]:
+    if "worst" in document:
+        return [(w["page"], w["severe"], w["total"]) for w in document["worst"][:most]]
     counts: dict[str, list[int]] = {}
     for f in document.get("findings") or []:
         if f.get("page"):
@@ -150,7 +235,7 @@ def _facts(document: dict) -> list[tuple[str, object]]:
         ("hosts", ", ".join(site.get("hosts") or [])),
         ("languages", ", ".join(site.get("locales") or []) or "none declared"),
         ("crawl", f"{site.get('status')}" + (f"; {counters['requested']} asked, {counters['fetched']} read, {counters['failed']} failed, {counters['skipped_by_robots']} barred by robots.txt" if counters else "")),
-        ("rules", f"{run.get('evaluated_rules', run['rules'])} of {run['rules']} evaluated, catalogue {run['catalog']}, {len(run.get('rule_errors') or [])} errors of rules, {len(run.get('unread_pages') or [])} pages unread"),
+        ("rules", f"{run.get('evaluated_rules', run['rules'])} of {run['rules']} evaluated, catalogue {run['catalog']}, {_count(run, 'rule_error_count', 'rule_errors')} errors of rules, {_count(run, 'unread_count', 'unread_pages')} pages unread"),
     ]
 
 
