@@ -8,7 +8,7 @@ import urllib.error
 import urllib.request
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
@@ -108,42 +108,46 @@ def challenged(answer: dict) -> bool:
     return bool((answer["headers"] or {}).get("cf-mitigated")) or (answer["status"] in CHALLENGE_STATUS and any(m in start for m in CHALLENGE_MARKERS))
 
 
-def fetched(urls: DataFrame, fetch: Callable[[str], dict], config: CrawlConfig, streak: int = 0, order: tuple[str, ...] = ("url",)) -> DataFrame:
-    """Responses of ``urls(url)``; a host's URLs share a task, which asks for them in order.
+def answers(urls: Iterable[str], fetch: Callable[[str], dict], config: CrawlConfig, streak: int = 0, state: tuple[dict, dict] | None = None) -> Iterator[dict]:
+    """The responses of ``urls``, in order.
 
-    Up to ``concurrency`` requests of a host are under way at once, each begun ``delay_ms`` after the one before. After
-    STREAK challenge pages in a row (``streak`` of them before) the host is asked for nothing more.
+    Up to ``concurrency`` requests are under way at once, those of a host each begun ``delay_ms`` after the one before. After
+    STREAK challenge pages in a row (``streak`` of them before) a host is asked for nothing more. ``state`` keeps the times
+    and streaks of hosts from one call to the next.
     """
+    last, streaks = ({}, {}) if state is None else state
+    waiting: deque = deque()
+
+    def finished() -> dict:
+        name, answer = waiting.popleft()
+        answer = dict(answer.result())
+        answer["challenge"] = challenged(answer)
+        answer["streak"] = streaks[name] = streaks.get(name, streak) + 1 if answer["challenge"] else 0
+        return answer
+
+    with ThreadPoolExecutor(max(1, config.concurrency)) as pool:
+        for u in urls:
+            name = U.host(u)
+            while len(waiting) >= max(1, config.concurrency):
+                yield finished()
+            if streaks.get(name, streak) >= STREAK:
+                continue
+            wait = last.get(name, 0) + config.delay_ms / 1000 - time.time()
+            if wait > 0:
+                time.sleep(wait)
+            last[name] = time.time()
+            waiting.append((name, pool.submit(fetch, u)))
+        while waiting:
+            yield finished()
+
+
+def fetched(urls: DataFrame, fetch: Callable[[str], dict], config: CrawlConfig, streak: int = 0, order: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Responses of ``urls(url)``; a host's URLs share a task, which asks for them in order (see ``answers``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str | None, float] = {}
-        streaks: dict[str | None, int] = {}
-
-        with ThreadPoolExecutor(max(1, config.concurrency)) as pool:
-            for part in batches:
-                out, waiting = [], deque()
-
-                def finish(out=out, waiting=waiting) -> None:
-                    name, answer = waiting.popleft()
-                    answer = dict(answer.result())
-                    answer["challenge"] = challenged(answer)
-                    answer["streak"] = streaks[name] = streaks.get(name, streak) + 1 if answer["challenge"] else 0
-                    out.append(answer)
-
-                for u in part["url"]:
-                    name = U.host(u)
-                    while len(waiting) >= max(1, config.concurrency):
-                        finish()
-                    if streaks.get(name, streak) >= STREAK:
-                        continue
-                    wait = last.get(name, 0) + config.delay_ms / 1000 - time.time()
-                    if wait > 0:
-                        time.sleep(wait)
-                    last[name] = time.time()
-                    waiting.append((name, pool.submit(fetch, u)))
-                while waiting:
-                    finish()
-                yield pd.DataFrame(out, columns=FIELDS)
+        state: tuple[dict, dict] = ({}, {})
+        for part in batches:
+            yield pd.DataFrame(list(answers(part["url"], fetch, config, streak, state)), columns=FIELDS)
 
     host = U.host_of("url")
     return urls.repartition(host).sortWithinPartitions(*order).select("url").mapInPandas(run, RESPONSE)
