@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,11 +14,12 @@ from sitelumen.functions import url as U
 from sitelumen.operators import near_duplicates as N
 from sitelumen.operators import site as S
 from sitelumen.plans import audit as A
-from sitelumen.session import cut
-from sitelumen.sources import html_extract
+from sitelumen.session import cut, ensure_checkpoint_dir
+from sitelumen.sources import captures, html_extract
 from sitelumen.sources import pages as P
 from sitelumen.sources import robots as R
 from sitelumen.sources import sitemap as M
+from sitelumen.streaming import audit_stream as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -422,6 +424,32 @@ def sitemap_entries(spark, d):
     return M.entries(maps).select("sitemap_url", "loc", "lastmod", F.expr("try_element_at(alternates, 1).href").alias("alternate"))
 
 
+# --- what a crawl left -----------------------------------------------------------------------------------------------
+
+#: Responses by the number of a page, ten to a site: challenge pages (in runs that differ from site to site), none at all, others.
+_CHALLENGED, _UNANSWERED = "page_id * 7919 % 31 < 3 + page_id // 10 % 23", "page_id // 10 % 5 = 4 AND page_id % 10 < 2 * (page_id // 50 % 6)"
+
+
+@query(
+    f"""WITH r AS (SELECT page_id, 'g' || (page_id // 10) AS site_id, CASE WHEN {_UNANSWERED} THEN false ELSE {_CHALLENGED} END AS hit, NOT ({_UNANSWERED}) AS answered FROM pages),
+    n AS (SELECT *, page_id - row_number() OVER (PARTITION BY site_id, hit ORDER BY page_id) AS island FROM r),
+    runs AS (SELECT site_id, hit, island, count(*) AS n FROM n GROUP BY ALL), s AS (SELECT site_id, coalesce(max(n) FILTER (hit), 0) AS streak FROM runs GROUP BY site_id),
+    c AS (SELECT site_id, count(*) AS requested, count(*) FILTER (answered) AS answered, count(*) FILTER (hit) AS challenged FROM r GROUP BY site_id)
+    SELECT site_id, requested, answered, challenged, streak, CASE WHEN streak >= 3 THEN 'blocked' WHEN answered = 0 THEN 'failed' WHEN (requested - answered) / requested > 0.2 THEN 'partial' ELSE 'ok' END AS status
+    FROM c JOIN s USING (site_id)"""
+)
+def crawl_status(spark, d):
+    """Which sites blocked a crawl, from its stored responses, derived from the numbers of the pages."""
+    integer = lambda sql: F.expr(sql.replace("//", "DIV"))
+    rows = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("ord"), "page_id", "html", F.expr("concat('g', CAST(page_id DIV 10 AS STRING))").alias("site_id"))
+    rows = rows.withColumns({"lost": integer(_UNANSWERED), "hit": integer(_CHALLENGED)}).withColumn("hit", F.expr("hit AND NOT lost"))
+    body = F.when(F.expr("hit AND page_id % 2 = 0"), F.lit("<title>Just a Moment</title>")).otherwise(F.col("html"))
+    headers = F.expr("CASE WHEN hit AND page_id % 2 = 1 THEN map('cf-mitigated', 'challenge') ELSE map('content-type', 'text/html') END")
+    status = F.expr("CASE WHEN lost THEN 0 WHEN hit AND page_id % 2 = 0 THEN 503 ELSE 200 END")
+    responses = rows.select("site_id", F.concat(F.lit("https://"), "site_id", F.lit(".test/")).alias("url"), "ord", status.alias("status"), headers.alias("headers"), body.alias("html"))
+    return captures.crawl_status(responses)
+
+
 # --- rules that need headers -----------------------------------------------------------------------------------------
 
 _GOOD = {
@@ -583,6 +611,17 @@ def findings_rollup(spark, d):
     return _audited(spark, d).findings.groupingSets([[F.col("severity")], [F.col("category")], []], F.col("severity"), F.col("category")).agg(F.count("*").alias("findings")).select("severity", "category", "findings")
 
 
+@query(f"{_EXPANDED} SELECT site_id, rule_id, count(*) FILTER (applies) AS applicable, count(*) FILTER (fails) AS failed FROM e GROUP BY ALL HAVING applicable > 0")
+def stream_applicability(spark, d):
+    """The counts of rules after a stream of the pages has run dry, some files a micro-batch, added up from its changes."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    captured = spark.readStream.schema("page_id bigint, url string, html string").option("maxFilesPerTrigger", 8).parquet(f"{d}/page[s].parquet")
+    run = stream.write_changes(captured, f"{folder}/changes", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.current_applicability(stream.read_changes(spark, f"{folder}/changes")).where(F.col("rule_id").isin([*AUDIT_RULES]))
+
+
 # --- the audit under all rules that html alone can answer ---
 
 _PARAGRAPH = "list_filter(list_transform(string_split(clean, '<p>')[2:], lambda x: " + _TEXT.format("regexp_extract(x, '(?s)^(.*?)(</p>|</article>|<footer>|$)', 1)") + "), lambda t: length(t) > 40)[1]"
