@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelumen.functions import url as U
@@ -142,15 +142,22 @@ def answers(urls: Iterable[str], fetch: Callable[[str], dict], config: CrawlConf
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str], dict], config: CrawlConfig, streak: int = 0, order: tuple[str, ...] = ("url",)) -> DataFrame:
-    """Responses of ``urls(url)``; a host's URLs share a task, which asks for them in order (see ``answers``)."""
+    """Responses of ``urls(url)``; a host's URLs share a task, which asks for them in order (see ``answers``).
+
+    A column ``before`` has the challenge pages in a row that a host has given until now.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: tuple[dict, dict] = ({}, {})
         for part in batches:
+            for url, before in zip(part["url"], part["before"], strict=True):
+                state[1].setdefault(U.host(url), int(before))
             yield pd.DataFrame(list(answers(part["url"], fetch, config, streak, state)), columns=FIELDS)
 
     host = U.host_of("url")
-    return urls.repartition(host).sortWithinPartitions(*order).select("url").mapInPandas(run, RESPONSE)
+    if "before" not in urls.columns:
+        urls = urls.withColumn("before", F.lit(streak))
+    return urls.repartition(host).sortWithinPartitions(*order).select("url", "before").mapInPandas(run, RESPONSE)
 
 
 def robots_access(spark: SparkSession, rules: DataFrame, config: CrawlConfig) -> Callable[[DataFrame], DataFrame]:
@@ -169,80 +176,98 @@ def robots_access(spark: SparkSession, rules: DataFrame, config: CrawlConfig) ->
 
 
 def crawl(spark: SparkSession, start: str, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None) -> dict[str, DataFrame | str]:
-    """``raw`` pages, ``url_status``, ``robots``, ``sitemaps``, ``sitemap_entries``, ``llms_txt``, the crawl's ``status`` and its ``counters``.
+    """What ``crawl_sites`` gives for one start, with the crawl's ``status`` as text."""
+    found = crawl_sites(spark, [start], config, fetch)
+    return found | {"status": found["counters"].first()["status"]}
+
+
+def crawl_sites(spark: SparkSession, starts: list[str] | DataFrame, config: CrawlConfig = CrawlConfig(), fetch: Callable[[str], dict] | None = None) -> dict[str, DataFrame]:
+    """``raw`` pages, ``url_status``, ``robots``, ``sitemaps``, ``sitemap_entries``, ``llms_txt`` and ``counters`` of the sites of ``starts``.
 
-    Status is ok, partial, blocked or failed. The frontier is the start, then what the sitemaps list and pages link to. Each
-    depth is one fetch of a distinct frontier without the URLs seen before; the frontier is a table and never leaves the
-    cluster. STREAK challenge pages in a row end the crawl as blocked.
+    ``counters`` has a row a site, with its status (ok, partial, blocked or failed). A site's frontier is its start, then what
+    its sitemaps list and its pages link to. Each depth is one fetch of all sites' distinct frontiers without the URLs seen
+    before, every site within what is left of its ``max_pages``; hosts are fetched side by side, each at its own spacing.
+    Frontier, seen URLs and what is known of sites are tables and never leave the cluster. STREAK challenge pages of a host
+    in a row end its site's crawl as blocked, and no other's.
     """
     fetch = fetch or (lambda u: http_fetch(u, config))
-    site, origin = U.site_of(start), "/".join(start.split("/")[:3])
     at_once = replace(config, delay_ms=0)
-
-    def asked(urls: list[str], how: CrawlConfig = config) -> DataFrame:
-        return fetched(spark.createDataFrame([(u,) for u in urls], "url string"), fetch, how)
+    if not isinstance(starts, DataFrame):
+        starts = spark.createDataFrame([(u,) for u in starts], "url string")
+    site_of = lambda c: U.registrable_domain(c).alias("site_id")
+    starts = cut(starts.select(F.coalesce(U.normalize_url("url"), "url").alias("url"), F.regexp_extract("url", "^([^/]*//[^/?#]*)", 1).alias("origin"), site_of("url")))
+    sites = starts.groupBy("site_id").agg(F.min("origin").alias("origin"))
 
     answered_ok, body = F.col("status").between(200, 299), F.coalesce("html", F.lit(""))
     is_text = answered_ok & ~body.rlike(r"(?i)^\s*<(!doctype|html)")  # a page served in place of robots.txt is none
-    rules = cut(asked([origin + "/robots.txt"], at_once).select(F.lit(site).alias("site_id"), F.when(is_text, F.col("html")).alias("raw")))
+    file = lambda name: sites.select(F.concat("origin", F.lit(name)).alias("url"))
+    rules = cut(fetched(file("/robots.txt"), fetch, at_once).select(site_of("url"), F.when(is_text, F.col("html")).alias("raw")))
     allowed = robots_access(spark, rules, config)
-    llms = cut(asked([origin + "/llms.txt"], at_once).where(answered_ok).select(F.lit(site).alias("site_id"), body.alias("text")))
+    llms = cut(fetched(file("/llms.txt"), fetch, at_once).where(answered_ok).select(site_of("url"), body.alias("text")))
 
     def sitemap_bodies(urls: DataFrame) -> DataFrame:
-        got = fetched(urls.select(F.col("sitemap_url").alias("url")), fetch, config)
-        return cut(got.select(F.lit(site).alias("site_id"), F.col("url").alias("sitemap_url"), F.when(answered_ok, F.col("html")).alias("xml")))
+        urls = cut(urls)
+        got = cut(fetched(urls.select(F.col("sitemap_url").alias("url")).distinct(), fetch, config))
+        return cut(urls.select("site_id", "sitemap_url").join(got.select(F.col("url").alias("sitemap_url"), F.when(answered_ok, F.col("html")).alias("xml")), "sitemap_url").select("site_id", "sitemap_url", "xml"))
 
     named = robots.robots_lines(rules).where("field = 'sitemap'").select("site_id", F.col("value").alias("sitemap_url")).distinct()
-    if named.isEmpty():
-        named = spark.createDataFrame([(site, origin + x) for x in ("/sitemap.xml", "/sitemap_index.xml")], "site_id string, sitemap_url string")
+    usual = F.explode(F.array(*[F.concat("origin", F.lit(x)) for x in ("/sitemap.xml", "/sitemap_index.xml")])).alias("sitemap_url")
+    named = cut(named.union(sites.join(named, "site_id", "left_anti").select("site_id", usual)))
     maps = cut(sitemap.collected(named, sitemap_bodies, config.sitemaps_a_level, config.sitemap_levels))
     entries = cut(sitemap.entries(maps.where("ok")).drop("sitemap_url"))
-    listed = entries.select(U.normalize_url("loc").alias("url")).where(U.registrable_domain("url") == site).distinct()
+    listed = entries.select("site_id", U.normalize_url("loc").alias("url")).where(U.registrable_domain("url") == F.col("site_id")).distinct()
 
-    frontier = spark.createDataFrame([(U.normalize(start) or start, 0)], "url string, late int")
-    seen, every, count, status, streak, skipped = None, None, 0, "ok", 0, 0
+    frontier = cut(starts.select("site_id", "url", F.lit(0).alias("late")).distinct())
+    seen, every, barred, order = None, None, None, Window.partitionBy("site_id").orderBy("late", "url")
+    progress = cut(sites.select("site_id", F.lit(0).cast("bigint").alias("pages"), F.lit(False).alias("blocked")))
+    streaks = None
     for depth in range(config.max_depth + 1):
-        wanted = frontier.where(~U.looks_non_html("url"))
-        frontier = cut(allowed(wanted))
-        skipped += wanted.count() - frontier.count()
+        wanted = cut(frontier.where(~U.looks_non_html("url")))
+        may = cut(allowed(wanted))
+        lost = wanted.join(may.select("site_id", "url"), ["site_id", "url"], "left_anti").groupBy("site_id").agg(F.count("*").alias("skipped"))
+        barred = lost if barred is None else barred.union(lost)
         seen = wanted.select("url") if seen is None else cut(seen.union(wanted.select("url")))
-        got = fetched(frontier.orderBy("late", "url").limit(config.max_pages - count), fetch, config, streak, ("late", "url"))
-        got = cut(got.withColumn("depth", F.lit(depth)))
+        room = progress.where("NOT blocked").select("site_id", (F.lit(config.max_pages) - F.col("pages")).alias("room"))
+        asked = may.join(room, "site_id").withColumn("rank", F.row_number().over(order)).where("rank <= room").select("url", "late")
+        host = U.host_of("url").alias("host")
+        asked = asked.withColumn("before", F.lit(0)) if streaks is None else asked.select("*", host).join(streaks, "host", "left").select("url", "late", F.coalesce("before", F.lit(0)).alias("before"))
+        got = cut(fetched(asked, fetch, config, order=("late", "url")).withColumn("depth", F.lit(depth)).withColumn("site_id", site_of("url")))
         every = got if every is None else every.unionByName(got)
-        models = got.where(_is_page())
-        facts = got.agg(F.count("*").alias("asked"), F.count_if(_is_page()).alias("pages"), F.count_if("challenge").alias("challenged"), F.max("streak").alias("streak")).first()
-        count += facts["pages"]
-        if (facts["streak"] or 0) >= STREAK:
-            status = "blocked"
-            break
-        streak = streak + facts["challenged"] if facts["challenged"] == facts["asked"] else 0
-        if count >= config.max_pages or depth == config.max_depth:
+        # A host whose responses of this depth are all challenges goes on with its run; another begins anew.
+        run = got.groupBy(host).agg(F.max("streak").alias("longest"), F.count("*").alias("n"), F.count_if("challenge").alias("hit"))
+        streaks = cut(run.select("host", F.when(F.col("n") == F.col("hit"), F.col("longest")).otherwise(0).alias("before")))
+        facts = got.groupBy("site_id").agg(F.count_if(_is_page()).alias("more"), (F.max("streak") >= STREAK).alias("ended"))
+        progress = cut(progress.join(facts, "site_id", "left").select("site_id", (F.col("pages") + F.coalesce("more", F.lit(0))).alias("pages"), (F.col("blocked") | F.coalesce("ended", F.lit(False))).alias("blocked")))
+        if depth == config.max_depth:
             break
-        links = html_extract.parsed_pages(models, ["url"]).select(F.explode("model.links").alias("l")).where("l.internal").select(F.col("l.normalized").alias("url"), F.lit(1).alias("late"))
+        models = html_extract.parsed_pages(got.where(_is_page()), ["site_id", "url"])
+        links = models.select("site_id", F.explode("model.links").alias("l")).where("l.internal").select("site_id", F.col("l.normalized").alias("url"), F.lit(1).alias("late"))
         if depth == 0:
             links = listed.withColumn("late", F.lit(0)).union(links)
-        frontier = cut(links.where("url IS NOT NULL").groupBy("url").agg(F.min("late").alias("late")).join(seen, "url", "left_anti"))
+        going = progress.where((~F.col("blocked")) & (F.col("pages") < config.max_pages)).select("site_id")
+        links = links.where("url IS NOT NULL").join(going, "site_id", "left_semi")
+        frontier = cut(links.groupBy("site_id", "url").agg(F.min("late").alias("late")).join(seen, "url", "left_anti").select("site_id", "url", "late"))
         if frontier.isEmpty():
             break
-    every = every.withColumn("site_id", F.lit(site))
-    total = every.agg(F.count("*").alias("asked"), F.count_if(F.expr("status > 0")).alias("answered")).first()
-    if not total["answered"]:
-        status = "failed"
-    elif status == "ok" and (total["asked"] - total["answered"]) / total["asked"] > 0.2:
-        status = "partial"
     raw = every.where(_is_page()).withColumns({"source": F.lit("live"), "ingest_seq": F.col("depth") * (1 << 40) + F.pmod(F.xxhash64("url"), F.lit(1 << 40))}).drop("challenge", "streak")
     statuses = every.select("site_id", U.normalize_url("url").alias("url"), "status", F.size("redirect_chain").alias("redirects"), "error")
     failures = F.collect_list(F.when(F.col("error").isNotNull(), F.struct("url", F.col("error").alias("kind"))))
-    counters = every.groupBy("site_id").agg(
-        F.lit(status).alias("status"),
+    counted = every.groupBy("site_id").agg(
         F.count("*").alias("requested"),
+        F.count_if(F.expr("status > 0")).alias("answered"),
         F.count_if(_is_page()).alias("fetched"),
         F.count_if(~answered_ok | F.col("challenge")).alias("failed"),
-        F.lit(skipped).cast("bigint").alias("skipped_by_robots"),
-        F.slice(failures, 1, 100).alias("errors"),  # a crawl asks for max_pages URLs at most
+        F.slice(failures, 1, 100).alias("errors"),  # a site is asked for max_pages URLs at most
+    )
+    skipped = barred.groupBy("site_id").agg(F.sum("skipped").alias("skipped_by_robots"))
+    none = F.coalesce("answered", F.lit(0)) == 0
+    status = F.when(F.col("blocked"), "blocked").when(none, "failed").when((F.col("requested") - F.col("answered")) / F.col("requested") > 0.2, "partial").otherwise("ok")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    counters = progress.join(counted, "site_id", "left").join(skipped, "site_id", "left").select(
+        "site_id", status.alias("status"), *[zero(c) for c in ("requested", "fetched", "failed", "skipped_by_robots")], F.coalesce("errors", F.array().cast("array<struct<url:string,kind:string>>")).alias("errors")
     )
     return {
-        "raw": raw, "url_status": statuses, "robots": rules.where("raw IS NOT NULL"), "status": status, "llms_txt": llms, "counters": cut(counters),
+        "raw": raw, "url_status": statuses, "robots": rules.where("raw IS NOT NULL"), "llms_txt": llms, "counters": cut(counters),
         "sitemaps": maps.select("site_id", F.col("sitemap_url").alias("url"), "ok"), "sitemap_entries": entries,
     }
 
