@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelumen.functions import text as T
 
 
-#: Pages that a list in a finding shows, in order; counts are of all.
+#: Pages that a list in a finding shows, in order, unless told otherwise; counts are of all.
 LISTED = 1000
 
 
@@ -50,12 +50,12 @@ def inlink_lists(pages: DataFrame, most: int = 100) -> DataFrame:
     return inlinks(pages).join(sources, ["site_id", "target"])
 
 
-def duplicate_groups(pages: DataFrame, column: str) -> DataFrame:
+def duplicate_groups(pages: DataFrame, column: str, listed: int | None = None) -> DataFrame:
     """``(site_id, key, pages, n, first)``: normalised values that two or more indexable pages have, the first pages in order."""
     keyed = pages.where("idx").select("site_id", T.normalize_key(column).alias("key"), "seq", "normalized_url").where("key <> ''")
     firsts = keyed.groupBy("site_id", "key").agg(F.min("seq").alias("first"), F.count("*").alias("c")).where("c >= 2").drop("c")
     shared = keyed.join(firsts, ["site_id", "key"])
-    return first_listed(shared, ["site_id", "key", "first"]).select("site_id", "key", F.col("listed").alias("pages"), "n", "first")
+    return first_listed(shared, ["site_id", "key", "first"], *([listed] if listed else [])).select("site_id", "key", F.col("listed").alias("pages"), "n", "first")
 
 
 def orphans(pages: DataFrame) -> DataFrame:

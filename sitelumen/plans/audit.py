@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Window
@@ -31,6 +32,10 @@ SPA_MARKERS = (
 # --- end of fixed values ---
 
 
+#: Findings of a rule that may have several a row.
+FINDS = "array<struct<message:string,measure:double,sample:array<string>>>"
+
+
 @dataclass
 class SideInputs:
     """What a crawl knows besides pages; every table may be absent."""
@@ -196,13 +201,13 @@ def page_facts(pages: DataFrame, side: SideInputs, wanted: set[str] | None = Non
     return facts.withColumn("in_sitemap", F.coalesce("_a", "_b", F.lit(False))).drop("_a", "_b")
 
 
-def _ordered(rows: DataFrame, name: str) -> DataFrame:
-    return S.first_listed(rows, ["site_id"]).select("site_id", F.col("listed").alias(name), F.col("n").alias(f"{name}_count"))
+def _ordered(rows: DataFrame, name: str, listed: int | None = None) -> DataFrame:
+    return S.first_listed(rows, ["site_id"], *([listed] if listed else [])).select("site_id", F.col("listed").alias(name), F.col("n").alias(f"{name}_count"))
 
 
-def shared_values(pages: DataFrame, rules: list[Rule] = RULES) -> dict[str, DataFrame]:
+def shared_values(pages: DataFrame, rules: list[Rule] = RULES, listed: int | None = None) -> dict[str, DataFrame]:
     """Of each column that a rule groups by, the groups of pages with one value."""
-    return {r.groups: S.duplicate_groups(pages, r.groups) for r in rules if r.groups}
+    return {r.groups: S.duplicate_groups(pages, r.groups, listed) for r in rules if r.groups}
 
 
 def _gathered(sites: DataFrame, parts: list[tuple[DataFrame | None, dict[str, str]]]) -> DataFrame:
@@ -223,7 +228,7 @@ def _gathered(sites: DataFrame, parts: list[tuple[DataFrame | None, dict[str, st
 
 
 def site_facts(
-    pages: DataFrame, side: SideInputs, caps: Capabilities, single_page: bool = False, now=None, groups: dict[str, DataFrame] | None = None, wanted: set[str] | None = None
+    pages: DataFrame, side: SideInputs, caps: Capabilities, single_page: bool = False, now=None, groups: dict[str, DataFrame] | None = None, wanted: set[str] | None = None, lists: int | None = None
 ) -> DataFrame:
     """One row a site. Of the facts that take more than one pass over the pages only those in ``wanted`` are made; without it all are."""
     groups = shared_values(pages) if groups is None else groups
@@ -249,7 +254,7 @@ def site_facts(
     if asked("near_duplicates"):
         parts.append((N.pair_total(pages).withColumnRenamed("pairs", "near_duplicates"), {"near_duplicates": "0L"}))
     if asked("orphans", "orphans_count"):
-        parts.append((_ordered(S.orphans(pages), "orphans"), {"orphans": "CAST(array() AS array<string>)", "orphans_count": "0L"}))
+        parts.append((_ordered(S.orphans(pages), "orphans", lists), {"orphans": "CAST(array() AS array<string>)", "orphans_count": "0L"}))
 
     status = side.url_status
     counted = None
@@ -270,7 +275,7 @@ def site_facts(
         if status is not None and asked("sitemap_bad"):
             bad = S.sitemap_problems(locs, status, pages).groupBy("site_id").agg(F.count("*").alias("sitemap_bad"))
         if asked("sitemap_orphans", "sitemap_orphans_count"):
-            lost = _ordered(S.sitemap_orphans(pages, locs), "sitemap_orphans")
+            lost = _ordered(S.sitemap_orphans(pages, locs), "sitemap_orphans", lists)
     parts.append((listed, {"sitemap_entries": "0L", "sitemap_locs": "0L", "lastmod_bad": "0L"}))
     parts.append((bad, {"sitemap_bad": "0L"}))
     parts.append((lost, {"sitemap_orphans": "CAST(array() AS array<string>)", "sitemap_orphans_count": "0L"}))
@@ -291,13 +296,14 @@ def evaluated(rules: list[Rule], caps: Capabilities) -> list[Rule]:
 def _sql(rule: Rule, min_words: int, n: int = 0) -> dict[str, str]:
     """The rule's expressions by name; those of a rule in Python read what its check has left in ``_check{n}``."""
     applies, said = f"coalesce({rule.applies}, false)", f"_check{n}"
-    fails = f"{said}.fails" if rule.check else rule.fails.replace("{min_words}", str(min_words))
+    fails = f"{said}.fails" if rule.python else rule.fails.replace("{min_words}", str(min_words))
     failing = f"({applies}) AND coalesce({fails}, false)"
-    measure = f"{said}.measure" if rule.check else rule.measure
+    measure = f"{said}.measure" if rule.python else rule.measure
     return {
         "applies": applies, "fails": failing, "measure": f"CAST({measure} AS double)",
         "sample": f"CASE WHEN {failing} THEN CAST(slice({rule.sample}, 1, {SAMPLES}) AS array<string>) END" if rule.sample != "NULL" else "CAST(NULL AS array<string>)",
-        "error": f"CASE WHEN {applies} THEN {said}.error END" if rule.check else "CAST(NULL AS string)",
+        "error": f"CASE WHEN {applies} THEN {said}.error END" if rule.python else "CAST(NULL AS string)",
+        "finds": f"CASE WHEN {failing} THEN {said}.finds END" if rule.finds else f"CAST(NULL AS {FINDS})",
     }
 
 
@@ -308,29 +314,51 @@ def _verdicts(rules: list[Rule], min_words: int, fields: dict[str, str]) -> str:
         own = "".join(f", '{name}', {sql}" for name, sql in _sql(r, min_words, n).items())
         rest = "".join(f", '{name}', CAST({getattr(r, name) or 'NULL'} AS {kind})" for name, kind in fields.items())
         parts.append(f"named_struct('rule_id', '{r.id}'{own}{rest})")
-    empty = ",".join(["rule_id:string", "applies:boolean", "fails:boolean", "measure:double", "sample:array<string>", "error:string", *(f"{name}:{kind}" for name, kind in fields.items())])
+    empty = ",".join(["rule_id:string", "applies:boolean", "fails:boolean", "measure:double", "sample:array<string>", "error:string", f"finds:{FINDS}", *(f"{name}:{kind}" for name, kind in fields.items())])
     return f"array({', '.join(parts)})" if parts else f"CAST(array() AS array<struct<{empty}>>)"
 
 
+def _called(rule: Rule) -> Callable[[pd.DataFrame], list[tuple]]:
+    """What a rule in Python says of the rows of a frame: ``(fails, measure, error, finds)`` each; an error is a row, not the end of the audit."""
+
+    def told(said: object) -> tuple:
+        return (said is not None and said is not False, None if said is None or isinstance(said, bool) else float(said), None, None)
+
+    def failed(e: Exception) -> tuple:
+        return (False, None, f"{type(e).__name__}: {e}", None)
+
+    def one(row: dict) -> tuple:
+        try:
+            if rule.finds is None:
+                return told(rule.check(row))
+            found = [{"message": f.get("message"), "measure": None if f.get("measure") is None else float(f["measure"]), "sample": [str(x) for x in f.get("sample", ())]} for f in rule.finds(row)]
+            return (bool(found), float(len(found)), None, found)
+        except Exception as e:
+            return failed(e)
+
+    def frame(part: pd.DataFrame) -> list[tuple]:
+        try:
+            return [told(None if x is None or x != x else bool(x) if isinstance(x, (bool, np.bool_)) else x) for x in rule.check(part).tolist()]
+        except Exception as e:
+            return [failed(e)] * len(part)
+
+    return frame if rule.by_frame else lambda part: [one(row) for row in part.to_dict("records")]
+
+
 def _checks(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``rows`` with ``_check{n}`` for each rule in Python: what its check says of the row, or what it raises."""
+    """``rows`` with ``_check{n}`` for each rule in Python: what it says of the row, or what it raises."""
 
-    def called(check):
-        @F.pandas_udf("fails boolean, measure double, error string")
+    def column(rule: Rule) -> F.Column:
+        call = _called(rule)
+
+        @F.pandas_udf(f"fails boolean, measure double, error string, finds {FINDS}")
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                out = []
-                for row in part.to_dict("records"):
-                    try:
-                        said = check(row)
-                        out.append((said is not None and said is not False, None if said is None or isinstance(said, bool) else float(said), None))
-                    except Exception as e:  # an error of a rule is a row, not the end of the audit
-                        out.append((False, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(out, columns=["fails", "measure", "error"])
+                yield pd.DataFrame(call(part), columns=["fails", "measure", "error", "finds"]).astype({"measure": "float64"})
 
-        return run
+        return run(F.struct(*rule.reads))
 
-    return rows.withColumns({f"_check{n}": called(r.check)(F.struct(*r.reads)) for n, r in enumerate(rules) if r.check})
+    return rows.withColumns({f"_check{n}": column(r) for n, r in enumerate(rules) if r.python})
 
 
 def sound(rows: DataFrame, rules: list[Rule], min_words: int = 300) -> tuple[list[Rule], dict[str, str]]:
@@ -339,9 +367,9 @@ def sound(rows: DataFrame, rules: list[Rule], min_words: int = 300) -> tuple[lis
 
     def problem(some: list[Rule]) -> str | None:
         try:
-            columns = [F.expr(sql) for r in some if not r.check for name, sql in _sql(r, min_words).items() if name != "error"]
+            columns = [F.expr(sql) for r in some if not r.python for name, sql in _sql(r, min_words).items() if name not in ("error", "finds")]
             columns += [F.expr(f"CAST({r.pages} AS array<string>)") for r in some] + [F.expr(f"CAST({r.page} AS string)") for r in some]
-            columns += [F.expr(r.applies) for r in some if r.check] + [F.col(c) for r in some for c in r.reads]
+            columns += [F.expr(r.applies) for r in some if r.python] + [F.col(c) for r in some for c in r.reads]
             empty.select(*columns).schema  # noqa: B018
         except (AnalysisException, ParseException) as e:
             return str(e).splitlines()[0]
@@ -364,7 +392,7 @@ def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: i
     pages = _checks(facts, page_rules).select("site_id", "seq", "normalized_url", F.expr(_verdicts(page_rules, min_words, {})).alias("verdicts"))
     whole = _checks(sites, site_rules).select("site_id", F.inline(F.expr(_verdicts(site_rules, min_words, {"page": "string", "pages": "array<string>"}))))
     pages = cut(pages)
-    if any(r.check for r in site_rules):  # a check in Python is called once a site
+    if any(r.python for r in site_rules):  # a check in Python is called once a site
         whole = cut(whole)
     counts = pages.groupBy("site_id").agg(
         *[F.count_if(F.col("verdicts")[i]["applies"]).alias(f"a{i}") for i in range(len(page_rules))], *[F.count_if(F.col("verdicts")[i]["fails"]).alias(f"f{i}") for i in range(len(page_rules))]
@@ -374,10 +402,19 @@ def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: i
     page_counts = counts.select("site_id", F.inline(F.expr(each)))
     site_counts = whole.select("site_id", "rule_id", F.col("applies").cast("bigint").alias("applicable"), F.col("fails").cast("bigint").alias("failed"))
     none, one = F.lit(None).cast("array<string>"), F.lit(1).cast("bigint")
-    columns = ["site_id", "rule_id", "scope", "page", "pages", "affected", "measure", "sample", "seq"]
-    failed_pages = pages.select("site_id", "seq", "normalized_url", F.inline(F.filter("verdicts", lambda v: v["fails"])))
+    columns = ["site_id", "rule_id", "scope", "page", "pages", "affected", "measure", "sample", "seq", "own_message"]
+
+    def each_found(rows: DataFrame) -> DataFrame:
+        """A row for each finding of the rules that may have several."""
+        if not any(r.finds for r in [*page_rules, *site_rules]):
+            return rows.withColumn("own_message", F.lit(None).cast("string"))
+        rows = rows.withColumn("_one", F.explode_outer("finds"))
+        sample = F.when(F.size(F.col("_one.sample")) > 0, F.slice("_one.sample", 1, SAMPLES)).otherwise(F.col("sample"))
+        return rows.withColumns({"own_message": F.col("_one.message"), "measure": F.when(F.col("_one").isNull(), F.col("measure")).otherwise(F.col("_one.measure")), "sample": sample}).drop("_one")
+
+    failed_pages = each_found(pages.select("site_id", "seq", "normalized_url", F.inline(F.filter("verdicts", lambda v: v["fails"]))))
     found = failed_pages.withColumns({"scope": F.lit("page"), "page": F.col("normalized_url"), "pages": none, "affected": one}).select(columns)
-    failed = whole.where("fails").withColumns({"scope": F.lit("site"), "seq": F.lit(0).cast("bigint")})
+    failed = each_found(whole.where("fails")).withColumns({"scope": F.lit("site"), "seq": F.lit(0).cast("bigint")})
     grouped = [r for r in site_rules if r.groups]
     single = failed.where(~F.col("rule_id").isin([r.id for r in grouped])) if grouped else failed
     affected = F.when(F.col("pages").isNull(), one).otherwise(F.coalesce(F.col("measure"), F.size("pages")).cast("bigint"))
@@ -385,7 +422,7 @@ def evaluate(facts: DataFrame, sites: DataFrame, rules: list[Rule], min_words: i
     for r in grouped:
         own = (groups or {})[r.groups].select("site_id", "pages", F.col("n").alias("affected"), F.col("n").cast("double").alias("measure"), F.array(F.col("key")).alias("sample"), F.col("first").alias("seq"))
         own = own.join(failed.where(F.col("rule_id") == r.id).select("site_id"), "site_id", "left_semi")
-        found = found.unionByName(own.withColumns({"rule_id": F.lit(r.id), "scope": F.lit("site"), "page": F.lit(None).cast("string")}).select(columns))
+        found = found.unionByName(own.withColumns({"rule_id": F.lit(r.id), "scope": F.lit("site"), "page": F.lit(None).cast("string"), "own_message": F.lit(None).cast("string")}).select(columns))
     errors = pages.select("site_id", F.col("normalized_url").alias("page"), F.inline(F.filter("verdicts", lambda v: v["error"].isNotNull()))).select("site_id", "rule_id", "page", "error")
     errors = errors.unionByName(whole.where("error IS NOT NULL").select("site_id", "rule_id", F.lit(None).cast("string").alias("page"), "error"))
     if wrong := unfit | more:
@@ -421,8 +458,8 @@ def with_metadata(findings: DataFrame, sites: DataFrame, partial: DataFrame | No
     count = F.when(F.col("pages").isNotNull(), F.col("affected"))
     evidence = F.to_json(F.struct(F.col("measure").alias("value"), count.alias("pages"), "sample"))
     number = F.when(F.col("measure") == F.floor("measure"), F.col("measure").cast("bigint").cast("string")).otherwise(F.round("measure", 2).cast("string"))
-    message = F.replace(F.replace("says", F.lit("{value}"), F.coalesce(number, F.lit("no"))), F.lit("{pages}"), F.coalesce(count, F.lit(0)).cast("string"))
-    return joined.withColumns({"confidence": confidence, "evidence": evidence, "message": message}).drop("spa_site", "content_dependent", "partial", "says", "sample")
+    message = F.replace(F.replace(F.coalesce("own_message", "says"), F.lit("{value}"), F.coalesce(number, F.lit("no"))), F.lit("{pages}"), F.coalesce(count, F.lit(0)).cast("string"))
+    return joined.withColumns({"confidence": confidence, "evidence": evidence, "message": message}).drop("spa_site", "content_dependent", "partial", "says", "own_message", "sample")
 
 
 def js_round(x, digits: int = 0):
@@ -507,9 +544,9 @@ def worst_pages(findings: DataFrame, most: int = 10) -> DataFrame:
 
 def audit(
     raw: DataFrame, side: SideInputs | None = None, caps: Capabilities | None = None, min_words: int = 300, single_page: bool = False, now=None, crawl: DataFrame | None = None, rules: list[Rule] | None = None,
-    options: dict | None = None,
+    options: dict | None = None, listed: int | None = None,
 ) -> Audit:
-    """The whole audit.
+    """The whole audit; lists of pages in a finding have the first ``listed`` of them (1000 unless told otherwise), counts are of all.
 
     Pages, site facts and verdicts are read by several frames, so each is written once to the shared checkpoint folder
     before this returns; that also keeps the plans behind them short, and lost executors cost no second parse. Facts that
@@ -523,8 +560,8 @@ def audit(
     every = cut(derived(page_models(raw)))
     pages, unread = every.where("parse_error IS NULL"), every.where("parse_error IS NOT NULL").select("site_id", F.col("normalized_url").alias("page"), F.col("parse_error").alias("error"))
     of_page, of_site = named(chosen, "page"), named(chosen, "site")
-    groups = shared_values(pages, [*chosen, *(r for r in RULES if f"{r.groups}_groups" in of_site)])
-    facts, sites = page_facts(pages, side, of_page), cut(site_facts(pages, side, caps, single_page, now, groups, of_site))
+    groups = shared_values(pages, [*chosen, *(r for r in RULES if f"{r.groups}_groups" in of_site)], listed)
+    facts, sites = page_facts(pages, side, of_page), cut(site_facts(pages, side, caps, single_page, now, groups, of_site, listed))
     found, applicable, errors = evaluate(facts, sites, chosen, min_words, groups)
     partial = None if crawl is None else crawl.select("site_id", (F.col("status") != "ok").alias("partial"))
     found = with_metadata(found, sites, partial, every_rule)

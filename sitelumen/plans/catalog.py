@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from sitelumen.plans.advice import ADVICE
@@ -38,7 +38,9 @@ class Rule:
 
     A rule in Python has ``check`` instead of ``fails``: it is called with a dict of the columns that ``reads`` names, for
     each row that the rule applies to, and returns whether the row fails, or a number, which fails and is the measure.
-    What it raises is kept as an error of the rule and fails nothing.
+    What it raises is kept as an error of the rule and fails nothing. With ``by_frame`` it is called with a pandas frame of
+    those columns, many rows at a time, and returns a Series. A rule with ``finds`` may have several findings a row: it is
+    called as a check is and gives a dict for each, with its own ``message``, ``measure`` and ``sample`` where it likes.
     """
 
     id: str
@@ -60,14 +62,20 @@ class Rule:
     sample: str = "NULL"
     check: Callable[[dict], object] | None = None
     reads: tuple[str, ...] = ()
+    by_frame: bool = False
+    finds: Callable[[dict], Iterable[dict]] | None = None
+
+    @property
+    def python(self) -> bool:
+        return self.check is not None or self.finds is not None
 
     def __post_init__(self) -> None:
         if not self.id or self.category not in CATEGORIES or self.severity not in SEVERITIES or self.effort not in EFFORT_FACTOR:
             raise ValueError(f"bad rule {self.id!r}")
         if not 1 <= self.weight <= 10 or not 1 <= self.impact <= 5 or self.scope not in ("page", "site") or not set(self.needs) <= set(NEEDS):
             raise ValueError(f"bad rule {self.id!r}")
-        if not self.applies or bool(self.fails) == bool(self.check) or (self.check and not self.reads):
-            raise ValueError(f"rule {self.id!r} needs applies, and either fails or check with reads")
+        if not self.applies or bool(self.fails) + (self.check is not None) + (self.finds is not None) != 1 or (self.python and not self.reads):
+            raise ValueError(f"rule {self.id!r} needs applies, and one of fails, check with reads, and finds with reads")
 
     @property
     def says(self) -> str:

@@ -276,9 +276,85 @@ def test_only_facts_that_rules_name_are_made(spark, monkeypatch):
     assert sorted(set(called)) == ["duplicate_groups", "missing_return"] and done.findings.select("rule_id").collect()[0]["rule_id"] == "title-duplicate"
 
 
+def test_rules_with_several_findings_a_page_and_by_frame(spark):
+    def each_image(row):
+        if "boom" in row["url"]:
+            raise ValueError("no images")
+        return [{"message": f"{i['src']} is bad", "measure": len(i["src"]), "sample": [i["src"]]} for i in row["images"] if "bad" in (i["src"] or "")]
+
+    def long_titles(frame):
+        if frame["title"].str.contains("oops").any():
+            raise KeyError("oops")
+        return frame["title"].str.len().where(frame["title"].str.len() > 3)
+
+    own = [
+        A.Rule("bad-image", "media", "error", 5, 3, "low", "ok", finds=each_image, reads=("url", "images"), message="unused", fix="mend"),
+        A.Rule("long-title", "onpage", "notice", 2, 2, "low", "title IS NOT NULL", check=long_titles, reads=("title",), by_frame=True, message="{value} letters"),
+        A.Rule("two-of-a-site", "links", "notice", 2, 2, "low", "true", finds=lambda row: [{"message": "one"}, {"measure": 2, "message": "{value} in all"}], reads=("pages",), scope="site", needs=("site",)),
+    ]
+    pages = [(0, "https://v.test/", "<title>abcdef</title><img src=bad1.png><img src=ok.png><img src=bad22.png>"), (1, "https://v.test/b", "<title>ab</title><img src=ok.png>"), (2, "https://v.test/boom", "<img src=bad.png>")]
+    done = A.audit(P.raw_pages(spark.createDataFrame(pages, "n bigint, url string, html string"), "n"), rules=[*RULES, *own])
+    found = sorted((r["rule_id"], r["message"], json.loads(r["evidence"]).get("sample"), json.loads(r["evidence"]).get("value")) for r in done.findings.where("rule_id IN ('bad-image', 'long-title', 'two-of-a-site')").collect())
+    assert found == [("bad-image", "bad1.png is bad", ["bad1.png"], 8.0), ("bad-image", "bad22.png is bad", ["bad22.png"], 9.0), ("long-title", "6 letters", None, 6.0), ("two-of-a-site", "2 in all", None, 2.0), ("two-of-a-site", "one", None, None)]
+    counts = {r["rule_id"]: (r["applicable"], r["failed"]) for r in done.applicability.collect()}
+    assert counts["bad-image"] == (3, 1) and counts["long-title"] == (2, 1) and counts["two-of-a-site"] == (1, 1)
+    assert {r["rule_id"]: r["count"] for r in done.actions.collect()}["bad-image"] == 2
+    assert [(r["rule_id"], r["page"], r["error"]) for r in done.rule_errors.collect()] == [("bad-image", "https://v.test/boom", "ValueError: no images")]
+    wrong = A.audit(P.raw_pages(spark.createDataFrame([(0, "https://v.test/", "<title>oops</title>")], "n bigint, url string, html string"), "n"), rules=own[1:2])
+    assert [r["error"] for r in wrong.rule_errors.collect()] == ["KeyError: 'oops'"] and wrong.findings.count() == 0
+
+
 def test_the_entry_loads_without_the_operators():
     code = "import sys, warnings; sys.modules['xxhash'] = None; warnings.simplefilter('always'); import __spark_entry__ as e; print(len(e.queries()), 'op1_substring_dedup' in e.queries())"
     said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=120)
     there = (ROOT / "sitelumen" / "llm").exists()
     assert said.returncode == 0 and said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 40, said.stderr
     assert not there or "left out" in said.stderr
+
+
+# --- many sites at once ----------------------------------------------------------------------------------------------
+
+
+def test_fifty_sites_are_crawled_in_one_run(spark, tmp_path):
+    log = str(tmp_path / "log")
+    os.makedirs(log)
+
+    def fetch(url):  # in a worker: each request leaves a file that says when
+        import time
+        import uuid
+
+        host, path = url.split("/")[2], "/" + "/".join(url.split("/")[3:])
+        number = int(host[1:].split(".")[0])
+        Path(log, uuid.uuid4().hex).write_text(f"{time.time()} {url}")
+        blocked, body = number % 10 == 7 and path not in ("/robots.txt", "/llms.txt"), "<p>x" + "".join(f"<a href='/{k}'>x</a>" for k in range(number % 7))
+        if path == "/robots.txt":
+            status, body = (200, "User-agent: *\nDisallow: /3") if number % 5 == 0 else (404, "")
+        elif path == "/sitemap.xml" and number % 4 == 0:
+            status, body = 200, f"<urlset><url><loc>https://{host}/listed</loc></url><url><loc>https://elsewhere.test/x</loc></url></urlset>"
+        elif path in ("/llms.txt", "/sitemap.xml", "/sitemap_index.xml"):
+            status = 404
+        else:
+            status = 0 if number % 10 == 9 else 200
+        headers = {"content-type": "text/html"} | ({"cf-mitigated": "challenge"} if blocked else {})
+        return {"url": url, "status": status, "html": body, "headers": headers, "redirect_chain": [], "final_url": url, "ttfb_ms": 1, "error": "timeout" if status == 0 else None, "transfer_bytes": len(body)}
+
+    found = C.crawl_sites(spark, [f"https://s{i}.test/" for i in range(50)], C.CrawlConfig(max_pages=4, max_depth=2, delay_ms=30), fetch)
+    counters = {r["site_id"]: r for r in found["counters"].collect()}
+    assert len(counters) == 50
+    for i in range(50):
+        own = counters[f"s{i}.test"]
+        links = [k for k in range(i % 7) if not (i % 5 == 0 and k == 3)]
+        pages = 0 if i % 10 in (7, 9) else min(4, 1 + len(links) + (i % 4 == 0))
+        assert own["fetched"] == pages and own["status"] == ("failed" if i % 10 == 9 else "ok"), i  # one challenge is no run
+        assert own["skipped_by_robots"] == int(i % 5 == 0 and i % 7 > 3 and i % 10 not in (7, 9))
+    asked = sorted((p.read_text().split(" ") for p in Path(log).iterdir()), key=lambda x: float(x[0]))
+    pages = [u for _, u in asked if not u.endswith((".txt", ".xml"))]
+    assert len(pages) == len(set(pages)) and not any("elsewhere" in u for u in pages)
+    raw = {r["url"]: r["site_id"] for r in found["raw"].collect()}
+    assert raw["https://s4.test/listed"] == "s4.test" and len(raw) == sum(r["fetched"] for r in counters.values())
+    last: dict[str, float] = {}
+    for at, url in asked:
+        host = url.split("/")[2]
+        if not url.endswith((".txt", ".xml")):
+            assert float(at) - last.get(host, 0) > 0.005
+            last[host] = float(at)
