@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelumen.session import cut, ensure_checkpoint_dir
 
-__all__ = ["cut", "ensure_checkpoint_dir", "fresh", "hex64", "pieces_of", "remove", "shuffle_partitions", "stored", "table", "text_bytes"]
+__all__ = ["bit_map", "cut", "ensure_checkpoint_dir", "fresh", "gram_hashes", "hex64", "in_map", "mixed", "pieces_of", "remove", "shuffle_partitions", "stored", "table", "text_bytes"]
 
 #: Bytes of text that a Python worker takes apart at once, unless one text alone is longer.
 PIECE_BYTES = 2 * 1024 * 1024
@@ -74,3 +75,58 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def hex64(column: Column) -> Column:
     """16 lower-case hex digits of a 64-bit number."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+#: Words whose hashes a worker remembers.
+WORDS = 500_000
+
+
+class _Words(dict):
+    """Hashes of the words that a worker has met."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_words = _Words()
+
+
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    x = x + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words, of the words' hashes; none where there are fewer."""
+    if not 0 < n <= len(hashes):
+        return np.empty(0, np.uint64)
+    grams = np.full(len(hashes) - n + 1, n, np.uint64)
+    for i in range(n):
+        grams += hashes[i : len(hashes) - n + 1 + i] * np.uint64((i + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1 | 1)
+    return mixed(grams, 100)
+
+
+def bit_map(numbers: DataFrame, column: str, bits: int) -> np.ndarray:
+    """``bits`` bits, those set that a number of the column (not negative) falls on; that many reach the driver at most."""
+    place = (F.lit(1) + F.pmod(F.col(column), F.lit(bits))).cast("long")
+    parts = numbers.groupBy(F.call_function("bitmap_bucket_number", place).alias("part")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("bits"))
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in parts.collect():
+        out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def in_map(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether each of the (signed) numbers falls on a bit that is set."""
+    at = numbers % (len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -5,8 +5,10 @@ of a block form one suffix automaton. Training words stream through it while the
 match of ``window`` words or more marks those words as hit, and the state that holds the last ``window`` words knows
 the items it occurs in. An item shorter than the window, but not empty, is one window of its own length.
 
-The automaton is the only thing broadcast, and its size is bounded: the benchmark is dealt out into blocks of at most
-BLOCK_WORDS words. The documents are read once, whatever the number of blocks; each row passes the automata in turn.
+The benchmark is dealt out into blocks of at most BLOCK_WORDS words, and a worker holds one block's automaton at a time. One
+block is broadcast and the documents pass it once. Of more blocks the driver makes one automaton after the other, and only
+documents that can have a hit pass them: those with a window whose hash is in a map, of fixed size, of all windows of the
+benchmark. So the documents are read once, and memory does not grow with the benchmark.
 
 Defined results: null texts have no words; empty items match nothing; items with equal texts are all reported; a null
 item_id is skipped in ids but its words still count as hits; repeated document rows each get their row.
@@ -15,19 +17,24 @@ item_id is skipped in ids but its words still count as hits; repeated document r
 from __future__ import annotations
 
 import hashlib
+import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import fresh, table, text_bytes
+from sitelumen.llm.common import bit_map, cut, ensure_checkpoint_dir, fresh, gram_hashes, in_map, stored, table, text_bytes, word_hashes
 
 WINDOW = 10
 #: Words of one automaton; about 300 bytes a word on the driver and in each Python worker.
 BLOCK_WORDS = 200_000
+#: Bits of the map of the benchmark's windows.
+MAP_BITS = 1 << 27
 #: Separators become blanks and A-Z lower case; what is left are 0-9, a-z and the bytes of non-ASCII characters.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -163,39 +170,97 @@ def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[A
     yield Automaton(block, window)
 
 
-HITS = "row_key long, doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
+_SPANS = "array<struct<start:int,end:int>>"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(doc_id, n_words, hits, items)`` of every row; hits are merged word spans, items the ids as strings.
+    """``(doc_id, n_words, hits, items)`` of every row; hits are merged word spans, items the ids as strings."""
+    blocks = blocks_of(benchmark, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if second is None:
+        return rows.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(first)), f"doc_id long, text string, n_words long, hits {_SPANS}, items array<string>").drop("text")
+    marked = stored(_marked(rows.withColumn("row_key", row_key()), benchmark, window))
+    found = _by_block(marked.where("text IS NOT NULL"), chain([first, second], blocks))
+    met = marked.select("row_key", "doc_id", "n_words").join(found, "row_key", "left")
+    return met.select("doc_id", "n_words", F.coalesce("hits", F.array().cast(_SPANS)).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
-    The documents are read once; each block of the benchmark adds to what the blocks before it have found in a row.
-    """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for k, automaton in enumerate(blocks_of(benchmark, window, block_words)):
-        found = found.mapInArrow(_scanner(docs.sparkSession, automaton, first=k == 0), "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, items array<string>")
-    return found.drop("text")
+
+def row_key() -> Column:
+    """128 bits of a row's doc_id and text."""
+    of = (F.col("doc_id").cast("long"), F.col("text"))
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b"))
 
 
-def _scanner(spark: SparkSession, automaton: Automaton, first: bool):
-    shared = spark.sparkContext.broadcast(automaton)
+def _marked(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``(row_key, doc_id, n_words, text)`` of ``rows(doc_id, text, row_key)``; without the text where no window can be one of the benchmark's."""
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in text_bytes(batch.column(0)):
+                words = words_of(text)
+                n = min(window, len(words))
+                made = gram_hashes(word_hashes(words), n)
+                yield pa.record_batch([pa.array(made.view(np.int64)), pa.array([n] * len(made), pa.int32())], ["hash", "n"])
+
+    windows = cut(benchmark.select("text").mapInArrow(of_items, "hash long, n int"))
+    lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # window of them at most
+    sent = rows.sparkSession.sparkContext.broadcast(bit_map(windows, "hash", MAP_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, kept = [], []
+            for text, raw in zip(text_bytes(batch.column(1)), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                hashes = word_hashes(words)
+                counts.append(len(words))
+                kept.append(raw if any(in_map(sent.value, gram_hashes(hashes, n).view(np.int64)).any() for n in lengths) else None)
+            yield pa.record_batch([batch.column(2), batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.string())], ["row_key", "doc_id", "n_words", "text"])
+
+    return rows.mapInArrow(run, "row_key struct<a:long,b:long>, doc_id long, n_words long, text string")
+
+
+def _by_block(rows: DataFrame, blocks: Iterable[Automaton]) -> DataFrame:
+    """``(row_key, hits, items)`` of the rows that any block hits, spans merged; each block is a job of its own, which adds to one table."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/hits-{uuid.uuid4().hex}"
+    schema = f"row_key struct<a:long,b:long>, hits {_SPANS}, items array<string>"
+    for automaton in blocks:
+        shared = spark.sparkContext.broadcast(automaton)
+        scanned = rows.mapInArrow(_scanner(shared, "row_key"), f"row_key struct<a:long,b:long>, text string, n_words long, hits {_SPANS}, items array<string>")
+        scanned.where("size(hits) > 0").select("row_key", "hits", "items").dropDuplicates(["row_key"]).write.mode("append").parquet(path)
+        shared.destroy()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged_spans([(h["start"], h["end"]) for h in own]) for own in batch.column(1).to_pylist()]
+            spans_of = pa.array([[{"start": s, "end": e} for s, e in own] for own in spans], _SPAN)
+            yield pa.record_batch([batch.column(0), spans_of, batch.column(2)], ["row_key", "hits", "items"])
+
+    every = spark.read.schema(schema).parquet(path).groupBy("row_key").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return every.mapInArrow(merge, schema)
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scanner(shared: Broadcast, name: str = "doc_id"):
+    """A function that adds to rows (name, text) their number of words, hit spans and items by a broadcast automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Automaton = shared.value
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             counts, all_spans, all_items = [], [], []
-            known = [((), ())] * len(batch) if first else zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            for text, (spans_before, items_before) in zip(text_bytes(batch.column(1)), known, strict=True):
+            rows, texts = batch.column(batch.schema.get_field_index(name)), batch.column(batch.schema.get_field_index("text"))
+            for text in text_bytes(texts):
                 words = words_of(text)
                 spans, items = own.scan(words)
-                if spans_before:
-                    spans = merged_spans([*((h["start"], h["end"]) for h in spans_before), *spans])
                 counts.append(len(words))
                 all_spans.append([{"start": s, "end": e} for s, e in spans])
-                all_items.append(sorted({own.names[k] for k in items if own.names[k] is not None}.union(items_before)))
-            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(all_spans, span), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.record_batch(columns, ["doc_id", "text", "n_words", "hits", "items"])
+                all_items.append(sorted({own.names[k] for k in items if own.names[k] is not None}))
+            columns = [rows, texts, pa.array(counts, pa.int64()), pa.array(all_spans, _SPAN), pa.array(all_items, pa.list_(pa.string()))]
+            yield pa.record_batch(columns, [name, "text", "n_words", "hits", "items"])
 
     return run
 
@@ -224,45 +289,44 @@ def remove_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs without the hit spans; a row of which more than max_coverage is hit goes as a whole.
 
-    Texts without a hit come back unchanged, and so do null texts. ``n_chars`` is renewed if there is one. Each block of
-    the benchmark adds its spans of the original text; the last one's pass judges and removes them all.
+    Texts without a hit come back unchanged, and so do null texts. ``n_chars`` is renewed if there is one. Spans of all
+    blocks of the benchmark are those of the original text; it is judged and cut once.
     """
-    names, at, known_hits = docs.columns, docs.columns.index("text"), fresh(docs, "hits")
+    names, at, known = docs.columns, docs.columns.index("text"), fresh(docs, "hits")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    out, blocks = docs, blocks_of(benchmark, window, block_words)
-    automaton, first = next(blocks), True
-    while automaton is not None:
-        shared, automaton = docs.sparkSession.sparkContext.broadcast(automaton), next(blocks, None)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=automaton is None) -> Iterator[pa.RecordBatch]:
-            own: Automaton = shared.value
-            for batch in batches:
-                texts, keep, found = batch.column(at).to_pylist(), [], []
-                known = [()] * len(texts) if first else batch.column(len(names)).to_pylist()
-                for i, (raw, before) in enumerate(zip(texts, known, strict=True)):
-                    if raw is None:
-                        keep.append(i)
-                        found.append([])
-                        continue
-                    text = raw.encode()
-                    words = words_of(text)
-                    spans = merged_spans([*[(h["start"], h["end"]) for h in before], *own.scan(words)[0]])
-                    found.append([{"start": s, "end": e} for s, e in spans])
-                    if last and spans and sum(e - s for s, e in spans) > max_coverage * len(words):
-                        continue
+    blocks = blocks_of(benchmark, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    rows, shared = docs, None
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+    else:
+        key = fresh(docs, "row_key")
+        keyed = docs.select("*", row_key().alias(key))
+        marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key")), benchmark, window)
+        found = _by_block(stored(marked.where("text IS NOT NULL")), chain([first, second], blocks)).select(F.col("row_key").alias(key), F.col("hits").alias(known))
+        rows = keyed.join(found, key, "left").select(*[F.col(f"`{c}`") for c in names], F.col(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            given = batch.column(len(names)).to_pylist() if shared is None else [None] * len(texts)
+            for i, (raw, spans) in enumerate(zip(texts, given, strict=True)):
+                if raw is None or (shared is None and not spans):
                     keep.append(i)
-                    if last and spans:
-                        texts[i] = remove_words(text, spans).decode()
-                columns = [batch.column(i) for i in range(len(names))]
-                if last:
-                    columns[at] = pa.array(texts, batch.column(at).type)
-                    yield pa.record_batch(columns, names).take(pa.array(keep, pa.int64()))
-                else:
-                    yield pa.record_batch([*columns, pa.array(found, span)], [*names, known_hits])
-
-        out = out.mapInArrow(run, schema if automaton is None else f"{schema}, `{known_hits}` array<struct<start:int,end:int>>")
-        first = False
+                    continue
+                text = raw.encode()
+                words = words_of(text)
+                spans = [(h["start"], h["end"]) for h in spans] if shared is None else shared.value.scan(words)[0]
+                if spans and sum(e - s for s, e in spans) > max_coverage * len(words):
+                    continue
+                keep.append(i)
+                if spans:
+                    texts[i] = remove_words(text, spans).decode()
+            columns = [batch.column(i) for i in range(len(names))]
+            columns[at] = pa.array(texts, batch.column(at).type)
+            yield pa.record_batch(columns, names).take(pa.array(keep, pa.int64()))
+
+    out = rows.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

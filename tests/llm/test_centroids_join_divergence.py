@@ -256,3 +256,34 @@ def test_divergence_on_nothing(spark):
     assert got.collect() == [] and got.columns == ["lang", "source", "part", "item", "value", "rank"]
     bare = V.divergence(docs_of(spark, [(1, None, None, None), (2, "", "", "x")]))
     assert sorted(tuple(r) for r in bare.collect()) == [("", "", "pair", "x", 0, 1), ("", "x", "pair", "", 0, 1)]
+
+
+# --- decontamination by a benchmark of many blocks ---------------------------------------------------------------------
+
+
+def test_many_blocks_take_one_worker_each_and_give_what_one_does(spark, monkeypatch):
+    from sitelumen.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "MAP_BITS", 1 << 18)
+    rng = random.Random(9)
+    items = [(f"i{k}", prose(700 + k, rng.choice((3, 9, 10, 25, 60)))) for k in range(120)] + [(None, prose(900, 30)), ("none", None), ("i0", prose(1000, 12))]
+    rows = []
+    for i in range(80):
+        text = [prose(3000 + i, rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            words = (rng.choice(items)[1] or "").split()
+            at = rng.randrange(max(1, len(words) - 8))
+            text.append(" ".join(words[at : at + rng.randint(5, 40)]))
+        rows.append((rng.choice((i, i, None)), rng.choice(("\n".join(text), "\n".join(text), None))))
+    rows += rows[:5]
+    docs, bench = docs_of(spark, rows).repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    jobs = []
+    monkeypatch.setattr(D, "_scanner", lambda *a, f=D._scanner: jobs.append(1) or f(*a))
+    key = lambda r: (str(r["doc_id"]), r["n_words"], str(r["hits"]), str(r["items"]))
+    whole = sorted(map(key, D.hits(docs, bench).collect()))
+    assert len(jobs) == 1
+    dealt = D.hits(docs, bench, block_words=60)
+    assert len(jobs) > 45 and dealt._jdf.queryExecution().toString().count("MapInArrow") <= 4  # of the merge, in each form of the plan
+    assert sorted(map(key, dealt.collect())) == whole and sum("start" in x[2] for x in whole) > 20
+    plain = sorted(map(str, D.decontaminate(docs, bench).collect()))
+    assert sorted(map(str, D.decontaminate(docs, bench, block_words=60).collect())) == plain
