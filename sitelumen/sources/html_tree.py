@@ -47,6 +47,8 @@ CELLS, TABLE_SCOPE = frozenset("td th caption".split()), frozenset("table templa
 #: Rounds of the adoption agency, and formatting elements that one round clones.
 ROUNDS, CLONES = 8, 3
 TAG = re.compile(r"<(?:(!--)|(!|\?)|(/?)([a-zA-Z][^\s/>]*))")
+COMMENT_END = re.compile(r"-->|--!>")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 
 
@@ -155,7 +157,9 @@ class Builder:
         return target, None
 
     def _insert(self, tag: str, attrs: dict[str, str], foster: bool) -> Node:
-        parent, at = self._place(self.open[-1]) if foster else (self.open[-1], None)
+        parent, at = self.open[-1], None
+        if foster and parent.tag in TABLE_CONTEXT:
+            parent, at = self._place(parent)
         if at is None:
             return self._append(parent, tag, attrs)
         node = Node(tag, attrs, parent)
@@ -179,7 +183,11 @@ class Builder:
             self.body.attrs = attrs | self.body.attrs
 
     def _in_scope(self, tags: set[str] | frozenset[str], stop: frozenset[str] | set[str] = SCOPE) -> int | None:
-        if not any(self.counts.get(t) for t in tags):
+        counts = self.counts
+        for t in tags:
+            if counts.get(t):
+                break
+        else:
             return None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
@@ -190,6 +198,8 @@ class Builder:
 
     def _reopen(self) -> None:
         """Formatting elements that an implied end tag has closed go on in the new place."""
+        if not self.formatting:
+            return
         for k in range(self._reachable(), len(self.formatting)):
             node = self.formatting[k]
             if not node.is_open:
@@ -211,7 +221,9 @@ class Builder:
             self._write(self.open[-1].children, len(self.open[-1].children), data)
             return
         self._reopen()
-        parent, at = self._place(self.open[-1])
+        parent, at = self.open[-1], None
+        if parent.tag in TABLE_CONTEXT:
+            parent, at = self._place(parent)
         self._write(parent.children, len(parent.children) if at is None else at, data)
 
     @staticmethod
@@ -241,7 +253,7 @@ class Builder:
             self._close(i)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self._close(len(self.open) - 1)
-        if tag in SIBLINGS and any(self.counts.get(t) for t in SIBLINGS[tag][0]):
+        if tag in SIBLINGS:
             same, stop = SIBLINGS[tag]
             found = None
             for i in range(len(self.open) - 1, 0, -1):
@@ -255,7 +267,7 @@ class Builder:
             if not self.counts.get("table") and not self.counts.get("template"):
                 return None  # a table part without a table is ignored
             self._table_context(tag)
-        if tag == "a" and any(n.tag == "a" for n in self.formatting[self._reachable() :]):
+        if tag == "a" and self.formatting and any(n.tag == "a" for n in self.formatting[self._reachable() :]):
             last = next(n for n in reversed(self.formatting) if n.tag == "a")
             self._adopt("a")
             if last in self.formatting:
@@ -382,8 +394,8 @@ def tree(html: str) -> Node:
             break
         builder.text(unescape(html[at : found.start()]))
         if found[1]:
-            end = re.compile(r"-->|--!>").search(html, found.end()) if not html.startswith((">", "->"), found.end()) else re.compile(">").search(html, found.end())
-            at = end.end() if end else n
+            end = COMMENT_END.search(html, found.end()) if not html.startswith((">", "->"), found.end()) else None
+            at = end.end() if end else html.find(">", found.end()) + 1 if html.startswith((">", "->"), found.end()) else n
             continue
         if found[2]:
             end = html.find(">", found.end())
@@ -412,7 +424,7 @@ def tree(html: str) -> Node:
             continue
         node = builder.start(tag, attrs, closed)
         if tag in RAW and node is not None and builder.open[-1] is node:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             data = html[at : end.start() if end else n]
             builder.text(unescape(data) if tag in DECODED else data, raw=True)
             builder.open.pop()
