@@ -12,11 +12,13 @@ Two sets of a and b elements are alike at p per cent only if they share ``least_
 
 Both only propose: sets that meet, directly or through others, are one unit, in which pairs are compared exactly. Entries of
 one key are reduced to one in each task before the shuffle, so a large group of near copies is no hot key. A unit too heavy
-for one task is dealt out: pairs of a task first, then the first sets of each task's groups, and then, in the keys that sets of
-different groups still share, every set outside the key's largest group against the others. No link between different groups
+for one task is dealt out by keys of its sets' least hashes, which bring most alike sets together: pairs of a task first, then
+the first sets of each task's groups, and then, in the keys that sets of different groups still share, every set outside the
+key's largest group against those of other groups. No link between different groups
 is left out, and sets already tied are not compared again.
 
-Sets are of 64-bit hashes (XXH64) of n-grams; two n-grams of one pair of documents clash with less than one in 10^12.
+Sets are of 64-bit hashes of n-grams, made of their words' hashes (XXH64); two n-grams of a pair of documents clash with
+less than one in 10^12.
 
 Defined results: words are runs without blanks, A-Z lower-cased; a text of fewer words than n is one n-gram; null, empty
 and blank texts have empty sets and link with nothing; texts of any length are read whole; equal sets are collapsed before
@@ -37,9 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, pieces_of, stored, table, text_bytes
+from sitelumen.llm.common import bit_map, cut, gram_hashes, in_map, mixed, pieces_of, stored, table, text_bytes, word_hashes
 from sitelumen.llm.components import connected_components
-from sitelumen.llm.simhash import shingle_hashes
 
 #: Largest size for which enumerating subsets is weighed at all: beyond it a set has thousands.
 SMALL = 40
@@ -48,21 +49,17 @@ SPREAD, TRIES = 1.4, 6
 #: Entries that a task reduces at once.
 HELD = 1 << 21
 #: Weight of the sets compared in one task: one a set, and one for each so many n-grams.
-HOT, WEIGHT = 2000, 8192
+HOT, WEIGHT = 512, 8192
 #: Counters of a set by which pairs are ruled out: what they differ by, the sets differ by at least.
 COUNTERS = 64
+#: Keys by which the members of a heavy unit are dealt out first.
+BANDS = 4
+#: Words of 64 parity bits of a set, which do the same for pairs of a heavy unit.
+PARITY = 8
 #: Bits of the map by which rows of no unit are left out early.
 MAP_BITS = 1 << 25
 
 
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit hash of each number."""
-    x = x + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Sizes:
     """What sizes say at a similarity of ``percent``, and where small sets end."""
 
@@ -168,7 +165,9 @@ def keys_of(elements: np.ndarray, sizes: Sizes) -> np.ndarray:
 
 
 def set_of(text: bytes, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, size))
+    """The text's n-gram hashes, sorted, without repeats."""
+    words = text.lower().split()
+    return np.unique(gram_hashes(word_hashes(words), min(size, len(words))))
 
 
 def digest_of(elements: np.ndarray) -> bytes | None:
@@ -200,22 +199,24 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def filed(docs: DataFrame, size: int, sizes: Sizes) -> DataFrame:
-    """``(key, set)``: the entries of all sets; of the sets that share a key within a task one is filed, and the others are tied to it by a key of their own."""
+    """``(key, set)``: the entries of all sets. Sets that hang together by keys within a task are filed as one, and each of the others is tied to it by a key of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         owners: list[int] = []
 
         def out() -> pa.RecordBatch:
-            of = np.array(owners, np.int64)
+            names, of = np.unique(np.array(owners, np.int64), return_inverse=True)
             every, by = np.concatenate([*keys, np.empty(0, np.int64)]), np.repeat(of, [len(x) for x in keys])
             order = np.lexsort((by, every))
             every, by = every[order], by[order]
-            new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.empty(0, bool)
-            first = by[new][np.cumsum(new) - 1] if len(every) else by
-            tied = np.unique(np.stack([by, first], axis=1)[by != first], axis=0)
-            tie = mixed(mixed(tied[:, 0].view(np.uint64) if len(tied) else np.empty(0, np.uint64), 106) + tied[:, 1].astype(np.int64).view(np.uint64), 107).view(np.int64)
-            made = [np.concatenate([every[new], tie, tie]), np.concatenate([by[new], tied[:, 0], tied[:, 1]])]
+            new = np.ones(len(every), bool)
+            new[1:] = every[1:] != every[:-1]
+            first = by[new][np.cumsum(new) - 1]
+            root = names[roots(len(names), np.unique(np.stack([by, first], axis=1)[by != first], axis=0))] if len(names) else names
+            tied = root != names
+            tie = mixed(mixed(names[tied].view(np.uint64), 106) + root[tied].view(np.uint64), 107).view(np.int64)
+            made = [np.concatenate([every[new], tie, tie]), np.concatenate([root[by[new]], names[tied], root[tied]])]
             keys.clear()
             owners.clear()
             return pa.record_batch([pa.array(x, pa.int64()) for x in made], ["key", "set"])
@@ -236,6 +237,20 @@ def filed(docs: DataFrame, size: int, sizes: Sizes) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, set long")
 
 
+def roots(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of the numbers below n the smallest that pairs reach."""
+    up = list(range(n))
+    for a, b in pairs.tolist():
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        up[max(a, b)] = min(a, b)
+    for i in range(n):
+        up[i] = up[up[i]]
+    return np.array(up, np.int64)
+
+
 class Unit:
     """Sets compared with one another: ``add`` gives the sets that tie a set to groups that it is alike to."""
 
@@ -245,10 +260,13 @@ class Unit:
         self.sets: list[np.ndarray] = []
         self.counts, self.sizes, self.groups = np.empty((64, COUNTERS), np.int32), np.empty(64, np.int64), np.empty(64, np.int64)
 
-    def add(self, name: bytes, own: np.ndarray) -> list[bytes]:
-        n = len(self.names)
+    def room(self, n: int) -> None:
         if n == len(self.sizes):
             self.counts, self.sizes, self.groups = (np.concatenate([x, x]) for x in (self.counts, self.sizes, self.groups))
+
+    def add(self, name: bytes, own: np.ndarray) -> list[bytes]:
+        n = len(self.names)
+        self.room(n)
         self.counts[n], self.sizes[n], self.groups[n] = counters(own), len(own), n
         self.names.append(name)
         self.sets.append(own)
@@ -286,6 +304,8 @@ def unit_links(rows: DataFrame, size: int, sizes: Sizes) -> DataFrame:
             for unit, salt, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3)), strict=True):
                 if (unit, salt) != last:
                     last, own = (unit, salt), Unit(sizes)
+                if own.names and own.names[-1] == name:
+                    continue  # one text, read from several rows
                 found = own.add(name, set_of(text, size))
                 out += [(unit, other, name) for other in found] or [(unit, name, None)]
             columns = list(zip(*out, strict=True)) or [(), (), ()]
@@ -295,54 +315,79 @@ def unit_links(rows: DataFrame, size: int, sizes: Sizes) -> DataFrame:
     return dealt.mapInArrow(run, "unit long, a binary, b binary")
 
 
-def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``(digest, text)`` of ``members(digest, row)``: rows of none are left out by a map of fixed size before anything is dealt out."""
-    spark = docs.sparkSession
-    place = (F.lit(1) + F.pmod(F.col("row.a"), F.lit(MAP_BITS))).cast("long")
-    parts = members.groupBy(F.call_function("bitmap_bucket_number", place).alias("part")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("bits"))
-    bits = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
-    for r in parts.collect():  # MAP_BITS / 8 bytes at most
-        bits[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast(bits.reshape(-1))
+def placed_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with the texts of their ``row``; rows of none are left out by a map of fixed size before anything is dealt out."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(members, "row.a", MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).field("a").to_numpy() % MAP_BITS
-            yield batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            yield batch.filter(pa.array(in_map(sent.value, batch.column(0).field("a").to_numpy())))
 
     some = docs.select(row_key().alias("row"), "text").mapInArrow(run, "row struct<a:long,b:long>, text string")
-    return some.join(members.select("digest", "row"), "row").select("digest", "text").dropDuplicates(["digest"])
+    return some.join(members, "row").drop("row")
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """``rows(unit, digest, load, ...)`` with a salt, of as many as the unit's load takes."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("digest"), F.ceil(F.col("load") / HOT)).cast("long"))
+
+
+def band_keys(elements: np.ndarray) -> np.ndarray:
+    """BANDS keys of least hashes: most alike sets share one, most others none. They only bring alike sets of a heavy unit together early."""
+    least = np.array([mixed(elements, 200 + i).min() for i in range(2 * BANDS)], np.uint64)
+    return mixed(least[::2] + mixed(least[1::2], 110) + np.arange(BANDS, dtype=np.uint64), 111).view(np.int64)
+
+
+def banded(heavy: DataFrame, size: int) -> DataFrame:
+    """``(unit, digest, text, weight, load)`` of heavy units' members, dealt out by the keys of their least hashes; load is a key's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 2):
+            bands = [band_keys(set_of(x, size)) for x in text_bytes(batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), pa.array(bands, pa.list_(pa.int64()))], ["unit", "digest", "weight", "bands"])
+
+    keyed = heavy.select("unit", "digest", "text", "weight").mapInArrow(run, "unit long, digest binary, weight long, bands array<long>")
+    keyed = cut(keyed.select("unit", F.explode("bands").alias("band"), "digest", "weight").select(F.xxhash64("unit", "band").alias("band"), "digest", "weight"))
+    loads = keyed.groupBy("band").agg(F.sum("weight").alias("load"), F.count("*").alias("n")).where("n > 1").drop("n")
+    texts = heavy.select("digest", "text").dropDuplicates(["digest"])
+    return keyed.join(loads, "band").withColumnRenamed("band", "unit").join(texts, "digest")
 
 
-def _dealt(members: DataFrame, texts: DataFrame, loads: DataFrame) -> DataFrame:
-    """Members ``(unit, digest)`` with their texts, and a salt where the unit is too heavy for a task."""
-    salts = F.ceil(F.col("load") / HOT)
-    salt = F.when(F.col("load") > HOT, F.pmod(F.xxhash64("digest"), salts)).otherwise(F.lit(0)).cast("long")
-    return members.join(loads, "unit").select("unit", "digest", salt.alias("salt")).join(texts, "digest")
+def parity(elements: np.ndarray) -> np.ndarray:
+    """PARITY * 64 bits, each flipped by the elements that fall on it: two sets differ in as many elements at least as their bits."""
+    at = mixed(elements, 109) & np.uint64(PARITY * 64 - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-def late_links(heavy: DataFrame, texts: DataFrame, groups: DataFrame, size: int, sizes: Sizes) -> DataFrame:
-    """``(a, b)``: links between different groups of a heavy unit, found in the keys that their sets share.
+def late_links(rows: DataFrame, size: int, sizes: Sizes) -> DataFrame:
+    """``(a, b)``: links between different groups of heavy units ``(digest, text, group)``, found in the keys that their sets share.
 
-    ``heavy(digest)`` are the members of such units. Of a key's sets those outside its largest group are compared with all of
-    other groups, by sizes and counters in the join, and exactly after it.
+    Of a key's sets those outside its largest group meet those of other groups; sizes and parity bits rule out most pairs
+    within the join, and the texts of the others are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1):
             sets = [set_of(x, size) for x in text_bytes(batch.column(1))]
-            keys, counts = pa.array([keys_of(x, sizes) for x in sets], pa.list_(pa.int64())), pa.array([counters(x) for x in sets], pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), keys, counts], ["digest", "n", "keys", "counts"])
+            bits = np.array([parity(x) for x in sets], np.int64).reshape(-1, PARITY)
+            columns = [batch.column(0), batch.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array([keys_of(x, sizes) for x in sets], pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(PARITY)]]
+            yield pa.record_batch(columns, ["digest", "group", "n", "keys", *names])
 
-    own = texts.join(heavy.select("digest"), "digest", "left_semi").select("digest", "text").mapInArrow(run, "digest binary, n long, keys array<long>, counts array<int>")
-    own = cut(own.join(groups, "digest", "left").withColumn("group", F.coalesce("component", "digest")).drop("component"))
+    names = [f"bits{i}" for i in range(PARITY)]
+    own = rows.select("digest", "text", F.xxhash64("group").alias("group")).dropDuplicates(["digest"])
+    own = stored(own.mapInArrow(run, "digest binary, group long, n long, keys array<long>, " + ", ".join(f"{x} long" for x in names)))
     keyed = own.select(F.explode("keys").alias("key"), "digest", "group")
     parts = keyed.groupBy("key", "group").agg(F.count("*").alias("m"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("m", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    met = cut(keyed.join(largest.select("key", F.col("most.group").alias("settled")), "key").join(own.select("digest", "n", "counts"), "digest"))
+    mixed_keys = parts.groupBy("key").agg(F.max(F.struct("m", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    met = keyed.join(mixed_keys.select("key", F.col("most.group").alias("settled")), "key").drop("group")
+    met = stored(met.join(own.drop("keys"), "digest"))
     x, y = met.where("group <> settled").alias("x"), met.alias("y")
-    differ = F.aggregate(F.zip_with("x.counts", "y.counts", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
+    differ = F.lit(0)
+    for name in names:
+        differ = differ + F.bit_count(F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}")))
     near = (F.col("x.group") != F.col("y.group")) & ((100 + sizes.percent) * differ <= (100 - sizes.percent) * (F.col("x.n") + F.col("y.n")))
+    near = near & (100 * F.least("x.n", "y.n") >= sizes.percent * F.greatest("x.n", "y.n"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +396,9 @@ def late_links(heavy: DataFrame, texts: DataFrame, groups: DataFrame, size: int,
             keep = [alike(set_of(a, size), set_of(b, size), sizes.percent) for a, b in both]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = rows.select("digest", "text").dropDuplicates(["digest"])
     left, right = (texts.select(F.col("digest").alias(n), F.col("text").alias(f"{n}_text")) for n in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(exact, "a binary, b binary")
+    return cut(pairs).join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(exact, "a binary, b binary")
 
 
 def set_groups(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -364,20 +410,24 @@ def set_groups(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
     units = connected_components(ties, "set", "head").select(F.col("node").alias("set"), F.col("component").alias("unit"))
     firsts = sets.where("digest IS NOT NULL").groupBy("digest", "set", "n").agg(F.min("row").alias("row"))
     members = cut(firsts.join(units, "set").select("digest", "unit", "row", (F.lit(1) + F.floor(F.col("n") / WEIGHT)).alias("weight")))
-    loads = cut(members.groupBy("unit").agg(F.sum("weight").alias("load")))
-    texts = stored(texts_of(docs, members))
-    first = cut(unit_links(_dealt(members, texts, loads), size, sizes))
-    links = first.where("b IS NOT NULL").select("a", "b")
-    heavy = cut(loads.where(F.col("load") > HOT).select("unit"))
+    loads = members.groupBy("unit").agg(F.sum("weight").alias("load"))
+    texts = stored(salted(placed_texts(docs, members.join(loads, "unit"))))
+    links = cut(unit_links(texts.where(F.col("load") <= HOT), size, sizes).where("b IS NOT NULL").select("a", "b"))
+    heavy = texts.where(F.col("load") > HOT).drop("load", "salt")
     if heavy.isEmpty():
         return connected_components(links).select(F.col("node").alias("digest"), "component")
-    heads = first.where("b IS NULL").select("unit", F.col("a").alias("digest")).join(heavy, "unit", "left_semi").join(members.select("digest", "weight"), "digest")
-    second = cut(unit_links(_dealt(heads.select("unit", "digest"), texts, heads.groupBy("unit").agg(F.sum("weight").alias("load"))), size, sizes))
-    links = cut(links.union(second.where("b IS NOT NULL").select("a", "b")))
+    dealt = stored(salted(banded(heavy, size)))
+    first = cut(unit_links(dealt, size, sizes))
+    heads = dealt.where(F.col("load") > HOT).join(first.where("b IS NULL").select("unit", F.col("a").alias("digest")), ["unit", "digest"], "left_semi").drop("load", "salt")
+    heads = salted(heads.join(heads.groupBy("unit").agg(F.sum("weight").alias("load")), "unit"))
+    links = links.union(first.where("b IS NOT NULL").select("a", "b"))
+    links = cut(links.union(unit_links(heads, size, sizes).where("b IS NOT NULL").select("a", "b")))
     groups = cut(connected_components(links).select(F.col("node").alias("digest"), "component"))
-    parts = members.join(heavy, "unit", "left_semi").join(groups, "digest", "left").groupBy("unit", F.coalesce("component", "digest").alias("group")).agg(F.count("*").alias("m"))
-    still = parts.groupBy("unit").agg(F.count("*").alias("groups")).where("groups > 1")
-    late = late_links(members.join(still, "unit", "left_semi"), texts, groups, size, sizes)
+    grouped = heavy.join(groups, "digest", "left").select("unit", "digest", "text", F.coalesce("component", "digest").alias("group"))
+    several = grouped.groupBy("unit").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("unit")
+    late = cut(late_links(grouped.join(several, "unit", "left_semi"), size, sizes))
+    if late.isEmpty():
+        return groups
     return connected_components(links.union(late)).select(F.col("node").alias("digest"), "component")
 
 
