@@ -287,3 +287,56 @@ def test_many_blocks_take_one_worker_each_and_give_what_one_does(spark, monkeypa
     assert sorted(map(key, dealt.collect())) == whole and sum("start" in x[2] for x in whole) > 20
     plain = sorted(map(str, D.decontaminate(docs, bench).collect()))
     assert sorted(map(str, D.decontaminate(docs, bench, block_words=60).collect())) == plain
+
+
+# --- public filter lists -----------------------------------------------------------------------------------------------
+
+
+def judged_plainly(host, path, lines):
+    """The verdict of the lines' rules, each tried as a regular expression."""
+    best = (False, -1, "", "allow")
+    for line in lines:
+        line = line.strip()
+        if not line or line[0] in "![" or re.search("#[@?$%]*#", line):
+            continue
+        exception, line = line.startswith("@@"), line.removeprefix("@@")
+        option = re.search(r"\$([A-Za-z0-9_~,=|.*-]+)$", line)
+        line = line[: option.start()] if option else line
+        if (option and not {"document", "popup", "all"} & set(option[1].split(","))) or not line.strip("*|^"):
+            continue
+        line = re.sub(r"^\|https?://", "|", line)
+        body, head, tail = line, "", ""
+        if body.startswith("||"):
+            body, head = body[2:], r"^(?:[^/]*\.)?"
+        elif body.startswith("|"):
+            body, head = body[1:], "^"
+        if body.endswith("|"):
+            body, tail = body[:-1], r"\Z"
+        quoted = "".join(".*" if c == "*" else "(?:[^A-Za-z0-9]|$|^)" if c == "^" else re.escape(c) for c in body)
+        if re.search("(?s)" + head + quoted + tail, host + path):
+            best = max(best, (exception, len(line), line, "allow" if exception else "block"))
+    return best[3]
+
+
+def test_thousands_of_listed_rules_equal_brute_force(spark):
+    from sitelumen.llm import url_filter as U
+
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("ad", "track", "shop", "news", "img", "play") for b in ("", "s", "er", "1", "x9")]
+    hosts = [f"{rng.choice(words)}.{rng.choice(words)}.{rng.choice(('com', 'org', 'co.uk'))}" for _ in range(200)]
+    lines = ["! comment", "[Adblock Plus 2.0]", "", "example.com##.banner", "example.com#@#.x", "*", "||", "^", "||hot.test^$third-party", "||doc.test^$document", "@@||doc.test/ok^", "|https://start.test/a", "/end.html|", "ad?x=1", "a(b)+c"]
+    for _ in range(2500):
+        host, word = rng.choice(hosts), rng.choice(words)
+        rule = rng.choice((f"||{host}^", f"||{host}/{word}/", f"/{word}/*/{rng.choice(words)}^", f"{word}-{rng.choice(words)}", f"^{word}_{rng.randrange(40)}^", f"|{host}/", f"/{word}{rng.randrange(60)}.html|"))
+        lines.append(("@@" if rng.random() < 0.2 else "") + rule + rng.choice(("", "", "", "$image", "$popup,third-party")))
+    urls = ["https://doc.test/ok/", "https://doc.test/no", "https://hot.test/", "https://start.test/a/b", "https://x.start.test/a", "http://q.test/end.html", "http://q.test/end.html2", "http://q.test/A(b)+c", "nothing", None]
+    urls += [f"https://{rng.choice(hosts)}/" + "/".join(rng.choice((rng.choice(words), f"{rng.choice(words)}-{rng.choice(words)}", f"{rng.choice(words)}_{rng.randrange(40)}", f"{rng.choice(words)}{rng.randrange(60)}.html")) for _ in range(rng.randrange(4))) for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rules = U.listed_rules(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = {r["page_id"]: (r["host"], r["path"], r["verdict"], r["rule"]) for r in U.filter_urls(pages, rules).collect()}
+    assert len(got) == len(urls)
+    want = {i: judged_plainly(h, p, lines) for i, (h, p, _, _) in got.items()}
+    assert {i: v for i, (_, _, v, _) in got.items()} == want and 40 < sum(v == "block" for v in want.values()) < 370
+    assert [got[i][2] for i in range(8)] == ["allow", "block", "allow", "block", "allow", "block", "allow", "allow"] and {r for *_, r in got.values()} == {None}
+    over = U.filter_urls(pages, rules.union(U.rules_frame(spark, [("||test/", "allow")], False)))
+    assert {r["verdict"] for r in over.where("host LIKE '%.test' OR host = 'test'").collect()} == {"allow"}
