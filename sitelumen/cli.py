@@ -72,9 +72,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.from_audit:
         shown = report.stored_documents(spark, a.from_audit)
     else:
-        side, caps, single, crawl = A.SideInputs(), P.Capabilities(), False, None
+        side, caps, single, crawl, mappings = A.SideInputs(), P.Capabilities(), False, None, None
         if a.input_dir:
-            raw = A.remapped(P.from_directory(spark, a.input_dir, a.base_url))
+            raw = P.from_directory(spark, a.input_dir, a.base_url)
+            mappings = cut(A.url_mappings(raw))
+            raw = A.remapped(raw, mappings)
         elif a.input_file:
             raw, single = P.from_file(spark, a.input_file, a.page_url), True
         elif a.input_table:
@@ -90,7 +92,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             crawl = found["counters"]
         if raw.isEmpty():
             return NOTHING
-        done = A.audit(raw, side, caps, a.min_words, single, crawl=crawl, options={k: v for k, v in vars(a).items() if v is not None})
+        done = A.audit(raw, side, caps, a.min_words, single, crawl=crawl, options={k: v for k, v in vars(a).items() if v is not None}, mappings=mappings)
         if "json" in formats:
             report.write_documents(done, f"{a.out}/json")
         shown = report.summaries(done)

@@ -66,6 +66,7 @@ class Audit:
     caps: Capabilities
     crawl: DataFrame | None = None
     options: dict = field(default_factory=dict)
+    mappings: DataFrame | None = None
 
     def views(self) -> None:
         """Temporary views ``pages``, ``findings`` and so on, for SQL."""
@@ -147,13 +148,18 @@ def derived(models: DataFrame) -> DataFrame:
     return d.withColumn("simhash", F.when(candidate, T.simhash(main_or_all))).drop("_w", "_mw", "_robots")
 
 
-def remapped(raw: DataFrame) -> DataFrame:
-    """Raw pages of a directory with each page's URL replaced by its canonical one, where that is on the same site."""
-    models = html_extract.parsed_pages(raw, ["site_id", "ingest_seq", "url"]).select("ingest_seq", "site_id", F.col("url").alias("_url"), F.col("model.canonical").alias("_to"), "normalized_url")
-    to = models.where("_to IS NOT NULL").withColumn("_norm", U.normalize_url("_to"))
-    to = to.where((U.registrable_domain("_to") == F.col("site_id")) & (F.col("_norm") != F.col("normalized_url"))).select("site_id", "ingest_seq", "_url", "_norm")
+def url_mappings(raw: DataFrame) -> DataFrame:
+    """``(site_id, ingest_seq, url, mapped)`` of the raw pages of a directory whose canonical link names another URL of their site."""
+    models = html_extract.parsed_pages(raw, ["site_id", "ingest_seq", "url"]).select("ingest_seq", "site_id", "url", F.col("model.canonical").alias("to"), "normalized_url")
+    to = models.where("to IS NOT NULL").withColumn("mapped", U.normalize_url("to"))
+    return to.where((U.registrable_domain("to") == F.col("site_id")) & (F.col("mapped") != F.col("normalized_url"))).select("site_id", "ingest_seq", "url", "mapped")
+
+
+def remapped(raw: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+    """Raw pages of a directory with each page's URL replaced by the one that ``url_mappings`` gives it."""
+    to = (url_mappings(raw) if mappings is None else mappings).withColumnRenamed("url", "_url")
     moved = raw.join(to, (raw["site_id"] == to["site_id"]) & (raw["ingest_seq"] == to["ingest_seq"]) & (raw["url"] == to["_url"]), "left")
-    return moved.select(*[F.coalesce(to["_norm"], raw["url"]).alias("url") if c == "url" else raw[c] for c in raw.columns])
+    return moved.select(*[F.coalesce(to["mapped"], raw["url"]).alias("url") if c == "url" else raw[c] for c in raw.columns])
 
 
 def _left(df: DataFrame, other: DataFrame | None, fills: dict[str, str], keys: list[str]) -> DataFrame:
@@ -544,7 +550,7 @@ def worst_pages(findings: DataFrame, most: int = 10) -> DataFrame:
 
 def audit(
     raw: DataFrame, side: SideInputs | None = None, caps: Capabilities | None = None, min_words: int = 300, single_page: bool = False, now=None, crawl: DataFrame | None = None, rules: list[Rule] | None = None,
-    options: dict | None = None, listed: int | None = None,
+    options: dict | None = None, listed: int | None = None, mappings: DataFrame | None = None,
 ) -> Audit:
     """The whole audit; lists of pages in a finding have the first ``listed`` of them (1000 unless told otherwise), counts are of all.
 
@@ -552,7 +558,7 @@ def audit(
     before this returns; that also keeps the plans behind them short, and lost executors cost no second parse. Facts that
     no chosen rule names are not made. ``crawl`` has a row a site with
     the ``status`` of its crawl and its counters; confidence is lower where it is not ok. Pages that cannot be parsed are
-    judged by no rule and listed in ``unread``.
+    judged by no rule and listed in ``unread``. ``mappings`` (see ``url_mappings``) are listed among a run's errors.
     """
     side, caps = side or SideInputs(), caps or Capabilities()
     every_rule = rules or RULES
@@ -566,4 +572,4 @@ def audit(
     partial = None if crawl is None else crawl.select("site_id", (F.col("status") != "ok").alias("partial"))
     found = with_metadata(found, sites, partial, every_rule)
     scores = category_scores(applicable, found, every_rule)
-    return Audit(pages, facts, sites, found, applicable, scores, site_scores(scores, found, sites), actions(found, applicable, every_rule), chosen, errors, unread, side, caps, crawl, options or {})
+    return Audit(pages, facts, sites, found, applicable, scores, site_scores(scores, found, sites), actions(found, applicable, every_rule), chosen, errors, unread, side, caps, crawl, options or {}, mappings)

@@ -8,13 +8,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelumen.plans.audit import Audit, worst_pages
 from sitelumen.plans.files import write_files
 from sitelumen.plans.catalog import BY_ID, CATEGORY_WEIGHT, RULES, SEVERITIES, catalog_digest
 
+#: Errors of a run that a document lists of each kind.
+ERRORS = 100
 LABELS = {"P0": "Now", "P1": "Next", "P2": "Soon", "P3": "Later"}
 
 
@@ -53,6 +55,10 @@ def site_rows(audit: Audit) -> DataFrame:
     else:
         counters = F.struct("requested", "fetched", "failed", "skipped_by_robots").alias("counters")
         rows = rows.join(audit.crawl.select("site_id", "status", counters, "errors"), "site_id", "left")
+    if audit.mappings is not None:
+        first = audit.mappings.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("url", "mapped"))).where(F.col("n") <= ERRORS)
+        mapped = first.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("url", F.concat(F.lit("url-mapping: "), "mapped").alias("kind")))).alias("mapped"))
+        rows = rows.join(mapped, "site_id", "left").withColumn("errors", F.concat(F.coalesce("errors", F.array().cast("array<struct<url:string,kind:string>>")), F.coalesce("mapped", F.array().cast("array<struct<url:string,kind:string>>"))))
     site = F.struct("site_id", "status", "page_count", "hosts", "locales", "rendering", "robots", "sitemaps", "llms_txt")
     return rows.select("site_id", "counters", "errors", site.alias("site"))
 
@@ -153,8 +159,9 @@ def document_rows(audit: Audit) -> DataFrame:
 
 def write_tables(audit: Audit, folder: str) -> None:
     """Every frame as Parquet, partitioned by nothing but its rows."""
-    for name in ("findings", "applicability", "category_scores", "site_scores", "actions", "rule_errors", "unread"):
-        getattr(audit, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    for name in ("findings", "applicability", "category_scores", "site_scores", "actions", "rule_errors", "unread", "mappings"):
+        if getattr(audit, name) is not None:
+            getattr(audit, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def write_documents(audit: Audit, folder: str) -> None:

@@ -156,6 +156,7 @@ def test_directory_and_command_line(spark, folder, tmp_path):
     assert (document["site"]["site_id"], document["site"]["page_count"], document["site"]["status"]) == ("ornek.test", 3, "ok") and document["run"]["rules"] == 107
     assert document["site"]["hosts"] == ["ornek.test"] and json.loads(document["run"]["options"])["min_words"] == 300 and not document["run"].get("rule_errors")
     assert [p["url"] for p in document["pages"]] == sorted(p["url"] for p in document["pages"])
+    assert [(e["url"], e["kind"]) for e in document["run"]["errors"]] == [(e["url"], "url-mapping: https://ornek.test/c") for e in document["run"]["errors"]] and len(document["run"]["errors"]) == 1
     md, html = report.markdown(document), report.html_report(document)
     assert "ornek.test" in md and "<script>" not in html and "Offline run" in md
     assert cli.main(["--from-audit", f"{out}/json", "--out", out, "--fail-on", "critical", "--quiet"], spark) == cli.THRESHOLD  # a page has no title
