@@ -52,6 +52,8 @@ HELD = 1 << 21
 HOT, WEIGHT = 512, 8192
 #: Counters of a set by which pairs are ruled out: what they differ by, the sets differ by at least.
 COUNTERS = 64
+#: Bits of the map of the keys that several sets of heavy units have, and bytes of it that are put together at once.
+KEY_BITS, SLICE = 1 << 26, 1 << 16
 #: Keys by which the members of a heavy unit are dealt out first.
 BANDS = 4
 #: Words of 64 parity bits of a set, which do the same for pairs of a heavy unit.
@@ -360,6 +362,49 @@ def parity(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def repeated_keys(own: DataFrame) -> np.ndarray:
+    """KEY_BITS bits of which those are set that the keys of two rows or more of ``own(keys)`` fall on.
+
+    Each task marks the bits that it has seen once and twice; slices of the tasks' marks are put together on the executors.
+    """
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(KEY_BITS // 8, np.uint8), np.zeros(KEY_BITS // 8, np.uint8)
+        for batch in batches:
+            at, counts = np.unique(batch.column(0).flatten().to_numpy() % KEY_BITS, return_counts=True)
+            again = at[(counts > 1) | in_map(once, at)]
+            for marked, cells in ((once, at), (twice, again)):
+                np.bitwise_or.at(marked, cells >> 3, np.left_shift(1, cells & 7).astype(np.uint8))
+        for i in range(0, len(once), SLICE):
+            if once[i : i + SLICE].any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([once[i : i + SLICE].tobytes()], pa.binary()), pa.array([twice[i : i + SLICE].tobytes()], pa.binary())], ["at", "once", "twice"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, once, twice = None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([last], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["at", "twice"])
+
+        for batch in batches:
+            for at, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own_once, own_twice = (np.frombuffer(x, np.uint8) for x in both)
+                if at == last:
+                    twice, once = twice | own_twice | (once & own_once), once | own_once
+                    continue
+                if last is not None:
+                    yield out()
+                last, once, twice = at, own_once, own_twice
+        if last is not None:
+            yield out()
+
+    few = own.select("keys").coalesce(own.sparkSession.sparkContext.defaultParallelism)  # as many maps as tasks run at once, not one a partition
+    parts = few.mapInArrow(marks, "at int, once binary, twice binary").repartition(KEY_BITS // 8 // SLICE, "at").sortWithinPartitions("at")
+    bits = np.zeros(KEY_BITS // 8, np.uint8)
+    for r in parts.mapInArrow(merged, "at int, twice binary").collect():  # KEY_BITS / 8 bytes at most
+        bits[r["at"] : r["at"] + SLICE] = np.frombuffer(r["twice"], np.uint8)
+    return bits
+
+
 def late_links(rows: DataFrame, size: int, sizes: Sizes) -> DataFrame:
     """``(a, b)``: links between different groups of heavy units ``(digest, text, group)``, found in the keys that their sets share.
 
@@ -377,7 +422,16 @@ def late_links(rows: DataFrame, size: int, sizes: Sizes) -> DataFrame:
     names = [f"bits{i}" for i in range(PARITY)]
     own = rows.select("digest", "text", F.xxhash64("group").alias("group")).dropDuplicates(["digest"])
     own = stored(own.mapInArrow(run, "digest binary, group long, n long, keys array<long>, " + ", ".join(f"{x} long" for x in names)))
-    keyed = own.select(F.explode("keys").alias("key"), "digest", "group")
+    sent = rows.sparkSession.sparkContext.broadcast(repeated_keys(own))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [k[in_map(sent.value, k)] for k in (x.values.to_numpy() for x in batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.int64()))], ["digest", "group", "keys"])
+
+    # Keys that one set alone has are left out before anything is dealt out.
+    some = own.select("digest", "group", "keys").mapInArrow(repeated, "digest binary, group long, keys array<long>")
+    keyed = some.select(F.explode("keys").alias("key"), "digest", "group")
     parts = keyed.groupBy("key", "group").agg(F.count("*").alias("m"))
     mixed_keys = parts.groupBy("key").agg(F.max(F.struct("m", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
     met = keyed.join(mixed_keys.select("key", F.col("most.group").alias("settled")), "key").drop("group")
