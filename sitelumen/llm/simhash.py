@@ -3,9 +3,10 @@
 Two users of one idea. ``components_by_fingerprint`` links 64-bit fingerprints that differ in at most two bits: of four
 16-bit blocks two at least are untouched, so each fingerprint is filed under its six pairs of blocks and only
 fingerprints of one bucket are compared. ``near_duplicate_groups`` works at a similarity (0.8 of five-word shingles
-unless told otherwise), where some forty of 256 bits may differ and blocks short enough to stay untouched would be shared
-by chance; there texts meet by keys of least shingle hashes, which depend on the similarity alone and not on where the
-texts differ, 256 shingle bits spare comparisons, and the exact Jaccard similarity of the shingle sets decides. A key
+unless told otherwise): texts meet by the same pairs of blocks of their 64-bit fingerprints. There some forty of 256 bits may
+differ and blocks short enough to stay untouched would be shared by chance, so texts also meet by keys of least shingle
+hashes, which depend on the similarity alone and not on where the texts differ; 256 shingle bits spare comparisons, and the
+exact Jaccard similarity of the shingle sets decides. A key
 that too many texts share for one task is compared in three steps that together leave no pair of different groups out
 (see ``near_duplicate_groups``).
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelumen.llm.common import cut, fresh, hex64, pieces_of, table, text_bytes
@@ -62,10 +63,13 @@ def majority_bits(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
+def hashed_fingerprint(hashes: np.ndarray) -> int:
+    return int(majority_bits(hashes).view(np.int64)[0]) if len(hashes) else 0
+
+
 def fingerprint(text: bytes, size: int = 3) -> int:
     """The text's 64-bit fingerprint as a signed number."""
-    hashes = shingle_hashes(text, size)
-    return int(majority_bits(hashes).view(np.int64)[0]) if len(hashes) else 0
+    return hashed_fingerprint(shingle_hashes(text, size))
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -79,6 +83,13 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def block_keys(fp: str) -> Column:
+    """The six keys of a fingerprint: its pairs of 16-bit blocks, of which fingerprints at two bits or fewer share one."""
+    blocks = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    block = lambda i: F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+    return F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for n, (i, j) in enumerate(blocks)])
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """``(a, b)``: links by which the distinct ``fp`` that differ in one or two bits hang together.
 
@@ -86,10 +97,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     they share a value that is at most one flip away from both, so all that meet at a value are tied to its smallest:
     linear in the bucket, with the same components.
     """
-    blocks = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.lit(n << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for n, (i, j) in enumerate(blocks)]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    keyed = fps.select("fp", F.explode(block_keys("fp")).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keyed = keyed.join(sizes, "key")
     few, many = keyed.where(F.col("n") <= BUCKET_PAIRS), keyed.where(F.col("n") > BUCKET_PAIRS)
@@ -161,21 +169,23 @@ def text_digest(text: bytes) -> bytes:
 
 
 def signed_texts(docs: DataFrame, size: int) -> DataFrame:
-    """``(digest, weight, bits, keys)`` of every row of docs; a text without words has no keys."""
+    """``(digest, weight, fp, bits, keys)`` of every row of docs; a text without words has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 0):
-            digests, weights, bits, keys = [], [], [], []
+            digests, weights, fps, bits, keys = [], [], [], [], []
             for text in text_bytes(batch.column(0)):
-                shingles = np.unique(shingle_hashes(text, size))
+                hashes = shingle_hashes(text, size)
+                fps.append(hashed_fingerprint(hashes))
+                shingles = np.unique(hashes)
                 digests.append(text_digest(text))
                 weights.append(1 + len(shingles) // WEIGHT_SHINGLES)
                 bits.append(wide_majority(shingles, VERIFY_BITS // 64).tobytes())
                 keys.append(band_keys(shingles) if len(shingles) else np.empty(0, np.int64))
-            columns = [pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["digest", "weight", "bits", "keys"])
+            columns = [pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(fps, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["digest", "weight", "fp", "bits", "keys"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, weight long, bits binary, keys array<long>")
+    return docs.select("text").mapInArrow(run, "digest binary, weight long, fp long, bits binary, keys array<long>")
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -293,7 +303,7 @@ def exact_links(pairs: DataFrame, texts: DataFrame, size: int, similarity: float
 def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(digest, component)``: for each distinct normalised text with a near-duplicate, the smallest digest of its group.
 
-    Texts that share a key, directly or by others, are one unit, in which every pair is compared, so each text is sent
+    Keys are a text's pairs of SimHash blocks and its least hashes. Texts that share a key, directly or by others, are one unit, in which every pair is compared, so each text is sent
     once. A unit heavier than HOT_BUCKET is compared key by key instead. A key heavier than that is dealt out by salt:
     first every pair of a salt is compared, then the first texts of the salts' groups, and then the strays, the texts
     outside the key's largest component, are compared in blocks with all texts of the key in other components. So a
@@ -301,7 +311,9 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     """
     texts = docs.select("text")
     signed = cut(signed_texts(texts, size).dropDuplicates(["digest"]))
-    keyed = signed.select(F.explode("keys").alias("key"), "digest", "weight")
+    # Texts meet by the blocks of their SimHash, and by keys of least hashes where more bits differ than blocks allow for.
+    meets = F.when(F.size("keys") > 0, F.concat("keys", block_keys("fp"))).otherwise(F.col("keys"))
+    keyed = signed.select(F.explode(meets).alias("key"), "digest", "weight")
     heads = keyed.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n"), F.sum("weight").alias("key_weight")).where("n > 1").drop("n")
     shared = cut(keyed.join(heads, "key"))
     members = connected_components(shared.select(F.col("head").alias("a"), F.col("digest").alias("b"))).withColumnRenamed("node", "digest")

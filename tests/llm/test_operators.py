@@ -349,6 +349,19 @@ def test_simhash_components_equal_brute_force(spark, monkeypatch, bucket_pairs):
     assert got == brute_components(rows)
 
 
+def test_texts_meet_by_blocks_of_their_simhash(spark, monkeypatch):
+    """Near-dedup finds texts whose fingerprints are two bits apart or fewer by the fingerprints alone, without keys of least hashes."""
+    monkeypatch.setattr(H, "band_keys", lambda shingles: np.empty(0, np.int64) if len(shingles) == 0 else np.array([H.xxhash.xxh64_intdigest(shingles.tobytes()) >> 1], np.int64))
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(6)]
+    pairs = [(t, t + " end" * n) for t in texts for n in (1, 2, 3) if bin((H.fingerprint(t.encode(), 5) ^ H.fingerprint((t + " end" * n).encode(), 5)) & (1 << 64) - 1).count("1") <= 2]
+    assert len(pairs) >= 3
+    rows = [(i, x) for i, x in enumerate(dict.fromkeys(x for p in pairs for x in p))]
+    groups = {r["digest"]: r["component"] for r in H.near_duplicate_groups(docs_of(spark, rows)).collect()}
+    digest = lambda x: H.text_digest(x.encode())
+    assert all(bytes(groups[digest(x)]) == bytes(groups[digest(y)]) for x, y in pairs)
+
+
+
 def test_simhash_empty_table(nothing):
     assert H.components_by_fingerprint(nothing).count() == 0 and H.drop_near_duplicates(nothing).count() == 0
 
