@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelumen.session import cut, ensure_checkpoint_dir
 
-__all__ = ["bit_map", "cut", "ensure_checkpoint_dir", "fresh", "gram_hashes", "hex64", "in_map", "mixed", "pieces_of", "remove", "shuffle_partitions", "stored", "table", "text_bytes"]
+__all__ = ["bit_map", "cut", "cut_few", "ensure_checkpoint_dir", "fresh", "gram_hashes", "hex64", "in_map", "mixed", "pieces_of", "remove", "shuffle_partitions", "stored", "table", "text_bytes"]
 
 #: Bytes of text that a Python worker takes apart at once, unless one text alone is longer.
 PIECE_BYTES = 2 * 1024 * 1024
@@ -36,6 +36,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Parts for each core in which ``cut_few`` keeps a table at most.
+PARTS_A_CORE = 4
+
+
+def cut_few(df: DataFrame) -> DataFrame:
+    """``cut`` in a few parts for each core, however many partitions the rows come in.
+
+    Each part is a file to create and a task of the next step; on a local disk each file also starts processes that set its
+    mode, for a moment as large as the one that starts them.
+    """
+    return cut(df.coalesce(PARTS_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df as a Parquet table in the shared checkpoint folder: smaller than ``cut`` leaves them, and read by column."""
     spark = df.sparkSession

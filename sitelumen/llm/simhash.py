@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, fresh, hex64, pieces_of, table, text_bytes
+from sitelumen.llm.common import cut, cut_few, fresh, hex64, pieces_of, table, text_bytes
 from sitelumen.llm.components import connected_components
 
 SEED = 42
@@ -310,15 +310,15 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     large group of near copies is settled in the first two steps, and no link between two components is left out.
     """
     texts = docs.select("text")
-    signed = cut(signed_texts(texts, size).dropDuplicates(["digest"]))
+    signed = cut_few(signed_texts(texts, size).dropDuplicates(["digest"]))
     # Texts meet by the blocks of their SimHash, and by keys of least hashes where more bits differ than blocks allow for.
     meets = F.when(F.size("keys") > 0, F.concat("keys", block_keys("fp"))).otherwise(F.col("keys"))
     keyed = signed.select(F.explode(meets).alias("key"), "digest", "weight")
     heads = keyed.groupBy("key").agg(F.min("digest").alias("head"), F.count("*").alias("n"), F.sum("weight").alias("key_weight")).where("n > 1").drop("n")
-    shared = cut(keyed.join(heads, "key"))
+    shared = cut_few(keyed.join(heads, "key"))
     members = connected_components(shared.select(F.col("head").alias("a"), F.col("digest").alias("b"))).withColumnRenamed("node", "digest")
     members = members.join(signed.select("digest", "weight"), "digest")
-    members = cut(members.join(members.groupBy("component").agg(F.sum("weight").alias("unit_weight")), "component"))
+    members = cut_few(members.join(members.groupBy("component").agg(F.sum("weight").alias("unit_weight")), "component"))
     whole = members.where(F.col("unit_weight") <= HOT_BUCKET).select("digest", F.xxhash64("component").alias("unit"), F.lit(-1).cast("long").alias("salt"))
     salts = F.ceil(F.col("key_weight") / HOT_BUCKET)
     salt = F.when(F.col("key_weight") > HOT_BUCKET, F.pmod(F.xxhash64("digest"), salts)).otherwise(F.lit(-1)).cast("long")
@@ -329,29 +329,29 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
             yield pa.record_batch([pa.array([text_digest(x) for x in text_bytes(batch.column(0))], pa.binary()), batch.column(0)], ["digest", "text"])
 
     # Copies are dropped where they are read, before anything is dealt out by digest.
-    texts = cut(texts.mapInArrow(digests, "digest binary, text string").dropDuplicates(["digest"]).join(members.select("digest"), "digest", "left_semi"))
-    first = cut(unit_links(whole.union(dealt).join(texts, "digest"), size, similarity))
+    texts = cut_few(texts.mapInArrow(digests, "digest binary, text string").dropDuplicates(["digest"]).join(members.select("digest"), "digest", "left_semi"))
+    first = cut_few(unit_links(whole.union(dealt).join(texts, "digest"), size, similarity))
     again = first.where("b IS NULL").select(F.col("a").alias("digest"), "unit", F.lit(-1).cast("long").alias("salt"))
     second = unit_links(again.join(texts, "digest"), size, similarity)
     links = first.where("b IS NOT NULL").select("a", "b").union(second.where("b IS NOT NULL").select("a", "b"))
-    groups = cut(connected_components(links).select(F.col("node").alias("digest"), "component"))
+    groups = cut_few(connected_components(links).select(F.col("node").alias("digest"), "component"))
     hot = shared.where(F.col("key_weight") > HOT_BUCKET).select("key", "digest", salts.alias("salts"))
     if hot.isEmpty():
         return groups
-    hot = cut(hot.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    hot = cut_few(hot.join(groups, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
     parts = hot.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).where("most.n < n")
     blocks = F.ceil((F.col("n") - F.col("most.n")) / HOT_BUCKET)
-    open_keys = cut(largest.select("key", F.col("most.component").alias("settled"), blocks.alias("blocks")))
+    open_keys = cut_few(largest.select("key", F.col("most.component").alias("settled"), blocks.alias("blocks")))
     if open_keys.isEmpty():
         return groups
-    left = cut(hot.join(open_keys, "key").join(signed.select("digest", "bits"), "digest"))
+    left = cut_few(hot.join(open_keys, "key").join(signed.select("digest", "bits"), "digest"))
     strays = left.where("component <> settled").withColumns({"block": F.pmod(F.xxhash64("digest"), F.col("blocks")), "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)), "member": F.lit(False)})
     passing = left.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "salt": F.pmod(F.xxhash64("digest"), F.col("salts")), "member": F.lit(True)})
     columns = ["key", "block", "salt", "member", "digest", "bits", "component"]
     pairs = stray_pairs(strays.select(columns).union(passing.select(columns)), similarity)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = cut(exact_links(pairs, texts, size, similarity))
+    late = cut_few(exact_links(pairs, texts, size, similarity))
     # What the late links tie are whole components, so only their names have to meet.
     of = groups.select(F.col("digest").alias("a"), F.col("component").alias("c"))
     ties = late.join(of, "a", "left").select("b", F.coalesce("c", "a").alias("u")).join(of.select(F.col("a").alias("b"), F.col("c").alias("d")), "b", "left").select("u", F.coalesce("d", "b").alias("v"))

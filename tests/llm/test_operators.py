@@ -361,6 +361,25 @@ def test_texts_meet_by_blocks_of_their_simhash(spark, monkeypatch):
     assert all(bytes(groups[digest(x)]) == bytes(groups[digest(y)]) for x, y in pairs)
 
 
+def test_components_keep_links_in_few_parts(spark):
+    """Each round's links are kept in a few parts a core and not in as many as the shuffle has."""
+    from sitelumen.llm import common
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = connected_components(spark.range(0, 300).selectExpr("id AS a", "id - id % 3 AS b"))
+        assert found.count() == 300 and found.groupBy("component").count().count() == 100
+        most = common.PARTS_A_CORE * spark.sparkContext.defaultParallelism
+        assert found.where("node <> component").select("node").rdd.getNumPartitions() <= most + 97
+        cut_off = common.cut_few(spark.range(0, 300).repartition(97, "id"))
+        assert cut_off.rdd.getNumPartitions() == min(most, 97) and cut_off.count() == 300
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 
 def test_simhash_empty_table(nothing):
     assert H.components_by_fingerprint(nothing).count() == 0 and H.drop_near_duplicates(nothing).count() == 0
