@@ -33,7 +33,7 @@ from sitelumen.llm.common import cut, pieces_of, stored, table, text_bytes
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Rows and cells a row of the sketch, and cells that are merged in one group.
 DEPTH, WIDTH, SLICE = 2, 1 << 22, 1 << 16
-#: Entries that a task holds before it sends them on, and bytes of a text that are taken apart at once.
+#: Entries that a task holds before it sends them on (twice as many counts, which have no second table), and bytes of a text that are taken apart at once.
 HELD, TEXT_BYTES = 200_000, 1 << 22
 UNIT = 1_000_000_000
 
@@ -62,23 +62,31 @@ def task_sketches(docs: DataFrame, least: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held = np.zeros((DEPTH, width), np.uint8), defaultdict(Counter)
+        full: dict[bytes, set[bytes]] = defaultdict(set)  # terms whose cells have all stopped, which would add nothing
 
         def add() -> None:
+            if sum(map(len, full.values())) > HELD:
+                full.clear()
             for lang, found in held.items():
-                counts = np.fromiter(found.values(), np.int64, len(found))
-                for row, at in zip(sketch, cells(lang, list(found), width), strict=True):
-                    used, of = np.unique(at, return_inverse=True)
+                terms, counts = list(found), np.fromiter(found.values(), np.int64, len(found))
+                at = cells(lang, terms, width)
+                for row, own in zip(sketch, at, strict=True):
+                    used, of = np.unique(own, return_inverse=True)
                     row[used] = np.minimum(least, row[used] + np.bincount(of, np.minimum(counts, least)).astype(np.int64))
+                stopped = np.logical_and.reduce([row[own] >= least for row, own in zip(sketch, at, strict=True)])
+                full[lang].update(terms[i] for i in np.flatnonzero(stopped).tolist())
             held.clear()
 
+        most = HELD // 8  # the first terms are the common ones, which need not be held any longer
         for batch in pieces_of(batches, 0):
             for text, lang in zip(text_bytes(batch.column(0)), text_bytes(batch.column(1)), strict=True):
                 terms = set()
                 for some in term_lists(text):
                     terms.update(some)
-                held[lang].update(terms)
-            if sum(map(len, held.values())) > HELD:
+                held[lang].update(terms - full[lang])
+            if sum(map(len, held.values())) > most:
                 add()
+                most = HELD
         add()
         slices = sketch.reshape(-1, min(SLICE, width))
         full = np.flatnonzero(slices.any(axis=1))
@@ -120,35 +128,48 @@ def merged_sketch(docs: DataFrame, least: int, width: int = WIDTH) -> np.ndarray
 
 
 def candidate_counts(docs: DataFrame, passing: np.ndarray) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences and documents of the terms that the sketch lets pass, by task; a null term stands for the group itself."""
+    """``(lang, source, term, n, docs)``: occurrences of the terms that the sketch lets pass, by task; a null term stands for the group itself.
+
+    ``docs`` adds up to a term's documents over all rows of its language, whatever their sources.
+    """
     width = passing.shape[1]
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(passing, axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.unpackbits(x, count=width).astype(bool) for x in sent.value]
-        held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+        held: dict[tuple[bytes, bytes], Counter] = {}
+        seen: dict[bytes, Counter] = defaultdict(Counter)
+        verdicts: dict[bytes, dict[bytes, bool]] = defaultdict(dict)
+
+        def passes(lang: bytes, found: Counter) -> list[bytes]:
+            known = verdicts[lang]
+            new = [x for x in found if x not in known]
+            if new:
+                at = cells(lang, new, width)
+                known.update(zip(new, np.logical_and.reduce([row[x] for row, x in zip(rows, at, strict=True)]).tolist(), strict=True))
+            return [x for x in found if known[x]]
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (found, seen) in held.items():
-                terms = list(seen)
-                at = cells(lang, terms, width)
-                keep = np.flatnonzero(np.logical_and.reduce([row[x] for row, x in zip(rows, at, strict=True)])).tolist()
-                kept = [terms[i] for i in keep]
+            for (lang, source), found in held.items():
+                kept, documents = passes(lang, found), seen[lang]
                 n = len(kept) + 1
                 columns = [pa.array([lang] * n, pa.binary()), pa.array([source] * n, pa.binary()), pa.array([None, *kept], pa.binary())]
                 columns = [x.cast(pa.string()) for x in columns]
-                yield pa.record_batch([*columns, pa.array([0, *(found[x] for x in kept)], pa.int64()), pa.array([0, *(seen[x] for x in kept)], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                yield pa.record_batch([*columns, pa.array([0, *(found[x] for x in kept)], pa.int64()), pa.array([0, *(documents.pop(x, 0) for x in kept)], pa.int64())], ["lang", "source", "term", "n", "docs"])
             held.clear()
+            seen.clear()
+            if sum(map(len, verdicts.values())) > HELD:
+                verdicts.clear()
 
         for batch in pieces_of(batches, 0):
             for text, lang, source in zip(*map(text_bytes, batch.columns), strict=True):
-                found, seen = held.setdefault((lang, source), (Counter(), Counter()))
+                found = held.setdefault((lang, source), Counter())
                 terms = set()
                 for some in term_lists(text):
                     found.update(some)
                     terms.update(some)
-                seen.update(terms)
-            if sum(len(x) for x, _ in held.values()) > HELD:
+                seen[lang].update(terms)
+            if sum(map(len, held.values())) > 2 * HELD:
                 yield from out()
         yield from out()
 

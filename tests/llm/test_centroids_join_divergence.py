@@ -251,6 +251,20 @@ def test_long_texts_are_cut_between_terms(monkeypatch):
         assert [t for some in V.term_lists(text) for t in some] == whole
 
 
+def test_counts_of_a_task_are_sent_once_and_its_sketch_stops(spark, monkeypatch):
+    """Documents of a term are counted by language and not again by source, and a sketch that skips full terms is the same."""
+    rows = [(i, f"common Word{i % 7} rare{i}", "ab"[i % 2], f"s{i % 5}") for i in range(400)]
+    docs = docs_of(spark, rows).select("text", "lang", "source").coalesce(1)
+    whole = V.merged_sketch(docs, 10, 1 << 16)
+    monkeypatch.setattr(V, "HELD", 16)
+    assert (V.merged_sketch(docs, 10, 1 << 16) == whole).all()
+    monkeypatch.undo()
+    got = V.candidate_counts(docs, whole).where("term = 'common'").collect()
+    assert len(got) == 10 and sum(r["n"] for r in got) == 400
+    assert {x: sorted(r["docs"] for r in got if r["lang"] == x) for x in "ab"} == {x: [0, 0, 0, 0, 200] for x in "ab"}
+
+
+
 def test_divergence_on_nothing(spark):
     got = V.divergence(docs_of(spark, []))
     assert got.collect() == [] and got.columns == ["lang", "source", "part", "item", "value", "rank"]
