@@ -75,3 +75,12 @@ def test_deep_nesting_costs_in_proportion(markup):
 
     small, large = seconds(1500), seconds(6000)
     assert large < 9 * small + 0.02, (small, large)
+
+
+def test_references_cut_before_their_semicolon():
+    """``&amp`` without a semicolon is ``&`` in texts, as the HTML standard has it; what is no such name stays."""
+    from sitelumen.sources.html_extract import extract
+
+    cut, whole = (extract("https://a.test/", f"<title>x &&amp{end}</title><h1>y &amp{end}</h1><p>&am &ampz</p>") for end in ("", ";"))
+    assert cut["title"] == whole["title"] == "x &&" and cut["headings"] == whole["headings"] and cut["text"] == whole["text"]
+    assert cut["text"] == "x &&y &&am &z"
