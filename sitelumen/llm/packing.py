@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, shuffle_partitions, table, text_bytes
+from sitelumen.llm.common import cut, pieces_of, shuffle_partitions, table, text_bytes
 
 CAPACITY, END_ID, GRID = 4096, 1, 128
 #: Entries of each of the two generations of a worker's cache of encoded words, which bounds its memory.
 CACHE_WORDS = 400_000
 STOPS = b".,;:!?"
-#: Letters that stay one composed letter each in lower case: A-Z, a-z and those of Latin-1 in UTF-8.
-PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Bytes of Latin-1 texts that are cut into the tokenizer's own pieces here: printable ASCII, blanks, and letters from À on.
+SIMPLE = bytes([9, 10, 13, *range(32, 127), *(b for b in range(192, 256) if b not in b"\xd7\xf7")])
+LOWER = bytes(b + 32 if b in SIMPLE and (65 <= b <= 90 or 192 <= b <= 222) else b for b in range(256))
+#: The tokenizer's pre-tokenizer for them, in lower case: words, single digits, contractions and runs of other signs.
+PIECES = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-z\xdf-\xf6\xf8-\xff]+")
 
 
 def byte_letters() -> dict[int, int]:
@@ -46,11 +50,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class PieceCache(dict):
+    """Ids (little-endian unsigned 32-bit) of each piece of simple Latin-1 text, by the tokenizer's model on first sight."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.old = tokenizer.model, {}
+        self.letters = byte_letters()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            letters = piece.decode("latin-1")
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(self.letters)
+            ids = packed_ids([t.id for t in self.model.tokenize(letters)])
+        self[piece] = ids
+        return ids
+
+
 class WordCache(dict):
     """Ids (little-endian unsigned 32-bit) of each blank-separated chunk, by the tokenizer itself on first sight.
 
     The tokenizer drops white space and never joins across it, nor across an ASCII letter and a stop after it, so the
-    ids of a text are those of its chunks in a row.
+    ids of a text are those of its chunks in a row. Texts of simple characters are cut into the tokenizer's pieces at
+    once, which are fewer than chunks: capitals and stops make no new ones.
     """
 
     def __init__(self, path: str):
@@ -59,38 +87,45 @@ class WordCache(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict[bytes, bytes] = {}
-        self.letters = byte_letters()
-
-    def word(self, low: bytes) -> bytes:
-        """Ids of one lower-case word; a plain one goes to the tokenizer's model as its pre-tokenizer would give it."""
-        if not PLAIN.fullmatch(low):
-            return self.encoded(low)
-        letters = low.decode().lower().encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        self.pieces = PieceCache(self.tokenizer)
 
     def encoded(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return packed_ids(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            core = chunk.rstrip(STOPS)
-            low = core.lower()
-            if b"<" in chunk or not core or core[-1] >= 128 or not chr(core[-1]).isalpha():
-                ids = self.encoded(chunk)
-            elif low == chunk:
-                ids = self.word(low)
+            core, low = chunk.rstrip(STOPS), self.simple(chunk)
+            if low is not None:
+                ids = self.in_pieces(low)
+            elif b"<" not in chunk and 0 < len(core) < len(chunk) and core[-1] < 128 and chr(core[-1]).isalpha():
+                ids = self[core] + self[chunk[len(core) :]]
             else:
-                ids = self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+                ids = self.encoded(chunk)
         self[chunk] = ids
         return ids
 
+    def simple(self, text: bytes) -> bytes | None:
+        """The text in lower-case Latin-1, if it has simple characters only and no special token."""
+        if b"<|" in text:
+            return None
+        if not text.isascii():
+            try:
+                text = text.decode().encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return None if text.translate(None, SIMPLE) else text.translate(LOWER)
+
+    def in_pieces(self, low: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(low)))
+
     def ids(self, text: bytes) -> bytes:
-        out = b"".join(map(self.__getitem__, text.split()))
-        if len(self) > CACHE_WORDS:  # what is used again comes back from the old generation
-            self.old = dict(self)
-            self.clear()
+        low = self.simple(text)
+        out = b"".join(map(self.__getitem__, text.split())) if low is None else self.in_pieces(low)
+        if len(self) + len(self.pieces) > CACHE_WORDS:  # what is used again comes back from the old generation
+            for own in (self, self.pieces):
+                own.old = dict(own)
+                own.clear()
         return out
 
 
@@ -109,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = cache_of(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 ids = cache.ids(text) + end

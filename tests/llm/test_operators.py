@@ -211,6 +211,24 @@ def test_word_cache_is_the_tokenizer():
         assert cache.ids(text.encode()) == cache.encoded(text.encode())
 
 
+def test_simple_texts_are_cut_into_pieces_without_the_tokenizer():
+    cache, whole = K.WordCache(K.default_tokenizer()), K.WordCache(K.default_tokenizer())
+    cache.encoded = None
+    rng = random.Random(2)
+    letters = "abcstXYZ .,;!?'éÀÖßÿÞ \t\n<>12%#$&*"
+    for text in ["DON'T we'll ''s O'Re", "12% of a.b,c", *("".join(rng.choices(letters, k=60)) for _ in range(300))]:
+        assert cache.ids(text.encode()) == whole.encoded(text.encode())
+    before = len(cache.pieces)
+    cache.ids(b"zebra Zebra ZEBRA, zebra. (zebra")
+    assert len(cache.pieces) <= before + 4
+
+
+def test_capitals_whose_mark_composes_in_lower_case_only():
+    cache = K.WordCache(K.default_tokenizer())
+    for text in ["T\u0308a", "H\u0331a, x\u2014y", "W\u030aa. W\u030aa", "J\u030cA\u0301b!", "a\u00a0b\u0085c", "x\u00b2 \u00bd \u00aa\u00b5", "I\u0307a", "\u201cDon\u2019t\u201d Stop. stop"]:
+        assert cache.ids(text.encode()) == cache.encoded(text.encode()), text
+
+
 # --- 3 ---
 
 
