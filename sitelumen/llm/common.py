@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelumen.session import cut, ensure_checkpoint_dir
 
-__all__ = ["bit_map", "cut", "cut_few", "ensure_checkpoint_dir", "fresh", "gram_hashes", "hex64", "in_map", "mixed", "pieces_of", "remove", "shuffle_partitions", "stored", "table", "text_bytes"]
+__all__ = ["bit_map", "cut", "cut_few", "ensure_checkpoint_dir", "fresh", "gram_hashes", "hex64", "in_map", "kept", "let_go", "mixed", "pieces_of", "remove", "shuffle_partitions", "stored", "table", "text_bytes"]
 
 #: Bytes of text that a Python worker takes apart at once, unless one text alone is longer.
 PIECE_BYTES = 2 * 1024 * 1024
@@ -36,17 +36,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Parts for each core in which ``cut_few`` keeps a table at most.
-PARTS_A_CORE = 4
+#: Parts for each core in which ``cut_few`` keeps a table at most, and rows of a part where their number is known.
+PARTS_A_CORE, PART_ROWS = 4, 100_000
 
 
-def cut_few(df: DataFrame) -> DataFrame:
-    """``cut`` in a few parts for each core, however many partitions the rows come in.
+def cut_few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``cut`` in a few parts for each core, however many partitions the rows come in; in one a core where ``rows`` are few.
 
     Each part is a file to create and a task of the next step; on a local disk each file also starts processes that set its
     mode, for a moment as large as the one that starts them.
     """
-    return cut(df.coalesce(PARTS_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = PARTS_A_CORE * cores
+    return cut(df.coalesce(parts if rows is None else min(parts, max(cores, -(-rows // PART_ROWS)))))
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps over its tasks under a name; there is one at a time, and ``let_go`` frees it."""
+    if name not in _kept:
+        let_go()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Free what the worker has kept for other work: Spark gives a worker to one stage after another, and caches would add up."""
+    _kept.clear()
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from sitelumen.llm.common import cut_few
 
 
+def state_of(edges: DataFrame) -> tuple:
+    """The number of links and the sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(links: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``links``; component is the smallest node that can be reached.
 
     Alternating large-star and small-star rounds: each round only groups and joins the links on a node, so links stay
-    distributed, and each round's links are checkpointed, in a few parts for each core. The rounds needed grow with the logarithm of the longest
+    distributed, and each round's links are checkpointed, in a few parts for each core (one where they are few). The rounds needed grow with the logarithm of the longest
     chain. Loops and links with a null end are ignored; repeated and reversed links count once; no links give no rows.
     """
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     edges = cut_few(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
-    seen = None
+    seen = state_of(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -25,8 +30,8 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ma
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(smallest, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_few(small.union(smallest.select("u", F.col("m").alias("v"))).distinct())
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        edges = cut_few(small.union(smallest.select("u", F.col("m").alias("v"))).distinct(), seen[0])
+        state = state_of(edges)
         if state == seen:
             break
         seen = state

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, pieces_of, shuffle_partitions, table, text_bytes
+from sitelumen.llm.common import cut, kept, pieces_of, shuffle_partitions, table, text_bytes
 
 CAPACITY, END_ID, GRID = 4096, 1, 128
 #: Entries of each of the two generations of a worker's cache of encoded words, which bounds its memory.
@@ -129,14 +129,9 @@ class WordCache(dict):
         return out
 
 
-_caches: dict[str, WordCache] = {}
-
-
 def cache_of(path: str) -> WordCache:
-    """One cache a Python worker, kept over its tasks."""
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
+    """One cache a Python worker, kept over its tasks until other work begins."""
+    return kept(f"words of {path}", lambda: WordCache(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

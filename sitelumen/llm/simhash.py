@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, cut_few, fresh, hex64, pieces_of, table, text_bytes
+from sitelumen.llm.common import cut, cut_few, fresh, hex64, let_go, pieces_of, table, text_bytes
 from sitelumen.llm.components import connected_components
 
 SEED = 42
@@ -172,6 +172,7 @@ def signed_texts(docs: DataFrame, size: int) -> DataFrame:
     """``(digest, weight, fp, bits, keys)`` of every row of docs; a text without words has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in pieces_of(batches, 0):
             digests, weights, fps, bits, keys = [], [], [], [], []
             for text in text_bytes(batch.column(0)):
@@ -235,6 +236,7 @@ def unit_links(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         last, own = None, None
         for batch in pieces_of(batches, 3):
             out: list[tuple] = []

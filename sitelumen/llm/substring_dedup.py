@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import fresh, pieces_of, stored, table, text_bytes
+from sitelumen.llm.common import fresh, let_go, pieces_of, stored, table, text_bytes
 from sitelumen.llm.decontaminate import merged_spans
 
 #: Words of a run of repeated units from which it is removed.
@@ -105,6 +105,7 @@ def hashed_units(docs: DataFrame, lines: bool = False) -> DataFrame:
     """``(d1, d2, doc, row_key, pos)``: units of UNIT_WORDS words or more, once per text, and whole lines at -1, -2, ... if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         digest = xxhash.xxh3_128_digest
         for batch in pieces_of(batches, 2):
             ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2))

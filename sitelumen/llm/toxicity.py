@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelumen.llm.common import cut, table, text_bytes
+from sitelumen.llm.common import cut, let_go, pieces_of, table, text_bytes
 
 SAMPLE, TERMS, LEAST_ROWS, LEAST_Z, GRADES = 8000, 20_000, 3, 4.0, 3
 BEGINNINGS = (4, 5, 6, 7)
@@ -122,9 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isin([*chosen]))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total: dict[bytes, list[int]] = {}
         rows = [0, 0]
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 y = shared.value[doc]
                 rows[y] += 1
@@ -182,7 +183,8 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
     chances = _scores(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        let_go()
+        for batch in pieces_of(batches, 1):
             p = chances(batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0])], ["doc_id", "severity", "toxic_probability"])
 
@@ -195,7 +197,8 @@ def drop_toxic(docs: DataFrame, model: Model, at_least: float = 0.5) -> DataFram
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        let_go()
+        for batch in pieces_of(batches, at):
             keep = chances(batch.column(at))[:, 0] < at_least
             yield pa.record_batch([batch.column(i) for i in range(len(names))], names).filter(pa.array(keep))
 

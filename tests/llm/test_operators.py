@@ -379,6 +379,44 @@ def test_texts_meet_by_blocks_of_their_simhash(spark, monkeypatch):
     assert all(bytes(groups[digest(x)]) == bytes(groups[digest(y)]) for x, y in pairs)
 
 
+def test_components_of_few_links_are_kept_in_a_part_a_core(spark, monkeypatch):
+    from sitelumen.llm import common
+
+    parts = []
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: parts.append((made := cut(df)).rdd.getNumPartitions()) or made)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "97")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert connected_components(spark.range(0, 300).selectExpr("id AS a", "id - id % 3 AS b")).count() == 300
+        cores = spark.sparkContext.defaultParallelism
+        assert len(parts) > 1 and all(n <= cores for n in parts[1:])
+        monkeypatch.setattr(common, "PART_ROWS", 1)
+        assert common.cut_few(spark.range(0, 300).repartition(97, "id"), 300).rdd.getNumPartitions() == min(97, common.PARTS_A_CORE * cores)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_workers_let_go_of_what_other_work_kept():
+    from sitelumen.llm import common, simhash
+
+    first = K.cache_of(K.default_tokenizer())
+    assert K.cache_of(K.default_tokenizer()) is first
+    seen = []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            seen.append(run)
+
+    simhash.signed_texts(Docs(), 5)
+    list(seen[0](iter([])))
+    assert not common._kept and K.cache_of(K.default_tokenizer()) is not first
+
+
 def test_components_keep_links_in_few_parts(spark):
     """Each round's links are kept in a few parts a core and not in as many as the shuffle has."""
     from sitelumen.llm import common
