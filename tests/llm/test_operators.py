@@ -789,3 +789,22 @@ def test_rules_are_filed_under_their_rarest_whole_token(spark):
     rules = U.rules_frame(spark, (("||example.org/en/1", "block"), ("ads*", "block"), ("||com/", "allow")), False)
     tokens = spark.createDataFrame([("example",)] * 3 + [("org",)] * 2 + [("en",)] * 5 + [("",)], "token string")
     assert {r["pattern"]: r["token"] for r in U.indexed(rules, tokens).collect()} == {"||example.org/en/1": "org", "ads*": "", "||com/": "com"}
+
+
+def test_rounds_of_few_links_take_few_tasks(spark):
+    """However many shuffle partitions there are, the driver hears of a few tasks a round."""
+    conf = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, context = {k: spark.conf.get(k) for k in conf}, spark.sparkContext
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("few-links", "")
+    try:
+        found = connected_components(spark.range(0, 60).selectExpr("id AS a", "id + 1 AS b"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-links") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages if s and s.numCompletedTasks) < 96
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == 61
