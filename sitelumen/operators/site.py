@@ -21,11 +21,14 @@ def last_wins(pages: DataFrame, keys: tuple[str, ...] = ("site_id", "normalized_
     return ranked.join(pages.groupBy(*keys).agg(F.min(order).alias("seq")), [*keys])
 
 
-def first_listed(rows: DataFrame, keys: list[str], most: int = LISTED) -> DataFrame:
+def first_listed(rows: DataFrame, keys: list[str], most: int | None = LISTED) -> DataFrame:
     """``(*keys, listed, n)`` of ``rows(*keys, seq, normalized_url)``: the first URLs in order, and how many there are.
 
-    Only ``most`` rows of a key leave a task.
+    Only ``most`` rows of a key leave a task; without ``most`` all URLs are listed.
     """
+    if most is None:
+        every = F.array_sort(F.collect_list(F.struct("seq", "normalized_url")))["normalized_url"]
+        return rows.groupBy(*keys).agg(every.alias("listed"), F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "normalized_url"))
     first = rows.select(*keys, "seq", "normalized_url").withColumn("_rank", rank).where(F.col("_rank") <= most)
     listed = F.array_sort(F.collect_list(F.struct("_rank", "normalized_url")))["normalized_url"]
@@ -50,12 +53,12 @@ def inlink_lists(pages: DataFrame, most: int = 100) -> DataFrame:
     return inlinks(pages).join(sources, ["site_id", "target"])
 
 
-def duplicate_groups(pages: DataFrame, column: str, listed: int | None = None) -> DataFrame:
-    """``(site_id, key, pages, n, first)``: normalised values that two or more indexable pages have, the first pages in order."""
+def duplicate_groups(pages: DataFrame, column: str, listed: int | None = LISTED) -> DataFrame:
+    """``(site_id, key, pages, n, first)``: normalised values that two or more indexable pages have, the first ``listed`` pages (None: all) in order."""
     keyed = pages.where("idx").select("site_id", T.normalize_key(column).alias("key"), "seq", "normalized_url").where("key <> ''")
     firsts = keyed.groupBy("site_id", "key").agg(F.min("seq").alias("first"), F.count("*").alias("c")).where("c >= 2").drop("c")
     shared = keyed.join(firsts, ["site_id", "key"])
-    return first_listed(shared, ["site_id", "key", "first"], *([listed] if listed else [])).select("site_id", "key", F.col("listed").alias("pages"), "n", "first")
+    return first_listed(shared, ["site_id", "key", "first"], listed).select("site_id", "key", F.col("listed").alias("pages"), "n", "first")
 
 
 def orphans(pages: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ _KEY = "trim(regexp_replace(" + LOWER.format("title") + ", '\\s+', ' ', 'g'))"
 
 @query(f"WITH {BASE} SELECT site_id, {_KEY} AS key, count(*)::INTEGER AS pages, string_agg(nurl, ' ' ORDER BY seq) AS urls FROM x WHERE title IS NOT NULL GROUP BY ALL HAVING count(*) >= 2")
 def duplicate_titles(spark, d):
-    return S.duplicate_groups(_site(spark, d), "title").select("site_id", "key", F.size("pages").alias("pages"), F.array_join("pages", " ").alias("urls"))
+    return S.duplicate_groups(_site(spark, d), "title", None).select("site_id", "key", F.size("pages").alias("pages"), F.array_join("pages", " ").alias("urls"))
 
 
 # --- near duplicates -------------------------------------------------------------------------------------------------
